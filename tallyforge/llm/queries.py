@@ -53,10 +53,10 @@ SQL = {
     "op6_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
         t AS (SELECT html AS g, max(page_id) AS top FROM p GROUP BY html),
-        d AS (SELECT p.*, top, list_transform(range(0, 8), i -> ('0x' || substr(h, (i * 5 + 1)::INT, 5))::BIGINT) AS fives
+        d AS (SELECT p.*, top, list_transform(range(0, 8), lambda i: ('0x' || substr(h, (i * 5 + 1)::INT, 5))::BIGINT) AS fives
               FROM p JOIN t ON p.html = t.g)
         SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
-               list_aggregate(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                    1 + ((fives[(i // 4 + 1)::INT] >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), 'string_agg', '') AS payload_digest,
                CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN page_id < top THEN top END AS refers_to
