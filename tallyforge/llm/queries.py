@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import langid, media, pii, quality, tokens, warc
+from tallyforge.llm import langid, media, ngram_join, pii, quality, tokens, warc
 from tallyforge.llm.shared import id_bucket, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -47,7 +47,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.learn(docs)).drop("redacted")
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_media_columns, op5_token_counts, op6_warc, op8_quality, op9_pii)}
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all documents by 3-word shingles and a Jaccard similarity of 0.9."""
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"), 3, 90)
+
+
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_media_columns, op5_token_counts, op6_warc, op8_quality, op9_pii, op10_ngram_jaccard)}
 
 SQL = {
     "op6_warc": """
@@ -62,4 +67,18 @@ SQL = {
                CASE WHEN page_id < top THEN top END AS refers_to
         FROM d
     """,
+    "op10_ngram_jaccard": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+        s AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+                ELSE list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END) AS g FROM w),
+        e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+        p AS (
+            SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+        r AS (SELECT doc_id AS x, doc_id AS y FROM s UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x)
+        SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, min(r.y) AS component_id FROM s JOIN r ON s.doc_id = r.x GROUP BY s.doc_id, len(s.g)
+    """,
 }
