@@ -20,65 +20,25 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.components import components
 from tallyforge.llm.shared import arrow_map, written
+from tallyforge.llm.words import BASE, mix, word_hashes
 
 #: Buckets of the frequency table (8 MB, whatever the input) and rows that it is summed in.
 BUCKETS, PARTS = 1 << 20, 256
-#: Fragments of the global order; bytes that are hashed at once.
-FRAGMENTS, BLOCK = 8, 1 << 20
+#: Fragments of the global order.
+FRAGMENTS = 8
 #: Rounds in which a group's members are compared with one of them, before all open pairs are.
 STARS = 2
-_RNG = np.random.default_rng(10)
-_BYTE = _RNG.integers(0, 2**64, 256, np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit words that spreads every input bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for i, base in enumerate((_BASE, _INVERSE)):
-            run = np.full(2 * n, base, np.uint64)
-            run[0] = 1
-            _POWERS[i] = np.cumprod(run, dtype=np.uint64)
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
-def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each word, in order: a sum of byte values times powers, from running sums over the text."""
-    raw, out, at = text.encode("utf-8", "replace").lower(), [], 0
-    while at < len(raw):
-        end = min(len(raw), at + BLOCK)
-        while end < len(raw) and raw[end] not in b" \t\n\v\f\r":
-            end += 1
-        part = np.frombuffer(raw[at:end], np.uint8)
-        gap = np.concatenate([[True], (part == 32) | ((part >= 9) & (part <= 13)), [True]])
-        edge = np.flatnonzero(gap[1:] != gap[:-1])
-        starts, ends = edge[::2], edge[1::2]
-        up, down = _powers(len(part) + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[part] * up[: len(part)], dtype=np.uint64)])
-        out.append(_mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
-        at = end
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct hashes of the `size`-word shingles; of fewer words, one of them all; of none, nothing."""
-    words = word_hashes(text or "")
+    words = word_hashes((text or "").encode("utf-8", "replace").lower())
     if len(words) == 0:
         return words
     n, rows = min(size, len(words)), max(1, len(words) - size + 1)
     h = np.full(rows, n, np.uint64)
     for k in range(n):
-        h = _mix(h * _BASE + words[k : k + rows])
+        h = mix(h * BASE + words[k : k + rows])
     return np.unique(h)
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import langid, media, ngram_join, pii, quality, tokens, warc
+from tallyforge.llm import decontam, langid, media, ngram_join, pii, quality, tokens, warc
 from tallyforge.llm.shared import id_bucket, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -34,6 +34,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, all documents against all items."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents; learned from labelled ones whose remainder modulo 3 is not 1."""
     docs, bucket = table(spark, sf_dir, "documents"), id_bucket(F.col("doc_id"), 3)
@@ -52,7 +57,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"), 3, 90)
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_media_columns, op5_token_counts, op6_warc, op8_quality, op9_pii, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_media_columns, op5_token_counts, op6_warc, op7_decontamination, op8_quality, op9_pii, op10_ngram_jaccard)}
 
 SQL = {
     "op6_warc": """
