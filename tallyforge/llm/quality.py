@@ -110,7 +110,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: Column, id_col: str = "doc_i
     one = labels.where(rows & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).cast("int").alias("y"))
     sizes = {r[0]: r[1] for r in one.where("y in (0, 1)").groupBy("y").count().collect()}
     part = F.when(F.col("y") == 1, min(1.0, fit_rows / sizes.get(1, 1))).when(F.col("y") == 0, min(1.0, fit_rows / sizes.get(0, 1))).otherwise(-1.0)
-    chosen = one.where(share(F.col(id_col), 8) < part)
+    chosen = F.broadcast(one.where(share(F.col(id_col), 8) < part).limit(4 * fit_rows))  # bounded, so the texts need no shuffle
     pick = docs.select(F.col(id_col), F.col(text_col).alias("t")).where(rows & F.col("t").isNotNull()).join(chosen.withColumnRenamed(id_col, "k"), F.col(id_col) == F.col("k"))
     room = FIT_BLOCKS * BLOCK
 
