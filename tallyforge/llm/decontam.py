@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import arrow_map
+from tallyforge.llm.shared import arrow_filter, arrow_map
 from tallyforge.llm.words import BASE, mix, word_hashes
 
 #: Edits allowed for each word of an item, and the fewest words of an item that is searched.
@@ -185,6 +185,17 @@ def matches(texts: list[str | None], items: Items) -> list[tuple[int, int, int]]
     return [(*key, d) for key, d in sorted(best.items())]
 
 
+def _parts(benchmark: DataFrame, item_col: str, item_text_col: str) -> list:
+    """The prepared benchmark, as broadcasts of at most about ITEM_CHARS characters each."""
+    named = benchmark.select(F.col(item_col).alias("k"), F.col(item_text_col).alias("t")).where("t is not null")
+    parts = max(1, -(-int(named.agg(F.sum(F.length("t"))).first()[0] or 0) // ITEM_CHARS))
+    out = []
+    for part in range(parts):
+        rows = named.where(F.pmod(F.xxhash64("t"), F.lit(parts)) == part).orderBy("k", "t").collect()
+        out.append(benchmark.sparkSession.sparkContext.broadcast(prepared([r["k"] for r in rows], [r["t"] for r in rows])))
+    return out
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The id, item_id, edits (words), n_words (of the item) for each document and benchmark item where a stretch of the
     document is within EDITS edits a word of the item. Documents without a match have no row.
@@ -193,13 +204,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     words are not searched; an empty benchmark gives no rows. Repeated documents and items each have their
     rows; other columns are ignored. The benchmark goes to the tasks in parts of at most about ITEM_CHARS characters.
     """
-    spark, doc_type, item_type = docs.sparkSession, docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    named = benchmark.select(F.col(item_col).alias("k"), F.col(item_text_col).alias("t")).where("t is not null")
-    passes = max(1, -(-int(named.agg(F.sum(F.length("t"))).first()[0] or 0) // ITEM_CHARS))
+    doc_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     out = None
-    for turn in range(passes):
-        rows = named.where(F.pmod(F.xxhash64("t"), F.lit(passes)) == turn).orderBy("k", "t").collect()
-        shipped = spark.sparkContext.broadcast(prepared([r["k"] for r in rows], [r["t"] for r in rows]))
+    for shipped in _parts(benchmark, item_col, item_text_col):
 
         def batch(got: pa.RecordBatch, shipped=shipped) -> pa.RecordBatch | None:
             items = shipped.value
@@ -213,3 +220,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         part = arrow_map(docs.select(id_col, text_col), batch, f"`{id_col}` {doc_type}, item_id {item_type}, edits int, n_words int", rows=512)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that hold no benchmark item (as in `contaminated`). No shuffle."""
+    for shipped in _parts(benchmark, item_col, item_text_col):
+
+        def keep(texts: list[str | None], shipped=shipped) -> list[bool]:
+            hit = {t for t, _, _ in matches(texts, shipped.value)}
+            return [i not in hit for i in range(len(texts))]
+
+        docs = arrow_filter(docs, text_col, keep)
+    return docs

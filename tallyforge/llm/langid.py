@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import arrow_map, share
+from tallyforge.llm.shared import arrow_filter, arrow_map, share
 
 BUCKETS = 1 << 15
 #: The model is BUCKETS x languages numbers on the driver and in each worker; more labels than this are refused.
@@ -132,3 +132,11 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
 
     kind = docs.schema[id_col].dataType.simpleString()
     return arrow_map(docs.select(id_col, text_col), batch, f"`{id_col}` {kind}, lang_pred string, score double, weights map<string,double>")
+
+
+def with_language(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows whose top language has at least `least` of the mixture, with all their columns; texts without a
+    language (see identify) go. No shuffle."""
+    names, logs = model
+    shipped = docs.sparkSession.sparkContext.broadcast((names, logs, np.exp(logs)))
+    return arrow_filter(docs, text_col, lambda texts: [max(mixture(t, *shipped.value)[2], default=0.0) >= least for t in texts])

@@ -241,3 +241,24 @@ def find(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "
 
     kind = docs.schema[id_col].dataType.simpleString()
     return arrow_map(docs.select(id_col, text_col), batch, f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string", rows=256)
+
+
+def redact(docs: DataFrame, model: dict, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """All rows and columns of docs, with marks in place of personal data in the text and, where there is such a
+    column, the new text's length in size_col. NULL texts stay NULL with their size. No shuffle."""
+    shipped, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    size = docs.columns.index(size_col) if size_col in docs.columns else None
+
+    def clean(text: str | None) -> str | None:
+        base = base_spans(text) if text else []
+        return redacted(text, base + added_spans(text, base, shipped.value)) if text else text
+
+    def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
+        texts, cols = [clean(t) for t in rows.column(at).to_pylist()], list(rows.columns)
+        if size is not None:
+            was = cols[size].to_pylist()
+            cols[size] = pa.array([w if t is None else len(t) for w, t in zip(was, texts)], cols[size].type)
+        cols[at] = pa.array(texts, cols[at].type)
+        return pa.RecordBatch.from_arrays(cols, names=rows.schema.names)
+
+    return arrow_map(docs, batch, docs.schema, rows=256)

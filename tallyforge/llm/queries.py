@@ -6,12 +6,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontam, langid, media, ngram_join, pii, quality, tokens, warc
+from tallyforge.llm import decontam, langid, license_scan, media, mixing, ngram_join, pii, quality, tokens, warc
+from tallyforge.llm.queries_sql import license_sql, mixing_sql
 from tallyforge.llm.shared import id_bucket, table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+#: The tree of op2_mixing: a domain for each source, and weights; a node without one has weight 1.
+WEB, BOOKS = ("src0",), tuple(f"src{i}" for i in range(1, 10))
+WEIGHTS = {("web",): 5, ("books",): 3, ("forum",): 2, ("web", "en"): 6, ("web", "de"): 2, ("web", "fr"): 2, ("books", "en"): 4, ("forum", "en"): 3, ("books", "en", "src1"): 3}
+
+
+def mixing_levels() -> dict:
+    domain = F.when(F.col("source").isin(*WEB), "web").when(F.col("source").isin(*BOOKS), "books").otherwise("forum")
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all texts."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to the weights: 60 % of the tokens, at most four epochs."""
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mixed(docs, mixing_levels(), WEIGHTS).select("doc_id", "mix_domain", "mix_lang", "mix_source", "n_tokens", "epoch")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents; learned from those whose remainder modulo 4 is not 2."""
     docs, bucket = table(spark, sf_dir, "documents"), id_bucket(F.col("doc_id"), 4)
@@ -57,9 +79,11 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"), 3, 90)
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_media_columns, op5_token_counts, op6_warc, op7_decontamination, op8_quality, op9_pii, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mixing, op3_language_id, op4_media_columns, op5_token_counts, op6_warc, op7_decontamination, op8_quality, op9_pii, op10_ngram_jaccard)}
 
 SQL = {
+    "op1_license_scan": license_sql(license_scan.TEMPLATES),
+    "op2_mixing": mixing_sql("CASE WHEN source = 'src0' THEN 'web' WHEN source IN ('" + "', '".join(BOOKS) + "') THEN 'books' ELSE 'forum' END", WEIGHTS, (6, 10), mixing.EPOCHS, 2),
     "op6_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
         t AS (SELECT html AS g, max(page_id) AS top FROM p GROUP BY html),

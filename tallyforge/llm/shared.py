@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -47,7 +48,7 @@ def id_bucket(col: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % F.lit(mod)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 512) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType, rows: int = 512) -> DataFrame:
     """fn over the partitions' rows, at most `rows` at a time, so that a task holds few texts at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,3 +58,9 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
                     yield out
 
     return df.mapInArrow(run, schema)
+
+
+def arrow_filter(df: DataFrame, text_col: str, keep: Callable[[list[str | None]], list[bool]], rows: int = 512) -> DataFrame:
+    """The rows, with all their columns, whose text `keep` says yes to."""
+    at = df.columns.index(text_col)
+    return arrow_map(df, lambda b: b.filter(pa.array(keep(b.column(at).to_pylist()), pa.bool_())), df.schema, rows)
