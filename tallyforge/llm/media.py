@@ -1,7 +1,7 @@
 """Media columns (operator 4): content-addressed PNG payloads in tar shards.
 
-A payload is stored once, as an 8-bit greyscale PNG named by its SHA-256, in a tar shard; rows carry digest, shard,
-offset and length. Metadata columns are filled from range reads of the header alone.
+A payload is stored as an 8-bit greyscale PNG named by its SHA-256, in a tar shard; rows carry digest, shard, offset
+and length, equal payloads the same ones. Metadata columns are filled from range reads of the header alone.
 """
 
 from __future__ import annotations
@@ -77,36 +77,26 @@ def feature(payload: bytes) -> str:
 
 
 def store(docs: DataFrame, text_col: str = "text", where: str | None = None) -> DataFrame:
-    """Write each distinct payload once; returns the written index text_key (SHA-256 of the text), digest (SHA-256 of the
-    stored form), shard, offset, length. NULL texts count as empty.
+    """Write the payloads; returns the written index text_key (SHA-256 of the text), digest (SHA-256 of the stored form),
+    shard, offset, length, with one row and one place for each distinct payload. NULL texts count as empty.
 
-    A task sends a payload on only the first time it meets it, so a text with very many copies crosses the shuffle
-    at most once for each task. A shard gets a name of its own for each attempt and the index is committed by
+    Payloads never cross a shuffle: a task stores each payload that it meets once, and among the places of several
+    tasks the index keeps the smallest. (Copies in other tasks' shards are space that no row points to: at most one
+    for each task.) A shard gets a name of its own for each attempt and the index is committed by
     Spark's writer, so a repeated task leaves at most a file that no row points to.
     """
     base = where or scratch(docs.sparkSession, "media")
     root = fs.FileSystem.from_uri(base)
     root[0].create_dir(root[1])
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                keys, blobs = [], []
-                for text in batch.column(0).slice(at, 256).to_pylist():
-                    key = hashlib.sha256((text or "").encode("utf-8")).digest()
-                    if key not in seen:
-                        seen.add(key)
-                        keys.append(key)
-                        blobs.append(encode(payload_of(text)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(blobs, pa.binary())], names=["text_key", "media"])
-
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, folder = fs.FileSystem.from_uri(base)
         out, name, seen, end = None, "", set(), bytes(1024)
         for batch in batches:
             rows = []
-            for key, media in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for text in batch.column(0):
+                text = text.as_py() or ""
+                key = hashlib.sha256(text.encode("utf-8")).digest()
                 if key in seen:
                     continue
                 seen.add(key)
@@ -116,13 +106,13 @@ def store(docs: DataFrame, text_col: str = "text", where: str | None = None) ->
                         out.close()
                     name = f"shard-{uuid.uuid4().hex}.tar"
                     out = system.open_output_stream(f"{folder}/{name}", compression=None)
-                body = media.as_py()
-                digest = hashlib.sha256(body).hexdigest()
+                media = encode(payload_of(text))
+                digest = hashlib.sha256(media).hexdigest()
                 member = tarfile.TarInfo(f"{digest}.png")
-                member.size = len(body)
-                out.write(member.tobuf(tarfile.USTAR_FORMAT if len(body) < 8 << 30 else tarfile.GNU_FORMAT))
-                rows.append((key, digest, name, out.tell(), len(body)))
-                out.write(body + bytes(-len(body) % 512))
+                member.size = len(media)
+                out.write(member.tobuf(tarfile.USTAR_FORMAT if len(media) < 8 << 30 else tarfile.GNU_FORMAT))
+                rows.append((key, digest, name, out.tell(), len(media)))
+                out.write(media + bytes(-len(media) % 512))
             if rows:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["text_key", "digest", "shard", "offset", "length"])
@@ -130,8 +120,9 @@ def store(docs: DataFrame, text_col: str = "text", where: str | None = None) ->
             out.write(end)
             out.close()
 
-    found = docs.select(F.col(text_col)).mapInArrow(once, "text_key binary, media binary").repartition("text_key")
-    index = written(found.mapInArrow(shards, "text_key binary, digest string, shard string, offset long, length long"), "media-index")
+    found = docs.select(F.col(text_col)).mapInArrow(shards, "text_key binary, digest string, shard string, offset long, length long")
+    place = F.min(F.struct("shard", "offset", "length", "digest")).alias("place")
+    index = written(written(found, "media-places").groupBy("text_key").agg(place).select("text_key", "place.*"), "media-index")
     return index.withColumn("folder", F.lit(base))
 
 
