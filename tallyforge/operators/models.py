@@ -72,7 +72,7 @@ def importance_across_k(importances: DataFrame) -> DataFrame:
 
 def novel_configs(observed: DataFrame, levels: dict[str, list[float]]) -> DataFrame:
     """All combinations of the declared levels that no observed row has."""
-    grid = list(product(*levels.values()))
+    grid = [tuple(map(float, row)) for row in product(*levels.values())]
     rows = observed.sparkSession.createDataFrame(grid, ", ".join(f"`{c}` double" for c in levels))
     return rows.join(observed.select(*[F.col(c).cast("double").alias(c) for c in levels]).distinct(), list(levels), "left_anti")
 

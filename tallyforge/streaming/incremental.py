@@ -36,5 +36,6 @@ def windowed_counts(stream: DataFrame, time: str, keys: list[str], width: str =
     return stream.withWatermark(time, late).groupBy(F.window(time, width), *keys).agg(F.count("*").alias("n"))
 
 
-def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(path)
+def file_stream(spark: SparkSession, folder: str, schema, names: str = "*.parquet") -> DataFrame:
+    """The Parquet files of a folder whose names fit, as a stream."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).option("pathGlobFilter", names).parquet(folder)
