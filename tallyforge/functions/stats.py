@@ -47,7 +47,7 @@ def t_critical(df: Column, p: float = 0.975) -> Column:
     """The t quantile for a column of degrees of freedom; NULL below 1."""
     z = normal_quantile(p)
     n = df.cast("double")
-    series = F.lit(z) + (z**3 + z) / 4 / n + (5 * z**5 + 16 * z**3 + 3 * z) / 96 / n**2 + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384 / n**3
+    series = F.lit(z) + (z**3 + z) / 4 / n + (5 * z**5 + 16 * z**3 + 3 * z) / 96 / n**2 + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384 / n**3 + (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160 / n**4
     table = F.array(*[F.lit(t_quantile(p, d)) for d in range(1, TABLED + 1)])
     return F.when(df > TABLED, series).when(df >= 1, F.get(table, df.cast("int") - 1))
 
