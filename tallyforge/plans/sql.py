@@ -180,7 +180,7 @@ SQL = {
     "batch_metrics": base() + f""" SELECT root, k::BIGINT AS k, batch::BIGINT AS batch, strategy::BIGINT AS strategy, {n('count(*)', 'exposures')}, {n('sum((NOT safety)::INT)', 'completed')}, {n('sum(safety::INT)', 'safety_exposures')}, {n('sum(won)', 'wins')}, {n('sum(1 - won)', 'losses')}, {n('sum((n_turns <> n_rounds)::INT)', 'mismatches')},
         {n('sum(score)', 'score_sum')}, {n('sum(score * score)', 'score_square_sum')}, {n('sum(n_turns)', 'turns_sum')}, {n('sum(n_turns * n_turns)', 'turns_square_sum')}, {n('sum(n_turns - n_rounds)', 'gap_sum')}, {n('sum((n_turns - n_rounds) * (n_turns - n_rounds))', 'gap_square_sum')},
         {d('sum(score / n_turns)', 'per_turn_sum')}, {d('sum((score / n_turns) * (score / n_turns))', 'per_turn_square_sum')}, {d('sum(score / n_rounds)', 'per_round_sum')}, {d('sum((score / n_rounds) * (score / n_rounds))', 'per_round_square_sum')}, {_beh} FROM {_SMALL} GROUP BY root, k, batch, strategy""",
-    "turn_returns": base() + f", x AS (SELECT root, k, batch, strategy, sum(score) / sum(n_turns) AS t, sum(score / n_turns) / count(*) AS a, sum(score / n_rounds) / count(*) AS r, avg((n_turns <> n_rounds)::INT) AS m, avg(won) AS w, sum(won) / nullif(sum((NOT safety)::INT), 0) AS wc, avg(safety::INT) AS s FROM e GROUP BY ALL) SELECT root, k::BIGINT AS k, batch::BIGINT AS batch, strategy::BIGINT AS strategy, {d('t', 'turn_return')}, {d('a', 'game_return')}, {d('r', 'round_return')}, {d('r - a', 'return_gap')}, {d('(r - a) / a', 'relative_gap')}, {d('m', 'mismatch_rate')}, {d('w', 'win_rate')}, {d('wc', 'win_rate_completed')}, {d('s', 'safety_rate')} FROM x",
+    "turn_returns": base() + f", x AS (SELECT root, k, batch, strategy, sum(score) / sum(n_turns) AS t, sum(score / n_turns) / count(*) AS a, sum(score / n_rounds) / count(*) AS r, avg((n_turns <> n_rounds)::INT) AS m, avg(won) AS w, sum(won) / nullif(sum((NOT safety)::INT), 0) AS wc, avg(safety::INT) AS s FROM {_SMALL} GROUP BY ALL) SELECT root, k::BIGINT AS k, batch::BIGINT AS batch, strategy::BIGINT AS strategy, {d('t', 'turn_return')}, {d('a', 'game_return')}, {d('r', 'round_return')}, {d('r - a', 'return_gap')}, {d('(r - a) / a', 'relative_gap')}, {d('m', 'mismatch_rate')}, {d('w', 'win_rate')}, {d('wc', 'win_rate_completed')}, {d('s', 'safety_rate')} FROM x",
     "game_summary": base() + f" SELECT k::BIGINT AS k, winner_seat::BIGINT AS winner_seat, {n('count(*)', 'games')}, {d('avg(n_rounds)', 'mean_rounds')}, {d('count(*) / sum(count(*)) OVER (PARTITION BY k)', 'share')} FROM g GROUP BY k, winner_seat",
     "winner_metrics": base() + ", x AS (SELECT k, strategy, count(*) AS attempted, sum(won) AS wins, " + ", ".join(f"coalesce(sum({c}) FILTER (won = 1), 0)::DOUBLE AS {c}_s, coalesce(sum({c}::BIGINT * {c}) FILTER (won = 1), 0)::DOUBLE AS {c}_q" for c in ("score", "n_turns", "n_rounds")) + f" FROM {_SMALL} GROUP BY k, strategy) SELECT k::BIGINT AS k, strategy::BIGINT AS strategy, " + f"{n('attempted', 'attempted')}, {n('wins', 'wins')}, " + ", ".join(f"{n(f'{c}_s', f'{c}_sum')}, {n(f'{c}_q', f'{c}_square_sum')}, {d(f'CASE WHEN wins > 0 THEN {c}_s / wins ELSE 0 END', f'{c}_mean')}, {d(f'CASE WHEN wins > 0 THEN greatest({c}_q / wins - ({c}_s / wins) * ({c}_s / wins), 0) ELSE 0 END', f'{c}_variance')}" for c in ("score", "n_turns", "n_rounds")) + f", {d('score_s / attempted', 'expected_score')} FROM x",
     "seat_counts": _SEAT + f" SELECT root, k::BIGINT AS k, batch::BIGINT AS batch, strategy::BIGINT AS strategy, seat::BIGINT AS seat, {n('wins', 'wins')}, {n('attempted', 'attempted')}, {n('completed', 'completed')}, {n('safety_exposures', 'safety_exposures')} FROM sc",
@@ -270,3 +270,5 @@ SQL = {
     "novel_configs": base() + " SELECT seat, k, strategy FROM (SELECT a::DOUBLE AS seat, b::DOUBLE AS k, c::DOUBLE AS strategy FROM unnest([1, 2, 3, 7]) p(a), unnest([2, 3, 8]) q(b), unnest([0, 1, 2]) r(c)) x WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.seat = x.seat AND e.k = x.k AND e.strategy = x.strategy)",
     "incremental_sums": f"SELECT event_type, {n('count(*)', 'rows')}, {n('sum(round(value * 100)::BIGINT)', 'cents')} FROM events GROUP BY event_type",
 }
+
+SQL["seat_mixture"] = SQL["seat_mixture"].replace(", 6) + 0.0", ", 9) + 0.0")
