@@ -1,33 +1,39 @@
 """N-gram Jaccard join (operator 10) by vertical partitioning.
 
-Documents are sets of word shingles. One global order of the shingles, rare ones first, is cut into fragments;
-each set becomes one segment per fragment, partial overlaps are counted fragment by fragment and summed per pair.
-Pairs to count come from the prefix bound: two sets that reach the threshold share one of their rarest shingles.
-Equal sets are one node, and in a group that shares a shingle only pairs that could still join two components
-are counted, so large groups of copies never expand into all their pairs.
+Documents are sets of word shingles. The global order of the shingles (that of their hashes) is cut into fragments, and
+each set becomes one segment per fragment. Two sets that reach the threshold differ in few shingles, so with more
+fragments than that some segment of theirs is equal: equal segments give the candidate pairs. Partial overlaps of
+the candidates are then counted fragment by fragment, over a coarser cut, and summed per pair.
+Equal sets are one node, and in a group with an equal segment only pairs that could still join two components are
+counted, so large groups of copies never expand into all their pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm.components import components
 from tallyforge.llm.shared import arrow_map, written
 from tallyforge.llm.words import BASE, mix, word_hashes
 
-#: Buckets of the frequency table (8 MB, whatever the input) and rows that it is summed in.
-BUCKETS, PARTS = 1 << 20, 256
-#: Fragments of the global order.
+#: Fragments in which overlaps are counted.
 FRAGMENTS = 8
+#: Numbers of fragments for candidates; sets of about one size use the same.
+CUTS = np.unique((3 * 1.6 ** np.arange(60)).astype(np.int64))
 #: Rounds in which a group's members are compared with one of them, before all open pairs are.
-STARS = 2
+STARS = 3
+#: In groups of up to SMALL open sets the open pairs are listed; larger ones are compared block by block, with so many
+#: sets and shingles in a block at most (a longer set has a block of its own).
+SMALL, BLOCK_SETS, BLOCK_SHINGLES, COLUMNS = 16, 512, 1 << 19, 4096
+#: Residues of text hashes that are collected to leave most unwanted texts out of a shuffle; their number is the bound.
+RESIDUES = 1 << 20
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -42,100 +48,131 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(h)
 
 
-def frequencies(docs: DataFrame, size: int) -> np.ndarray:
-    """How many sets have a shingle in each bucket, over all documents. Tasks sum their own rows; then each part of
-    the table is summed as a stream."""
+def differing(n, percent: int):
+    """The most shingles in which a set of n and one of at least n can differ at the threshold."""
+    return (100 - percent) * n // percent
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                np.add.at(sums, (shingles(text, size) >> np.uint64(44)).astype(np.int64), 1)
-        yield _parts(sums)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got = np.frombuffer(counts, np.int64)
-                sums[part] = sums[part] + got if part in sums else got
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
-
-    kind, total = "part int, counts binary", np.zeros(BUCKETS, np.int64)
-    for row in docs.select("text").mapInArrow(tally, kind).repartition("part").mapInArrow(add, kind).collect():
-        width = BUCKETS // PARTS
-        total[row["part"] * width : (row["part"] + 1) * width] += np.frombuffer(row["counts"], np.int64)
-    return total
+@lru_cache(maxsize=1 << 16)
+def level(n: int, percent: int) -> int:
+    """The cut for pairs whose smaller set has n shingles: more fragments than can differ, and some to spare."""
+    d = differing(n, percent)
+    return int(np.searchsorted(CUTS, d + 2 + d // 8))
 
 
-def _parts(sums: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in np.split(sums, PARTS)], pa.binary())], names=["part", "counts"])
+@lru_cache(maxsize=1 << 10)
+def _largest(cut: int, percent: int) -> int:
+    """The largest n with that cut."""
+    low, high = 0, int(CUTS[cut]) * percent + percent
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if level(mid, percent) <= cut else (low, mid - 1)
+    return low
 
 
-@dataclass
-class Order:
-    """The global order of shingles: by frequency class of the bucket, then by hash; and its cuts into fragments."""
+def sure(n: int, cut: int, percent: int) -> int:
+    """Fragments of the cut in which a set of n has the same segment as any set that it is linked with there, at least."""
+    return int(CUTS[cut]) - differing(min(n, _largest(cut, percent)), percent)
 
-    classes: np.ndarray
-    cuts: np.ndarray
 
-    @classmethod
-    def of(cls, counts: np.ndarray) -> Order:
-        """Classes are powers of two above twice the mean count; cuts give fragments of about equal mass."""
-        level = np.maximum(counts // max(1, 2 * int(counts.mean())), 0)
-        classes = np.minimum(15, np.ceil(np.log2(level + 1))).astype(np.uint8)
-        mass = np.bincount(classes, counts, minlength=16)
-        goal, edge, cuts = mass.sum() / FRAGMENTS, np.concatenate([[0.0], np.cumsum(mass)]), []
-        for f in range(1, FRAGMENTS):
-            c = min(15, int(np.searchsorted(edge, f * goal, "right")) - 1)
-            inside = (f * goal - edge[c]) / mass[c] if mass[c] else 0.0
-            cuts.append((c << 60) + int(min(inside, 1 - 1e-12) * 2**60))
-        return cls(classes, np.array(cuts, np.uint64))
+def segment_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of a set's segments; the cut is in their last six bits.
 
-    def keys(self, hashes: np.ndarray) -> np.ndarray:
-        """Sorted keys of a set: rare shingles first."""
-        level = self.classes[(hashes >> np.uint64(44)).astype(np.int64)].astype(np.uint64)
-        return np.unique((level << np.uint64(60)) | (hashes >> np.uint64(4)))
+    A pair meets at the cut of its smaller set, so a set uses the cuts of all smaller sizes that it can be linked with. Of a
+    linked pair at least `sure` segments are equal there, and at least half as many keys. Empty segments say nothing and are
+    left out, unless a set has so many of them that half of `sure` could be empty.
+    """
+    n, out = len(hashes), []
+    first = max(-(-percent * n // 100), -(-percent // (100 - percent)))
+    if first > n:
+        return np.zeros(0, np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes), dtype=np.uint64)])
+    for cut in range(level(first, percent), level(n, percent) + 1):
+        m, least = int(CUTS[cut]), sure(n, cut, percent)
+        ends = np.searchsorted(hashes, np.uint64(2**64 // m) * np.arange(1, m, dtype=np.uint64))
+        edges = np.concatenate([[0], ends, [n]])
+        sizes = np.diff(edges)
+        some = np.arange(m) if m - np.count_nonzero(sizes) > least // 2 else np.flatnonzero(sizes)
+        part = mix(np.uint64(cut << 40) + some.astype(np.uint64)) + sizes[some].astype(np.uint64)
+        key = mix(part * BASE + sums[edges[some + 1]] - sums[edges[some]])
+        out.append((key & ~np.uint64(63)) | np.uint64(cut))
+    return np.concatenate(out)
+
+
+def _shared_enough(rows: DataFrame, percent: int) -> DataFrame:
+    """Of (g, node, n) the rows of sets that share at least half of `sure` keys of a cut with others; a linked pair does."""
+    cut = F.col("g").bitwiseAND(63).cast("int")
+    size = F.get(F.array(*[F.lit(int(c)) for c in CUTS]), cut)
+    top = F.least("n", F.get(F.array(*[F.lit(_largest(c, percent)) for c in range(len(CUTS))]), cut))
+    least = size - F.floor(top * (100 - percent) / percent)
+    same = Window.partitionBy("node", "cut")
+    rows = rows.withColumn("cut", cut).withColumn("need", F.ceil(least / 2)).withColumn("keys", F.count("*").over(same))
+    return rows.where("keys >= need").select("g", "node", "n")
+
+
+def _node(hashes: np.ndarray) -> int:
+    """A 64-bit digest of a set."""
+    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def _sets(docs: DataFrame, size: int) -> DataFrame:
+    """Each document's set: id, th (hash of the text), n, node (NULL for an empty set)."""
 
+    def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingles(t, size) for t in rows.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64())], names=["id", "th", "n", "node"])
 
-def _prefix(n: int, percent: int) -> int:
-    """Two sets with 100 x intersection >= percent x union share a key among so many first ones of either."""
-    return n - (percent * n + 99) // 100 + 1
+    kind = docs.schema["id"].dataType.simpleString()
+    return arrow_map(docs.select("id", "text", F.xxhash64("text").alias("th")), batch, f"id {kind}, th long, n long, node long")
 
 
-def _sets(docs: DataFrame, order, size: int, percent: int) -> DataFrame:
-    """Each document's set: n, node (128-bit digest of the set), prefix keys."""
+def _keys(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """key, node of all segments; a task gives a set's only the first time it meets the set."""
 
-    def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
-        n, node, head = [], [], []
-        for text in rows.column(1).to_pylist():
-            keys = order.value.keys(shingles(text, size))
-            n.append(len(keys))
-            node.append(hashlib.blake2b(keys.tobytes(), digest_size=16).digest() if len(keys) else None)
-            head.append(keys[: _prefix(len(keys), percent)].view(np.int64))
-        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(head, pa.list_(pa.int64()))], names=["id", "th", "n", "node", "head"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                keys, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                for text in batch.column(0).slice(at, 512).to_pylist():
+                    hashes = shingles(text, size)
+                    if (node := _node(hashes)) not in seen:
+                        seen.add(node)
+                        keys.append(segment_keys(hashes, percent))
+                        nodes.append(np.full(len(keys[-1]), node, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["g", "node"])
+
+    return docs.select("text").mapInArrow(run, "g long, node long")
+
+
+def _segments(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """node, fragment, segment (its shingles there) of the wanted nodes, each taken from one of its documents."""
+    residue = F.pmod("th", F.lit(RESIDUES))
+    marks = np.zeros(RESIDUES, bool)
+    marks[wanted.select(residue.cast("int").alias("r")).distinct().toPandas()["r"].to_numpy(int)] = True
+    marks = docs.sparkSession.sparkContext.broadcast(np.packbits(marks))
+
+    def some(rows: pa.RecordBatch) -> pa.RecordBatch:
+        bits = np.unpackbits(marks.value)
+        return rows.filter(pa.array(bits[rows.column(2).to_numpy()].astype(bool))).select([0, 1, 3])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return arrow_map(docs.select("id", "text", F.xxhash64("text").alias("th")), batch, f"id {kind}, th long, n long, node binary, head array<long>")
-
-
-def _segments(docs: DataFrame, wanted: DataFrame, order, size: int) -> DataFrame:
-    """node, fragment, segment (its keys there) of the wanted nodes, each taken from one of its documents."""
-    some = docs.select("id", "text", F.xxhash64("text").alias("th")).join(wanted.select(F.col("id").alias("k"), F.col("th").alias("kth")), F.col("id").eqNullSafe(F.col("k")) & (F.col("th") == F.col("kth")), "left_semi")
+    texts = docs.select("id", "text", F.xxhash64("text").alias("th")).select("id", "text", residue.cast("int").alias("r"), "th").where("text is not null")
+    few = arrow_map(texts, some, f"id {kind}, text string, th long", rows=4096)
+    few = few.join(wanted.select(F.col("id").alias("k"), F.col("th").alias("kth")), F.col("id").eqNullSafe(F.col("k")) & (F.col("th") == F.col("kth")), "left_semi")
+    cuts = np.uint64(2**64 // FRAGMENTS) * np.arange(1, FRAGMENTS, dtype=np.uint64)
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
         node, fragment, segment = [], [], []
         for text in rows.column(0).to_pylist():
-            keys = order.value.keys(shingles(text, size))
-            name = hashlib.blake2b(keys.tobytes(), digest_size=16).digest()
-            for f, part in enumerate(np.split(keys, np.searchsorted(keys, order.value.cuts))):
-                if len(part):
-                    node.append(name)
-                    fragment.append(f)
-                    segment.append(part.view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(fragment, pa.int32()), pa.array(segment, pa.list_(pa.int64()))], names=["node", "fragment", "segment"])
+            hashes = shingles(text, size)
+            for f, part in enumerate(np.split(hashes, np.searchsorted(hashes, cuts))):
+                node.append(_node(hashes) if f == 0 else node[-1])
+                fragment.append(f)
+                segment.append(part.view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(fragment, pa.int32()), pa.array(segment, pa.list_(pa.int64()))], names=["node", "fragment", "segment"])
 
-    return arrow_map(some.select("text"), batch, "node binary, fragment int, segment array<long>")
+    return arrow_map(few.select("text"), batch, "node long, fragment int, segment array<long>")
 
 
 def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
@@ -152,6 +189,80 @@ def _fits(percent: int):
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
+def _overlaps(left, right) -> np.ndarray:
+    """Overlaps of two blocks of sets: partial overlaps of each fragment, summed. Each side has row (of the set),
+    fragment, segment."""
+    total = np.zeros((left["row"].max() + 1, right["row"].max() + 1), np.float32)
+    for f in range(FRAGMENTS):
+        sides = []
+        for side in (left, right):
+            part = side[side["fragment"] == f]
+            sizes = [len(x) for x in part["segment"]]
+            sides.append((np.repeat(part["row"].to_numpy(), sizes), np.concatenate([np.zeros(0, np.int64), *part["segment"]])))
+        (rl, hl), (rr, hr) = sides
+        both = np.intersect1d(hl, hr)
+        for at in range(0, len(both), COLUMNS):
+            some, grids = both[at : at + COLUMNS], []
+            for rows, hashes, n in ((rl, hl, len(total)), (rr, hr, total.shape[1])):
+                where = np.minimum(np.searchsorted(some, hashes), len(some) - 1)
+                hit = some[where] == hashes
+                grid = np.zeros((n, len(some)), np.float32)
+                grid[rows[hit], where[hit]] = 1
+                grids.append(grid)
+            total += grids[0] @ grids[1].T
+    return total
+
+
+def _block_links(now: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between sets of different components in large open groups; enough of them to join all components that
+    have any. Groups that share sets form a cluster. Each set outside a cluster's largest component is compared
+    with all sets of the cluster, a block against a block, so rows grow with blocks and not with pairs."""
+    hub = now.groupBy("g").agg(F.min("node").alias("b"))
+    cluster = components(now.join(hub, "g").select(F.col("node").alias("a"), "b")).select(F.col("id").alias("node"), F.col("comp").alias("cluster"))
+    sets = written(now.select("node", "n", "comp").distinct().join(cluster, "node"), "clusters")
+    most = sets.groupBy("cluster", "comp").count().groupBy("cluster").agg(F.max_by("comp", F.struct("count", "comp")).alias("most"))
+    blocks = lambda rows: F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = sets.groupBy("cluster").agg(blocks(sets).alias("nb"))
+    few = sets.join(most, "cluster").where("comp != most").drop("most")
+    counts = sizes.join(few.groupBy("cluster").agg(blocks(few).alias("na")), "cluster")
+
+    def dealt(rows: DataFrame, mine: str, other: str) -> DataFrame:
+        rows = rows.join(counts, "cluster").withColumn(mine, F.pmod(F.xxhash64("node"), F.col(f"n{mine}")).cast("int"))
+        rows = rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"n{other}") - 1)))
+        return rows.join(segments, "node").select("cluster", "a", "b", "node", "n", "comp", "fragment", "segment")
+
+    def links(left, right):
+        import pandas as pd
+
+        out, root = [], {}
+        if len(left) and len(right):
+            sides = []
+            for side in (left, right):
+                first = side.drop_duplicates("node").reset_index(drop=True)
+                row = pd.Series(first.index, index=first["node"])
+                sides.append((first, side.assign(row=side["node"].map(row))))
+            (fa, la), (fb, lb) = sides
+            overlap = _overlaps(la, lb)
+            union = fa["n"].to_numpy()[:, None] + fb["n"].to_numpy()[None, :] - overlap
+            hit = (100 * overlap >= percent * union) & (fa["comp"].to_numpy()[:, None] != fb["comp"].to_numpy()[None, :])
+
+            def top(x):
+                while root.get(x, x) != x:
+                    x = root[x]
+                return x
+
+            for i, j in zip(*np.nonzero(hit)):
+                x, y = top(fa["comp"][i]), top(fb["comp"][j])
+                if x != y:
+                    root[x] = y
+                    out.append((fa["node"][i], fb["node"][j]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    mine = dealt(few, "a", "b").groupBy("cluster", "a", "b")
+    all_of = dealt(sets, "b", "a").toDF("cluster_2", "a_2", "b_2", "node", "n", "comp", "fragment", "segment").groupBy("cluster_2", "a_2", "b_2")
+    return mine.cogroup(all_of).applyInPandas(links, "a long, b long")
+
+
 def similar_groups(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id, n_shingles, component_id (the smallest id that is reachable by links, its own included).
 
@@ -161,16 +272,14 @@ def similar_groups(docs: DataFrame, size: int = 3, percent: int = 90, id_col: st
     sets are linked; so are repeated rows. A NULL id never is the smallest one; a component of such rows only has
     a NULL id. Other columns are ignored.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    order = spark.sparkContext.broadcast(Order.of(frequencies(texts, size)))
-    sets = written(_sets(texts, order, size, percent), "sets")
-    full = sets.where("n > 0")
-    nodes = full.groupBy("node").agg(F.min(F.struct("id", "th")).alias("doc"), F.min("id").alias("low"))
-    shared = full.select(F.explode("head").alias("g"), F.xxhash64("node").alias("x")).groupBy("g").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo != hi").select("g")
-    groups = written(full.select(F.explode("head").alias("g"), "node", "n").join(shared, "g", "left_semi").distinct(), "groups")
-    wanted = nodes.join(groups.select("node").distinct(), "node", "left_semi").select("doc.id", "doc.th")
-    segments = written(_segments(texts, wanted, order, size).dropDuplicates(["node", "fragment"]), "segments")
+    sets = written(_sets(texts, size), "sets")
+    nodes = sets.where("n > 0").groupBy("node").agg(F.min(F.struct("id", "th")).alias("doc"), F.min("id").alias("low"), F.min("n").alias("n"))
+    same = Window.partitionBy("g")
+    groups = _keys(texts, size, percent).select("g", "node", F.min("node").over(same).alias("lo"), F.max("node").over(same).alias("hi")).where("lo != hi").select("g", "node")
+    groups = written(_shared_enough(groups.distinct().join(nodes.select("node", "n"), "node"), percent), "groups")
+    wanted = written(nodes.join(groups.select("node").distinct(), "node", "left_semi").select("doc.id", "doc.th"), "wanted")
+    segments = written(_segments(texts, wanted, size).dropDuplicates(["node", "fragment"]), "segments")
 
     edges, labels, tested = None, None, None
     for turn in range(STARS + 1):
@@ -185,8 +294,13 @@ def similar_groups(docs: DataFrame, size: int = 3, percent: int = 90, id_col: st
             pick = F.min if turn % 2 == 0 else F.max
             hub = now.groupBy("g").agg(pick(F.struct("comp", "node", "n")).alias("hub")).select("g", F.col("hub.node").alias("b"), F.col("hub.n").alias("nb"), F.col("hub.comp").alias("cb"))
         else:
-            most = now.groupBy("g", "comp").count().groupBy("g").agg(F.max_by("comp", F.struct("count", "comp")).alias("most"))
-            me = me.join(most, "g").where("ca != most")
+            size = now.groupBy("g").agg(F.count("*").alias("size"))
+            large = written(now.join(size.where(f"size > {SMALL}").select("g"), "g", "left_semi"), "large")
+            if not large.isEmpty():
+                found = written(_block_links(large, segments, percent), "edges")
+                edges = found if edges is None else edges.union(found)
+            now = now.join(size.where(f"size <= {SMALL}").select("g"), "g", "left_semi")
+            me = now.select("g", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
             hub = now.select("g", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
         pairs = me.join(hub, "g").where((F.col("ca") != F.col("cb")) & _fits(percent))
         flip = F.col("a") > F.col("b")
