@@ -19,9 +19,12 @@ from tallyforge.llm.words import BASE, mix, word_hashes
 
 #: Edits allowed for each word of an item, and the fewest words of an item that is searched.
 EDITS, LEAST = 0.2, 5
-#: Walks, samples of each walk and positions in a sample. At the limit of EDITS, with substitutions, insertions and
-#: deletions mixed, a copy is found with a probability over 0.99 (tests/llm measures it); an exact one always.
+#: Walks, samples of each walk and positions in a sample. At the limit of EDITS, a copy of a stretch is found with a
+#: probability over 0.99 whatever the kind of edits (tests/llm measures it); an exact one always.
 WALKS, SAMPLES, BITS = 5, 24, 3
+#: Words of the longest stretch that is walked. Walks of longer ones fall out of step, so a longer item is walked as
+#: stretches of equal length that cover it; one of them at least has no more edits a word than the item.
+STRETCH = 32
 #: Items whose lengths differ by less than this factor share their windows.
 RATIO = 1.25
 #: Characters of items that are sent to the tasks at once; a larger benchmark takes several passes.
@@ -46,14 +49,14 @@ def walk(seq: np.ndarray, starts: np.ndarray, steps: int, turn: int) -> np.ndarr
 
 @dataclass
 class Class:
-    """Items of about one length, with all their samples in one sorted table."""
+    """Stretches of about one length, with all their samples in one sorted table."""
 
     low: int
     high: int
     steps: int
     picks: np.ndarray  # walks x samples x bits
     keys: np.ndarray
-    item: np.ndarray
+    stretch: np.ndarray
 
     def samples(self, path: np.ndarray, turn: int) -> np.ndarray:
         """Sample keys of a walk (samples x starts)."""
@@ -68,10 +71,12 @@ class Class:
 
 @dataclass
 class Items:
-    """The benchmark: names, word sequences, classes, and a bitmap of the word pairs that occur."""
+    """The benchmark: names, word sequences, stretches (item, first word), their classes, and a bitmap of the word pairs
+    that occur."""
 
     names: list
     words: list[np.ndarray]
+    stretches: np.ndarray
     classes: list[Class]
     known: np.ndarray
 
@@ -80,6 +85,12 @@ def allowed(n) -> int:
     return int(n * EDITS + 1e-9)
 
 
+def cuts(n: int) -> np.ndarray:
+    """Ends of the stretches of an item of n words, with 0 before them."""
+    parts = -(-n // STRETCH)
+    return np.arange(parts + 1) * n // parts
+
+
 def prepared(names: list, texts: list[str | None]) -> Items:
     """Items of at least LEAST words; others, NULL ones among them, are left out."""
     rows = sorted(((len(w), i) for i, w in enumerate(map(words_of, texts)) if len(w) >= LEAST))
@@ -87,26 +98,28 @@ def prepared(names: list, texts: list[str | None]) -> Items:
     known = np.zeros(1 << min(24, max(16, 6 + sum(map(len, words)).bit_length())), bool)
     for w in words:
         known[places(w, len(known))] = True
+    parts = sorted((int(b - a), i, int(a)) for i, w in enumerate(words) for a, b in zip(cuts(len(w)), cuts(len(w))[1:]))
     classes, at, rng = [], 0, np.random.default_rng(7)
-    while at < len(rows):
-        low, end = rows[at][0], at
-        while end < len(rows) and rows[end][0] <= low * RATIO:
+    while at < len(parts):
+        low, end = parts[at][0], at
+        while end < len(parts) and parts[end][0] <= low * RATIO:
             end += 1
         steps = max(2, int(1.5 * low))
         picks = np.sort(rng.integers(0, steps, (WALKS, SAMPLES, BITS)), axis=2)
-        c = Class(low, rows[end - 1][0], steps, picks, np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        keys, item = [], []
-        for i in range(at, end):
-            padded = np.concatenate([words[i], np.zeros(steps + 1, np.uint64)])
+        c = Class(low, parts[end - 1][0], steps, picks, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        keys, stretch = [], []
+        for k in range(at, end):
+            n, i, first = parts[k]
+            padded = np.concatenate([words[i][first : first + n], np.zeros(steps + 1, np.uint64)])
             for turn in range(WALKS):
                 keys.append(c.samples(walk(padded, np.zeros(1, np.int64), steps, turn), turn)[:, 0])
-                item.append(np.full(SAMPLES, i))
-        keys, item = np.concatenate(keys), np.concatenate(item)
+                stretch.append(np.full(SAMPLES, k))
+        keys, stretch = np.concatenate(keys), np.concatenate(stretch)
         order = np.argsort(keys, kind="stable")
-        c.keys, c.item = keys[order], item[order]
+        c.keys, c.stretch = keys[order], stretch[order]
         classes.append(c)
         at = end
-    return Items([names[i] for _, i in rows], words, classes, known)
+    return Items([names[i] for _, i in rows], words, np.array([p[1:] for p in parts], np.int64).reshape(-1, 2), classes, known)
 
 
 def places(seq: np.ndarray, size: int) -> np.ndarray:
@@ -115,9 +128,9 @@ def places(seq: np.ndarray, size: int) -> np.ndarray:
 
 
 def windows(inside: np.ndarray, c: Class) -> np.ndarray:
-    """Starts where an item of the class can match. An edit breaks two word pairs at most, so the longest stretch that
-    can match an item must hold as many pairs of the benchmark as an item keeps at the limit of edits; no match is
-    lost here. (With few words an item keeps none for certain, and then every start remains.)"""
+    """Starts where a stretch of the class can match. An edit breaks two word pairs at most, so the longest run of words
+    that can match a stretch must hold as many pairs of the benchmark as it keeps at the limit of edits; no match is
+    lost here. (With few words a stretch keeps none for certain, and then every start remains.)"""
     span, need = c.high + allowed(c.high), min(n - 1 - 2 * allowed(n) for n in range(c.low, c.high + 1))
     sums = np.concatenate([[0], np.cumsum(inside)])
     last = np.minimum(np.arange(len(inside)) + span - 1, len(inside))
@@ -125,7 +138,7 @@ def windows(inside: np.ndarray, c: Class) -> np.ndarray:
 
 
 def retrieved(seq: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of start and item whose samples agree at least once. seq ends with a gap of zeros."""
+    """Pairs of start and stretch whose samples agree at least once. seq ends with a gap of zeros."""
     inside, starts, found = items.known[places(seq, len(items.known))] & (seq[:-1] != 0) & (seq[1:] != 0), [], []
     for c in items.classes:
         some = windows(inside, c)
@@ -139,9 +152,9 @@ def retrieved(seq: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
                 hits = np.flatnonzero(c.keys[np.minimum(left, len(c.keys) - 1)] == keys.ravel())
                 runs = np.searchsorted(c.keys, keys.ravel()[hits], "right") - left[hits]
                 rows = np.repeat(left[hits], runs) + np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
-                pair = np.unique(np.repeat(part[hits % len(part)], runs) * np.int64(len(items.words)) + c.item[rows])
-                starts.append(pair // len(items.words))
-                found.append(pair % len(items.words))
+                pair = np.unique(np.repeat(part[hits % len(part)], runs) * np.int64(len(items.stretches)) + c.stretch[rows])
+                starts.append(pair // len(items.stretches))
+                found.append(pair % len(items.stretches))
     return (np.concatenate(starts), np.concatenate(found)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
@@ -171,14 +184,17 @@ def matches(texts: list[str | None], items: Items) -> list[tuple[int, int, int]]
     starts, found = retrieved(seq, items)
     if not len(starts):
         return []
-    text = np.searchsorted(ends, starts, "right")
+    text = np.searchsorted(ends - len(gap) // 2, starts, "right")  # a start shortly before a text is that text's
+    found, first = items.stretches[found].T
+    starts = starts - first  # where the item starts, give or take its edits; the gaps hold what lies outside the text
     best: dict[tuple[int, int], int] = {}
     for i in np.unique(found):
         mine = found == i
         k = allowed(len(items.words[i]))
         place = np.unique(np.stack([text[mine], starts[mine] // (k + 1)]), axis=1, return_index=True)[1]
-        for at in range(0, len(place), 4096):
-            rows = np.flatnonzero(mine)[place[at : at + 4096]]
+        some = max(1, (1 << 19) // len(items.words[i]))
+        for at in range(0, len(place), some):
+            rows = np.flatnonzero(mine)[place[at : at + some]]
             for t, d in zip(text[rows], distances(seq, starts[rows], items.words[i])):
                 if d <= k:
                     best[int(t), int(i)] = min(int(d), best.get((int(t), int(i)), k))

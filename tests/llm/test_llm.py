@@ -260,6 +260,31 @@ def test_decontamination_recall_and_precision(spark, sf_dir):
     assert decontam.matches([" ".join(rng.choices(words, k=300)) for _ in range(200)], items) == []
 
 
+@pytest.mark.parametrize("kind", ["insertions", "deletions"])
+@pytest.mark.parametrize("n", [100, 200, 400])
+def test_decontamination_recall_of_long_items(n, kind):
+    """Edits of one kind, as many as are allowed, anywhere in long items."""
+    rng, words = random.Random(n), vocabulary(1, 3000)
+    known = [rng.choices(words, k=n) for _ in range(40)]
+    items, texts = decontam.prepared(list(range(40)), [" ".join(w) for w in known]), []
+    for w in map(list, known):
+        for _ in range(decontam.allowed(n)):
+            at = rng.randrange(len(w))
+            w[at : at + (kind == "deletions")] = rng.choices(words, k=1) if kind == "insertions" else []
+        texts.append(" ".join(rng.choices(words, k=40) + w + rng.choices(words, k=40)))
+    found = {(t, items.names[i]) for t, i, _ in decontam.matches(texts, items)}
+    assert found == {(t, t) for t in range(40)}
+
+
+def test_decontamination_names_the_text_that_holds_the_item():
+    """An item at the very start of a text is not laid to the text before it."""
+    rng, words = random.Random(9), vocabulary(1, 3000)
+    known = [" ".join(rng.choices(words, k=n)) for n in range(20, 100)]
+    items = decontam.prepared(list(range(80)), known)
+    texts = [t for w in known for t in ("a clean text", w)]
+    assert [(t, items.names[i], d) for t, i, d in decontam.matches(texts, items)] == [(2 * i + 1, i, 0) for i in range(80)]
+
+
 def brute_distance(text, item):
     best = [0] * (len(text) + 1)
     for i, w in enumerate(item):
