@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import arrow_map, share
+from tallyforge.llm.shared import arrow_map
 
 #: The base formats and the order of kinds.
 KINDS = ("email", "ip", "card", "phone", "contact", "number", "secret")
@@ -32,10 +34,14 @@ NUMBER = re.compile(r"[0-9](?:[\x20().-]{0,2}[0-9]){6,24}")
 SECRET = re.compile(r"[A-Za-z0-9_/+=-]{12,512}")
 ASSIGNED = re.compile(r"(?i)(?:passw(?:or)?d|pwd|token|secret|api[_-]?key|key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?$")
 
-#: Rows that the trees are fitted on, about, chosen by a hash of the text; candidates of one text that are used.
-FIT_ROWS, FIT_EACH = 6000, 64
+#: Words that announce a person's number or contact just before it.
+NEAR = re.compile(r"(?i)\b(?:tele(?:fon|phone)|tel|phone|call|mobile|cell|fax|whatsapp|card|account|iban|ssn|e-?mail|mail|contact|reach|write)\b[^0-9\n]{0,12}$")
+SPELLED = re.compile(r"[\[(]at[\])]")
+
+#: Candidates of each kind and label that the trees are grown on, about, chosen from all texts by a hash; score bins.
+FIT_ROWS, SCORE_BINS = 6000, 1000
 TREES, DEPTH, RATE, BINS = 30, 3, 0.3, 16
-#: Least precision on the held-out half of the labelled candidates that a threshold must reach.
+#: Least precision on the labelled candidates of all texts that the trees were not grown on that a threshold must reach.
 PRECISION = 0.99
 
 
@@ -95,23 +101,30 @@ def features(text: str, span: tuple[str, int, int]) -> list[float]:
     runs = sum(a.isdigit() != b.isdigit() for a, b in zip(body, body[1:]))
     return [
         float(KINDS.index(kind)), float(len(body)), float(digits), digits / len(body), letters / len(body), upper / len(body), float(other), float(runs), float(body.count(".")), float("@" in body),
-        len(set(body.lower())) / min(len(body), 36), float(before[-1:] == "+"), float(bool(ASSIGNED.search(before))), float(before[-1:].isalnum()), float(after.isalnum()), float(before[-1:] in "\"'(<"), float(set(body.lower()) <= set("0123456789abcdef")),
+        len(set(body.lower())) / min(len(body), 36), float(before[-1:] == "+"), float(bool(ASSIGNED.search(before))), float(bool(NEAR.search(before))), float(bool(SPELLED.search(body))), float(before[-1:].isalnum()), float(after.isalnum()), float(before[-1:] in "\"'(<"), float(set(body.lower()) <= set("0123456789abcdef")),
     ]
 
 
-def labelled(text: str) -> list[tuple[str, list[float], int]]:
-    """Candidates of a text with labels from strong signs only: 1 if one covers the better part of a base span, or is
-    a long value with digits that is assigned to a password or key; 0 if it has neither a digit nor an @, or fewer
-    than 7 digits and no letter. All others (a number that nearly has a base format, say) are left out."""
+def labelled(text: str) -> list[tuple[tuple[str, int, int], int]]:
+    """Candidates of a text with labels from strong signs only. 1: it covers the better part of a base span, is a long
+    value that is assigned to a password or key, a spelled-out contact, or a number of a telephone's length that its
+    context announces. 0: a number or contact that touches no base span and that no context announces; another secret
+    without a digit, or with digits only that touch no base span. All others are left out."""
     base, out = base_spans(text), []
-    for span in proposals(text)[:FIT_EACH]:
-        _, start, end = span
-        body, shared = text[start:end], max((min(end, e) - max(start, s) for _, s, e in base), default=0)
-        digits = sum(map(str.isdigit, body))
-        if shared >= 0.8 * (end - start) or ASSIGNED.search(text[max(0, start - 24) : start]) and digits >= 4 and len(body) >= 12:
-            out.append((span[0], features(text, span), 1))
-        elif digits == 0 and "@" not in body or digits < 7 and not any(map(str.isalpha, body)):
-            out.append((span[0], features(text, span), 0))
+    for kind, start, end in proposals(text):
+        body, before = text[start:end], text[max(0, start - 24) : start]
+        shared = max((min(end, e) - max(start, s) for _, s, e in base), default=0)
+        digits, near = sum(map(str.isdigit, body)), bool(NEAR.search(before))
+        if shared >= 0.8 * (end - start):
+            y = 1
+        elif kind == "secret":
+            y = 1 if ASSIGNED.search(before) else 0 if digits == 0 or shared <= 0 and not any(map(str.isalpha, body)) else None
+        elif kind == "contact":
+            y = 1 if SPELLED.search(body) else 0 if shared <= 0 and not near else None
+        else:
+            y = None if shared > 0 else 1 if near and 9 <= digits <= 15 else None if near else 0
+        if y is not None:
+            out.append(((kind, start, end), y))
     return out
 
 
@@ -157,33 +170,61 @@ def boost(x: np.ndarray, y: np.ndarray) -> list[tuple]:
     return trees
 
 
+def place(text: str, span: tuple[str, int, int]) -> float:
+    """A number in [0, 1) that is fixed for a candidate and its context."""
+    kind, start, end = span
+    return zlib.crc32((kind + text[max(0, start - 24) : end + 1]).encode("utf-8", "replace")) / 2**32
+
+
+def tallies(docs: DataFrame, fn, keys: str) -> list:
+    """The sums over all texts of the Counter that fn gives for some of them; keys are its names and types."""
+    names = [k.split()[0] for k in keys.split(",")]
+
+    def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
+        found = fn(rows.column(0).to_pylist())
+        return pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in found], pa.string() if i == 0 else pa.int32()) for i in range(len(names))), pa.array(list(found.values()), pa.int64())], names=[*names, "n"])
+
+    return arrow_map(docs, batch, f"{keys}, n long").groupBy(*names).agg(F.sum("n").alias("n")).collect()
+
+
 def learn(docs: DataFrame, text_col: str = "text", fit_rows: int = FIT_ROWS) -> dict:
-    """Trees and thresholds, from about fit_rows texts. Half of their candidates grow the trees, the other half sets each
-    kind's threshold: the lowest score from which at least PRECISION of the labelled candidates are positive, and
-    no less than 0.5. A kind without positives there, or a sample without both labels, adds nothing."""
+    """Trees and thresholds. The trees grow on about fit_rows candidates of each kind and label, at most half of them,
+    chosen from all texts. Each kind's threshold is set on the labelled candidates of all texts that the trees did not
+    grow on, as counts by score: the lowest score from which at least PRECISION are positive, and no less than 0.5. A
+    kind whose positives were all grown on is set on these; one without positives in any text adds nothing."""
     texts = docs.select(F.col(text_col).alias("text")).where("text is not null")
-    part = min(1.0, fit_rows / max(1, texts.count()))
+    sizes = {(r["kind"], r["y"]): r["n"] for r in tallies(texts, lambda some: Counter((s[0], y) for t in some for s, y in labelled(t)), "kind string, y int")}
+    none = {"trees": [], "cut": {}}
+    if len({y for _, y in sizes}) < 2:
+        return none
+    part = {k: min(0.5, fit_rows / n) for k, n in sizes.items()}
 
     def cases(rows: pa.RecordBatch) -> pa.RecordBatch:
-        found = [c for t in rows.column(0).to_pylist() for c in labelled(t)]
-        return pa.RecordBatch.from_arrays([pa.array([c[0] for c in found], pa.string()), pa.array([c[1] for c in found], pa.list_(pa.float64())), pa.array([c[2] for c in found], pa.int32())], names=["kind", "x", "y"])
+        found = [(features(t, s), y) for t in rows.column(0).to_pylist() for s, y in labelled(t) if place(t, s) < part.get((s[0], y), 0)]
+        return pa.RecordBatch.from_arrays([pa.array([c[0] for c in found], pa.list_(pa.float64())), pa.array([c[1] for c in found], pa.int32())], names=["x", "y"])
 
-    got = arrow_map(texts.where(share(F.col("text"), 9) < part), cases, "kind string, x array<double>, y int").groupBy("kind", "x", "y").count().orderBy(F.xxhash64("x"), "y").limit(40 * fit_rows).toPandas()
-    none = {"trees": [], "cut": {}}
+    got = arrow_map(texts, cases, "x array<double>, y int").distinct().orderBy(F.xxhash64("x"), "y").toPandas()
     if got["y"].nunique() < 2:
         return none
-    x, y, kind, grow = np.array(got["x"].tolist()), got["y"].to_numpy(float), got["kind"].to_numpy(), np.arange(len(got)) % 2 == 0
-    if len(set(y[grow])) < 2:
-        return none
-    trees, cut = boost(x[grow], y[grow]), {}
-    p = probability(trees, x[~grow])
+    trees = boost(np.array(got["x"].tolist()), got["y"].to_numpy(float))
+    shipped = docs.sparkSession.sparkContext.broadcast(trees)
+
+    def scored(some: list[str]) -> Counter:
+        found = [(s[0], y, place(t, s) < part.get((s[0], y), 0), features(t, s)) for t in some for s, y in labelled(t)]
+        bins = np.floor(probability(shipped.value, np.array([f[3] for f in found])) * SCORE_BINS).astype(int).tolist() if found else []
+        return Counter((k, int(grown), b, y) for (k, y, grown, _), b in zip(found, bins))
+
+    counts: dict = {}
+    for r in tallies(texts, scored, "kind string, grown int, bin int, y int"):
+        counts.setdefault((r["kind"], r["grown"]), np.zeros((SCORE_BINS + 1, 2)))[r["bin"], r["y"]] += r["n"]
+    cut, nothing = {}, np.zeros((SCORE_BINS + 1, 2))
     for k in KINDS[4:]:
-        mine = kind[~grow] == k
-        scores, truth = p[mine], y[~grow][mine]
-        order = np.argsort(-scores, kind="stable")
-        good = np.cumsum(truth[order]) / np.arange(1, len(order) + 1) >= PRECISION
-        if truth.sum() and good.any():
-            cut[k] = max(0.5, float(scores[order][np.flatnonzero(good)[-1]]))
+        seen = counts.get((k, 0), nothing)
+        if not seen[:, 1].sum():
+            seen = seen + counts.get((k, 1), nothing)
+        good, bad = np.cumsum(seen[::-1, 1]), np.cumsum(seen[::-1, 0])
+        if len(fine := np.flatnonzero((seen[::-1, 1] > 0) & (good >= PRECISION * (good + bad)))):
+            cut[k] = max(0.5, float(SCORE_BINS - fine[-1]) / SCORE_BINS)
     return {"trees": trees, "cut": cut}
 
 
@@ -191,8 +232,6 @@ def added_spans(text: str, base: list[tuple[str, int, int]], model: dict) -> lis
     """Candidates over their kind's threshold that touch no base span, the likeliest first; a candidate that overlaps
     one taken before is left out (ties: the earlier, then the longer one)."""
     some = [s for s in proposals(text) if s[0] in model["cut"] and not any(s[1] < e and b < s[2] for _, b, e in base)] if model["cut"] else []
-    # what has neither a digit nor an @ was negative throughout; the trees are not asked again
-    some = [s for s in some if s[0] != "secret" or any(map(str.isdigit, text[s[1] : s[2]]))]
     if not some:
         return []
     p = probability(model["trees"], np.array([features(text, s) for s in some]))

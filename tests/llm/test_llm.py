@@ -164,6 +164,41 @@ def test_pii(spark, docs, awkward):
     assert pii.learn(docs.limit(0)) == {"trees": [], "cut": {}}
 
 
+def pii_texts(rng, n):
+    """Texts with their spans to find, and clean numbers, addresses without a domain and long words between them."""
+    for i in range(n):
+        digits = lambda k: "".join(rng.choices("0123456789", k=k))
+        name = lambda k: "".join(rng.choices("abcdefghijklmnop", k=k))
+        secret = "".join(rng.choices("ABCDEFGHabcdefgh" + "23456789" * (i % 2), k=24))
+        contact, phone = f"{name(6)} [at] {name(7)} [dot] org", f"0{digits(3)} {digits(7)}"
+        yield f"see {contact} or tel {phone} with password = {secret} end", [contact, phone, secret]
+        yield f"isbn {digits(13)} at {digits(10)} of {name(5)}@{name(4)} and {name(20)} {name(16)} end", []
+        yield f"{name(5)}@{name(5)}.com and +1 {digits(10)} end", []
+
+
+def test_pii_precision_and_recall_by_kind(spark):
+    """On texts that were not learned from; clean numbers and long words stay."""
+    rows = [(i, t, None, None, None) for i, (t, _) in enumerate(pii_texts(random.Random(1), 300))]
+    model = pii.learn(spark.createDataFrame(rows, DOCS))
+    assert set(model["cut"]) == {"contact", "number", "secret"}
+    found, want = set(), set()
+    for i, (t, spans) in enumerate(pii_texts(random.Random(2), 300)):
+        kinds = dict(zip(spans, ("contact", "number", "secret")))
+        want |= {(i, kinds[s], s) for s in spans}
+        found |= {(i, k, t[a:b]) for k, a, b in pii.added_spans(t, pii.base_spans(t), model)}
+    for kind in ("contact", "number", "secret"):
+        f, w = {x for x in found if x[1] == kind}, {x for x in want if x[1] == kind}
+        assert len(f & w) >= 0.97 * len(w) and len(f & w) >= 0.97 * len(f), kind
+
+
+def test_pii_thresholds_see_all_texts(spark):
+    """A kind in two of many texts, with a sample that is far smaller, is still found."""
+    rows = [(i, t, None, None, None) for i, (t, spans) in enumerate(pii_texts(random.Random(3), 900)) if not spans]
+    for i in (1, 2):
+        rows.append((10**6 + i, f'token = "{"3f786850e387550f" * 2}{i}" end', None, None, None))
+    assert "secret" in pii.learn(spark.createDataFrame(rows, DOCS), fit_rows=40)["cut"]
+
+
 # n-gram join
 def brute_groups(texts, size, percent):
     sets = {}
