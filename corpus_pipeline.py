@@ -13,13 +13,10 @@ from tallyforge.llm import decontam, langid, mixing, ngram_join, pii
 from tallyforge.llm.queries import WEIGHTS, mixing_levels
 from tallyforge.llm.shared import table, written
 
-#: Least share of a document that its top language must have.
-MAJORITY = 0.5
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: no letter, or no language with at least MAJORITY of the mixture."""
-    return langid.with_language(docs, langid.learn(docs, F.lit(True)), MAJORITY)
+    """Documents that have no language go; those in several stay, however even their shares."""
+    return langid.with_language(docs, langid.learn(docs, F.lit(True)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

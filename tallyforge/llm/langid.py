@@ -134,9 +134,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     return arrow_map(docs.select(id_col, text_col), batch, f"`{id_col}` {kind}, lang_pred string, score double, weights map<string,double>")
 
 
-def with_language(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows whose top language has at least `least` of the mixture, with all their columns; texts without a
-    language (see identify) go. No shuffle."""
+def with_language(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
+    """The rows that `identify` names a language for, with all their columns; `und` ones go. No shuffle."""
     names, logs = model
     shipped = docs.sparkSession.sparkContext.broadcast((names, logs, np.exp(logs)))
-    return arrow_filter(docs, text_col, lambda texts: [max(mixture(t, *shipped.value)[2], default=0.0) >= least for t in texts])
+    return arrow_filter(docs, text_col, lambda texts: [mixture(t, *shipped.value)[0] != UNDETERMINED for t in texts])

@@ -68,6 +68,14 @@ def test_mixture_finds_both_languages(spark, docs):
     assert 0.3 < got["de"] < 0.7 and 0.3 < got["fr"] < 0.7 and got["de"] + got["fr"] > 0.95
 
 
+def test_pipeline_keeps_texts_in_three_languages(spark, sf_dir, docs):
+    parts = [" ".join(r["text"] for r in docs.where(F.col("lang") == k).orderBy("doc_id").limit(4).collect())[:6000] for k in ("de", "fr", "en")]
+    text = " ".join(parts)
+    assert max(langid.mixture(text, *(m := langid.learn(docs, F.lit(True))), np.exp(m[1]))[2]) < 0.5
+    now = docs.unionByName(spark.createDataFrame([(10**9, text, None, None, len(text))], DOCS))
+    assert corpus_pipeline.language(spark, now, sf_dir).where(F.col("doc_id") == 10**9).count() == 1
+
+
 # quality
 def test_quality(spark, sf_dir, docs, awkward):
     labels = table(spark, sf_dir, "labels")
