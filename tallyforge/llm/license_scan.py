@@ -38,7 +38,7 @@ def bands_for(piece: int) -> int:
 #: Keys of all templates go into the plan as literals; more of them must be scanned for in several calls.
 MOST_KEYS = 100_000
 _RANDOM = random.Random(1)
-_MASKS = [_RANDOM.getrandbits(63) for _ in range(bands_for(WHOLE))]
+_MASKS = [_RANDOM.getrandbits(64) - 2**63 for _ in range(bands_for(WHOLE))]
 
 #: Short notices and longer grants, as their licenses word them.
 TEMPLATES = {

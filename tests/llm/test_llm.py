@@ -375,6 +375,21 @@ def test_license_scan(spark, awkward):
     assert license_scan.scan(awkward).count() == 0 and license_scan.scan(df, {}).count() == 0 and license_scan.scan(df, {"short": "too few words"}).count() == 0
 
 
+@pytest.mark.parametrize("n", range(5, 11))
+def test_license_bands_miss_few_verbatim_templates(n):
+    """Random templates in random contexts: a window's minimum is the key of one of the template's pieces in some band."""
+    rng, missed, block = random.Random(n), 0, license_scan.BLOCK
+    piece = min(license_scan.PIECE, n)
+    masks = license_scan._MASKS[: license_scan.bands_for(piece)]
+    for _ in range(2000):
+        row = [rng.randrange(-(2**63), 2**63) for _ in range(n + 24)]
+        at = rng.randrange(9, 12)
+        pieces = [row[at + s : at + s + piece] for s in {*range(0, n - piece + 1, piece), n - piece}]
+        windows = [row[s : s + block * license_scan.SPAN] for s in range(0, len(row), block)]
+        missed += not any({min(v ^ m for v in w) for w in windows} & {min(v ^ m for v in p) for p in pieces} for m in masks)
+    assert missed <= 4
+
+
 # mixing
 def test_budgets_redistribute_among_siblings_first(spark):
     leaves = spark.createDataFrame([("a", "x", 10), ("a", "y", 1000), ("b", "x", 1000), ("b", "y", 1000)], "d string, s string, have long")
