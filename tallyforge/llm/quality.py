@@ -15,8 +15,8 @@ from tallyforge.llm.shared import arrow_map, share
 
 FILTERS, WIDTH, BLOCK = 16, 6, 128
 #: Chunks are two neighbouring blocks, so each overlaps the next by half.
-#: Rows of each label that the network is fitted on, about, and the blocks that are drawn from each of them.
-FIT_ROWS, FIT_BLOCKS = 1500, 24
+#: Rows of each label that the network is fitted on, about, and the bytes of each label from which on no row is added.
+FIT_ROWS, FIT_BYTES = 1500, 4 << 20
 EPOCHS, STEP, GROUP = 12, 0.01, 32
 #: Bytes that are convolved at once; bounds a worker's memory.
 SLAB = BLOCK * 512
@@ -37,6 +37,17 @@ def responses(raw: np.ndarray, table: np.ndarray) -> np.ndarray:
     return out
 
 
+def block_tops(raw: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As block_maxima, and the positions of the maxima."""
+    n, tops, args = len(raw) - WIDTH + 1, [], []
+    for at in range(0, n, SLAB):
+        r = responses(raw[at : min(n, at + SLAB) + WIDTH - 1], table).reshape(-1, BLOCK, FILTERS)
+        arg = r.argmax(1)
+        tops.append(np.take_along_axis(r, arg[:, None], 1)[:, 0])
+        args.append(arg + at + np.arange(len(r))[:, None] * BLOCK)
+    return np.concatenate(tops), np.concatenate(args)
+
+
 def block_maxima(raw: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Max-pooled responses of each block of the document (blocks x FILTERS), slab by slab."""
     n = len(raw) - WIDTH + 1
@@ -57,8 +68,8 @@ def forward(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(texts: list[bytes], labels: list[int], seed: int = 8) -> dict:
-    """Adam on the log loss, with classes weighted alike, through pooling to the filters. Each text is a few runs of
-    whole chunks (see `learn`). With one class or none, the model answers that class' share."""
+    """Adam on the log loss, with classes weighted alike, through pooling to the filters. Texts are
+    whole and pooled slab by slab. With one class or none, the model answers that class' share."""
     rng = np.random.default_rng(seed)
     m = {"table": rng.normal(0, 0.3, (WIDTH, 256, FILTERS)).astype(np.float32), "w1": rng.normal(0, 0.3, (2 * FILTERS, 16)), "b1": np.zeros(16), "w2": rng.normal(0, 0.3, 16), "b2": 0.0}
     y = np.array(labels, float)
@@ -74,9 +85,7 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 8) -> dict:
             rows, t = order[at : at + GROUP], t + 1
             cases, feats = [], []
             for i in rows:
-                r = responses(raws[i], m["table"]).reshape(-1, BLOCK, FILTERS)
-                arg = r.argmax(1) + np.arange(len(r))[:, None] * BLOCK
-                top = np.take_along_axis(r.reshape(-1, FILTERS), arg, 0)
+                top, arg = block_tops(raws[i], m["table"])
                 left, right = (top[:-1], top[1:]) if len(top) > 1 else (top, top)
                 where = np.where(left >= right, arg[: len(left)], arg[-len(right) :])
                 chunk = np.maximum(np.maximum(left, right), 0)
@@ -105,24 +114,21 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 8) -> dict:
 
 def learn(docs: DataFrame, labels: DataFrame, rows: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> dict:
     """The network, fitted on a bounded sample: about fit_rows rows of each label among those for which `rows` (on
-    the id) holds, chosen by a hash of the id, and from each of them FIT_BLOCKS blocks spread over the text.
-    Rows with a NULL text or label are left out; of several labels of an id the lowest holds."""
+    the id) holds, chosen by a hash of the id, each with its whole text. Rows of a label are taken by that hash until
+    they hold FIT_BYTES; long texts make them fewer, none is cut. Rows with a NULL text or label are left out; of several labels of an id the lowest holds."""
     one = labels.where(rows & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).cast("int").alias("y"))
     sizes = {r[0]: r[1] for r in one.where("y in (0, 1)").groupBy("y").count().collect()}
     part = F.when(F.col("y") == 1, min(1.0, fit_rows / sizes.get(1, 1))).when(F.col("y") == 0, min(1.0, fit_rows / sizes.get(0, 1))).otherwise(-1.0)
     chosen = F.broadcast(one.where(share(F.col(id_col), 8) < part).limit(4 * fit_rows))  # bounded, so the texts need no shuffle
     pick = docs.select(F.col(id_col), F.col(text_col).alias("t")).where(rows & F.col("t").isNotNull()).join(chosen.withColumnRenamed(id_col, "k"), F.col(id_col) == F.col("k"))
-    room = FIT_BLOCKS * BLOCK
-
-    def parts(b: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for t in b.column(1).to_pylist():
-            raw = t.encode("utf-8", "replace")
-            starts = [0] if len(raw) <= room else np.linspace(0, len(raw) - room // 4, 4).astype(int)
-            out.append(raw if len(raw) <= room else b"".join(raw[s : s + room // 4] for s in starts))
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["y", "t"])
-
-    got = arrow_map(pick.select("y", "t"), parts, "y int, t binary").orderBy("y", F.md5("t")).limit(4 * fit_rows).toPandas()
+    turn = share(F.col(id_col), 8)
+    sizes, last = pick.groupBy("y", turn.alias("turn")).agg(F.sum(F.octet_length("t")).alias("n")).collect(), {0: -1.0, 1: -1.0}
+    held = {0: 0, 1: 0}
+    for r in sorted(sizes, key=lambda r: r["turn"]):
+        if held[r["y"]] < FIT_BYTES:
+            held[r["y"]], last[r["y"]] = held[r["y"]] + r["n"], r["turn"]
+    few = pick.where(turn <= F.when(F.col("y") == 1, last[1]).otherwise(last[0]))
+    got = few.select("y", F.encode("t", "utf-8").alias("t")).orderBy("y", F.md5("t")).limit(4 * fit_rows).toPandas()
     return fit([bytes(x) for x in got["t"]], got["y"].tolist())
 
 

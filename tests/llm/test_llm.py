@@ -87,6 +87,19 @@ def test_quality(spark, sf_dir, docs, awkward):
     assert quality.score(docs.limit(0), quality.learn(docs.limit(0), labels, F.lit(True))).count() == 0
 
 
+def test_quality_is_fitted_on_whole_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda texts, labels: seen.append(sorted(texts)))
+    texts = ["word %d " % i * (4000 if i % 3 == 0 else 40) for i in range(12)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    quality.learn(docs, labels, F.lit(True))
+    monkeypatch.setattr(quality, "FIT_BYTES", 1)
+    quality.learn(docs, labels, F.lit(True))
+    whole = [t.encode() for t in texts]
+    assert seen[0] == sorted(whole) and len(seen[1]) == 2 and set(seen[1]) <= set(whole)
+
+
 def test_slabs_give_the_same_maxima():
     table_ = np.random.default_rng(0).normal(size=(quality.WIDTH, 256, quality.FILTERS)).astype(np.float32)
     raw = quality.as_bytes("abc déf " * 20000)
