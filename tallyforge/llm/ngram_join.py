@@ -4,8 +4,9 @@ Documents are sets of word shingles. The global order of the shingles (that of t
 each set becomes one segment per fragment. Two sets that reach the threshold differ in few shingles, so with more
 fragments than that some segment of theirs is equal: equal segments give the candidate pairs. Partial overlaps of
 the candidates are then counted fragment by fragment, over a coarser cut, and summed per pair.
-Equal sets are one node, and in a group with an equal segment only pairs that could still join two components are
-counted, so large groups of copies never expand into all their pairs.
+Equal sets are one node. Sets that are found to be linked become one component at once, and only pairs of different
+components are counted: at first each set with one other, that of most equal segments, round after round, then the few
+pairs that are still open. So groups of copies never expand into all their pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.components import components
+from tallyforge.llm.components import components, followed
 from tallyforge.llm.shared import arrow_map, written
 from tallyforge.llm.words import BASE, mix, word_hashes
 
@@ -27,8 +28,9 @@ from tallyforge.llm.words import BASE, mix, word_hashes
 FRAGMENTS = 8
 #: Numbers of fragments for candidates; sets of about one size use the same.
 CUTS = np.unique((3 * 1.6 ** np.arange(60)).astype(np.int64))
-#: Rounds in which a group's members are compared with one of them, before all open pairs are.
-STARS = 3
+#: Rounds in which each set is compared with one other, at most, before all open pairs are; a round that joins less than
+#: this share of the open components is the last.
+STARS, WORTH = 6, 0.05
 #: In groups of up to SMALL open sets the open pairs are listed; larger ones are compared block by block, with so many
 #: sets and shingles in a block at most (a longer set has a block of its own).
 SMALL, BLOCK_SETS, BLOCK_SHINGLES, COLUMNS = 16, 512, 1 << 19, 4096
@@ -110,23 +112,38 @@ def _shared_enough(rows: DataFrame, percent: int) -> DataFrame:
     return rows.where("keys >= need").select("g", "node", "n")
 
 
-def _node(hashes: np.ndarray) -> int:
-    """A 64-bit digest of a set."""
-    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _digest(hashes: np.ndarray) -> tuple[int, int]:
+    """The two halves of a 128-bit digest of a set."""
+    whole = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+    return int.from_bytes(whole[:8], "little", signed=True), int.from_bytes(whole[8:], "little", signed=True)
+
+
+def _node(hashes: np.ndarray, shared: frozenset[int]) -> int:
+    """A set's node: the first half of its digest, or the second one where sets of other digests share the first."""
+    first, second = _digest(hashes)
+    return second if first in shared else first
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """Each document's set: id, th (hash of the text), n, node (NULL for an empty set)."""
+    """Each document's set: id, th (hash of the text), n, node and rest (halves of its digest; NULL for an empty set)."""
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t, size) for t in rows.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64())], names=["id", "th", "n", "node"])
+        halves = [_digest(s) if len(s) else (None, None) for s in sets]
+        cols = [pa.array([len(s) for s in sets], pa.int64()), *(pa.array([h[k] for h in halves], pa.int64()) for k in (0, 1))]
+        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), *cols], names=["id", "th", "n", "node", "rest"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return arrow_map(docs.select("id", "text", F.xxhash64("text").alias("th")), batch, f"id {kind}, th long, n long, node long")
+    return arrow_map(docs.select("id", "text", F.xxhash64("text").alias("th")), batch, f"id {kind}, th long, n long, node long, rest long")
+
 
+def _shared_halves(sets: DataFrame) -> frozenset[int]:
+    """First halves that different digests share. Of N different sets about N * N / 2**65 pairs do: none of a billion, and
+    a few hundred of a hundred billion."""
+    return frozenset(r["node"] for r in sets.groupBy("node").agg(F.min("rest").alias("lo"), F.max("rest").alias("hi")).where("lo != hi").select("node").collect())
 
-def _keys(docs: DataFrame, size: int, percent: int) -> DataFrame:
+
+def _keys(docs: DataFrame, size: int, percent: int, shared: frozenset[int]) -> DataFrame:
     """key, node of all segments; a task gives a set's only the first time it meets the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +153,7 @@ def _keys(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 keys, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
                 for text in batch.column(0).slice(at, 512).to_pylist():
                     hashes = shingles(text, size)
-                    if (node := _node(hashes)) not in seen:
+                    if (node := _node(hashes, shared)) not in seen:
                         seen.add(node)
                         keys.append(segment_keys(hashes, percent))
                         nodes.append(np.full(len(keys[-1]), node, np.int64))
@@ -145,7 +162,16 @@ def _keys(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "g long, node long")
 
 
-def _segments(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+def _distinct_groups(groups: DataFrame) -> DataFrame:
+    """Of groups (g, node, n) with the same members one, with `w`, their number. Equal members are told by their number and
+    two sums of hashes, 128 bits together."""
+    marks = [F.count("*"), F.bit_xor(F.xxhash64("node", F.lit(1))), F.bit_xor(F.xxhash64("node", F.lit(2)))]
+    alike = groups.groupBy("g").agg(*[m.alias(f"m{i}") for i, m in enumerate(marks)])
+    kept = alike.groupBy("m0", "m1", "m2").agg(F.min("g").alias("g"), F.count("*").alias("w"))
+    return groups.join(kept.select("g", "w"), "g")
+
+
+def _segments(docs: DataFrame, wanted: DataFrame, size: int, shared: frozenset[int]) -> DataFrame:
     """node, fragment, segment (its shingles there) of the wanted nodes, each taken from one of its documents."""
     residue = F.pmod("th", F.lit(RESIDUES))
     marks = np.zeros(RESIDUES, bool)
@@ -166,8 +192,9 @@ def _segments(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         node, fragment, segment = [], [], []
         for text in rows.column(0).to_pylist():
             hashes = shingles(text, size)
+            at = _node(hashes, shared)
             for f, part in enumerate(np.split(hashes, np.searchsorted(hashes, cuts))):
-                node.append(_node(hashes) if f == 0 else node[-1])
+                node.append(at)
                 fragment.append(f)
                 segment.append(part.view(np.int64))
         return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(fragment, pa.int32()), pa.array(segment, pa.list_(pa.int64()))], names=["node", "fragment", "segment"])
@@ -176,17 +203,26 @@ def _segments(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, na, b, nb) those that reach the threshold, with their overlap: the partial overlaps of the
-    fragments, summed per pair."""
+    """Of pairs (a, na, ca, b, nb, cb) those that reach the threshold, as links of their components: the partial overlaps
+    of the fragments, summed per pair."""
     left, right = (segments.select(F.col("node").alias(x), "fragment", F.col("segment").alias(f"s{x}")) for x in "ab")
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "na", "b", "nb", F.size(F.array_intersect("sa", "sb")).alias("part"))
-    overlap = partial.groupBy("a", "na", "b", "nb").agg(F.sum("part").alias("overlap"))
-    return overlap.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b", "overlap")
+    who = ["a", "na", "ca", "b", "nb", "cb"]
+    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select(*who, F.size(F.array_intersect("sa", "sb")).alias("part"))
+    overlap = partial.groupBy(*who).agg(F.sum("part").alias("overlap"))
+    hit = 100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))
+    return overlap.where(hit).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
 
 
 def _fits(percent: int):
-    """Sizes that allow the threshold."""
-    return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    """Sizes that allow the threshold, in different components."""
+    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("ca") != F.col("cb"))
+
+
+def _once(pairs: DataFrame) -> DataFrame:
+    """Each pair once, the smaller node first."""
+    flip = F.col("a") > F.col("b")
+    side = lambda x, y: [F.when(flip, F.col(p + y)).otherwise(F.col(p + x)).alias(p + x) for p in ("", "n", "c")]
+    return pairs.select(*side("a", "b"), *side("b", "a")).distinct()
 
 
 def _overlaps(left, right) -> np.ndarray:
@@ -214,9 +250,9 @@ def _overlaps(left, right) -> np.ndarray:
 
 
 def _block_links(now: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between sets of different components in large open groups; enough of them to join all components that
-    have any. Groups that share sets form a cluster. Each set outside a cluster's largest component is compared
-    with all sets of the cluster, a block against a block, so rows grow with blocks and not with pairs."""
+    """Links of components by sets in large open groups; enough of them to join all components that have any. Groups that
+    share sets form a cluster. Each set outside a cluster's largest component is compared with all sets of the
+    cluster, a block against a block, so rows grow with blocks and not with pairs."""
     hub = now.groupBy("g").agg(F.min("node").alias("b"))
     cluster = components(now.join(hub, "g").select(F.col("node").alias("a"), "b")).select(F.col("id").alias("node"), F.col("comp").alias("cluster"))
     sets = written(now.select("node", "n", "comp").distinct().join(cluster, "node"), "clusters")
@@ -255,7 +291,7 @@ def _block_links(now: DataFrame, segments: DataFrame, percent: int) -> DataFrame
                 x, y = top(fa["comp"][i]), top(fb["comp"][j])
                 if x != y:
                     root[x] = y
-                    out.append((fa["node"][i], fb["node"][j]))
+                    out.append((x, y))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     mine = dealt(few, "a", "b").groupBy("cluster", "a", "b")
@@ -263,6 +299,65 @@ def _block_links(now: DataFrame, segments: DataFrame, percent: int) -> DataFrame
     return mine.cogroup(all_of).applyInPandas(links, "a long, b long")
 
 
+def _open(now: DataFrame, moved: DataFrame | None) -> DataFrame:
+    """The rows of groups that still hold several components, after `moved` (id, comp) has sent components elsewhere."""
+    if moved is not None:
+        moved = moved.select(F.col("id").alias("comp"), F.col("comp").alias("next"))
+        now = now.join(moved, "comp", "left").select("g", "node", "n", "w", F.coalesce("next", "comp").alias("comp"))
+    split = now.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("g")
+    return written(now.join(split, "g", "left_semi"), "open")
+
+
+def _best_pairs(now: DataFrame, tested: DataFrame | None, turn: int, percent: int) -> DataFrame:
+    """For each open set one pair that may link it to another component and is not tested: of the sets that stand for its
+    groups this turn (a member chosen by a hash) the one that stands for most of them."""
+    hub = now.groupBy("g").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("at"), "node", "n", "comp")).alias("hub"))
+    hub = hub.select("g", F.col("hub.node").alias("b"), F.col("hub.n").alias("nb"), F.col("hub.comp").alias("cb"))
+    me = now.select("g", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), "w")
+    pairs = me.join(hub, "g").where(_fits(percent)).groupBy("a", "na", "ca", "b", "nb", "cb").agg(F.sum("w").alias("w"))
+    if tested is not None:
+        pairs = pairs.join(tested, (F.least("a", "b") == F.col("ta")) & (F.greatest("a", "b") == F.col("tb")), "left_anti")
+    best = pairs.groupBy("a", "na", "ca").agg(F.max(F.struct("w", "b", "nb", "cb")).alias("best"))
+    return _once(best.select("a", "na", "ca", "best.b", "best.nb", "best.cb"))
+
+
+def _joined(groups: DataFrame, segments: DataFrame, percent: int) -> list[DataFrame]:
+    """Maps (id, comp) that in turn send the nodes of groups (g, node, n, w, comp) to their components."""
+    now, maps, tested, turn = _open(groups, None), [], None, 0
+
+    def contract(links: DataFrame) -> int:
+        """How many components have gone to others."""
+        nonlocal now
+        moved = components(links)
+        maps.append(moved)
+        now = _open(now, moved)
+        return moved.where("id != comp").count()
+
+    while turn < STARS and not now.isEmpty():
+        pairs = written(_best_pairs(now, tested, turn, percent), "pairs")
+        mine = pairs.select(F.col("a").alias("ta"), F.col("b").alias("tb"))
+        tested, turn = mine if tested is None else tested.union(mine), turn + 1
+        before = now.select("comp").distinct().count()
+        if contract(written(_linked(pairs, segments, percent), "edges")) < WORTH * before:
+            break
+    for large in (True, False):
+        if now.isEmpty():
+            break
+        sizes = now.groupBy("g").agg(F.count("*").alias("sets")).where(f"sets {'>' if large else '<='} {SMALL}").select("g")
+        some = written(now.join(sizes, "g", "left_semi"), "some")
+        if some.isEmpty():
+            continue
+        if large:
+            links = _block_links(some, segments, percent)
+        else:
+            a, b = (some.select("g", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}")) for x in "ab")
+            pairs = a.join(b, "g").where((F.col("a") < F.col("b")) & _fits(percent)).drop("g").distinct()
+            pairs = pairs.join(tested, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
+            links = _linked(written(pairs, "pairs"), segments, percent)
+        contract(written(links, "edges"))
+    return maps
+
+
 def similar_groups(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id, n_shingles, component_id (the smallest id that is reachable by links, its own included).
 
@@ -274,49 +369,17 @@ def similar_groups(docs: DataFrame, size: int = 3, percent: int = 90, id_col: st
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sets = written(_sets(texts, size), "sets")
+    shared = _shared_halves(sets)
+    if shared:
+        sets = sets.withColumn("node", F.when(F.col("node").isin(list(shared)), F.col("rest")).otherwise(F.col("node")))
     nodes = sets.where("n > 0").groupBy("node").agg(F.min(F.struct("id", "th")).alias("doc"), F.min("id").alias("low"), F.min("n").alias("n"))
     same = Window.partitionBy("g")
-    groups = _keys(texts, size, percent).select("g", "node", F.min("node").over(same).alias("lo"), F.max("node").over(same).alias("hi")).where("lo != hi").select("g", "node")
+    groups = _keys(texts, size, percent, shared).select("g", "node", F.min("node").over(same).alias("lo"), F.max("node").over(same).alias("hi")).where("lo != hi").select("g", "node")
     groups = written(_shared_enough(groups.distinct().join(nodes.select("node", "n"), "node"), percent), "groups")
     wanted = written(nodes.join(groups.select("node").distinct(), "node", "left_semi").select("doc.id", "doc.th"), "wanted")
-    segments = written(_segments(texts, wanted, size).dropDuplicates(["node", "fragment"]), "segments")
-
-    edges, labels, tested = None, None, None
-    for turn in range(STARS + 1):
-        now = groups if labels is None else groups.join(labels.withColumnRenamed("id", "node"), "node", "left")
-        now = now.withColumn("comp", F.col("node") if labels is None else F.coalesce("comp", "node"))
-        split = now.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("g")
-        now = written(now.join(split, "g", "left_semi"), "open")
-        if now.isEmpty():
-            break
-        me = now.select("g", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        if turn < STARS:
-            pick = F.min if turn % 2 == 0 else F.max
-            hub = now.groupBy("g").agg(pick(F.struct("comp", "node", "n")).alias("hub")).select("g", F.col("hub.node").alias("b"), F.col("hub.n").alias("nb"), F.col("hub.comp").alias("cb"))
-        else:
-            size = now.groupBy("g").agg(F.count("*").alias("size"))
-            large = written(now.join(size.where(f"size > {SMALL}").select("g"), "g", "left_semi"), "large")
-            if not large.isEmpty():
-                found = written(_block_links(large, segments, percent), "edges")
-                edges = found if edges is None else edges.union(found)
-            now = now.join(size.where(f"size <= {SMALL}").select("g"), "g", "left_semi")
-            me = now.select("g", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            hub = now.select("g", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        pairs = me.join(hub, "g").where((F.col("ca") != F.col("cb")) & _fits(percent))
-        flip = F.col("a") > F.col("b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.when(flip, F.col("nb")).otherwise(F.col("na")).alias("na"), F.greatest("a", "b").alias("b"), F.when(flip, F.col("na")).otherwise(F.col("nb")).alias("nb")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti").select("a", "na", "b", "nb")
-        pairs = written(pairs, "pairs")
-        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
-        found = written(_linked(pairs, segments, percent).select("a", "b"), "edges")
-        edges = found if edges is None else edges.union(found)
-        labels = components(edges)
-
-    if labels is None:
-        low = nodes.select("node", F.col("low").alias("component"))
-    else:
-        comp = nodes.join(labels.withColumnRenamed("id", "node"), "node", "left").select("node", "low", F.coalesce("comp", "node").alias("comp"))
-        low = comp.join(comp.groupBy("comp").agg(F.min("low").alias("component")), "comp").select("node", "component")
+    segments = written(_segments(texts, wanted, size, shared).dropDuplicates(["node", "fragment"]), "segments")
+    maps = _joined(_distinct_groups(groups).withColumn("comp", F.col("node")), segments, percent)
+    comp = followed(nodes.select(F.col("node").alias("id"), F.col("node").alias("comp")), maps).select(F.col("id").alias("node"), "comp").join(nodes.select("node", "low"), "node")
+    low = comp.join(comp.groupBy("comp").agg(F.min("low").alias("component")), "comp").select("node", "component")
     out = sets.select("id", "n", "node").join(low, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
