@@ -22,11 +22,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest id: five words a shingle, similarity 0.8.
 
-    Of rows that repeat the id that stays, one stays. Rows without an id all stay, as no id tells them apart.
+    A document is told by its id and its text, so different texts under one id are different documents. Of rows that
+    repeat both one stays, and of a group the smallest id; NULL ids come last. Documents without words all stay, one of
+    those that repeat id and text.
     """
-    kept = ngram_join.similar_groups(docs, 5, 80).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
-    one = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    name = "row_key"
+    while name in docs.columns:
+        name += "_"
+    keyed = docs.withColumn(name, key)
+    kept = ngram_join.similar_groups(keyed, 5, 80, name).where(F.col(name) == F.col("component_id")).select(F.col(name).alias("kept"))
+    return keyed.join(kept, F.col(name) == F.col("kept"), "left_semi").dropDuplicates([name]).drop(name)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
