@@ -6,9 +6,12 @@ a retrieved template is then verified by exact containment of its shingles in th
 
 from __future__ import annotations
 
+import json
 import math
 import random
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +38,9 @@ def bands_for(piece: int) -> int:
     return math.ceil(math.log(MISS) / math.log(1 - j))
 
 
-#: Keys of all templates go into the plan as literals; more of them must be scanned for in several calls.
-MOST_KEYS = 100_000
+#: Characters of the templates whose keys go into one plan, as three constant arrays; more templates take more passes over
+#: the documents. A character makes about a quarter of a key at most.
+PART_CHARS = 1 << 20
 _RANDOM = random.Random(1)
 _MASKS = [_RANDOM.getrandbits(64) - 2**63 for _ in range(bands_for(WHOLE))]
 
@@ -69,45 +73,68 @@ def _minima(h: str, band: int) -> Column:
     return F.transform(blocks, lambda j: F.least(*[F.get(F.col(h), j * BLOCK + k).bitwiseXOR(F.lit(_MASKS[band])) for k in range(BLOCK)]))
 
 
-def _template_keys(spark: SparkSession, templates: dict[str, str]) -> tuple[dict[int, dict[int, list[str]]], DataFrame]:
-    """Band (or minus the size, for a template below WHOLE shingles) to key to template names; and the templates' shingles.
-    Bounded by MOST_KEYS."""
-    rows = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("license_id"), F.lit(v).alias("t")) for k, v in sorted(templates.items())])))
-    known = _shingled(rows, "t", "w", "s").select("license_id", F.array_distinct("s").alias("s"), F.col("s").alias("row")).where(F.size("s") > 0)
-    keys: dict[int, dict[int, list[str]]] = {}
-    for name, s, row in known.collect():
-        if len(s) < WHOLE:
-            keys.setdefault(-len(row), {}).setdefault(min(row), []).append(name)
+def _template_keys(spark: SparkSession, templates: dict[str, str]) -> tuple[dict[int, list[int]], int, DataFrame]:
+    """Keys with the numbers of the templates that have them, the bands that are in use, and the templates' shingles
+    (license, license_id, s). A template below WHOLE shingles has its least shingle as key, so it is looked up as a band that
+    has no mask, whatever the window. Bounded by PART_CHARS."""
+    rows = F.from_json(F.lit(json.dumps([{"license_id": k, "t": v} for k, v in sorted(templates.items())])), "array<struct<license_id:string,t:string>>")
+    known = _shingled(spark.range(1).select(F.posexplode(rows).alias("license", "row")).select("license", "row.*"), "t", "w", "row")
+    known = known.select("license", "license_id", F.array_distinct("row").alias("s"), "row")
+    keys: dict[int, list[int]] = {}
+    bands = 0
+    for license, _, s, row in known.collect():
+        if not s:
             continue
-        piece = min(PIECE, len(row))
-        starts = sorted({*range(0, len(row) - piece + 1, piece), len(row) - piece})
-        for band, mask in enumerate(_MASKS[: bands_for(piece)]):
-            for at in starts:
-                names = keys.setdefault(band, {}).setdefault(min(v ^ mask for v in row[at : at + piece]), [])
-                names += [name] * (name not in names)
-    if (n := sum(map(len, keys.values()))) > MOST_KEYS:
-        raise ValueError(f"{n} template keys; scan for at most {MOST_KEYS} at once")
-    return keys, known.select("license_id", "s")
+        if len(s) < WHOLE:
+            found = {min(row)}
+        else:
+            piece = min(PIECE, len(row))
+            starts = {*range(0, len(row) - piece + 1, piece), len(row) - piece}
+            bands = max(bands, bands_for(piece))
+            found = {min(v ^ mask for v in row[at : at + piece]) for at in starts for mask in _MASKS[: bands_for(piece)]}
+        for key in found:
+            keys.setdefault(key, []).append(license)
+    return keys, bands, known.select("license", "license_id", "s")
+
 
+def _constant(values: list[int], kind: str) -> Column:
+    """An array that the optimizer folds into one constant."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
-def _hits(band: int, values: list[int]) -> Column:
-    """The keys of a band that windows of the document share with templates, as an array of (band, key).
+
+def _found(columns: list[str], keys: dict[int, list[int]]) -> Column:
+    """The numbers of the templates of which a band of the document's windows has a key, each once.
 
     A window's minimum is one of its members' values, so only the rare members that are template keys are looked at: such a
-    one is the minimum of a window if no member of that window is smaller.
+    one is the minimum of a window if no member of that window is smaller. Keys lie in slots by their low bits; a
+    slot's keys are neighbours, from ends[slot] to ends[slot + 1].
     """
-    col, size = ("h", -band) if band < 0 else (f"b{band}", SPAN)
+    slots = 1 << (2 * len(keys)).bit_length()
+    flat = sorted((key & (slots - 1), key, license) for key, of in keys.items() for license in of)
+    ends = np.searchsorted([f[0] for f in flat], np.arange(slots + 1)).tolist()
+    ends, key_at, license_at = _constant(ends, "int"), _constant([f[1] for f in flat], "long"), _constant([f[2] for f in flat], "int")
+    slot = lambda v: v.bitwiseAND(F.lit(slots - 1)).cast("int")
 
-    def least(v: Column, i: Column) -> Column:
+    def least(col: Column, v: Column, i: Column) -> Column:
         windows = F.lit(False)
-        for first in range(1 - size, 1):
+        for first in range(1 - SPAN, 1):
             inside = F.lit(True)
-            for k in range(first, first + size):
-                inside = inside & F.coalesce(F.get(F.col(col), i + k) >= v, F.lit(True)) if k else inside
+            for k in range(first, first + SPAN):
+                inside = inside & F.coalesce(F.get(col, i + k) >= v, F.lit(True)) if k else inside
             windows = windows | inside
-        return v.isin(values) & windows
+        return windows
+
+    def licenses(v: Column) -> Column:
+        at = F.filter(F.sequence(F.get(ends, slot(v)), F.get(ends, slot(v) + 1) - 1), lambda i: F.get(key_at, i) == v)
+        return F.transform(at, lambda i: F.get(license_at, i))
+
+    def members(col: Column) -> Column:
+        return F.filter(col, lambda v, i: (F.get(ends, slot(v) + 1) > F.get(ends, slot(v))) & least(col, v, i))
 
-    return F.transform(F.filter(F.col(col), least), lambda v: F.struct(F.lit(band).alias("band"), v.alias("key")))
+    # The shingles themselves come last, as they are for the short templates: each is a window of its own.
+    bands = F.flatten(F.transform(F.array(*columns), members)) if columns else F.array().cast("array<long>")
+    alone = F.filter("h", lambda v: F.get(ends, slot(v) + 1) > F.get(ends, slot(v)))
+    return F.array_distinct(F.flatten(F.transform(F.concat(bands, alone), licenses)))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,28 +143,39 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
 
     Words are lower-cased runs of letters and digits. NULL, empty and short texts contain nothing; a template of fewer
     than WORDS words is never found; no templates, no rows. Repeated ids give one row for a template, that of
-    their best containment; NULL ids count as one id. Other columns are ignored.
+    their best containment; NULL ids count as one id. Other columns are ignored. Templates beyond PART_CHARS characters
+    take further passes over the documents.
     """
     spark, templates = docs.sparkSession, TEMPLATES if templates is None else templates
-    kind = docs.schema[id_col].dataType
-    empty = spark.createDataFrame([], f"`{id_col}` {kind.simpleString()}, license_id string, containment double, matched int, n_shingles int, first_word int")
-    if not templates:
-        return empty
-    keys, known = _template_keys(spark, templates)
+    parts, room = [{}], PART_CHARS
+    for name, text in sorted(templates.items()):
+        if len(text) > room and parts[-1]:
+            parts.append({})
+            room = PART_CHARS
+        parts[-1][name] = text
+        room -= len(text)
+    out = [_scan(docs, part, id_col, text_col) for part in parts if part]
+    out = [x for x in out if x is not None]
+    if not out:
+        kind = docs.schema[id_col].dataType.simpleString()
+        return spark.createDataFrame([], f"`{id_col}` {kind}, license_id string, containment double, matched int, n_shingles int, first_word int")
+    return reduce(DataFrame.unionByName, out)
+
+
+def _scan(docs: DataFrame, templates: dict[str, str], id_col: str, text_col: str) -> DataFrame | None:
+    """scan() with templates of one part; None if none of them has a shingle."""
+    keys, bands, known = _template_keys(docs.sparkSession, templates)
     if not keys:
-        return empty
+        return None
     df = _shingled(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), "t", "w", "h").select("id", "h")
-    bands = [b for b in keys if b >= 0]
-    if bands:
-        df = df.select("id", "h", *[_minima("h", b).alias(f"b{b}") for b in bands])
-    hits = [_hits(b, list(of)) for b, of in sorted(keys.items())]
-    table = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(b).alias("band"), F.lit(k).cast("long").alias("key"), F.lit(n).alias("license_id")) for b, of in sorted(keys.items()) for k, names in sorted(of.items()) for n in names])))
-    table = F.broadcast(table.join(known, "license_id"))
+    names = [f"b{b}" for b in range(bands)]
+    df = df.select("id", "h", *[_minima("h", b).alias(n) for b, n in enumerate(names)])
     # A filter on the arrays would be pushed below their projections, and they would be computed anew for each window.
-    rows = df.select("id", "h", F.explode_outer(F.concat(*hits)).alias("hit")).where("hit is not null")
-    rows = rows.join(table, (F.col("hit.band") == F.col("band")) & (F.col("hit.key") == F.col("key")))
-    rows = rows.select("id", "license_id", "h", F.size("s").alias("n"), F.array_intersect("s", "h").alias("both")).withColumn("m", F.size("both")).where(F.col("m") >= F.ceil(F.col("n") * CONTAINED))
-    rows = rows.select("id", "license_id", "n", "m", F.array_min(F.transform("both", lambda v: F.array_position("h", v))).cast("int").alias("at"))
+    rows = df.select("id", "h", F.explode_outer(_found(names, keys)).alias("license")).where("license is not null")
+    rows = rows.join(F.broadcast(known), "license")
+    rows = rows.select("id", "license_id", "h", F.size("s").alias("n"), F.array_intersect("h", "s").alias("both")).withColumn("m", F.size("both")).where(F.col("m") >= F.ceil(F.col("n") * CONTAINED))
+    first = F.array_position("h", F.get("both", 0)) - 1  # the intersection keeps the document's order
+    rows = rows.select("id", "license_id", "n", "m", first.cast("int").alias("at"))
     best = rows.groupBy("id", "license_id").agg(F.max(F.struct("m", (-F.col("at")).alias("back"))).alias("best"), F.first("n").alias("n"))
     m = F.col("best.m")
-    return best.select(F.col("id").alias(id_col), "license_id", F.round(m / F.col("n"), 6).alias("containment"), m.alias("matched"), F.col("n").alias("n_shingles"), (-F.col("best.back") - 1).cast("int").alias("first_word"))
+    return best.select(F.col("id").alias(id_col), "license_id", F.round(m / F.col("n"), 6).alias("containment"), m.alias("matched"), F.col("n").alias("n_shingles"), (-F.col("best.back")).cast("int").alias("first_word"))
