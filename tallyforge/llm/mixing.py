@@ -71,20 +71,20 @@ def mixed(docs: DataFrame, levels: dict[str, Column], weights: dict[tuple[str, .
     NULL counts as the empty name. weights maps paths of names to whole weights; a node without one has 1. A leaf takes
     as many whole epochs as its budget holds and, of the next one, the documents in a seeded order as long as their sum
     does not exceed the rest. A document without tokens adds nothing and comes along where it stands in that order; a
-    leaf without tokens gives no rows. Repeated rows count one by one. The output's own columns must not exist in docs
-    (ValueError). Order is by md5 of seed, epoch and id; ties by id and text.
+    leaf without tokens gives no rows. Repeated rows count one by one. Columns of docs that are named like the output's own
+    (mix_<level>, n_tokens, epoch) are left out; other names cannot clash. Order is by md5 of seed, epoch and id (of a
+    NULL id, of the text); ties by id and text.
     """
     names = [f"mix_{k}" for k in levels]
-    if clash := {*names, "n_tokens", "epoch"} & {*docs.columns}:
-        raise ValueError(f"docs has columns {sorted(clash)}")
-    rows = docs.select("*", *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in zip(names, levels.values())], word_count(F.col(text_col)).alias("n_tokens"))
+    kept_cols = [F.col(f"`{c}`") for c in docs.columns if c not in {*names, "n_tokens", "epoch"}]
+    rows = docs.select(F.struct(*kept_cols).alias("doc"), F.col(id_col).alias("doc_key"), F.coalesce(text_col, F.lit("")).alias("doc_text"), *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in zip(names, levels.values())], word_count(F.col(text_col)).alias("n_tokens"))
     leaves = written(rows.groupBy(*names).agg(F.sum("n_tokens").alias("have")), "leaves")
     budget = int(leaves.agg(F.sum("have")).first()[0] or 0) * share[0] // share[1]
     plan = budgets(leaves, names, weights, budget, epochs).where("have > 0 and give > 0").select(*names, "have", F.floor(F.col("give") / F.col("have")).cast("int").alias("whole"), (F.col("give") % F.col("have")).alias("rest"))
     plan = written(plan, "plan")
 
     def ordered(leaf: DataFrame) -> DataFrame:
-        key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+        key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_key").cast("string"), F.md5("doc_text"))))
         return rows.join(leaf, names).withColumn("mix_key", key)
 
     sums = ordered(plan).groupBy(*names, "rest", F.substring("mix_key", 1, DIGITS).alias("bucket")).agg(F.sum("n_tokens").alias("n"))
@@ -94,7 +94,7 @@ def mixed(docs: DataFrame, levels: dict[str, Column], weights: dict[tuple[str, .
 
     all_rows = ordered(plan).withColumn("mix_at", F.substring("mix_key", 1, DIGITS))
     clear = all_rows.where("mix_at != mix_cut").withColumn("mix_n", F.col("whole") + (F.col("mix_at") < F.col("mix_cut")).cast("int"))
-    order = Window.partitionBy(*names).orderBy("mix_key", id_col, F.md5(F.coalesce(F.col(text_col), F.lit("")))).rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*names).orderBy("mix_key", "doc_key", F.md5("doc_text")).rowsBetween(Window.unboundedPreceding, 0)
     edge = all_rows.where("mix_at = mix_cut").withColumn("mix_n", F.col("whole") + (F.col("mix_before") + F.sum("n_tokens").over(order) <= F.col("rest")).cast("int"))
     kept = clear.unionByName(edge).where("mix_n > 0")
-    return kept.select(*docs.columns, *names, "n_tokens", F.explode(F.sequence(F.lit(0), F.col("mix_n") - 1)).alias("epoch"))
+    return kept.select("doc.*", *names, "n_tokens", F.explode(F.sequence(F.lit(0), F.col("mix_n") - 1)).alias("epoch"))
