@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from tallyforge.llm.shared import arrow_filter, arrow_map, share
 
 BUCKETS = 1 << 15
-#: The model is BUCKETS x languages numbers on the driver and in each worker; more labels than this are refused.
+#: The model is BUCKETS x languages numbers on the driver and in each worker. Of more labels than this the model has those
+#: with the most rows (ties: the names that sort first); labels beyond are noise for a language model.
 MOST_LANGUAGES = 256
 #: Labelled rows that the model is fitted on, about, for each language; rows are chosen by a hash of the text.
 FIT_ROWS = 3000
-ROUNDS, UNDETERMINED = 12, "und"
+#: EM ends when the likelihood is within GAP of its maximum, or after ROUNDS.
+ROUNDS, GAP, UNDETERMINED = 200, 0.5, "und"
 #: Trigrams overlap, so a text of n bytes is worth about n / 3 independent ones.
 OVERLAP = 3.0
 _LETTERS = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in range(256))
@@ -51,14 +53,13 @@ def learn(docs: DataFrame, rows: Column, text_col: str = "text", lang_col: str =
     reaches the driver has at most MOST_LANGUAGES x BUCKETS rows.
     """
     usable = docs.where(rows & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    sizes = {r[0]: r[1] for r in usable.groupBy(lang_col).count().orderBy(lang_col).limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    usable = usable.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    sizes = {r["lang"]: r["rows"] for r in usable.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(MOST_LANGUAGES).collect()}
     names = sorted(sizes)
     if not names:
         return [], np.zeros((BUCKETS, 0))
     part = F.create_map(*[x for k in names for x in (F.lit(k), F.lit(min(1.0, fit_rows / sizes[k])))])
-    chosen = usable.where(share(F.col(text_col), 3) < part[F.col(lang_col)]).select(F.array_position(F.array(*map(F.lit, names)), F.col(lang_col)).cast("int").alias("k"), F.col(text_col).alias("text"))
+    chosen = usable.where(share(F.col("text"), 3) < part[F.col("lang")]).select(F.array_position(F.array(*map(F.lit, names)), F.col("lang")).cast("int").alias("k"), "text")
 
     def tally(batches):
         sums = np.zeros((len(names), BUCKETS), np.int64)
@@ -74,19 +75,26 @@ def learn(docs: DataFrame, rows: Column, text_col: str = "text", lang_col: str =
     return names, np.log(counts / counts.sum(0))
 
 
-def proportions(n: np.ndarray, p: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """Mixture weights of the columns of p by EM for bucket counts n, and the log likelihood they reach."""
-    w = np.full(p.shape[1], 1.0 / p.shape[1])
+def proportions(n: np.ndarray, p: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float, float]:
+    """Mixture weights of the columns of p by EM for bucket counts n, the log likelihood they reach, and a bound that no
+    weights exceed: by the concavity of the logarithm they gain at most sum(n) x log of the largest factor of a round."""
+    w, total = np.full(p.shape[1], 1.0 / p.shape[1]), n.sum()
     for _ in range(rounds):
-        w = w * (p.T @ (n / (p @ w))) / n.sum()
-    return w, float(n @ np.log(p @ w))
+        factor = (p.T @ (n / (p @ w))) / total
+        gap = max(0.0, float(total * np.log(factor.max())))
+        if gap <= GAP:
+            break
+        w = w * factor
+    reached = float(n @ np.log(p @ w))
+    factor = (p.T @ (n / (p @ w))) / total
+    return w, reached, reached + max(0.0, float(total * np.log(factor.max())))
 
 
 def mixture(text: str | None, names: list[str], logs: np.ndarray, probs: np.ndarray) -> tuple[str, float, list[float]]:
     """Top language, score and the weights of all languages.
 
-    The candidate sets are nested, by weight in the mixture of all languages. A set's likelihood is at most that
-    of all languages, so if even that gains less than one more language costs, the single best one is taken.
+    The candidate sets are nested, by weight in the mixture of all languages. A set's likelihood is at most the bound
+    for all languages, so if even that gains less than one more language costs, the single best one is taken.
     The score is the top language's share of the mixture times its posterior among single languages. Ties go to
     the name that sorts first.
     """
@@ -102,11 +110,11 @@ def mixture(text: str | None, names: list[str], logs: np.ndarray, probs: np.ndar
     weights[best] = 1.0
     if len(names) > 1:
         p = probs[at]
-        full, top = proportions(n, p)
-        if top - alone[best] > cost:
+        full, top, bound = proportions(n, p)
+        if bound - alone[best] > cost:
             order, value, value_of = np.argsort(-full, kind="stable"), alone[best], 0.0
             for size in range(2, len(names) + 1):
-                part, reached = proportions(n, p[:, order[:size]]) if size < len(names) else (full[order], top)
+                part, reached = proportions(n, p[:, order[:size]])[:2] if size < len(names) else (full[order], top)
                 if reached - cost * (size - 1) > value - value_of:
                     value, value_of, weights = reached, cost * (size - 1), np.zeros(len(names))
                     weights[order[:size]] = part
