@@ -24,8 +24,8 @@ from tallyforge.llm.shared import arrow_map, scratch, written
 
 #: Samples in a row of the image; payloads are padded to whole rows with PAD, a byte that UTF-8 never has.
 ROW, PAD = 576, b"\xff"
-#: A shard is closed beyond this size. Bytes of a PNG up to the end of its header chunk.
-SHARD_BYTES, HEAD = 256 << 20, 33
+#: A shard is closed beyond this size; a stretch of it that one task reads back. Bytes of a PNG up to the end of its header.
+SHARD_BYTES, STRETCH_BYTES, HEAD = 256 << 20, 16 << 20, 33
 _MAGIC, _LEVEL = b"\x89PNG\r\n\x1a\n", 6
 
 
@@ -126,8 +126,17 @@ def store(docs: DataFrame, text_col: str = "text", where: str | None = None) ->
     return index.withColumn("folder", F.lit(base))
 
 
+def dealt(index: DataFrame) -> DataFrame:
+    """The index' rows, a stretch of a shard in one task and in order of offset. Their number of partitions is that of the
+    stretches, since Spark would go by the size of the index, not by that of the payloads."""
+    stretch = F.floor(F.col("offset") / STRETCH_BYTES).alias("stretch")
+    n = index.select("folder", "shard", stretch).distinct().count()
+    return index.repartition(max(1, n), "folder", "shard", stretch).sortWithinPartitions("folder", "shard", "offset")
+
+
 def _ranges(index: DataFrame, names: list[str], kinds: str, of) -> DataFrame:
-    """of(reader, offset, length) for each index row; shards are dealt out and read in order of offset."""
+    """The index with further columns: of(reader, offset, length) for each row, in the order in which the rows come."""
+    kept = index.columns
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, reader = None, None
@@ -142,15 +151,14 @@ def _ranges(index: DataFrame, names: list[str], kinds: str, of) -> DataFrame:
                         name, reader = (folder, shard), system.open_input_file(f"{path}/{shard}")
                     got.append(of(reader, offset, length))
                 cols = [pa.array(c) for c in zip(*got)]
-                yield pa.RecordBatch.from_arrays([part.column("text_key"), part.column("digest"), part.column("length"), *cols], names=["text_key", "digest", "length", *names])
+                yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*kept, *names])
 
-    dealt = index.repartition("folder", "shard").sortWithinPartitions("folder", "shard", "offset")
-    return dealt.mapInArrow(read, f"text_key binary, digest string, length long, {kinds}")
+    return index.mapInArrow(read, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in index.schema), kinds]))
 
 
 def metadata(index: DataFrame) -> DataFrame:
-    """width, height and bits of each stored payload, from a read of its first HEAD bytes only."""
-    return _ranges(index, ["width", "height", "bits"], "width int, height int, bits int", lambda f, offset, _: _header_at(f, offset))
+    """The index with width, height and bits of each stored payload, from a read of its first HEAD bytes only."""
+    return _ranges(dealt(index), ["width", "height", "bits"], "width int, height int, bits int", lambda f, offset, _: _header_at(f, offset))
 
 
 def _header_at(reader, offset: int) -> tuple:
@@ -159,33 +167,31 @@ def _header_at(reader, offset: int) -> tuple:
 
 
 def _features_at(reader, offset: int, length: int) -> tuple:
-    width, height, _ = _header_at(reader, offset)
     reader.seek(offset)
     media = reader.read(length)
     payload = decode(media)
-    if len(payload) != int(width) * int(height):
-        raise ValueError("header and samples disagree")
-    return width, height, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), hashlib.sha256(media).hexdigest(), feature(payload)
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), hashlib.sha256(media).hexdigest(), feature(payload)
 
 
 def features(index: DataFrame) -> DataFrame:
-    """Of each stored payload as read back: width, height, payload_bytes, payload_sha256, tail_crc32, media_sha256, feature."""
-    names = ["width", "height", "payload_bytes", "payload_sha256", "tail_crc32", "media_sha256", "feature"]
-    return _ranges(index, names, "width int, height int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string, feature string", _features_at)
+    """The index with payload_bytes, payload_sha256, tail_crc32, media_sha256 and feature of each stored payload as read back."""
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_sha256", "feature"]
+    return _ranges(index, names, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string, feature string", _features_at)
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id, n_bytes, and of the stored payload payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, width, height, feature.
+    media_sha256, width, height, feature, shard and offset. Width and height come from header reads, the others from reads of
+    the whole stored form, in one pass over the shards.
 
     Equal texts share one stored payload. NULL texts count as empty, whose payload is one row of PAD bytes.
     Repeated rows and NULL ids stay; other columns are ignored. The join back is on the text's digest; a digest
     with very many rows is split by adaptive execution, as the stored side has each digest once.
     """
-    got = features(store(docs, text_col))
+    got = features(metadata(store(docs, text_col)))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("text_key"))
-    return rows.join(got, "text_key").select(id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "width", "height", "feature")
+    return rows.join(got, "text_key").select(id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "width", "height", "feature", "shard", "offset")
 
 
 def members(shard: bytes) -> dict[str, bytes]:
