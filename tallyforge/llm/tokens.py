@@ -1,8 +1,8 @@
 """Token counts (operator 5) by the whole-token shortcut.
 
 A vocabulary string that the tokenizer is proven to encode alone as one token needs no merges: a pre-token
-equal to it counts as one. Only the other pre-tokens go through the merge model, once for each distinct one
-that a Python worker meets.
+equal to it counts as one, whatever its characters. Only the other pre-tokens go through the merge model, once for
+each distinct one that a Python worker meets.
 """
 
 from __future__ import annotations
@@ -31,45 +31,57 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def proven_whole_tokens(path: str) -> list[str]:
-    """Vocabulary strings that normalize to themselves, are one pre-token and merge to one token.
+def proven_whole_tokens(path: str) -> list[tuple[str, str]]:
+    """Pre-tokens that are one token whole, as the library writes them (a character a byte), each with its plain text where
+    that has PLAIN characters only and is one of PIECES, else an empty one.
 
-    This is the offline proof: each string runs through the tokenizer's own normalizer, pre-tokenizer and
-    merge model. At most as many strings as the vocabulary has, so it is safe to ship to every task.
+    This is the offline proof: each string of the vocabulary runs through the tokenizer's own normalizer, pre-tokenizer
+    and merge model. At most as many as the vocabulary has, so it is safe to ship to every task.
     """
     from tokenizers import decoders
 
     tok, plain, suffix = _tokenizer(path), decoders.ByteLevel(), "</w>"
     whole = []
     for entry in tok.get_vocab(with_added_tokens=False):
-        text = plain.decode([entry.removesuffix(suffix)])
-        if not entry.endswith(suffix) or not PLAIN.fullmatch(text) or tok.normalizer.normalize_str(text) != text:
+        raw = entry.removesuffix(suffix)
+        text = plain.decode([raw])
+        if not entry.endswith(suffix) or tok.normalizer.normalize_str(text) != text:
             continue
         pieces = tok.pre_tokenizer.pre_tokenize_str(text)
-        if len(pieces) == 1 and PIECES.findall(text) == [text] and len(tok.model.tokenize(pieces[0][0])) == 1:
-            whole.append(text)
+        if len(pieces) == 1 and pieces[0][0] == raw and len(tok.model.tokenize(raw)) == 1:
+            whole.append((raw, text if PLAIN.fullmatch(text) and PIECES.findall(text) == [text] else ""))
     return sorted(whole)
 
 
-class PieceCounts(dict):
-    """Tokens of a pre-token; a proven one is there from the start, another is merged when first asked for."""
+class Remembered(dict):
+    """Tokens of a pre-token by name: 1 for the proven ones, which are there from the start; another is merged when first
+    asked for."""
 
-    def __init__(self, path: str, whole: list[str]):
-        from tokenizers import pre_tokenizers
-
-        super().__init__(dict.fromkeys(whole, 1))
-        self.tok, self.whole = _tokenizer(path), whole
-        self.bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, self.specials)) or "(?!)")
+    def __init__(self, proven: list[str], merge):
+        super().__init__(dict.fromkeys(proven, 1))
+        self.proven, self.merge = proven, merge
 
     def __missing__(self, piece: str) -> int:
-        if len(self) > len(self.whole) + REMEMBERED:
+        if len(self) > len(self.proven) + REMEMBERED:
             self.clear()
-            self.update(dict.fromkeys(self.whole, 1))
-        n = self[piece] = sum(len(self.tok.model.tokenize(p)) for p, _ in self.bytes_of.pre_tokenize_str(piece))
+            self.update(dict.fromkeys(self.proven, 1))
+        n = self[piece] = self.merge(piece)
         return n
 
+
+class PieceCounts:
+    """Counts of texts: pre-tokens are found by the fast pattern where all characters are PLAIN, else by the library."""
+
+    def __init__(self, path: str, whole: list[tuple[str, str]]):
+        from tokenizers import pre_tokenizers
+
+        self.tok = _tokenizer(path)
+        bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.by_raw = Remembered([raw for raw, _ in whole], lambda raw: len(self.tok.model.tokenize(raw)))
+        self.by_text = Remembered([text for _, text in whole if text], lambda text: sum(self.by_raw[p] for p, _ in bytes_of.pre_tokenize_str(text)))
+        self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, self.specials)) or "(?!)")
+
     def plain(self, text: str) -> int:
         """Of a text of PLAIN characters; no pre-token holds white space, so it may be cut there."""
         total, at = 0, 0
@@ -77,7 +89,7 @@ class PieceCounts(dict):
             end = at + AT_ONCE
             while end < len(text) and not text[end].isspace():
                 end += 1
-            total += sum(map(self.__getitem__, PIECES.findall(text[at:end].lower())))
+            total += sum(map(self.by_text.__getitem__, PIECES.findall(text[at:end].lower())))
             at = end
         return total
 
@@ -85,7 +97,7 @@ class PieceCounts(dict):
         if PLAIN.fullmatch(text):
             return self.plain(text)
         pieces = self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(text))
-        return sum(len(self.tok.model.tokenize(p)) for p, _ in pieces)
+        return sum(self.by_raw[p] for p, _ in pieces)
 
     def count(self, text: str) -> int:
         """Special strings inside a text are one token each, as the library has it by default."""
@@ -96,7 +108,7 @@ class PieceCounts(dict):
 
 
 @lru_cache(maxsize=1)
-def _counts(path: str, whole: tuple[str, ...]) -> PieceCounts:
+def _counts(path: str, whole: tuple[tuple[str, str], ...]) -> PieceCounts:
     return PieceCounts(path, list(whole))
 
 
