@@ -13,6 +13,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -25,22 +26,33 @@ from tallyforge.llm.shared import scratch, written
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: A frame is closed beyond this many bytes of records, a bundle beyond this many compressed ones.
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 1 << 20, 256 << 20, 6
-URN, DATE = "urn:page:", "1970-01-01T00:00:00Z"
+URN, NO_PAGE, DATE = "urn:page:", "urn:no-page", "1970-01-01T00:00:00Z"
+#: Plain bytes of frames that one task reads back, about.
+STRETCH_BYTES = 32 << 20
 
 
 def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page: str, url: str | None, payload: bytes, refers: str | None) -> bytes:
+def urn_of(page: str | None) -> str:
+    """The record identifier of a page id; what a header line cannot hold is percent-encoded."""
+    return NO_PAGE if page is None else URN + quote(page, safe="/:", errors="replace")
+
+
+def page_of(urn: str | None) -> str | None:
+    return None if urn is None or urn == NO_PAGE else unquote(urn.removeprefix(URN))
+
+
+def record(page: str | None, url: str | None, payload: bytes, refers: str | None) -> bytes:
     """A response, or a revisit with the response's HTTP headers only. Line breaks in a URL are percent-encoded."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers is not None else http + payload
     lines = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: <{URN}{page}>", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: <{urn_of(page)}>", f"WARC-Date: {DATE}",
         *([] if url is None else ["WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A")]),
         f"WARC-Payload-Digest: sha1:{digest_of(payload)}", f"WARC-Block-Digest: sha1:{digest_of(block)}",
-        *([] if refers is None else ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{URN}{refers}>"]),
+        *([] if refers is None else ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{urn_of(refers)}>"]),
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     return "\r\n".join([*lines, "", ""]).encode() + block + b"\r\n\r\n"
@@ -55,7 +67,7 @@ def parsed(raw: bytes) -> dict:
         raise ValueError("a damaged record")
     http, _, payload = block.partition(b"\r\n\r\n")
     size = int(dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:])["Content-Length"])
-    digest, urn = fields["WARC-Payload-Digest"].removeprefix("sha1:"), lambda x: x and x.strip("<>").removeprefix(URN)
+    digest, urn = fields["WARC-Payload-Digest"].removeprefix("sha1:"), lambda x: page_of(x and x[1:-1])
     if fields["WARC-Type"] == "response" and (digest_of(payload) != digest or len(payload) != size):
         raise ValueError("a damaged payload")
     return {"page": urn(fields["WARC-Record-ID"]), "type": fields["WARC-Type"], "bytes": size, "digest": digest, "refers": urn(fields.get("WARC-Refers-To"))}
@@ -158,7 +170,7 @@ def write(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", lea
                     name = f"bundle-{uuid.uuid4().hex}.warc.zst"
                     bundle = Bundle(system.open_output_stream(f"{folder}/{name}", compression=None))
                 other = refers.as_py()
-                raw = record("" if page.as_py() is None else str(page.as_py()), url.as_py(), payload.as_py(), None if other is None else str(other))
+                raw = record(None if page.as_py() is None else str(page.as_py()), url.as_py(), payload.as_py(), None if other is None else str(other))
                 rows.append((page.as_py(), name, *bundle.add(raw), len(raw)))
             if rows:
                 cols = list(zip(*rows))
@@ -186,10 +198,13 @@ def read(index: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 got = [parsed(_reader(u).record(f, o, n)) for u, f, o, n in zip(*(part.column(c).to_pylist() for c in ("uri", "frame", "offset", "length")))]
-                ids = lambda k: pa.array([x[k] or None for x in got], pa.string()).cast(part.column("page").type)
+                ids = lambda k: pa.array([x[k] for x in got], pa.string()).cast(part.column("page").type)
                 yield pa.RecordBatch.from_arrays([ids("page"), pa.array([x["bytes"] for x in got], pa.int64()), pa.array([x["digest"] for x in got]), pa.array([x["type"] for x in got]), ids("refers")], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    dealt = index.repartition("uri").sortWithinPartitions("uri", "frame", "offset")
+    # As many partitions as stretches of frames: Spark would go by the size of the index, not by that of the records.
+    stretch = F.floor(F.col("frame") / (STRETCH_BYTES // FRAME_BYTES)).alias("stretch")
+    n = index.select("uri", stretch).distinct().count()
+    dealt = index.repartition(max(1, n), "uri", stretch).sortWithinPartitions("uri", "frame", "offset")
     return dealt.mapInArrow(records, f"page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}")
 
 
@@ -198,6 +213,6 @@ def archive(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", l
 
     NULL html is the empty payload, which counts like any other when `least` is 0. Rows that repeat an id and a
     payload are of the same type. A page with a NULL id is always a response and never referred to; its record
-    has no name. Other columns than id, url and html are ignored; a missing or NULL url leaves the field out.
+    is named NO_PAGE. Ids may be any text, the empty one and line breaks included. Other columns than id, url and html are ignored; a missing or NULL url leaves the field out.
     """
     return read(write(pages, id_col, html_col, least))
