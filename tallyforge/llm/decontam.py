@@ -7,20 +7,24 @@ of positions of the walk are looked up in a table of the items' samples; every h
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tallyforge.llm.shared import arrow_filter, arrow_map
+from tallyforge.llm.shared import arrow_filter, arrow_map, written
 from tallyforge.llm.words import BASE, mix, word_hashes
 
-#: Edits allowed for each word of an item, and the fewest words of an item that is searched.
+#: Edits allowed for each word of an item, and the fewest words of an item that may have one; shorter items are looked up
+#: whole.
 EDITS, LEAST = 0.2, 5
 #: Walks, samples of each walk and positions in a sample. At the limit of EDITS, a copy of a stretch is found with a
-#: probability over 0.99 whatever the kind of edits (tests/llm measures it); an exact one always.
+#: probability of 0.9 at least whatever the kind of edits (tests/llm measures it); an exact one always.
 WALKS, SAMPLES, BITS = 5, 24, 3
 #: Words of the longest stretch that is walked. Walks of longer ones fall out of step, so a longer item is walked as
 #: stretches of equal length that cover it; one of them at least has no more edits a word than the item.
@@ -71,14 +75,15 @@ class Class:
 
 @dataclass
 class Items:
-    """The benchmark: names, word sequences, stretches (item, first word), their classes, and a bitmap of the word pairs
-    that occur."""
+    """The benchmark: names, word sequences, stretches (item, first word), their classes, a bitmap of the word pairs that
+    occur, and for short items by their number of words the keys, sorted, and the items they belong to."""
 
     names: list
     words: list[np.ndarray]
     stretches: np.ndarray
     classes: list[Class]
     known: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
 
 def allowed(n) -> int:
@@ -92,13 +97,19 @@ def cuts(n: int) -> np.ndarray:
 
 
 def prepared(names: list, texts: list[str | None]) -> Items:
-    """Items of at least LEAST words; others, NULL ones among them, are left out."""
-    rows = sorted(((len(w), i) for i, w in enumerate(map(words_of, texts)) if len(w) >= LEAST))
+    """All items that have words; others, NULL ones among them, are left out."""
+    rows = sorted(((len(w), i) for i, w in enumerate(map(words_of, texts)) if len(w)))
     words = [words_of(texts[i]) for _, i in rows]
     known = np.zeros(1 << min(24, max(16, 6 + sum(map(len, words)).bit_length())), bool)
     for w in words:
         known[places(w, len(known))] = True
-    parts = sorted((int(b - a), i, int(a)) for i, w in enumerate(words) for a, b in zip(cuts(len(w)), cuts(len(w))[1:]))
+    short = {}
+    for n in range(1, LEAST):
+        if mine := [i for i, w in enumerate(words) if len(w) == n]:
+            keys = np.array([runs(words[i], n)[0] for i in mine], np.uint64)
+            order = np.argsort(keys, kind="stable")
+            short[n] = keys[order], np.array(mine)[order]
+    parts = sorted((int(b - a), i, int(a)) for i, w in enumerate(words) if len(w) >= LEAST for a, b in zip(cuts(len(w)), cuts(len(w))[1:]))
     classes, at, rng = [], 0, np.random.default_rng(7)
     while at < len(parts):
         low, end = parts[at][0], at
@@ -119,7 +130,30 @@ def prepared(names: list, texts: list[str | None]) -> Items:
         c.keys, c.stretch = keys[order], stretch[order]
         classes.append(c)
         at = end
-    return Items([names[i] for _, i in rows], words, np.array([p[1:] for p in parts], np.int64).reshape(-1, 2), classes, known)
+    return Items([names[i] for _, i in rows], words, np.array([p[1:] for p in parts], np.int64).reshape(-1, 2), classes, known, short)
+
+
+def runs(seq: np.ndarray, n: int) -> np.ndarray:
+    """A key of the n words from each start."""
+    h = np.zeros(max(0, len(seq) - n + 1), np.uint64)
+    for k in range(n):
+        h = mix(h * BASE + seq[k : k + len(h)])
+    return h
+
+
+def looked_up(seq: np.ndarray, items: Items) -> list[tuple[int, int]]:
+    """Starts of short items, whole and verbatim, with the item."""
+    out = []
+    for n, (keys, mine) in items.short.items():
+        have = runs(seq, n)
+        left = np.searchsorted(keys, have)
+        for start in np.flatnonzero(keys[np.minimum(left, len(keys) - 1)] == have):
+            for at in range(left[start], len(keys)):
+                if keys[at] != have[start]:
+                    break
+                if np.array_equal(seq[start : start + n], items.words[mine[at]]):
+                    out.append((int(start), int(mine[at])))
+    return out
 
 
 def places(seq: np.ndarray, size: int) -> np.ndarray:
@@ -182,12 +216,12 @@ def matches(texts: list[str | None], items: Items) -> list[tuple[int, int, int]]
     seq = np.concatenate([x for p in parts for x in (p, gap)])
     ends = np.cumsum(sizes)
     starts, found = retrieved(seq, items)
+    best: dict[tuple[int, int], int] = {(int(np.searchsorted(ends, start, "right")), i): 0 for start, i in looked_up(seq, items)}
     if not len(starts):
-        return []
+        return [(*key, d) for key, d in sorted(best.items())]
     text = np.searchsorted(ends - len(gap) // 2, starts, "right")  # a start shortly before a text is that text's
     found, first = items.stretches[found].T
     starts = starts - first  # where the item starts, give or take its edits; the gaps hold what lies outside the text
-    best: dict[tuple[int, int], int] = {}
     for i in np.unique(found):
         mine = found == i
         k = allowed(len(items.words[i]))
@@ -201,50 +235,56 @@ def matches(texts: list[str | None], items: Items) -> list[tuple[int, int, int]]
     return [(*key, d) for key, d in sorted(best.items())]
 
 
-def _parts(benchmark: DataFrame, item_col: str, item_text_col: str) -> list:
-    """The prepared benchmark, as broadcasts of at most about ITEM_CHARS characters each."""
+def _parts(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[tuple[Broadcast, bool]]:
+    """The prepared benchmark, as broadcasts of at most about ITEM_CHARS characters each, and whether there are several.
+    Of several, each is to be used up before the next is asked for: then it goes, so that one is held at a time."""
     named = benchmark.select(F.col(item_col).alias("k"), F.col(item_text_col).alias("t")).where("t is not null")
     parts = max(1, -(-int(named.agg(F.sum(F.length("t"))).first()[0] or 0) // ITEM_CHARS))
-    out = []
     for part in range(parts):
         rows = named.where(F.pmod(F.xxhash64("t"), F.lit(parts)) == part).orderBy("k", "t").collect()
-        out.append(benchmark.sparkSession.sparkContext.broadcast(prepared([r["k"] for r in rows], [r["t"] for r in rows])))
-    return out
+        shipped = benchmark.sparkSession.sparkContext.broadcast(prepared([r["k"] for r in rows], [r["t"] for r in rows]))
+        yield shipped, parts > 1
+        if parts > 1:
+            shipped.destroy()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The id, item_id, edits (words), n_words (of the item) for each document and benchmark item where a stretch of the
     document is within EDITS edits a word of the item. Documents without a match have no row.
 
-    Words are lower-cased and punctuation is ignored. NULL and empty texts match nothing; items of fewer than LEAST
-    words are not searched; an empty benchmark gives no rows. Repeated documents and items each have their
-    rows; other columns are ignored. The benchmark goes to the tasks in parts of at most about ITEM_CHARS characters.
+    Words are lower-cased and punctuation is ignored. NULL and empty texts match nothing, nor do items without words; an
+    item of fewer than LEAST words must be there verbatim; an empty benchmark gives no rows. Repeated documents and items
+    each have their rows; other columns are ignored. The benchmark goes to the tasks in parts of at most about
+    ITEM_CHARS characters; of several parts each is a pass whose rows are written before the next.
     """
     doc_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    out = None
-    for shipped in _parts(benchmark, item_col, item_text_col):
+    item_arrow, out = to_arrow_type(benchmark.schema[item_col].dataType), None
+    for shipped, several in _parts(benchmark, item_col, item_text_col):
 
         def batch(got: pa.RecordBatch, shipped=shipped) -> pa.RecordBatch | None:
             items = shipped.value
             if not (found := matches(got.column(1).to_pylist(), items)):
                 return None
             return pa.RecordBatch.from_arrays(
-                [got.column(0).take(pa.array([t for t, _, _ in found])), pa.array([items.names[i] for _, i, _ in found]), pa.array([d for *_, d in found], pa.int32()), pa.array([len(items.words[i]) for _, i, _ in found], pa.int32())],
+                [got.column(0).take(pa.array([t for t, _, _ in found])), pa.array([items.names[i] for _, i, _ in found], item_arrow), pa.array([d for *_, d in found], pa.int32()), pa.array([len(items.words[i]) for _, i, _ in found], pa.int32())],
                 names=[id_col, "item_id", "edits", "n_words"],
             )
 
         part = arrow_map(docs.select(id_col, text_col), batch, f"`{id_col}` {doc_type}, item_id {item_type}, edits int, n_words int", rows=512)
+        part = written(part, "matches") if several else part
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, that hold no benchmark item (as in `contaminated`). No shuffle."""
-    for shipped in _parts(benchmark, item_col, item_text_col):
+    """The rows, with all their columns, that hold no benchmark item (as in `contaminated`). No shuffle. Of several parts of
+    a large benchmark each is a pass, whose rows are written before the next."""
+    for shipped, several in _parts(benchmark, item_col, item_text_col):
 
         def keep(texts: list[str | None], shipped=shipped) -> list[bool]:
             hit = {t for t, _, _ in matches(texts, shipped.value)}
             return [i not in hit for i in range(len(texts))]
 
         docs = arrow_filter(docs, text_col, keep)
+        docs = written(docs, "clean") if several else docs
     return docs
