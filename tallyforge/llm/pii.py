@@ -8,8 +8,10 @@ context, and a calibrated threshold per kind decides which are added.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -83,6 +85,22 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+class Taken:
+    """Spans in order of their starts, to ask which of them a span touches."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.spans = sorted(spans)
+        self.reach = list(itertools.accumulate((e for _, e in self.spans), max))
+
+    def shared(self, start: int, end: int) -> int:
+        """The most characters that one of the spans has in common with this one."""
+        most, i = 0, bisect_left(self.spans, (end,)) - 1
+        while i >= 0 and self.reach[i] > start:
+            most = max(most, min(end, self.spans[i][1]) - max(start, self.spans[i][0]))
+            i -= 1
+        return most
+
+
 def proposals(text: str) -> list[tuple[str, int, int]]:
     """Overlapping candidates of all generators."""
     out = []
@@ -110,10 +128,10 @@ def labelled(text: str) -> list[tuple[tuple[str, int, int], int]]:
     value that is assigned to a password or key, a spelled-out contact, or a number of a telephone's length that its
     context announces. 0: a number or contact that touches no base span and that no context announces; another secret
     without a digit, or with digits only that touch no base span. All others are left out."""
-    base, out = base_spans(text), []
+    base, out = Taken([s[1:] for s in base_spans(text)]), []
     for kind, start, end in proposals(text):
         body, before = text[start:end], text[max(0, start - 24) : start]
-        shared = max((min(end, e) - max(start, s) for _, s, e in base), default=0)
+        shared = base.shared(start, end)
         digits, near = sum(map(str.isdigit, body)), bool(NEAR.search(before))
         if shared >= 0.8 * (end - start):
             y = 1
@@ -231,15 +249,19 @@ def learn(docs: DataFrame, text_col: str = "text", fit_rows: int = FIT_ROWS) ->
 def added_spans(text: str, base: list[tuple[str, int, int]], model: dict) -> list[tuple[str, int, int]]:
     """Candidates over their kind's threshold that touch no base span, the likeliest first; a candidate that overlaps
     one taken before is left out (ties: the earlier, then the longer one)."""
-    some = [s for s in proposals(text) if s[0] in model["cut"] and not any(s[1] < e and b < s[2] for _, b, e in base)] if model["cut"] else []
+    fixed = Taken([s[1:] for s in base])
+    some = [s for s in proposals(text) if s[0] in model["cut"] and not fixed.shared(s[1], s[2])] if model["cut"] else []
     if not some:
         return []
     p = probability(model["trees"], np.array([features(text, s) for s in some]))
     taken: list[tuple[str, int, int]] = []
+    order: list[tuple[int, int]] = []  # of taken spans, which are apart from each other
     for i in sorted(range(len(some)), key=lambda i: (-p[i], some[i][1], -some[i][2])):
         kind, start, end = some[i]
-        if p[i] >= model["cut"][kind] and not any(start < e and b < end for _, b, e in taken):
+        at = bisect_left(order, (start, end))
+        if p[i] >= model["cut"][kind] and (at == 0 or order[at - 1][1] <= start) and (at == len(order) or order[at][0] >= end):
             taken.append(some[i])
+            order.insert(at, (start, end))
     return sorted(taken, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
