@@ -7,6 +7,7 @@ import numpy as np
 #: Bytes that are hashed at once; a word may reach beyond.
 BLOCK = 1 << 20
 _BYTE = np.random.default_rng(10).integers(0, 2**64, 256, np.uint64)
+#: The golden-ratio increment here and, in mix(), the multipliers of the public SplitMix64 generator.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 
