@@ -14,10 +14,11 @@ QUANTILES = (0.1, 0.5, 0.9)
 
 def with_margins(exposures: DataFrame) -> DataFrame:
     """Adds margin (best less second-best score of the game), spread (best less worst) and second (second-best), from a
-    row per game; margin and spread only for completed games."""
-    games = exposures.groupBy("game").agg(F.collect_list("score").alias("s"), F.first("safety").alias("out"))
+    row per game (told by root, k and game, as far as these are there); margin and spread only for completed games."""
+    coordinates = [c for c in ("root", "k", "game") if c in exposures.columns]
+    games = exposures.groupBy(*coordinates).agg(F.collect_list("score").alias("s"), F.first("safety").alias("out"))
     done = ~F.col("out")
-    return exposures.join(games.select("game", F.when(done, margin(F.col("s"))).alias("margin"), F.when(done, spread(F.col("s"))).alias("spread"), second_best(F.col("s")).alias("second")), "game")
+    return exposures.join(games.select(*coordinates, F.when(done, margin(F.col("s"))).alias("margin"), F.when(done, spread(F.col("s"))).alias("spread"), second_best(F.col("s")).alias("second")), coordinates)
 
 
 def length_stats(exposures: DataFrame) -> DataFrame:

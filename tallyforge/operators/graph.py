@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.functions.folders import shared_folder
+
 
 def settled(df: DataFrame) -> DataFrame:
     """The rows by checkpoint (in the session's checkpoint folder), which cuts the lineage of a loop."""
-    import tempfile
-
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -25,16 +25,23 @@ def pair_schedule(finalists: DataFrame, roots: DataFrame, target: int = 100) ->
     return rows.select("pair_id", "strategy_a", "strategy_b", "root", "seat_order", first.alias("seat1"), second.alias("seat2"), block.alias("block_id"), F.lit(target).alias("target"))
 
 
+BLOCK = ["pair_id", "strategy_a", "strategy_b", "root", "seat_order"]
+
+
 def prefix_until_target(attempts: DataFrame, target: int, cap: int) -> DataFrame:
     """Per block over its attempts in order: stop at the target-th completed game or after cap attempts. attempts: block keys
     pair_id, strategy_a, strategy_b, root, seat_order; attempt (from 0), completed (0/1), first_won (0/1)."""
-    key = ["pair_id", "strategy_a", "strategy_b", "root", "seat_order"]
-    before = F.coalesce(F.sum("completed").over(Window.partitionBy(*key).orderBy("attempt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    used = attempts.withColumn("before", before).where((F.col("before") < target) & (F.col("attempt") < cap))
-    g = used.groupBy(*key).agg(F.count("*").alias("attempted"), F.sum("completed").alias("completed"), F.sum(F.col("completed") * F.col("first_won")).alias("wins_seat1"))
+    before = F.coalesce(F.sum("completed").over(Window.partitionBy(*BLOCK).orderBy("attempt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return block_counts(attempts.withColumn("before", before).where((F.col("before") < target) & (F.col("attempt") < cap)), target)
+
+
+def block_counts(attempts: DataFrame, target: int) -> DataFrame:
+    """Per block the counts of all its attempts (columns as in prefix_until_target, whose order is not needed here); complete
+    with target completed games at least."""
+    g = attempts.groupBy(*BLOCK).agg(F.count("*").alias("attempted"), F.sum("completed").alias("completed"), F.sum(F.col("completed") * F.col("first_won")).alias("wins_seat1"))
     wins_2 = F.col("completed") - F.col("wins_seat1")
     swap = F.col("seat_order") == 1
-    return g.select(*key, "attempted", "completed", (F.col("attempted") - F.col("completed")).alias("safety"), F.greatest(F.col("attempted") - target, F.lit(0)).alias("replacements"), "wins_seat1", wins_2.alias("wins_seat2"), F.when(swap, wins_2).otherwise(F.col("wins_seat1")).alias("wins_a"), F.when(swap, F.col("wins_seat1")).otherwise(wins_2).alias("wins_b"), F.when(F.col("completed") >= target, "complete").otherwise("short").alias("status"))
+    return g.select(*BLOCK, "attempted", "completed", (F.col("attempted") - F.col("completed")).alias("safety"), F.greatest(F.col("attempted") - target, F.lit(0)).alias("replacements"), "wins_seat1", wins_2.alias("wins_seat2"), F.when(swap, wins_2).otherwise(F.col("wins_seat1")).alias("wins_a"), F.when(swap, F.col("wins_seat1")).otherwise(wins_2).alias("wins_b"), F.when(F.col("completed") >= target, "complete").otherwise("short").alias("status"))
 
 
 def order_combine(blocks: DataFrame, by_root: bool = False) -> DataFrame:

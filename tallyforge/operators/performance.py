@@ -41,7 +41,12 @@ def performance_across_k(by_k: DataFrame) -> DataFrame:
 
 
 def weighted_across_k(by_k: DataFrame, weights: dict[int, float]) -> DataFrame:
-    """Mean of the distances by declared weights of k (they are scaled to sum 1), for strategies with every weighted k."""
+    """Mean of the distances by declared weights of k (they are scaled to sum 1), for strategies with every weighted k. A k of
+    the rows without a positive weight, or weights that are not positive numbers, are an error: no k is left out silently."""
+    if bad := sorted(k for k, v in weights.items() if not 0 < v < float("inf")):
+        raise ValueError(f"weights of k = {bad} are not positive")
+    if missing := sorted(r["k"] for r in by_k.select("k").distinct().where(~F.col("k").isin(list(weights))).collect()):
+        raise ValueError(f"no weight for k = {missing}")
     total = sum(weights.values())
     w = F.create_map(*[x for k, v in sorted(weights.items()) for x in (F.lit(k), F.lit(v / total))])[F.col("k")]
     g = by_k.withColumn("w", w).where("w is not null").groupBy("root", "strategy").agg(F.countDistinct("k").alias("n"), F.sum(F.col("w") * F.col("delta")).alias("score"), F.sqrt(F.sum(F.col("w") * F.col("w") * F.col("mcse") * F.col("mcse"))).alias("mcse"))

@@ -20,9 +20,9 @@ def ratings_batch(exposures: DataFrame, rounds: int = 20, tolerance: float = 1e-
     gamma = settled(wins.select(*key, "w", "updates", F.lit(1.0).alias("g")))
     for _ in range(rounds):
         x = done.join(gamma.select(*key, "g"), key)
-        stage = F.sum("g").over(Window.partitionBy("game").orderBy(F.desc("rank")))
+        stage = F.sum("g").over(Window.partitionBy("root", "k", "game").orderBy(F.desc("rank")))
         x = x.withColumn("inv", F.when(F.col("rank") < F.col("k"), 1 / stage).otherwise(0.0))
-        x = x.withColumn("load", F.sum("inv").over(Window.partitionBy("game").orderBy("rank")))
+        x = x.withColumn("load", F.sum("inv").over(Window.partitionBy("root", "k", "game").orderBy("rank")))
         load = x.groupBy(*key).agg(F.sum("load").alias("load"))
         new = (F.col("w") + prior) / (F.col("load") + 2 * prior / (F.col("g") + 1))
         step = settled(gamma.join(load, key).select(*key, "w", "updates", F.col("g").alias("was"), new.alias("g")))
@@ -53,7 +53,7 @@ def split_in_time(exposures: DataFrame, share: float = 0.8) -> DataFrame:
     games = exposures.where("not safety").select("root", "k", "game").distinct()
     by = Window.partitionBy("root", "k")
     cut = games.withColumn("train", F.row_number().over(by.orderBy("game")) <= F.greatest(F.lit(1), F.floor(share * F.count("*").over(by))))
-    return exposures.join(cut.select("game", "train"), "game")
+    return exposures.join(cut.select("root", "k", "game", "train"), ["root", "k", "game"])
 
 
 def heldout_calibration(exposures: DataFrame, rounds: int = 10, scale: float = 1.0) -> DataFrame:
@@ -62,6 +62,6 @@ def heldout_calibration(exposures: DataFrame, rounds: int = 10, scale: float = 1
     x = split_in_time(exposures)
     mu = ratings_batch(x.where("train"), rounds=rounds).select("root", "k", "strategy", "mu")
     held = x.where("not train").join(mu, ["root", "k", "strategy"], "left").withColumn("e", F.exp(F.coalesce("mu", F.lit(0.0)) / scale))
-    held = held.withColumn("p", F.col("e") / F.sum("e").over(Window.partitionBy("game"))).withColumn("won", (F.col("winner_seat") == F.col("seat")).cast("int"))
+    held = held.withColumn("p", F.col("e") / F.sum("e").over(Window.partitionBy("root", "k", "game"))).withColumn("won", (F.col("winner_seat") == F.col("seat")).cast("int"))
     games = held.groupBy("root", "k", "game").agg(F.sum(F.when(F.col("won") == 1, -F.log("p"))).alias("loss"), F.sum((F.col("p") - F.col("won")) * (F.col("p") - F.col("won"))).alias("brier"), F.max_by("won", F.struct("p", -F.col("seat"))).alias("hit"), F.max("p").alias("top"))
     return games.groupBy("root", "k").agg(F.count("*").alias("games"), F.avg("loss").alias("log_loss"), F.avg("brier").alias("brier"), F.avg("hit").alias("accuracy"), F.avg("top").alias("mean_top"), F.log(F.first("k").cast("double")).alias("uniform_log_loss"), (1 - 1 / F.first("k")).alias("uniform_brier"))

@@ -1,8 +1,9 @@
 """A contest view of orders and line items, and the queries over it.
 
-A game is an order with 2 to 6 items, a seat an item in order of line, part, supplier and price; a strategy is the supplier modulo
-100, its score the price in cents, its turns the quantity. Roots are the parity of the order, batches ten equal ranges of
-the order key. An urgent pending order is a safety-limit game: no winner, ranks or margins.
+The items of an order, in order of line, part, supplier and price, are dealt in turn to as few games of at most six seats as
+hold them all; an order of one item is no contest. So every other item is a seat of one game. A strategy is the
+supplier modulo 100, its score the price in cents, its turns the quantity. Roots are the parity of the order, batches ten
+equal ranges of the order key. An urgent pending order's games are safety-limit games: no winner, ranks or margins.
 """
 
 from __future__ import annotations
@@ -10,10 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyforge.functions.folders import shared_folder
 from tallyforge.operators import agreement, gamestats, graph, h2h, lag, metrics, models, performance, ratings, resample, reshape, seats, stability, validate
 from tallyforge.streaming import incremental
 
 BATCHES, FEW = 10, 5
+#: Seats of a game at most, and room for game numbers within an order.
+SEATS, ROOM = 6, 1 << 20
+#: Head-to-head blocks: completed games that make one complete; the cap on attempts of the query prefix_until_target.
+TARGET, CAP = 5, 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,12 +32,16 @@ def exposures(spark: SparkSession, sf_dir: str, strategies: int = 100) -> DataFr
     orders = table(spark, sf_dir, "orders").select("o_orderkey", ((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT")).alias("safety"))
     top = orders.agg((F.max("o_orderkey") + 1).alias("top"))
     by = Window.partitionBy("l_orderkey")
-    e = items.select(
-        F.col("l_orderkey").alias("game"), F.row_number().over(by.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).alias("seat"), F.count("*").over(by).cast("int").alias("k"),
-        (F.col("l_suppkey") % strategies).cast("int").alias("strategy"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("score"), F.col("l_quantity").cast("int").alias("n_turns"), F.max(F.col("l_quantity").cast("int")).over(by).alias("n_rounds"),
-    ).where("k between 2 and 6")
-    e = e.join(orders, F.col("game") == F.col("o_orderkey")).drop("o_orderkey").crossJoin(F.broadcast(top))
-    e = e.withColumn("root", F.col("game") % 2).withColumn("batch", F.floor(F.col("game") * BATCHES / F.col("top")).cast("int")).drop("top")
+    at = F.row_number().over(by.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")) - 1
+    e = items.select("*", at.alias("at"), F.count("*").over(by).alias("n")).where("n > 1").withColumn("deals", F.ceil(F.col("n") / SEATS))
+    e = e.withColumn("deal", F.col("at") % F.col("deals"))
+    game = Window.partitionBy("l_orderkey", "deal")
+    e = e.select(
+        "l_orderkey", (F.col("l_orderkey") * ROOM + F.col("deal")).alias("game"), (F.floor(F.col("at") / F.col("deals")) + 1).cast("int").alias("seat"), F.count("*").over(game).cast("int").alias("k"),
+        (F.col("l_suppkey") % strategies).cast("int").alias("strategy"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("score"), F.col("l_quantity").cast("int").alias("n_turns"), F.max(F.col("l_quantity").cast("int")).over(game).alias("n_rounds"),
+    )
+    e = e.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey").crossJoin(F.broadcast(top))
+    e = e.withColumn("root", F.col("l_orderkey") % 2).withColumn("batch", F.floor(F.col("l_orderkey") * BATCHES / F.col("top")).cast("int")).drop("top", "l_orderkey")
     game = Window.partitionBy("game")
     rank = F.row_number().over(game.orderBy(F.desc("score"), "seat"))
     e = e.withColumn("rank", F.when(~F.col("safety"), rank)).withColumn("winner_seat", F.max(F.when(F.col("rank") == 1, F.col("seat"))).over(game))
@@ -89,7 +99,7 @@ def _attempts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
-    return h2h.prefix_until_target(_attempts(spark, d), 5, 8)
+    return h2h.block_counts(_attempts(spark, d), TARGET)
 
 
 def _decisions(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +108,7 @@ def _decisions(spark: SparkSession, d: str) -> DataFrame:
 
 def _plain_decisions(spark: SparkSession, d: str) -> DataFrame:
     """Decisions by the observed effect alone: a graph dense enough for cycles and fronts that SQL can repeat."""
-    x = h2h.order_combine(h2h.prefix_until_target(_attempts(spark, d), 10**6, 10**6))
+    x = h2h.order_combine(_blocks(spark, d))
     q = (F.col("wins_a_0") + F.col("wins_a_1")) / (F.col("completed_0") + F.col("completed_1"))
     x = x.where("completed_0 + completed_1 > 0").withColumn("balanced_rate", q).withColumn("d", q - 0.5)
     dec = F.when(F.col("d") > 0.05, "practical_dominance_a").when(F.col("d") < -0.05, "practical_dominance_b").when(F.col("d") > 0, "statistical_only_advantage_a").when(F.col("d") < 0, "statistical_only_advantage_b").otherwise("unresolved")
@@ -146,7 +156,7 @@ def _wide(spark: SparkSession, d: str, k: int) -> DataFrame:
 
 
 def _stacked_wide(spark: SparkSession, d: str) -> DataFrame:
-    return reshape.combine_k({k: _wide(spark, d, k) for k in (2, 3)}, 6)
+    return reshape.combine_k({k: _wide(spark, d, k) for k in range(2, SEATS + 1)}, SEATS)
 
 
 def _manifest(spark: SparkSession, d: str) -> DataFrame:
@@ -160,10 +170,9 @@ def _manifest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, d: str) -> DataFrame:
-    import tempfile
     import uuid
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
+    base = shared_folder(spark)
     schema = table(spark, d, "events").schema
     stream = incremental.file_stream(spark, d, schema, "events.parquet").withColumn("cents", F.round(F.col("value") * 100).cast("long"))
     return incremental.incremental_sums(stream, f"{base}/stream-{uuid.uuid4().hex}", ["event_type"], ["cents"], ["event_id"])
@@ -208,7 +217,7 @@ RAW = {
     "equal_k_mean": lambda s, d: gamestats.equal_k_mean(gamestats.length_stats(exposures(s, d)), ["mean", "sd", "p50"]),
     "performance_by_k": _by_k,
     "performance_across_k": _across,
-    "weighted_across_k": lambda s, d: performance.weighted_across_k(_by_k(s, d), {2: 1, 3: 2, 4: 3}),
+    "weighted_across_k": lambda s, d: performance.weighted_across_k(_by_k(s, d), {k: k - 1 for k in range(2, SEATS + 1)}),
     "seat_effects": _seat_effects,
     "seat_standardized": lambda s, d: seats.seat_standardized(_seat_effects(s, d), {2: 1, 3: 1, 4: 2}),
     "seat_mixture": lambda s, d: seats.seat_mixture(seats.seat_counts(exposures(s, d))),
@@ -242,7 +251,7 @@ RAW = {
     "lag_autocorr_events": _event_lag,
     "group_eligibility": lambda s, d: lag.group_eligibility(exposures(s, d), ["strategy", "k"], (30,)),
     "priority_cap": lambda s, d: lag.priority_cap(lag.group_eligibility(exposures(s, d), ["strategy"]), "strategy", 20),
-    "prefix_until_target": _blocks,
+    "prefix_until_target": lambda s, d: h2h.prefix_until_target(_attempts(s, d), TARGET, CAP),
     "holm_adjust": lambda s, d: h2h.holm(_holm_input(s, d)).select("pair_id", "p", "holm_p", "holm_reject"),
     "matched_convergence": lambda s, d: stability.matched_convergence(_bm(s, d, FEW), top=2),
     "rating_percentile": lambda s, d: ratings.rating_percentile(_count_ratings(s, d)).select("root", "k", "strategy", "percentile"),

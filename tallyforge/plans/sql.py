@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tallyforge.functions.stats import normal_quantile, t_quantile
-from tallyforge.plans.contest import BATCHES, FEW, SCORES
+from tallyforge.plans.contest import BATCHES, CAP, FEW, ROOM, SCORES, SEATS, TARGET
 
 Z = repr(normal_quantile(0.975))
 
@@ -20,11 +20,12 @@ def n(expr: str, name: str) -> str:
 def base(strategies: int = 100) -> str:
     """Exposures e, games g, cells bm, zero-filled cells zf."""
     return f"""WITH RECURSIVE o AS (SELECT o_orderkey, o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' AS safety, (SELECT max(o_orderkey) + 1 FROM orders) AS top FROM orders),
-    li AS (SELECT l_orderkey AS game, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seat,
-        count(*) OVER (PARTITION BY l_orderkey) AS k, (l_suppkey % {strategies})::INT AS strategy, round(l_extendedprice * 100)::BIGINT AS score,
-        l_quantity::INT AS n_turns, max(l_quantity::INT) OVER (PARTITION BY l_orderkey) AS n_rounds FROM lineitem),
-    er AS (SELECT li.*, safety, game % 2 AS root, (game * {BATCHES} // top)::INT AS batch,
-        CASE WHEN NOT safety THEN row_number() OVER (PARTITION BY game ORDER BY score DESC, seat) END AS rank FROM li JOIN o ON game = o_orderkey WHERE k BETWEEN 2 AND 6),
+    l0 AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS nr, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+    l1 AS (SELECT *, (n + {SEATS - 1}) // {SEATS} AS deals, nr % ((n + {SEATS - 1}) // {SEATS}) AS deal FROM l0 WHERE n > 1),
+    li AS (SELECT l_orderkey, l_orderkey * {ROOM} + deal AS game, nr // deals + 1 AS seat, count(*) OVER (PARTITION BY l_orderkey, deal) AS k, (l_suppkey % {strategies})::INT AS strategy, round(l_extendedprice * 100)::BIGINT AS score,
+        l_quantity::INT AS n_turns, max(l_quantity::INT) OVER (PARTITION BY l_orderkey, deal) AS n_rounds FROM l1),
+    er AS (SELECT li.*, safety, l_orderkey % 2 AS root, (l_orderkey * {BATCHES} // top)::INT AS batch,
+        CASE WHEN NOT safety THEN row_number() OVER (PARTITION BY game ORDER BY score DESC, seat) END AS rank FROM li JOIN o ON l_orderkey = o_orderkey),
     e0 AS (SELECT *, max(CASE WHEN rank = 1 THEN seat END) OVER (PARTITION BY game) AS winner_seat,
         CASE WHEN NOT safety THEN max(score) OVER (PARTITION BY game) - score END AS loss_margin FROM er),
     e AS (SELECT *, coalesce(winner_seat = seat, false)::INT AS won FROM e0),
@@ -84,13 +85,13 @@ def discrepancy(source: str, keys: str, value: str) -> str:
         FROM {source} a, {source} b, {source} c WHERE {on} AND a.root = 0 AND b.root = 1 AND c.root IS NULL"""
 
 
-def attempts() -> str:
-    """Adds att (attempts), bl (blocks), oc (pairs) and pd (plain decisions)."""
-    return base(10) + """,
+def attempts(used: str = "true") -> str:
+    """Adds att (attempts), bl (blocks of the used attempts), oc (pairs) and pd (plain decisions)."""
+    return base(10) + f""",
     at0 AS (SELECT least(strategies[1], strategies[2]) AS strategy_a, greatest(strategies[1], strategies[2]) AS strategy_b, root, (strategies[1] > strategies[2])::INT AS seat_order, game, (NOT safety)::INT AS completed, coalesce(winner_seat = 1, false)::INT AS first_won FROM g WHERE k = 2 AND strategies[1] <> strategies[2]),
     att AS (SELECT *, strategy_a * 10 + strategy_b AS pair_id, row_number() OVER w - 1 AS attempt, coalesce(sum(completed) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM at0 WINDOW w AS (PARTITION BY strategy_a, strategy_b, root, seat_order ORDER BY game)),
-    bl0 AS (SELECT pair_id, strategy_a, strategy_b, root, seat_order, count(*) AS attempted, sum(completed) AS completed, sum(completed * first_won) AS wins_seat1 FROM att WHERE before < 5 AND attempt < 8 GROUP BY ALL),
-    bl AS (SELECT *, attempted - completed AS safety, greatest(attempted - 5, 0) AS replacements, completed - wins_seat1 AS wins_seat2, CASE WHEN seat_order = 1 THEN completed - wins_seat1 ELSE wins_seat1 END AS wins_a, CASE WHEN seat_order = 1 THEN wins_seat1 ELSE completed - wins_seat1 END AS wins_b, CASE WHEN completed >= 5 THEN 'complete' ELSE 'short' END AS status FROM bl0),
+    bl0 AS (SELECT pair_id, strategy_a, strategy_b, root, seat_order, count(*) AS attempted, sum(completed) AS completed, sum(completed * first_won) AS wins_seat1 FROM att WHERE {used} GROUP BY ALL),
+    bl AS (SELECT *, attempted - completed AS safety, greatest(attempted - {TARGET}, 0) AS replacements, completed - wins_seat1 AS wins_seat2, CASE WHEN seat_order = 1 THEN completed - wins_seat1 ELSE wins_seat1 END AS wins_a, CASE WHEN seat_order = 1 THEN wins_seat1 ELSE completed - wins_seat1 END AS wins_b, CASE WHEN completed >= {TARGET} THEN 'complete' ELSE 'short' END AS status FROM bl0),
     oc AS (SELECT pair_id, strategy_a, strategy_b, sum(attempted) FILTER (seat_order = 0) AS attempted_0, sum(attempted) FILTER (seat_order = 1) AS attempted_1, coalesce(sum(completed) FILTER (seat_order = 0), 0) AS completed_0, coalesce(sum(completed) FILTER (seat_order = 1), 0) AS completed_1,
         coalesce(sum(wins_a) FILTER (seat_order = 0), 0) AS wins_a_0, coalesce(sum(wins_a) FILTER (seat_order = 1), 0) AS wins_a_1, bool_and(status = 'complete') AND count(DISTINCT seat_order) = 2 AS complete FROM bl GROUP BY ALL),
     pd0 AS (SELECT pair_id, strategy_a, strategy_b, sum(completed * CASE WHEN seat_order = 0 THEN first_won ELSE 1 - first_won END) / sum(completed) AS q FROM att GROUP BY ALL HAVING sum(completed) > 0),
@@ -160,9 +161,9 @@ _mirror_out = f"{n('safety_games', 'safety_games')}, {n('matches', 'matches')},
 
 SQL = {
     "exposures": base() + " SELECT game, seat::BIGINT AS seat, strategy::BIGINT AS strategy, score, rank::BIGINT AS rank, winner_seat::BIGINT AS winner_seat, loss_margin, safety FROM e",
-    "combine_k": base() + " SELECT game, k::BIGINT AS k, strategies[1]::BIGINT AS P1_strategy, strategies[2]::BIGINT AS P2_strategy, strategies[3]::BIGINT AS P3_strategy, NULL::BIGINT AS P6_strategy FROM g WHERE k IN (2, 3)",
-    "winner_decode": base() + " SELECT game, winner_seat::BIGINT AS winner_seat, strategies[winner_seat]::BIGINT AS winner_strategy FROM g WHERE k IN (2, 3)",
-    "wide_exposures": base() + f" SELECT k::BIGINT AS k, seat::BIGINT AS seat, {n('count(*)', 'rows')}, {n('sum(score)', 'score')}, {n('sum(winner_seat)', 'winners')} FROM e WHERE k IN (2, 3) GROUP BY k, seat",
+    "combine_k": base() + " SELECT game, k::BIGINT AS k, strategies[1]::BIGINT AS P1_strategy, strategies[2]::BIGINT AS P2_strategy, strategies[3]::BIGINT AS P3_strategy, strategies[6]::BIGINT AS P6_strategy FROM g",
+    "winner_decode": base() + " SELECT game, winner_seat::BIGINT AS winner_seat, strategies[winner_seat]::BIGINT AS winner_strategy FROM g",
+    "wide_exposures": base() + f" SELECT k::BIGINT AS k, seat::BIGINT AS seat, {n('count(*)', 'rows')}, {n('sum(score)', 'score')}, {n('sum(winner_seat)', 'winners')} FROM e GROUP BY k, seat",
     "normalize_ids": f"SELECT event_type, {n('count(t)', 'n')}, {n('count(try_cast(t AS INT))', 'whole')}, {n('max(try_cast(t AS INT))', 'largest')} FROM (SELECT event_type, props::JSON ->> '$.k' AS t FROM events) GROUP BY event_type",
     "parse_strategy_text": "SELECT p_partkey, p_partkey % 7 <> 0 AS parsed, CASE WHEN p_partkey % 7 <> 0 THEN p_size::BIGINT END AS score_threshold, CASE WHEN p_partkey % 7 <> 0 THEN 2::BIGINT END AS dice_threshold, CASE WHEN p_partkey % 7 <> 0 THEN 'SD' END AS smart, CASE WHEN p_partkey % 7 <> 0 THEN 'FO' END AS favor, CASE WHEN p_partkey % 7 <> 0 THEN 'AND' END AS logic, CASE WHEN p_partkey % 7 <> 0 THEN 'H-' END AS hot FROM part",
     "manifest_reconcile": base() + """, f AS (SELECT root, k, batch AS shard, count(*) AS found FROM g GROUP BY ALL),
@@ -200,7 +201,7 @@ SQL = {
     "performance_by_k": _P + f""" SELECT root, k::BIGINT AS k, strategy::BIGINT AS strategy, {n('w', 'wins')}, {n('x', 'exposures')}, {n('completed', 'completed')}, {n('safety_exposures', 'safety_exposures')}, {n('losses', 'losses')}, {n('declared_batches', 'declared_batches')}, {n('batches', 'batches')}, {n('declared_batches - batches', 'excluded_cells')}, {d('rate', 'win_rate')}, {d('CASE WHEN completed > 0 THEN w / completed END', 'win_rate_completed')}, {d('delta', 'delta')},
         {d('wl', 'wilson_low')}, {d('wh', 'wilson_high')}, wh - wl <= 0.03 AS resolved, {d('mcse', 'mcse')}, {d('CASE WHEN mcse IS NOT NULL THEN greatest(rate - crit * mcse, 0) END', 'batch_low')}, {d('CASE WHEN mcse IS NOT NULL THEN least(rate + crit * mcse, 1) END', 'batch_high')} FROM pk""",
     "performance_across_k": _P + f" SELECT root, strategy::BIGINT AS strategy, {n('n_k', 'n_k')}, complete, {n('w', 'wins')}, {n('x', 'exposures')}, {d('score', 'score')}, {d('mcse', 'mcse')}, {d(f'score - {Z} * mcse', 'low')}, {d(f'score + {Z} * mcse', 'high')}, {d('min_delta', 'min_delta')}, {n('worst_k', 'worst_k')} FROM ak",
-    "weighted_across_k": _P + f", x AS (SELECT *, CASE k WHEN 2 THEN 1.0::DOUBLE / 6 WHEN 3 THEN 2.0::DOUBLE / 6 WHEN 4 THEN 3.0::DOUBLE / 6 END AS wt FROM pk) SELECT root, strategy::BIGINT AS strategy, {d('sum(wt * delta)', 'score')}, {d('sqrt(sum(wt * wt * mcse * mcse))', 'mcse')} FROM x WHERE wt IS NOT NULL GROUP BY root, strategy HAVING count(DISTINCT k) = 3",
+    "weighted_across_k": _P + f", x AS (SELECT *, (k - 1)::DOUBLE / 15 AS wt FROM pk) SELECT root, strategy::BIGINT AS strategy, {d('sum(wt * delta)', 'score')}, {d('sqrt(sum(wt * wt * mcse * mcse))', 'mcse')} FROM x GROUP BY root, strategy HAVING count(DISTINCT k) = 5",
     "log_odds_effects": _P + f" SELECT root, k::BIGINT AS k, strategy::BIGINT AS strategy, {d('log_odds', 'log_odds')}, reason FROM lo",
     "log_odds_spread": _P + f" SELECT root, k::BIGINT AS k, {n('count(log_odds)', 'n')}, {d('stddev_samp(log_odds)', 'sd')}, {d('quantile_cont(log_odds, 0.75) - quantile_cont(log_odds, 0.25)', 'iqr')}, {d('max(log_odds) - quantile_cont(log_odds, 0.5)', 'top_gap')} FROM lo GROUP BY root, k",
     "k_pair_contrast": _P + f" SELECT a.root, a.strategy::BIGINT AS strategy, a.k::BIGINT AS k_a, b.k::BIGINT AS k_b, {d('b.log_odds - a.log_odds', 'contrast')} FROM lo a JOIN lo b ON a.root = b.root AND a.strategy = b.strategy AND a.k < b.k",
@@ -240,7 +241,7 @@ SQL = {
     "pair_schedule": base(10) + ", s AS (SELECT DISTINCT strategy FROM e), p AS (SELECT a.strategy AS sa, b.strategy AS sb, row_number() OVER (ORDER BY a.strategy, b.strategy) - 1 AS pair_id FROM s a JOIN s b ON a.strategy < b.strategy) SELECT pair_id, sa::BIGINT AS strategy_a, sb::BIGINT AS strategy_b, root, so::BIGINT AS seat_order, CASE so WHEN 0 THEN sa ELSE sb END::BIGINT AS seat1, CASE so WHEN 0 THEN sb ELSE sa END::BIGINT AS seat2, substr(md5(concat_ws(':', sa, sb, root, so)), 1, 16) AS block_id, 100::BIGINT AS target FROM p, (SELECT DISTINCT root FROM e), unnest([0, 1]) u(so)",
     "schedule_coverage": attempts() + """, s AS (SELECT a.strategy * 10 + b.strategy AS pair_id, root, so AS seat_order FROM nd a JOIN nd b ON a.strategy < b.strategy, (SELECT DISTINCT root FROM e), unnest([0, 1]) u(so)), x AS (SELECT pair_id, root, seat_order, pair_id = 13 AS bad FROM bl WHERE pair_id % 5 <> 2)
         SELECT pair_id::BIGINT AS pair_id, root, seat_order::BIGINT AS seat_order, CASE WHEN bad IS NULL THEN 'missing' ELSE 'inconsistent' END AS issue FROM s LEFT JOIN x USING (pair_id, root, seat_order) WHERE bad IS NULL OR bad""",
-    "prefix_until_target": attempts() + f" SELECT pair_id::BIGINT AS pair_id, strategy_a::BIGINT AS strategy_a, strategy_b::BIGINT AS strategy_b, root, seat_order::BIGINT AS seat_order, {', '.join(n(c, c) for c in ('attempted', 'completed', 'safety', 'replacements', 'wins_seat1', 'wins_seat2', 'wins_a', 'wins_b'))}, status FROM bl",
+    "prefix_until_target": attempts(f"before < {TARGET} AND attempt < {CAP}") + f" SELECT pair_id::BIGINT AS pair_id, strategy_a::BIGINT AS strategy_a, strategy_b::BIGINT AS strategy_b, root, seat_order::BIGINT AS seat_order, {', '.join(n(c, c) for c in ('attempted', 'completed', 'safety', 'replacements', 'wins_seat1', 'wins_seat2', 'wins_a', 'wins_b'))}, status FROM bl",
     "order_combine": attempts() + f" SELECT pair_id::BIGINT AS pair_id, strategy_a::BIGINT AS strategy_a, strategy_b::BIGINT AS strategy_b, {n('coalesce(attempted_0, 0)', 'attempted_0')}, {n('coalesce(attempted_1, 0)', 'attempted_1')}, {', '.join(n(c, c) for c in ('completed_0', 'completed_1', 'wins_a_0', 'wins_a_1'))}, {d('completed_0 / attempted_0', 'completion_0')}, {d('completed_1 / attempted_1', 'completion_1')}, complete FROM oc",
     "viability": attempts() + f", x AS (SELECT strategy_a AS s, * FROM bl UNION ALL SELECT strategy_b AS s, * FROM bl) SELECT s::BIGINT AS strategy, {n('sum(attempted)', 'attempted')}, {n('sum(completed)', 'completed')}, bool_and(status = 'complete') AS inferential, {d('sum(completed) / sum(attempted)', 'rate')}, sum(completed) / sum(attempted) >= 0.95 AS operational FROM x GROUP BY s",
     "root_agreement": attempts() + f" SELECT pair_id::BIGINT AS pair_id, {d('d_0', 'd_0')}, {d('d_1', 'd_1')}, {d('d_0 - d_1', 'discrepancy')}, sign(d_0) = sign(d_1) AS direction_agrees, abs(d_0 - d_1) > 0.03 AS practical_difference FROM rg",

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def incremental_sums(stream: DataFrame, folder: str, keys: list[str], sums: list[str], coordinates: list[str]) -> DataFrame:
+def incremental_sums(stream: DataFrame, folder: str, keys: list[str], sums: list[str], coordinates: list[str], time: str | None = None, late: str = "1 day") -> DataFrame:
     """Drain the stream and return the sums of `sums` and the row count per key, each coordinate counted once.
 
     A batch adds to the state of the batch before and writes a state of its own, so a repeated batch writes the
-    same rows again; a later call with the same folder goes on where this one stopped.
+    same rows again; a later call with the same folder goes on where this one stopped, and without new files gives the
+    sums that are kept. With `time` coordinates are remembered as long as rows may come late; without it all are, which is
+    exact and grows with the stream. No rows yet: no sums.
     """
     spark = stream.sparkSession
 
@@ -19,16 +21,26 @@ def incremental_sums(stream: DataFrame, folder: str, keys: list[str], sums: list
         there = epoch >= 0 and path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
         return spark.read.parquet(f"{folder}/state-{epoch}") if there else None
 
+    def kept() -> list[int]:
+        """Epochs with a whole state."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/state-*/_SUCCESS")
+        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+        return [int(f.getPath().getParent().getName().removeprefix("state-")) for f in found or []]
+
+    def merged(batch: DataFrame) -> DataFrame:
+        return batch.groupBy(*keys).agg(F.count("*").alias("rows"), *[F.sum(c).alias(c) for c in sums])
+
     def merge(batch: DataFrame, epoch: int) -> None:
-        new = batch.groupBy(*keys).agg(F.count("*").alias("rows"), *[F.sum(c).alias(c) for c in sums])
+        new = merged(batch)
         old = state(epoch - 1)
         all_rows = new if old is None else old.unionByName(new)
         all_rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("rows", *sums)]).write.mode("overwrite").parquet(f"{folder}/state-{epoch}")
 
-    query = stream.dropDuplicates(coordinates).writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    once = stream.dropDuplicates(coordinates) if time is None else stream.withWatermark(time, late).dropDuplicatesWithinWatermark(coordinates)
+    query = once.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress
-    return state(int(last["batchId"])) if last else None
+    newest = max(kept(), default=-1)
+    return merged(stream.sparkSession.createDataFrame([], stream.schema)) if newest < 0 else state(newest)
 
 
 def windowed_counts(stream: DataFrame, time: str, keys: list[str], width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

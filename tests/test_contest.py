@@ -179,6 +179,42 @@ def test_incremental_sums_are_idempotent(spark, tmp_path):
     spark.createDataFrame([(1, "a", 5), (3, "a", 4)], schema).write.mode("append").parquet(str(src))
     got = by(call(), "key")
     assert (got["a"]["x"], got["a"]["rows"], got["b"]["x"]) == (9, 2, 7)
+    assert by(call(), "key") == got  # no new file: the sums that are kept
+
+
+def test_incremental_sums_without_files(spark, tmp_path):
+    from tallyforge.streaming import incremental
+
+    (tmp_path / "in").mkdir()
+    stream = incremental.file_stream(spark, str(tmp_path / "in"), "id long, key string, x long")
+    assert incremental.incremental_sums(stream, str(tmp_path / "state"), ["key"], ["x"], ["id"]).collect() == []
+
+
+def test_weights_must_cover_every_k(spark):
+    rows = spark.createDataFrame([(0, k, 1, 0.1, 0.01) for k in (2, 3)], "root int, k int, strategy int, delta double, mcse double")
+    assert performance.weighted_across_k(rows, {2: 1, 3: 3, 4: 5}).count() == 0  # a weighted k that the strategy lacks
+    assert performance.weighted_across_k(rows, {2: 1, 3: 3}).first()["score"] == pytest.approx(0.1)
+    for weights in ({2: 1}, {2: 1, 3: 0}, {2: 1, 3: -1}):
+        with pytest.raises(ValueError):
+            performance.weighted_across_k(rows, weights)
+
+
+def test_every_item_of_an_order_of_several_is_a_seat(spark, sf_dir):
+    e = contest.exposures(spark, sf_dir)
+    orders = contest.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").count()
+    assert e.count() == orders.where("count > 1").agg(F.sum("count")).first()[0]
+    seats = e.groupBy("game").agg(F.count("*").alias("n"), F.first("k").alias("k"), F.min("seat").alias("low"), F.max("seat").alias("high"))
+    assert seats.where("n != k or low != 1 or high != k or k not between 2 and 6").count() == 0
+    assert e.select("game").distinct().count() == orders.where("count > 1").agg(F.sum(F.ceil(F.col("count") / 6))).first()[0]
+
+
+def test_ids_that_repeat_across_roots_are_different_games(spark):
+    rows = [(r, 2, 7, s, s, 10 * s + 100 * r, s, False, 1) for r in (0, 1) for s in (1, 2)]
+    e = spark.createDataFrame(rows, "root int, k int, game long, seat int, strategy int, score long, rank int, safety boolean, winner_seat int")
+    assert {r["margin"] for r in gamestats.with_margins(e).collect()} == {10}
+    one = by(ratings.ratings_batch(e.where("root = 0"), rounds=3), "strategy")
+    both = by(ratings.ratings_batch(e, rounds=3).where("root = 0"), "strategy")
+    assert {k: v["mu"] for k, v in one.items()} == pytest.approx({k: v["mu"] for k, v in both.items()})
 
 
 def test_binned_quantile_counts_the_whole_bin(spark):
