@@ -106,7 +106,7 @@ def attempts(used: str = "true") -> str:
     cf AS (SELECT DISTINCT component, 1 AS front FROM cg UNION SELECT b, front + 1 FROM cf JOIN cl ON a = cf.component),
     fr AS (SELECT component, max(front) AS front FROM cf GROUP BY component),
     sd AS (SELECT strategy_a AS strategy, q AS rate, decision = 'practical_dominance_a' AS won, decision = 'practical_dominance_b' AS lost, pair_id FROM pd UNION ALL SELECT strategy_b, 1 - q, decision = 'practical_dominance_b', decision = 'practical_dominance_a', pair_id FROM pd),
-    rs AS (SELECT strategy, avg(rate) AS mean_rate, sum(won::INT) AS wins, sum(lost::INT) AS losses FROM sd GROUP BY strategy),
+    rs AS (SELECT strategy, avg(rate) AS mean_rate, sum(won::INT) AS wins, sum(lost::INT) AS losses, bool_and(complete) AS eligible FROM sd JOIN (SELECT pair_id, complete FROM oc) USING (pair_id) GROUP BY strategy),
     f10 AS (SELECT strategy, row_number() OVER (ORDER BY round(avg(won), 9) DESC, strategy) AS rate_rank, row_number() OVER (ORDER BY sum(score) DESC, strategy) AS rating_rank FROM e GROUP BY strategy),
     pa AS (SELECT pair_id, strategy_a, strategy_b, decision, CASE WHEN a.rate_rank < b.rate_rank THEN 'a' ELSE 'b' END AS by_rate, CASE WHEN a.rating_rank < b.rating_rank THEN 'a' ELSE 'b' END AS by_rating, CASE WHEN d > 0 THEN 'a' WHEN d < 0 THEN 'b' END AS by_h2h
         FROM pd JOIN f10 a ON a.strategy = strategy_a JOIN f10 b ON b.strategy = strategy_b),
@@ -248,7 +248,7 @@ SQL = {
     "holm_adjust": attempts() + f", x AS (SELECT pair_id, CASE WHEN pair_id % 7 <> 0 THEN round(exp(-40 * d * d), 6) END AS p FROM pd), y AS (SELECT *, least(coalesce(p, 1) * (count(*) OVER () - row_number() OVER (ORDER BY coalesce(p, 1), pair_id) + 1), 1) AS s FROM x), z AS (SELECT *, max(s) OVER (ORDER BY coalesce(p, 1), pair_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h FROM y) SELECT pair_id::BIGINT AS pair_id, {d('p', 'p')}, {d('h', 'holm_p')}, h <= 0.02 AS holm_reject FROM z",
     "decision_table": attempts() + f" SELECT decision, {n('count(*)', 'pairs')}, {d('avg(abs(d))', 'mean_effect')} FROM pd GROUP BY decision",
     "win_edges": attempts() + f" SELECT src::BIGINT AS src, dst::BIGINT AS dst, kind, {d('distance', 'distance')} FROM ed",
-    "round_robin_scores": attempts() + f" SELECT strategy::BIGINT AS strategy, {d('mean_rate', 'mean_rate')}, {n('wins', 'wins')}, {n('losses', 'losses')}, false AS eligible, {n('wins - losses', 'net')} FROM rs",
+    "round_robin_scores": attempts() + f" SELECT strategy::BIGINT AS strategy, {d('mean_rate', 'mean_rate')}, {n('wins', 'wins')}, {n('losses', 'losses')}, eligible, {n('wins - losses', 'net')} FROM rs",
     "cycle_groups": attempts() + " SELECT strategy::BIGINT AS strategy, component::BIGINT AS component, count(*) OVER (PARTITION BY component) AS size FROM cg",
     "dominance_fronts": attempts() + " SELECT strategy::BIGINT AS strategy, component::BIGINT AS component, front::BIGINT AS front FROM cg JOIN fr USING (component)",
     "unique_best": attempts() + " SELECT src::BIGINT AS strategy, count(DISTINCT dst) AS beats FROM pe GROUP BY src HAVING count(DISTINCT dst) = (SELECT count(*) - 1 FROM rs)",
