@@ -246,23 +246,30 @@ def learn(docs: DataFrame, text_col: str = "text", fit_rows: int = FIT_ROWS) ->
     return {"trees": trees, "cut": cut}
 
 
-def added_spans(text: str, base: list[tuple[str, int, int]], model: dict) -> list[tuple[str, int, int]]:
-    """Candidates over their kind's threshold that touch no base span, the likeliest first; a candidate that overlaps
-    one taken before is left out (ties: the earlier, then the longer one)."""
-    fixed = Taken([s[1:] for s in base])
-    some = [s for s in proposals(text) if s[0] in model["cut"] and not fixed.shared(s[1], s[2])] if model["cut"] else []
-    if not some:
-        return []
-    p = probability(model["trees"], np.array([features(text, s) for s in some]))
-    taken: list[tuple[str, int, int]] = []
-    order: list[tuple[int, int]] = []  # of taken spans, which are apart from each other
-    for i in sorted(range(len(some)), key=lambda i: (-p[i], some[i][1], -some[i][2])):
-        kind, start, end = some[i]
-        at = bisect_left(order, (start, end))
-        if p[i] >= model["cut"][kind] and (at == 0 or order[at - 1][1] <= start) and (at == len(order) or order[at][0] >= end):
-            taken.append(some[i])
-            order.insert(at, (start, end))
-    return sorted(taken, key=lambda s: (KINDS.index(s[0]), s[1]))
+def added_spans(texts: list[str], bases: list[list[tuple[str, int, int]]], model: dict) -> list[list[tuple[str, int, int]]]:
+    """Of each text the candidates over their kind's threshold that touch none of its base spans, the likeliest first; a
+    candidate that overlaps one taken before is left out (ties: the earlier, then the longer one). The trees are asked
+    once for the candidates of all texts."""
+    some: list[list[tuple[str, int, int]]] = []
+    for text, base in zip(texts, bases):
+        fixed = Taken([s[1:] for s in base])
+        some.append([s for s in proposals(text) if s[0] in model["cut"] and not fixed.shared(s[1], s[2])] if model["cut"] else [])
+    if not any(some):
+        return some
+    scores, at, out = probability(model["trees"], np.array([features(t, s) for t, mine in zip(texts, some) for s in mine])), 0, []
+    for mine in some:
+        p = scores[at : at + len(mine)]
+        at += len(mine)
+        taken: list[tuple[str, int, int]] = []
+        order: list[tuple[int, int]] = []  # of taken spans, which are apart from each other
+        for i in sorted((i for i in range(len(mine)) if p[i] >= model["cut"][mine[i][0]]), key=lambda i: (-p[i], mine[i][1], -mine[i][2])):
+            _, start, end = mine[i]
+            k = bisect_left(order, (start, end))
+            if (k == 0 or order[k - 1][1] <= start) and (k == len(order) or order[k][0] >= end):
+                taken.append(mine[i])
+                order.insert(k, (start, end))
+        out.append(sorted(taken, key=lambda s: (KINDS.index(s[0]), s[1])))
+    return out
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
@@ -290,9 +297,10 @@ def find(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
         cols = [[] for _ in range(7)]
-        for text in rows.column(1).to_pylist():
-            base = base_spans(text or "")
-            spans = base + added_spans(text or "", base, shipped.value)
+        texts = rows.column(1).to_pylist()
+        bases = [base_spans(t or "") for t in texts]
+        for text, base, more in zip(texts, bases, added_spans([t or "" for t in texts], bases, shipped.value)):
+            spans = base + more
             for col, k in zip(cols, BASE_KINDS):
                 col.append(sum(s[0] == k for s in base))
             cols[4].append(hashlib.sha256(joined(base).encode()).hexdigest())
@@ -310,12 +318,11 @@ def redact(docs: DataFrame, model: dict, text_col: str = "text", size_col: str =
     shipped, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
     size = docs.columns.index(size_col) if size_col in docs.columns else None
 
-    def clean(text: str | None) -> str | None:
-        base = base_spans(text) if text else []
-        return redacted(text, base + added_spans(text, base, shipped.value)) if text else text
-
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
-        texts, cols = [clean(t) for t in rows.column(at).to_pylist()], list(rows.columns)
+        before, cols = rows.column(at).to_pylist(), list(rows.columns)
+        bases = [base_spans(t or "") for t in before]
+        added = added_spans([t or "" for t in before], bases, shipped.value)
+        texts = [redacted(t, base + more) if t else t for t, base, more in zip(before, bases, added)]
         if size is not None:
             was = cols[size].to_pylist()
             cols[size] = pa.array([w if t is None else len(t) for w, t in zip(was, texts)], cols[size].type)
