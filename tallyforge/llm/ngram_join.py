@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -202,10 +202,17 @@ def _segments(docs: DataFrame, wanted: DataFrame, size: int, shared: frozenset[i
     return arrow_map(few.select("text"), batch, "node long, fragment int, segment array<long>")
 
 
+def _of(segments: DataFrame, nodes: list[DataFrame]) -> DataFrame:
+    """The segments of the nodes in the columns `node` of some tables. Their list is written first, so that a short one is
+    broadcast (below Spark's own limit) instead of all segments being shuffled."""
+    need = written(reduce(DataFrame.union, [x.select("node") for x in nodes]).distinct(), "need")
+    return segments.join(need, "node", "left_semi")
+
+
 def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, na, ca, b, nb, cb) those that reach the threshold, as links of their components: the partial overlaps
     of the fragments, summed per pair."""
-    left, right = (segments.select(F.col("node").alias(x), "fragment", F.col("segment").alias(f"s{x}")) for x in "ab")
+    left, right = (_of(segments, [pairs.select(F.col(x).alias("node"))]).select(F.col("node").alias(x), "fragment", F.col("segment").alias(f"s{x}")) for x in "ab")
     who = ["a", "na", "ca", "b", "nb", "cb"]
     partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select(*who, F.size(F.array_intersect("sa", "sb")).alias("part"))
     overlap = partial.groupBy(*who).agg(F.sum("part").alias("overlap"))
@@ -257,6 +264,7 @@ def _block_links(now: DataFrame, segments: DataFrame, percent: int) -> DataFrame
     cluster = components(now.join(hub, "g").select(F.col("node").alias("a"), "b")).select(F.col("id").alias("node"), F.col("comp").alias("cluster"))
     sets = written(now.select("node", "n", "comp").distinct().join(cluster, "node"), "clusters")
     most = sets.groupBy("cluster", "comp").count().groupBy("cluster").agg(F.max_by("comp", F.struct("count", "comp")).alias("most"))
+    segments = _of(segments, [sets])
     blocks = lambda rows: F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int")
     sizes = sets.groupBy("cluster").agg(blocks(sets).alias("nb"))
     few = sets.join(most, "cluster").where("comp != most").drop("most")
