@@ -192,14 +192,15 @@ def retrieved(seq: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(starts), np.concatenate(found)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def distances(seq: np.ndarray, starts: np.ndarray, item: np.ndarray) -> np.ndarray:
-    """Least edit distance of an item to a stretch of the words around each start (both of its ends are free)."""
-    n, k = len(item), allowed(len(item))
+def distances(seq: np.ndarray, starts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Least edit distance of the item in each row of `wanted`, all of one length, to a stretch of the words around the
+    row's start (both of its ends are free)."""
+    n, k = wanted.shape[1], allowed(wanted.shape[1])
     columns = starts[:, None] - k + np.arange(n + 3 * k + 1)
     text = np.where((columns >= 0) & (columns < len(seq)), seq[np.clip(columns, 0, len(seq) - 1)], np.uint64(0))
     step, row = np.arange(text.shape[1] + 1), np.zeros((len(starts), text.shape[1] + 1), np.int64)
-    for i, word in enumerate(item):
-        new = np.minimum(row[:, 1:] + 1, row[:, :-1] + (text != word))
+    for i in range(n):
+        new = np.minimum(row[:, 1:] + 1, row[:, :-1] + (text != wanted[:, i : i + 1]))
         new = np.concatenate([np.full((len(starts), 1), i + 1), new], axis=1)
         row = np.minimum.accumulate(new - step, axis=1) + step
     return row.min(1)
@@ -222,14 +223,15 @@ def matches(texts: list[str | None], items: Items) -> list[tuple[int, int, int]]
     text = np.searchsorted(ends - len(gap) // 2, starts, "right")  # a start shortly before a text is that text's
     found, first = items.stretches[found].T
     starts = starts - first  # where the item starts, give or take its edits; the gaps hold what lies outside the text
-    for i in np.unique(found):
-        mine = found == i
-        k = allowed(len(items.words[i]))
-        place = np.unique(np.stack([text[mine], starts[mine] // (k + 1)]), axis=1, return_index=True)[1]
-        some = max(1, (1 << 19) // len(items.words[i]))
+    lengths = np.array([len(w) for w in items.words])[found]
+    for n in np.unique(lengths):
+        mine, k = lengths == n, allowed(n)
+        place = np.unique(np.stack([text[mine], found[mine], starts[mine] // (k + 1)]), axis=1, return_index=True)[1]
+        some = max(1, (1 << 19) // int(n))
         for at in range(0, len(place), some):
             rows = np.flatnonzero(mine)[place[at : at + some]]
-            for t, d in zip(text[rows], distances(seq, starts[rows], items.words[i])):
+            wanted = np.stack([items.words[i] for i in found[rows]])
+            for t, i, d in zip(text[rows], found[rows], distances(seq, starts[rows], wanted)):
                 if d <= k:
                     best[int(t), int(i)] = min(int(d), best.get((int(t), int(i)), k))
     return [(*key, d) for key, d in sorted(best.items())]

@@ -132,7 +132,8 @@ def labelled(text: str) -> list[tuple[tuple[str, int, int], int]]:
     for kind, start, end in proposals(text):
         body, before = text[start:end], text[max(0, start - 24) : start]
         shared = base.shared(start, end)
-        digits, near = sum(map(str.isdigit, body)), bool(NEAR.search(before))
+        digits = 0 if body.isalpha() else sum(map(str.isdigit, body))
+        near = kind != "secret" and bool(NEAR.search(before))
         if shared >= 0.8 * (end - start):
             y = 1
         elif kind == "secret":
