@@ -41,6 +41,8 @@ def bands_for(piece: int) -> int:
 #: Characters of the templates whose keys go into one plan, as three constant arrays; more templates take more passes over
 #: the documents. A character makes about a quarter of a key at most.
 PART_CHARS = 1 << 20
+#: Slots for keys, at least, as a power of two: few keys then leave most slots empty, and a look at one settles most shingles.
+SLOT_BITS = 13
 _RANDOM = random.Random(1)
 _MASKS = [_RANDOM.getrandbits(64) - 2**63 for _ in range(bands_for(WHOLE))]
 
@@ -109,7 +111,7 @@ def _found(columns: list[str], keys: dict[int, list[int]]) -> Column:
     one is the minimum of a window if no member of that window is smaller. Keys lie in slots by their low bits; a
     slot's keys are neighbours, from ends[slot] to ends[slot + 1].
     """
-    slots = 1 << (2 * len(keys)).bit_length()
+    slots = 1 << max(SLOT_BITS, (2 * len(keys)).bit_length())
     flat = sorted((key & (slots - 1), key, license) for key, of in keys.items() for license in of)
     ends = np.searchsorted([f[0] for f in flat], np.arange(slots + 1)).tolist()
     ends, key_at, license_at = _constant(ends, "int"), _constant([f[1] for f in flat], "long"), _constant([f[2] for f in flat], "int")
