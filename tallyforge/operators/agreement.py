@@ -44,7 +44,7 @@ def pair_agreement(decisions: DataFrame, ranks: DataFrame) -> DataFrame:
     """Per pair the side that the win rate, the rating and the head-to-head effect prefer (a, b or NULL), and three agreement
     flags, NULL where a side is. ranks: strategy, rate_rank, rating_rank."""
     side = lambda p: ranks.select(F.col("strategy").alias(f"strategy_{p}"), F.col("rate_rank").alias(f"rate_{p}"), F.col("rating_rank").alias(f"rating_{p}"))
-    x = decisions.select("pair_id", "strategy_a", "strategy_b", "d", "decision").join(F.broadcast(side("a")), "strategy_a", "left").join(F.broadcast(side("b")), "strategy_b", "left")
+    x = decisions.select("pair_id", "strategy_a", "strategy_b", "d", "decision").join(side("a"), "strategy_a", "left").join(side("b"), "strategy_b", "left")
     pick = lambda a, b: F.when(a < b, "a").when(a > b, "b")
     x = x.withColumn("by_rate", pick(F.col("rate_a"), F.col("rate_b"))).withColumn("by_rating", pick(F.col("rating_a"), F.col("rating_b"))).withColumn("by_h2h", F.when(F.col("d") > 0, "a").when(F.col("d") < 0, "b"))
     return x.select("pair_id", "strategy_a", "strategy_b", "decision", "by_rate", "by_rating", "by_h2h", (F.col("by_rate") == F.col("by_rating")).alias("rate_rating"), (F.col("by_rate") == F.col("by_h2h")).alias("rate_h2h"), (F.col("by_rating") == F.col("by_h2h")).alias("rating_h2h"))

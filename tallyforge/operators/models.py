@@ -9,6 +9,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators.graph import settled
+
 
 def feature_table(manifest: DataFrame, ids: DataFrame, features: list[str]) -> DataFrame:
     """ids (strategy) with numeric features from the manifest; an id that the manifest lacks has found = false."""
@@ -33,7 +35,7 @@ def _assembled(rows: DataFrame, features: list[str]) -> DataFrame:
 
 def kfold_predictions(rows: DataFrame, features: list[str], target: str, folds: int = 3, trees: int = 10, depth: int = 3) -> DataFrame:
     """strategy, fold, target and held-out prediction, each fold predicted by a model of the others."""
-    x, out = _assembled(with_folds(rows, folds), features).cache(), None
+    x, out = settled(_assembled(with_folds(rows, folds), features)), None
     for f in range(folds):
         part = _model(x.where(F.col("fold") != f), features, target, trees, depth).transform(x.where(F.col("fold") == f)).select("strategy", "fold", target, "prediction")
         out = part if out is None else out.unionByName(part)
@@ -50,7 +52,7 @@ def regression_scores(predictions: DataFrame, target: str) -> DataFrame:
 def permutation_importance(rows: DataFrame, features: list[str], target: str, folds: int = 2, repeats: int = 2, trees: int = 5, depth: int = 3) -> DataFrame:
     """Per feature: mean over folds and repeats of the rise in held-out absolute error when the feature's values change places
     (by md5 order), the sd over folds and the mean sd over repeats. All shuffled copies are scored in one pass a fold."""
-    x, out = with_folds(rows, folds).cache(), None
+    x, out = settled(with_folds(rows, folds)), None
     for f in range(folds):
         model = _model(_assembled(x.where(F.col("fold") != f), features), features, target, trees, depth)
         held = x.where(F.col("fold") == f).withColumn("at", F.row_number().over(Window.orderBy("strategy")))
@@ -58,7 +60,7 @@ def permutation_importance(rows: DataFrame, features: list[str], target: str, fo
         key = F.md5(F.concat_ws(":", "feature", F.col("repeat").cast("string"), F.col("strategy").cast("string")))
         places = plans.withColumn("take", F.row_number().over(Window.partitionBy("feature", "repeat").orderBy(key)))
         given = held.select(F.col("at").alias("take"), *[F.col(c).alias(f"{c}_other") for c in features])
-        swapped = places.join(F.broadcast(given), "take").select("strategy", target, "feature", "repeat", *[F.when(F.col("feature") == c, F.col(f"{c}_other")).otherwise(F.col(c)).alias(c) for c in features])
+        swapped = places.join(given, "take").select("strategy", target, "feature", "repeat", *[F.when(F.col("feature") == c, F.col(f"{c}_other")).otherwise(F.col(c)).alias(c) for c in features])
         base = model.transform(_assembled(held, features)).agg(F.avg(F.abs(F.col(target) - F.col("prediction"))).alias("base"))
         part = model.transform(_assembled(swapped, features)).groupBy("feature", "repeat").agg(F.avg(F.abs(F.col(target) - F.col("prediction"))).alias("mae")).crossJoin(F.broadcast(base)).select("feature", F.lit(f).alias("fold"), (F.col("mae") - F.col("base")).alias("rise"))
         out = part if out is None else out.unionByName(part)

@@ -19,7 +19,7 @@ def usable_cells(metrics: DataFrame) -> DataFrame:
     cells = metrics.where("exposures > 0").groupBy("root", "k", "batch").agg(F.count("*").alias("n"))
     full = metrics.groupBy("root", "k").agg(F.countDistinct("strategy").alias("all_n"))
     good = cells.join(F.broadcast(full), ["root", "k"]).where("n = all_n").select("root", "k", "batch", (F.row_number().over(Window.partitionBy("root", "k").orderBy("batch")) - 1).alias("pos"))
-    return metrics.join(F.broadcast(good), ["root", "k", "batch"]).select("root", "k", "pos", "strategy", "wins", "exposures")
+    return metrics.join(good, ["root", "k", "batch"]).select("root", "k", "pos", "strategy", "wins", "exposures")
 
 
 def multiplicities(cells: DataFrame, replicates: int) -> DataFrame:

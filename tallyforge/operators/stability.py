@@ -40,7 +40,7 @@ def positioned(metrics: DataFrame) -> DataFrame:
     """Adds pos (from 0) and n_batches of each batch in its root and k."""
     cells = metrics.select("root", "k", "batch").distinct()
     cells = cells.withColumn("pos", F.row_number().over(Window.partitionBy("root", "k").orderBy("batch")) - 1).withColumn("n_batches", F.count("*").over(Window.partitionBy("root", "k")))
-    return metrics.join(F.broadcast(cells), ["root", "k", "batch"])
+    return metrics.join(cells, ["root", "k", "batch"])
 
 
 def half_drift(metrics: DataFrame) -> DataFrame:
