@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyforge.llm import components, decontam, langid, license_scan, media, mixing, ngram_join, pii, quality, queries, tokens, warc
-from tallyforge.llm.shared import id_bucket, table, written
+from tallyforge.llm.shared import CLEANUP, id_bucket, table, written
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 AWKWARD = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "the cat", "en", "s", 7), (2, "", "en", "s", 0), (3, "  \n ", "en", None, 4), (4, "ünï " * 30000, "de", "s", 1), (5, "123 %%%", "en", "s", 7)]
@@ -334,11 +334,23 @@ def test_groups_of_awkward_rows(spark, awkward):
     assert ngram_join.similar_groups(awkward.limit(0)).count() == 0
 
 
+def test_written_tables_leave_the_setting_and_the_frame_usable(spark):
+    before = spark.conf.get(CLEANUP)
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    assert df.count() == 7
+    first, second = written(df, "t"), written(df, "t")
+    assert spark.conf.get(CLEANUP) == before
+    assert sorted(first.collect()) == sorted(second.collect()) == sorted(df.collect())
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        written(df.select(F.expr("raise_error('DIVIDE_BY_ZERO')").alias("x")), "t")
+    assert spark.conf.get(CLEANUP) == before
+
+
 def test_texts_under_one_id_are_different_documents(spark, sf_dir):
     rng, words = random.Random(8), vocabulary(8)
     a, b, c = (" ".join(rng.choices(words, k=60)) for _ in range(3))
     rows = [(2, a, None, None, 1), (2, b, None, None, 2), (2, a, None, None, 3), (1, b + " more", None, None, 4), (None, c, None, None, 5), (None, c, None, None, 6), (None, a, None, None, 7), (None, None, None, None, 8)]
-    df = spark.createDataFrame(rows, DOCS).withColumn("row_key", F.lit("x"))
+    df = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("x") for c in ("row_key", "Mark_0", "mark_1")})
     out = corpus_pipeline.near_duplicates(spark, df, sf_dir)
     assert out.columns == df.columns
     assert sorted(str((r["doc_id"], r["text"])) for r in out.collect()) == sorted(map(str, [(2, a), (1, b + " more"), (None, c), (None, None)]))
