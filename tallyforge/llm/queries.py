@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontam, langid, license_scan, media, mixing, ngram_join, pii, quality, tokens, warc
-from tallyforge.llm.queries_sql import license_sql, mixing_sql
+from tallyforge.llm import decontam, langid, license_scan, media, mixing, ngram_join, packing, phrases, pii, quality, spelling, tokens, warc
+from tallyforge.llm.queries_sql import license_sql, mixing_sql, phrases_sql, spelling_sql
 from tallyforge.llm.shared import id_bucket, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -79,11 +79,32 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"), 3, 90)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mixing, op3_language_id, op4_media_columns, op5_token_counts, op6_warc, op7_decontamination, op8_quality, op9_pii, op10_ngram_jaccard)}
+#: Of the runs of op11's contract one in so many loses a character.
+THIN = 199
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all texts with their variants."""
+    return spelling.variants(table(spark, sf_dir, "documents"), thin=THIN)
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's collocations, counted over all texts."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mixing, op3_language_id, op4_media_columns, op5_token_counts, op6_warc, op7_decontamination, op8_quality, op9_pii, op10_ngram_jaccard, op11_spelling_variants, op12_best_fit_packing, op13_phrase_collocations)}
 
 SQL = {
     "op1_license_scan": license_sql(license_scan.TEMPLATES),
     "op2_mixing": mixing_sql("CASE WHEN source = 'src0' THEN 'web' WHEN source IN ('" + "', '".join(BOOKS) + "') THEN 'books' ELSE 'forum' END", WEIGHTS, (6, 10), mixing.EPOCHS, 2),
+    "op11_spelling_variants": spelling_sql(THIN),
+    "op13_phrase_collocations": phrases_sql(),
     "op6_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
         t AS (SELECT html AS g, max(page_id) AS top FROM p GROUP BY html),
