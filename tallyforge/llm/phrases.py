@@ -1,31 +1,34 @@
 """Phrase collocation mining (operator 13) by vertical partitioning of a depth-truncated suffix tree.
 
-The suffixes of all texts, cut off after `depth` words, form a tree; a phrase's count is the total of the leaves below its
+The suffixes of all texts, cut off after three words, form a tree; a phrase's count is the total of the leaves below its
 node. The tree is cut into subtrees by word prefixes: a first pass counts single words; a word that begins more suffixes
-than one task's budget is extended by a second word, and those pairs are counted; a pair that is still too frequent
-is extended to three words, which is a leaf. Prefixes are then grouped so that a group's suffixes fit the budget: the frequent
-ones are told apart by their own bounded table, the others dealt by hash into as many groups as the budget asks for. Each
-group's subtree is built on its own, from sorted leaves, and its counts are final: no node is split over groups.
+than one task's budget is extended by a second word; a pair that still does is extended to three words, which is a leaf.
+Prefixes are then grouped so that a group's suffixes fit the budget: frequent ones are told apart by their own bounded table,
+all are dealt by hash into as many groups as the budget asks for. A task hands on its leaves with totals, those of a group as
+one compressed value. Each group's subtree is built on its own, from sorted leaves, and its counts are final but for the few
+pairs that are spread over groups.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm.shared import written
+from tallyforge.llm.words import BASE, mix
 
 #: Bytes that end a piece, and those between words (A-Z become a-z on the way).
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 TO_PIECES = bytes.maketrans(ENDS + b"\t", b"\n" * len(ENDS) + b" ")
-#: Suffixes of a group; prefixes that are extended, at most (so a larger corpus has larger budgets); bytes of text split at once;
+#: Suffixes of a group; prefixes of a length that are extended, at most (they are shipped to all tasks, some 50 MB; a corpus of more than
+#: EXTENDED x BUDGET / 2 words has larger groups); bytes of text split at once;
 #: suffixes that a task holds before it hands their leaves on, and how many different words.
-BUDGET, EXTENDED, AT_ONCE, HELD, WORDS = 1_000_000, 4096, 1 << 20, 1_000_000, 1 << 20
+BUDGET, EXTENDED, AT_ONCE, HELD, WORDS = 1_000_000, 1 << 20, 1 << 20, 2_000_000, 1 << 20
 #: Salts of the last ranking.
 SALTS = 16
 
@@ -82,7 +85,7 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Leaves]]:
             mine.add(text.as_py() or "")
             if mine.full():
                 yield lang, held.pop(lang)
-            if sum(len(x.word) + len(x.stream) for x in held.values()) > 2 * HELD:
+            if sum(len(x.word) + len(x.stream) for x in held.values()) > HELD:
                 yield from held.items()
                 held.clear()
     yield from held.items()
@@ -103,7 +106,7 @@ def word_totals(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
 
-def _chosen(frequent: dict[tuple, int], lang: str, held: Leaves, leaves: np.ndarray) -> np.ndarray:
+def _chosen(frequent: set[tuple], lang: str, held: Leaves, leaves: np.ndarray) -> np.ndarray:
     """For each leaf how many words its prefix has: one, or one more for each of its prefixes that is frequent."""
     number = held.word
     words = np.zeros(len(number), bool)
@@ -116,74 +119,117 @@ def _chosen(frequent: dict[tuple, int], lang: str, held: Leaves, leaves: np.ndar
             else:
                 pairs.append((at[0] << 32) | at[1])
     long = np.isin((leaves[0] << 32) | leaves[1], np.array(pairs, np.int64)) if pairs else np.zeros(leaves.shape[1], bool)
-    return 1 + words[leaves[0]].astype(np.int32) + long
+    return 1 + words[leaves[0]].astype(np.int64) + long
 
 
-def leaf_rows(texts: DataFrame, frequent: dict[tuple, int]) -> DataFrame:
-    """lang, w1, w2, w3 (NULL where a piece ends), n, and the number of words of its prefix: the leaves that tasks hand on."""
-    names = ["lang", "w1", "w2", "w3", "n", "prefix"]
+def frequent_prefixes(texts: DataFrame, words: DataFrame, suffixes: int, budget: int) -> set[tuple]:
+    """(lang, word) of more than `budget` suffixes, and (lang, word, word) of all pairs that begin more than that, perhaps some of more than half.
+
+    In a stretch of m of all N suffixes, pairs of fewer than m * budget / 2N are not counted; over all stretches that hides
+    less than half the budget of a pair, so no frequent one is lost, and little is shuffled.
+    """
+    single = {(r["lang"], r["word"]) for r in words.where(F.col("f") > budget).select("lang", "word").collect()}
+    if not single:
+        return set()
+    shared = texts.sparkSession.sparkContext.broadcast(single)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, held in _streams(batches):
+            names = held.words()
+            hot = np.array([lang == key[0] and held.word.get(key[1].encode(), 0) for key in shared.value], np.int64)
+            x = held.numbers()
+            first, second = x[:-1], x[1:]
+            some = np.isin(first, hot[hot > 0]) & (second > 0)
+            key, n = np.unique((first[some] << 32) | second[some], return_counts=True)
+            keep = 2 * n * suffixes >= len(x) * budget
+            ends = [names.take(pa.array(k)) for k in (key[keep] >> 32, key[keep] & 0xFFFFFFFF)]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * int(keep.sum()), pa.string()), *ends, pa.array(n[keep])], names=["lang", "w1", "w2", "n"])
+
+    pairs = texts.mapInArrow(run, "lang string, w1 string, w2 string, n long").groupBy("lang", "w1", "w2").agg(F.sum("n").alias("n"))
+    return single | {(r["lang"], r["w1"], r["w2"]) for r in pairs.where(2 * F.col("n") > budget).select("lang", "w1", "w2").collect()}
+
+
+def _packed(names: list[bytes], leaves: np.ndarray, total: np.ndarray) -> bytes:
+    """Leaves as one compressed value: their words, then columns of places among these and of totals."""
+    used, at = np.unique(leaves, return_inverse=True)
+    text = b"\n".join(names[i] for i in used)
+    head = np.array([len(total), len(used), len(text)], "<i8").tobytes()
+    return zlib.compress(head + text + at.reshape(leaves.shape).astype("<u4").tobytes() + total.astype("<i8").tobytes(), 1)
+
+
+def _unpacked(value: bytes) -> tuple[list[str], np.ndarray, np.ndarray]:
+    raw = zlib.decompress(value)
+    n, used, size = np.frombuffer(raw, "<i8", 3)
+    at = 24 + int(size)
+    leaves = np.frombuffer(raw, "<u4", 3 * n, at).reshape(3, n).astype(np.int64)
+    return raw[24:at].decode().split("\n"), leaves, np.frombuffer(raw, "<i8", n, at + 12 * n)
+
+
+def leaf_rows(texts: DataFrame, frequent: set[tuple], groups: int) -> DataFrame:
+    """part, lang, leaves: what a task hands on of a stretch of texts for the prefixes of a group, as one value."""
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, held in _streams(batches):
+            names = list(held.word)
             leaves, total = held.leaves()
-            words = held.words()
-            cols = [words.take(pa.array(np.where(c > 0, c, -1), mask=c == 0)) for c in leaves]
             prefix = _chosen(shared.value, lang, held, leaves)
-            for at in range(0, len(total), 1 << 17):
-                part = [c.slice(at, 1 << 17) for c in (pa.array([lang] * len(total), pa.string()), *cols, pa.array(total), pa.array(prefix, pa.int32()))]
-                yield pa.RecordBatch.from_arrays(part, names=names)
-
-    return texts.mapInArrow(run, "lang string, w1 string, w2 string, w3 string, n long, prefix int")
-
-
-def subtree(leaves: pa.Table, least: int) -> pa.Table:
-    """The nodes of depth two and three with totals of at least `least`, from leaves (lang, w1, w2, w3, n): leaves are sorted,
-    a node is a run of leaves that share its words, and its total is theirs."""
-    cols = ["lang", "w1", "w2", "w3"]
-    leaves = leaves.combine_chunks()
-    coded = [pc.dictionary_encode(leaves.column(c), null_encoding="encode").combine_chunks() for c in cols]
-    ids = [c.indices.to_numpy().astype(np.int64) for c in coded]
-    order = np.lexsort(ids[::-1])
-    ids, n, rows = [x[order] for x in ids], leaves.column("n").to_numpy()[order], order
-    out = []
-    change = np.zeros(len(n), bool)
+            of_word = np.array([zlib.crc32(w, zlib.crc32(lang.encode())) for w in names], np.uint64)
+            hashed = mix(of_word[leaves[0]])
+            for k in (1, 2):
+                hashed = np.where(prefix > k, mix(hashed * BASE + of_word[leaves[k]]), hashed)
+            part = (hashed % np.uint64(groups)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            cuts = np.flatnonzero(np.diff(part[order], prepend=-1, append=groups))
+            rows = [(int(part[some[0]]), _packed(names, leaves[:, some], total[some])) for some in np.split(order, cuts[1:-1])] if len(order) else []
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([lang] * len(rows), pa.string()), pa.array([v for _, v in rows], pa.binary())], names=["part", "lang", "leaves"])
+
+    return texts.mapInArrow(run, "part int, lang string, leaves binary")
+
+
+def subtree(rows: pa.Table, least: int, spread: set[tuple]) -> pa.Table:
+    """The nodes of depth two and three with totals of at least `least`, from a group's leaves: they are sorted, a node is a run of leaves
+    that share its words, and its total is theirs. Of the pairs in `spread`, whose leaves lie in several groups, any total."""
+    number, parts = {"": 0}, []
+    langs = {lang: i for i, lang in enumerate(sorted(set(rows.column("lang").to_pylist())))}
+    for lang, value in zip(rows.column("lang").to_pylist(), rows.column("leaves")):
+        names, leaves, total = _unpacked(value.as_py())
+        ids = np.array([number.setdefault(w, len(number)) for w in names], np.int64)
+        parts.append(np.concatenate([np.full((1, len(total)), langs[lang]), ids[leaves], total[None]]))
+    x = np.concatenate(parts, axis=1) if parts else np.zeros((5, 0), np.int64)
+    x = x[:, np.lexsort(x[3::-1])]
+    words, names, out = pa.array(list(number), pa.string()), pa.array(list(langs), pa.string()), []
+    pair = lambda lang, one, two: (lang * len(number) + one) * len(number) + two
+    wide = np.array([pair(langs[k[0]], number[k[1]], number[k[2]]) for k in spread if k[0] in langs and k[1] in number and k[2] in number], np.int64)
+    change = np.zeros(x.shape[1], bool)
     change[:1] = True
-    for depth, x in enumerate(ids):
-        change[1:] |= x[1:] != x[:-1]
-        if depth >= 2:
+    for depth in range(4):
+        change[1:] |= x[depth, 1:] != x[depth, :-1]
+        if depth >= 2 and x.shape[1]:
             at = np.flatnonzero(change)
-            total = np.add.reduceat(n, at) if len(at) else n
-            some = at[total >= least]
-            part = leaves.select(cols).take(pa.array(rows[some]))
-            part = part.set_column(3, "w3", part.column("w3") if depth == 3 else pa.nulls(len(some), pa.string()))
-            part = part.append_column("f", pa.array(total[total >= least]))
-            out.append(part.filter(pc.is_valid(part.column("w2" if depth == 2 else "w3"))))
-    return pa.concat_tables(out).select(["lang", "w1", "w2", "w3", "f"])
+            total = np.add.reduceat(x[4], at)
+            keep = total >= least
+            if depth == 2 and len(wide):
+                keep |= np.isin(pair(x[0, at], x[1, at], x[2, at]), wide)
+            keep &= x[depth, at] > 0
+            at, total = at[keep], total[keep]
+            last = words.take(pa.array(x[3, at])) if depth == 3 else pa.nulls(len(at), pa.string())
+            out.append(pa.table([names.take(pa.array(x[0, at])), words.take(pa.array(x[1, at])), words.take(pa.array(x[2, at])), last, pa.array(total)], names=["lang", "w1", "w2", "w3", "f"]))
+    return pa.concat_tables(out) if out else pa.table({"lang": names, "w1": names, "w2": names, "w3": names, "f": pa.array([], pa.int64())})
 
 
 def phrase_totals(texts: DataFrame, words: DataFrame, least: int, budget: int = BUDGET) -> DataFrame:
     """lang, w1, w2, w3 (NULL for a pair), f of all phrases of two and three words with f >= least."""
     suffixes = words.agg(F.sum("f")).first()[0] or 0
-    budget = max(budget, -(-suffixes // EXTENDED))  # so fewer than EXTENDED prefixes of each length exceed it
-    frequent = {(r["lang"], r["word"]): r["f"] for r in words.where(F.col("f") > budget).collect()}
-    if frequent:
-        # Of the pairs that frequent words begin, those that are frequent themselves.
-        level = leaf_rows(texts, frequent).where("prefix = 2 and w2 is not null").groupBy("lang", "w1", "w2").agg(F.sum("n").alias("f"))
-        frequent |= {(r["lang"], r["w1"], r["w2"]): r["f"] for r in level.where(F.col("f") > budget).collect()}
-    groups = max(1, -(-suffixes // budget))
-    prefix = [F.when(F.col("prefix") > k, F.coalesce(f"w{k + 1}", F.lit(""))) for k in range(3)]
-    group = F.pmod(F.xxhash64("lang", *prefix), F.lit(groups))
-    rows = leaf_rows(texts, frequent).select("lang", "w1", "w2", "w3", "n", group.alias("part"))
-    parts = rows.groupBy("part").applyInArrow(lambda t: subtree(t, least), "lang string, w1 string, w2 string, w3 string, f long")
-    pairs = [(*key, f) for key, f in frequent.items() if len(key) == 3]
-    if not pairs:
+    budget = max(budget, -(-2 * suffixes // EXTENDED))  # so fewer than EXTENDED prefixes of each length exceed half of it
+    frequent = frequent_prefixes(texts, words, suffixes, budget)
+    spread = {key for key in frequent if len(key) == 3}
+    kind = "lang string, w1 string, w2 string, w3 string, f long"
+    parts = leaf_rows(texts, frequent, max(1, -(-suffixes // budget))).groupBy("part").applyInArrow(lambda t: subtree(t, least, spread), kind)
+    if not spread:
         return parts
-    # A frequent pair's leaves are spread over groups, so its own node comes from the count that found it frequent.
-    known = texts.sparkSession.createDataFrame(pairs, "lang string, w1 string, w2 string, f long")
-    spread = F.broadcast(known.select(F.col("lang").alias("kl"), F.col("w1").alias("k1"), F.col("w2").alias("k2")))
-    parts = parts.join(spread, F.col("w3").isNull() & (F.col("lang") == F.col("kl")) & (F.col("w1") == F.col("k1")) & (F.col("w2") == F.col("k2")), "left_anti")
-    return parts.unionByName(known, allowMissingColumns=True)
+    # A spread pair's totals come from several groups; all other nodes are whole already.
+    return parts.groupBy("lang", "w1", "w2", "w3").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
 def _score(left: Column, right: Column) -> Column:
