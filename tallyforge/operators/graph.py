@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.folders import shared_folder
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """The rows by checkpoint (in the session's checkpoint folder), which cuts the lineage of a loop."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+from tallyforge.functions.folders import settled
 
 
 def win_edges(decisions: DataFrame, delta: float = 0.03) -> DataFrame:
@@ -32,25 +26,62 @@ def round_robin_scores(decisions: DataFrame) -> DataFrame:
     return g.withColumn("net", F.col("wins") - F.col("losses"))
 
 
-def reachable(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (src, dst) with a path of at least one edge, by doubling. Quadratic in the finalists of a component at most."""
-    paths = settled(edges.select("src", "dst").distinct())
-    size = paths.count()
-    while True:
-        mid = paths.select(F.col("src").alias("mid"), F.col("dst").alias("end"))
-        paths = settled(paths.union(paths.join(mid, paths["dst"] == mid["mid"]).select("src", "end")).distinct())
-        if (now := paths.count()) == size:
-            return paths
+def _trimmed(edges: DataFrame, rounds: int) -> DataFrame:
+    """Edges (src, dst) without those of nodes that nothing leads to or that lead nowhere: such nodes are on no cycle. As often as
+    that takes edges away, at most `rounds` times."""
+    edges = settled(edges)
+    size = edges.count()
+    for _ in range(rounds):
+        inner = edges.select("src").intersect(edges.select(F.col("dst").alias("src")))
+        edges = settled(edges.join(inner, "src", "left_semi").join(inner.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst"))
+        if (now := edges.count()) in (0, size):
+            break
         size = now
+    return edges
 
 
-def cycle_groups(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """strategy, component (the smallest member) and size of the strongly connected components: nodes that reach each other."""
-    paths = reachable(edges, nodes)
-    back = paths.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    both = paths.join(back, ["src", "dst"], "left_semi").groupBy("src").agg(F.min("dst").alias("low"))
-    out = nodes.join(both, nodes["strategy"] == both["src"], "left").select("strategy", F.least("strategy", F.coalesce("low", "strategy")).alias("component"))
-    return out.withColumn("size", F.count("*").over(Window.partitionBy("component")))
+def _coloured(edges: DataFrame) -> DataFrame:
+    """strategy, colour of the nodes of edges (src, dst): the smallest node that leads there, itself included. The colours go
+    along the edges until none changes; a round moves each colour on by two edges, over a table as long as the nodes."""
+    push = lambda now: now.join(edges, now["strategy"] == edges["src"]).select(F.col("dst").alias("strategy"), "colour")
+    now = settled(edges.select(F.col("src").alias("strategy")).union(edges.select("dst")).distinct().withColumn("colour", F.col("strategy")))
+    while True:
+        one = now.union(push(now)).groupBy("strategy").agg(F.min("colour").alias("colour"))
+        two = now.withColumnRenamed("colour", "was").join(one.union(push(one)).groupBy("strategy").agg(F.min("colour").alias("colour")), "strategy")
+        two = settled(two)
+        now = two.select("strategy", "colour")
+        if two.where("colour < was").isEmpty():
+            return now
+
+
+def cycle_groups(edges: DataFrame, nodes: DataFrame, trims: int = 3) -> DataFrame:
+    """strategy, component (the smallest member) and size of the strongly connected components: nodes that reach each other.
+
+    Nodes that are on no cycle are trimmed. Every other one takes as its colour the smallest node that leads to it; of the nodes of
+    a colour, those that lead back to it are its component. They go, and the rest is coloured again. No table has
+    more rows than there are edges or nodes. Repeated edges and loops change nothing.
+    """
+    links, found = settled(edges.where("src != dst").select("src", "dst").distinct()), None
+    while True:
+        links = _trimmed(links, trims)
+        if links.isEmpty():
+            break
+        colour = _coloured(links)
+        ends = [colour.select(F.col("strategy").alias(x), F.col("colour").alias(f"{x}_colour")) for x in ("src", "dst")]
+        inside = settled(links.join(ends[0], "src").join(ends[1], "dst").where("src_colour = dst_colour").select("src", "dst", F.col("src_colour").alias("component")))
+        back = settled(colour.where("strategy = colour").select("strategy", F.col("colour").alias("component")))
+        front = back
+        while True:  # backwards from each colour's own node, within the colour
+            step = inside.join(front, (inside["dst"] == front["strategy"]) & (inside["component"] == front["component"])).select(F.col("src").alias("strategy"), inside["component"]).distinct()
+            front = settled(step.join(back, ["strategy", "component"], "left_anti"))
+            if front.isEmpty():
+                break
+            back = settled(back.union(front))
+        found = back if found is None else settled(found.union(back))
+        out = back.select(F.col("strategy").alias("src"))
+        links = settled(links.join(out, "src", "left_anti").join(out.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst"))
+    groups = nodes.withColumn("component", F.col("strategy")) if found is None else nodes.join(found, "strategy", "left").select("strategy", F.coalesce("component", "strategy").alias("component"))
+    return groups.withColumn("size", F.count("*").over(Window.partitionBy("component")))
 
 
 def dominance_fronts(edges: DataFrame, groups: DataFrame) -> DataFrame:
@@ -72,26 +103,50 @@ def fronts_display(fronts: DataFrame, scores: DataFrame, screening: DataFrame) -
     return x.withColumn("place", F.row_number().over(Window.partitionBy("front").orderBy(F.desc(F.round("mean_rate", 9)), F.desc("net"), F.desc_nulls_last(F.round("score", 9)), "strategy")))
 
 
+def shortest_cycles(inner: DataFrame) -> DataFrame:
+    """component, cycle of the edges (component, src, dst) of strongly connected components: the nodes of a cycle of fewest edges, from its
+    smallest node on; of equal ones the first in the order of nodes.
+
+    From each node backwards goes a frontier over larger nodes (a cycle is found from its smallest one), with distances; a
+    component's frontiers end when one of them meets an edge from its own root. Then one walk leads from the smallest such root,
+    always to the smallest node that is near enough to close the cycle in the edges that are left.
+    """
+    step = inner.select("component", F.col("src").alias("to"), F.col("dst").alias("node"))
+    front = inner.where("src > dst").select("component", F.col("dst").alias("root"), F.col("src").alias("node"), F.lit(1).alias("far"))
+    front = settled(front)
+    near, closed = front, None
+    open_at = 1
+    while not front.isEmpty():
+        hit = front.join(inner.select("component", F.col("src").alias("root"), F.col("dst").alias("node")), ["component", "root", "node"])
+        done = settled(hit.groupBy("component").agg(F.min("root").alias("root"), F.lit(open_at + 1).alias("edges")))
+        closed = done if closed is None else closed.union(done)
+        go = front.join(done.select("component"), "component", "left_anti")
+        grown = go.join(step, ["component", "node"]).where("to > root").select("component", "root", F.col("to").alias("node")).distinct()
+        open_at += 1
+        front = settled(grown.join(near, ["component", "root", "node"], "left_anti").select("component", "root", "node", F.lit(open_at).alias("far")))
+        near = settled(near.union(front))
+    kind = inner.schema["src"].dataType.simpleString()
+    if closed is None:
+        return inner.sparkSession.createDataFrame([], f"component {inner.schema['component'].dataType.simpleString()}, cycle array<{kind}>")
+    walk, out = settled(closed.select("component", "root", "edges", F.col("root").alias("at"), F.array("root").alias("cycle"))), None
+    while not walk.isEmpty():
+        over = walk.where(F.size("cycle") == F.col("edges")).select("component", "cycle")
+        out = over if out is None else out.union(over)
+        left = walk.where(F.size("cycle") < F.col("edges"))
+        there = left.join(inner.select("component", F.col("src").alias("at"), F.col("dst").alias("node")), ["component", "at"]).join(near, ["component", "root", "node"]).where(F.col("far") == F.col("edges") - F.size("cycle"))
+        walk = settled(there.groupBy("component", "root", "edges", "cycle").agg(F.min("node").alias("at")).select("component", "root", "edges", "at", F.concat("cycle", F.array("at")).alias("cycle")))
+    return out
+
+
 def cycle_report(edges: DataFrame, groups: DataFrame) -> DataFrame:
     """Per component of several nodes: size, members, weakest and strongest internal edge, and the canonical shortest cycle: fewest
     edges, then the smallest after rotation to its smallest member."""
     big = groups.where("size > 1").select("strategy", "component")
-    inner = edges.join(big.withColumnRenamed("strategy", "src"), "src").join(big.select(F.col("strategy").alias("dst"), F.col("component").alias("c2")), "dst").where("component = c2").select("component", "src", "dst", "distance")
+    inner = edges.where("src != dst").join(big.withColumnRenamed("strategy", "src"), "src").join(big.select(F.col("strategy").alias("dst"), F.col("component").alias("c2")), "dst").where("component = c2").select("component", "src", "dst", "distance")
     inner = settled(inner)
     stats = inner.groupBy("component").agg(F.min(F.struct("distance", "src", "dst")).alias("weak"), F.max_by(F.struct("distance", "src", "dst"), F.struct("distance", -F.col("src"), -F.col("dst"))).alias("strong"))
     members = big.groupBy("component").agg(F.array_sort(F.collect_list("strategy")).alias("members"))
-    step = inner.select(F.col("component").alias("c"), F.col("src").alias("at"), F.col("dst").alias("to"))
-    paths, found = inner.select("component", F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("path")).where("first < last"), None
-    while True:
-        paths = settled(paths)
-        if paths.isEmpty():
-            break
-        grown = paths.join(step, (F.col("component") == F.col("c")) & (F.col("last") == F.col("at")))
-        closed = settled(grown.where("to = first").groupBy("component").agg(F.min("path").alias("cycle")))
-        found = closed if found is None else found.unionByName(closed)
-        paths = grown.where((F.col("to") > F.col("first")) & ~F.array_contains("path", F.col("to"))).select("component", "first", F.col("to").alias("last"), F.concat("path", F.array("to")).alias("path")).join(found.select("component"), "component", "left_anti")
-    if found is None:
-        found = members.select("component", F.lit(None).cast(members.schema["members"].dataType).alias("cycle"))
+    found = shortest_cycles(inner.select("component", "src", "dst").distinct())
     return members.join(stats, "component").join(found, "component", "left").select("component", F.size("members").alias("size"), "members", F.col("weak.distance").alias("weakest"), F.col("strong.distance").alias("strongest"), "cycle")
 
 
@@ -113,3 +168,25 @@ def pair_family_issues(pairs: DataFrame) -> DataFrame:
     all_pairs = nodes.select(F.col("s").alias("low")).join(nodes.select(F.col("s").alias("high")), F.col("low") < F.col("high"))
     gone = all_pairs.join(x, ["low", "high"], "left_anti").select(F.lit("absent").alias("issue"), "low", "high")
     return own.union(ids).union(twice).union(gone)
+
+
+#: The classes that decision() gives.
+CLASSES = ("unresolved_nonviable", "practical_dominance_a", "practical_dominance_b", "statistical_only_advantage_a", "statistical_only_advantage_b", "equivalent", "unresolved")
+
+
+def decision_family_issues(decisions: DataFrame, scores: DataFrame, classes: tuple[str, ...] = CLASSES) -> DataFrame:
+    """issue, strategy (NULL where it is the table's), n: unknown decision classes, finalists that have not been compared with every other one (n: how
+    often they were), finalists without exactly one score of complete support (n: how many they have), and more than one family where
+    the pairs carry a family_hash. decisions: pair_id, strategy_a, strategy_b, decision; scores: strategy, complete. Nothing is
+    paired: the comparisons of a finalist are counted."""
+    none = F.lit(None).cast(decisions.schema["strategy_a"].dataType)
+    other = decisions.where(~F.col("decision").isin(*classes)).agg(F.count("*").alias("n")).where("n > 0").select(F.lit("unknown_decision").alias("issue"), none.alias("strategy"), "n")
+    sides = decisions.select(F.col("strategy_a").alias("strategy"), F.col("strategy_b").alias("other")).union(decisions.select("strategy_b", "strategy_a")).where("strategy != other")
+    met = sides.groupBy("strategy").agg(F.countDistinct("other").alias("n"))
+    lone = met.crossJoin(F.broadcast(met.agg((F.count("*") - 1).alias("others")))).where("n != others").select(F.lit("incomplete").alias("issue"), "strategy", "n")
+    whole = scores.where("complete").groupBy("strategy").agg(F.count("*").alias("n"))
+    bare = met.select("strategy").join(whole, "strategy", "left").select(F.lit("scores").alias("issue"), "strategy", F.coalesce("n", F.lit(0)).alias("n")).where("n != 1")
+    out = other.unionByName(lone).unionByName(bare)
+    if "family_hash" in decisions.columns:
+        out = out.unionByName(decisions.agg(F.countDistinct("family_hash").alias("n")).where("n > 1").select(F.lit("families").alias("issue"), none.alias("strategy"), "n"))
+    return out
