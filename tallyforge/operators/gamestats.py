@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.functions.folders import settled
 from tallyforge.functions.stats import margin, ratio, second_best, spread
+from tallyforge.operators.quantiles import at_ranks, counted_values, linear_quantiles, moments
 
 QUANTILES = (0.1, 0.5, 0.9)
 
@@ -21,29 +23,39 @@ def with_margins(exposures: DataFrame) -> DataFrame:
     return exposures.join(games.select(*coordinates, F.when(done, margin(F.col("s"))).alias("margin"), F.when(done, spread(F.col("s"))).alias("spread"), second_best(F.col("s")).alias("second")), coordinates)
 
 
+def _percents(quantiles: tuple[float, ...]) -> list[Column]:
+    return [F.get("p", i).alias(f"p{round(q * 100)}") for i, q in enumerate(quantiles)]
+
+
 def length_stats(exposures: DataFrame) -> DataFrame:
     """Per k and strategy over exposures, and per k (strategy NULL) over games: n, mean, population sd, exact quantiles
-    (linear), shares of at most 5 and 10 and at least 20 rounds."""
-    x = F.col("n_rounds")
-    p = F.percentile(x, F.array(*map(F.lit, QUANTILES)))
-    aggs = [F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), p.alias("p"), F.avg((x <= 5).cast("int")).alias("le_5"), F.avg((x <= 10).cast("int")).alias("le_10"), F.avg((x >= 20).cast("int")).alias("ge_20")]
-    by_strategy = exposures.groupBy("k", "strategy").agg(*aggs)
-    by_k = exposures.where("seat = 1").groupBy("k").agg(*aggs).withColumn("strategy", F.lit(None).cast("int"))
-    return by_strategy.unionByName(by_k).select("k", "strategy", "n", "mean", "sd", *[F.get("p", i).alias(f"p{int(q * 100)}") for i, q in enumerate(QUANTILES)], "le_5", "le_10", "ge_20")
+    (linear), shares of at most 5 and 10 and at least 20 rounds. All from one table of counts by length."""
+    v = F.col("v")
+    shares = {"le_5": v <= 5, "le_10": v <= 10, "ge_20": v >= 20}
+    cells = exposures.groupBy("k", "strategy", F.col("n_rounds").alias("v")).agg(F.count("*").alias("c"), F.sum((F.col("seat") == 1).cast("long")).alias("games"))
+    cells = settled(cells.where("v is not null"))
+    whole = settled(cells.groupBy("k", "v").agg(F.sum("games").alias("c")).where("c > 0"))
+    levels = [moments(x, keys, shares).join(linear_quantiles(x, keys, QUANTILES).drop("n"), keys) for x, keys in ((cells, ["k", "strategy"]), (whole, ["k"]))]
+    both = levels[0].unionByName(levels[1].withColumn("strategy", F.lit(None).cast("int")))
+    return both.select("k", "strategy", "n", "mean", "sd", *_percents(QUANTILES), *shares)
 
 
 def global_length_stats(games: DataFrame) -> DataFrame:
     """The same over games by the number of seats that were ranked (the declared k where none was)."""
-    x = F.col("n_rounds")
     k = F.when(F.size("seat_ranks") > 0, F.size("seat_ranks")).otherwise(F.col("k"))
-    return games.groupBy(k.alias("players")).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.percentile(x, 0.5).alias("p50"))
+    cells = counted_values(games.withColumn("players", k), ["players"], F.col("n_rounds"))
+    return moments(cells, ["players"], {}).join(linear_quantiles(cells, ["players"], (0.5,)).drop("n"), "players").select("players", "n", "mean", "sd", *_percents((0.5,)))
 
 
 def margin_stats(exposures: DataFrame, thresholds: tuple[int, ...] = (500, 1000)) -> DataFrame:
     """Per k and strategy over completed games: mean, median, population sd of margin and spread, and the shares at most t."""
-    done = exposures.where("not safety")
-    aggs = [a for c in ("margin", "spread") for a in (F.avg(c).alias(f"{c}_mean"), F.percentile(c, 0.5).alias(f"{c}_median"), F.stddev_pop(c).alias(f"{c}_sd"), *[F.avg((F.col(c) <= t).cast("int")).alias(f"{c}_le_{t}") for t in thresholds])]
-    return done.groupBy("k", "strategy").agg(F.count("margin").alias("n"), *aggs)
+    kinds, keys = ("margin", "spread"), ["k", "strategy"]
+    rows = exposures.where("not safety").select(*keys, F.inline(F.array(*[F.struct(F.lit(c).alias("of"), F.col(c).alias("x")) for c in kinds])))
+    cells = counted_values(rows, [*keys, "of"], F.col("x"))
+    g = moments(cells, [*keys, "of"], {f"le_{t}": F.col("v") <= t for t in thresholds}).join(linear_quantiles(cells, [*keys, "of"], (0.5,)).drop("n"), [*keys, "of"])
+    pick = lambda c, name: F.max(F.when(F.col("of") == c, F.col(name)))
+    out = g.withColumn("median", F.get("p", 0)).groupBy(*keys).agg(pick("margin", "n").alias("n"), *[pick(c, name).alias(f"{c}_{name}") for c in kinds for name in ("mean", "median", "sd", *[f"le_{t}" for t in thresholds])])
+    return out
 
 
 def margin_stats_binned(exposures: DataFrame, keys: tuple[str, ...] = ("k", "strategy"), width: int = 25, q: float = 0.5, threshold: int = 500) -> DataFrame:
@@ -73,11 +85,11 @@ def rare_event_rates(exposures: DataFrame, target: int, margins: tuple[int, ...]
 
 
 def smallest_with_share(values: DataFrame, col: str, q: float, keys: tuple[str, ...] = ()) -> DataFrame:
-    """The smallest value whose cumulative count reaches ceil(N q), per key; rows are counts per value before the window."""
-    counts = values.where(F.col(col).isNotNull()).groupBy(*keys, F.rint(col).cast("long").alias("v")).count()
-    by = Window.partitionBy(*keys)
-    run = counts.withColumn("cum", F.sum("count").over(by.orderBy("v"))).withColumn("n", F.sum("count").over(by))
-    return run.where(F.col("cum") >= F.ceil(F.col("n") * q)).groupBy(*keys).agg(F.min("v").alias("threshold"), F.first("n").alias("n"))
+    """The smallest value whose cumulative count reaches ceil(N q), per key."""
+    of = list(keys) or ["_all"]
+    cells = counted_values(values if keys else values.withColumn("_all", F.lit(0)), of, F.rint(col).cast("long"))
+    rank = F.greatest(F.ceil(F.col("n") * q) - 1, F.lit(0)).cast("long")
+    return at_ranks(cells, of, F.array(rank)).select(*keys, F.col("v").alias("threshold"), "n")
 
 
 def rare_thresholds(games: DataFrame, margin_q: float = 0.05, target_q: float = 0.95) -> DataFrame:

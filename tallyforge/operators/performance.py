@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.functions.folders import settled
 from tallyforge.functions.stats import average_rank, log_odds_over_chance, normal_quantile, ratio, t_critical, wilson
 
 RESOLUTION = PRACTICAL = 0.03
@@ -83,31 +88,42 @@ def maximin(across: DataFrame, tolerance: float = 1e-15) -> DataFrame:
     return best.where(F.col("min_delta") >= F.col("top") - tolerance).groupBy("root").agg(F.min_by(F.struct("strategy", "min_delta"), F.col("strategy")).alias("x")).select("root", "x.*")
 
 
+#: Parts that local skylines are made in, and how many of them are merged at once.
+PARTS, FAN = 64, 8
+
+
+def skyline(x: np.ndarray, block: int = 256) -> np.ndarray:
+    """Indices of the rows that no other row matches everywhere and beats somewhere. Rows go by falling sum, so only rows that
+    stand can take out a later one; equal sums (of rounded numbers) go by falling coordinates."""
+    order = np.lexsort((*-x.T[::-1], -x.sum(1)))
+    kept = np.zeros(0, np.int64)
+    beaten = lambda by, rows: ((by[None] >= rows[:, None]).all(2) & (by[None] > rows[:, None]).any(2)).any(1)
+    for at in range(0, len(order), block):
+        some = order[at : at + block]
+        for k in range(0, len(kept), block):
+            some = some[~beaten(x[kept[k : k + block]], x[some])]
+        kept = np.concatenate([kept, some[~beaten(x[some], x[some])]])
+    return kept
+
+
 def pareto_front(by_k: DataFrame) -> DataFrame:
     """root, strategy of complete strategies whose distances no other one matches in every k and beats in one.
 
-    The vectors are one row per strategy. Each partition first drops what its own rows dominate, which loses nothing, as
-    dominance carries over; the rest is compared as an anti join.
+    The vectors are one row per strategy. Parts of a root's strategies make skylines of their own; these are merged in a tree, a
+    few at a time, so a task compares the rows of a part or of some skylines, and no strategies are joined.
     """
     ks = by_k.groupBy("root").agg(F.countDistinct("k").alias("all_k"))
-    vectors = by_k.groupBy("root", "strategy").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "delta"))), lambda x: x["delta"]).alias("v")).join(F.broadcast(ks), "root").where("size(v) = all_k").select("root", "strategy", "v")
+    vectors = by_k.groupBy("root", "strategy").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "delta"))), lambda x: x["delta"]).alias("v")).join(ks, "root").where("size(v) = all_k").select("root", "strategy", "v")
+    few, parts = vectors.withColumn("part", F.pmod(F.xxhash64("strategy"), F.lit(PARTS)).cast("int")), PARTS
 
-    def local(batches):
-        import numpy as np
-        import pandas as pd
+    def stands(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.iloc[np.sort(skyline(np.stack(rows["v"].to_numpy())))]
 
-        for pdf in batches:
-            keep = []
-            for _, part in pdf.groupby("root"):
-                x = np.array(part["v"].tolist())
-                keep += [i for i, row in zip(part.index, x) if not ((x >= row).all(1) & (x > row).any(1)).any()]
-            yield pdf.loc[keep] if keep else pd.DataFrame(columns=pdf.columns)
-
-    few = vectors.mapInPandas(local, vectors.schema)
-    other = few.select(F.col("root").alias("r2"), F.col("v").alias("w"))
-    gap = F.zip_with("w", "v", lambda w, v: w - v)
-    beaten = (F.col("root") == F.col("r2")) & F.forall(gap, lambda d: d >= 0) & F.exists(gap, lambda d: d > 0)
-    return few.join(other, beaten, "left_anti").select("root", "strategy")
+    while True:
+        few = few.groupBy("root", "part").applyInPandas(stands, few.schema)
+        if parts == 1:
+            return few.select("root", "strategy")
+        few, parts = few.withColumn("part", F.floor(F.col("part") / FAN).cast("int")), -(-parts // FAN)
 
 
 def screening_frame(across: DataFrame, by_k: DataFrame, delta: float = 0.03, top: int = 10, controls: tuple[int, ...] = ()) -> DataFrame:
@@ -118,18 +134,81 @@ def screening_frame(across: DataFrame, by_k: DataFrame, delta: float = 0.03, top
     return ranked.join(in_k, ["root", "strategy"]).select("root", "strategy", "score", "rank", (F.col("rank") <= top).alias("top"), "band", "band_every_k", "band_count", F.col("strategy").isin(list(controls) or [-1]).alias("control"))
 
 
+def inversions(x: np.ndarray, weight: np.ndarray) -> int:
+    """Sum of weight[i] * weight[j] over i < j with x[i] > x[j]: sorted runs are merged in pairs, and a merge counts by binary search."""
+    n, total = len(x), 0
+    rank = np.unique(x, return_inverse=True)[1].astype(np.int64)
+    width = 1
+    while width < n:
+        # Sort runs of this width, all at once: their number leads the key.
+        run = np.arange(n) // width
+        key = run * (n + 1) + rank
+        order = np.argsort(key, kind="stable")
+        key, w = key[order], weight[order]
+        upto = np.concatenate([[0], np.cumsum(w)])
+        right = np.flatnonzero(run[order] % 2 == 1)
+        left = key[right] - (n + 1)  # the same rank in the run before
+        end = (run[order][right]) * width  # of the run before
+        total += int((w[right] * (upto[end] - upto[np.searchsorted(key, left, "right")])).sum())
+        width *= 2
+    return total
+
+
+def discordant(known: DataFrame, scope: list[str]) -> DataFrame:
+    """Per scope the number of pairs of rows (x, y) that x and y order differently.
+
+    Rows are cut into ranges of x and counted there by merging; what is left of each range is how often it has each y. Those counts are
+    cut into ranges of y: pairs of rows in different ranges of both are counted from the table of ranges by ranges, those in one
+    range of y by merging, the ranges of x in order. So no two rows are joined, and a value that repeats is one row a range.
+    """
+    kinds = "".join(f"`{s}` {known.schema[s].dataType.simpleString()}, " for s in scope)
+    part = F.spark_partition_id()
+    ranges = known.select(*scope, "x", "y").repartitionByRange(*scope, "x", "y").sortWithinPartitions(*scope, "x", "y")
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if not (held := list(batches)):
+            return
+        for key, mine in pd.concat(held, ignore_index=True).groupby(scope, sort=False, dropna=False):
+            y = mine["y"].to_numpy()
+            values, n = np.unique(y, return_counts=True)
+            inside = np.zeros(len(values), np.int64)
+            inside[0] = inversions(y, np.ones(len(y), np.int64))
+            yield pd.DataFrame({**{s: [k] * len(values) for s, k in zip(scope, key)}, "px": mine["px"].iloc[0], "y": values, "n": n, "inside": inside})
+
+    kind_y = known.schema["y"].dataType.simpleString()
+    cells = settled(ranges.withColumn("px", part).mapInPandas(first, f"{kinds}px int, y {kind_y}, n long, inside long"))
+    in_y = settled(cells.repartitionByRange(*scope, "y").withColumn("py", F.spark_partition_id()))
+
+    def second(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["px", "y"])
+        return pd.DataFrame({**{s: [rows[s].iloc[0]] for s in scope}, "d": [inversions(rows["y"].to_numpy(), rows["n"].to_numpy())]})
+
+    near = in_y.groupBy(*scope, "py").applyInPandas(second, f"{kinds}d long")
+    table = in_y.groupBy(*scope, "px", "py").agg(F.sum("n").alias("n"))
+    # As many rows as ranges: for each row of the table, how many rows lie in earlier ranges of x and later ones of y.
+    by = Window.partitionBy(*scope, "px").orderBy("py").rowsBetween(1, Window.unboundedFollowing)
+    grid = table.select(*scope, "px").distinct().join(table.select(*scope, "py").distinct(), scope).join(table, [*scope, "px", "py"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    later = grid.withColumn("above", F.coalesce(F.sum("n").over(by), F.lit(0)))
+    before = Window.partitionBy(*scope, "py").orderBy("px").rowsBetween(Window.unboundedPreceding, -1)
+    far = later.withColumn("d", F.col("n") * F.coalesce(F.sum("above").over(before), F.lit(0)))
+    parts = [cells.select(*scope, F.col("inside").alias("d")), near.select(*scope, "d"), far.select(*scope, "d")]
+    return parts[0].union(parts[1]).union(parts[2]).groupBy(*scope).agg(F.sum("d").alias("discordant"))
+
+
 def rank_correlation(pairs: DataFrame, scope: list[str]) -> DataFrame:
-    """Per scope over rows (id, x, y) with both values: n, Spearman (ties averaged) and Kendall tau-b; NULL below two rows or
-    without variance. Kendall compares pairs of rows of a scope, so it is for ranked strategies, not for games."""
+    """Per scope over rows (id, x, y) with both values: n, Spearman (ties averaged), Kendall tau-b and the Pearson correlation of
+    ordinal ranks (ties by id); NULL below two rows or, but for the last, without variance.
+
+    Kendall's discordant pairs are inversions, counted without joining rows (see discordant)."""
     known = pairs.where("x is not null and y is not null")
-    ranks = known.withColumn("rx", average_rank(F.col("x"), *scope)).withColumn("ry", average_rank(F.col("y"), *scope))
-    spearman = ranks.groupBy(*scope).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("spearman"))
-    other = known.select(*[F.col(s).alias(f"{s}_2") for s in scope], F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    same = F.col("id") < F.col("id2")
-    for s in scope:
-        same = same & (F.col(s) == F.col(f"{s}_2"))
-    sx, sy = F.signum(F.col("x") - F.col("x2")), F.signum(F.col("y") - F.col("y2"))
-    tau = known.join(other, same).groupBy(*scope).agg(F.sum(sx * sy).alias("c"), F.sum(F.abs(sx)).alias("nx"), F.sum(F.abs(sy)).alias("ny"))
-    tau = tau.select(*scope, F.when((F.col("nx") > 0) & (F.col("ny") > 0), F.col("c") / F.sqrt(F.col("nx") * F.col("ny"))).alias("kendall"))
-    out = spearman.join(tau, scope, "left")
-    return out.select(*scope, "n", F.when((F.col("n") >= 2) & ~F.isnan("spearman"), F.col("spearman")).alias("spearman"), "kendall")
+    pearson = lambda x, y: F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    ordinal = lambda c: F.row_number().over(Window.partitionBy(*scope).orderBy(c, "id"))
+    ranks = known.withColumn("rx", average_rank(F.col("x"), *scope)).withColumn("ry", average_rank(F.col("y"), *scope)).withColumn("ox", ordinal("x")).withColumn("oy", ordinal("y"))
+    spearman = ranks.groupBy(*scope).agg(F.count("*").alias("n"), pearson("rx", "ry").alias("spearman"), pearson("ox", "oy").alias("ordinal"))
+    tied = lambda name, *c: known.groupBy(*scope, *c).agg(F.count("*").alias("m")).groupBy(*scope).agg(F.sum((F.col("m") * (F.col("m") - 1) / 2).cast("long")).alias(name))
+    tau = tied("tx", "x").join(tied("ty", "y"), scope).join(tied("txy", "x", "y"), scope).join(discordant(known, scope), scope)
+    out = spearman.join(tau, scope)
+    every = (F.col("n") * (F.col("n") - 1) / 2).cast("long")
+    nx, ny = every - F.col("tx"), every - F.col("ty")
+    kendall = F.when((nx > 0) & (ny > 0), (every - F.col("tx") - F.col("ty") + F.col("txy") - 2 * F.col("discordant")) / (F.sqrt(nx.cast("double")) * F.sqrt(ny.cast("double"))))
+    return out.select(*scope, "n", F.col("spearman"), kendall.alias("kendall"), F.col("ordinal"))
