@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -67,11 +67,31 @@ def schedule_coverage(schedule: DataFrame, blocks: DataFrame) -> DataFrame:
     return x.select(*key, issue.alias("issue")).where("issue is not null")
 
 
+def block_issues(schedule: DataFrame, blocks: DataFrame, cap: int, statuses: tuple[str, ...] = ("complete", "short")) -> DataFrame:
+    """pair_id, root, seat_order, issue of a finished schedule, a row for each fault of a block: strategies that are not the scheduled
+    ones, seats that do not follow from the order, an unknown status, a complete block that is not at its target, a short one that
+    reached the target or stopped before the cap. schedule as from pair_schedule, blocks as from prefix_until_target."""
+    key = ["pair_id", "root", "seat_order"]
+    x = schedule.select(*key, F.col("strategy_a").alias("sa"), F.col("strategy_b").alias("sb"), "seat1", "seat2", "target").join(blocks, key)
+    flip = F.col("seat_order") == 1
+    faults = {
+        "other_strategies": ~(F.col("sa").eqNullSafe(F.col("strategy_a")) & F.col("sb").eqNullSafe(F.col("strategy_b"))),
+        "seats": (F.col("seat1") != F.when(flip, F.col("sb")).otherwise(F.col("sa"))) | (F.col("seat2") != F.when(flip, F.col("sa")).otherwise(F.col("sb"))),
+        "status": ~F.col("status").isin(*statuses),
+        "complete_off_target": (F.col("status") == "complete") & (F.col("completed") != F.col("target")),
+        "short_at_target": (F.col("status") == "short") & (F.col("completed") >= F.col("target")),
+        "short_before_cap": (F.col("status") == "short") & (F.col("attempted") != cap),
+    }
+    named = F.filter(F.array(*[F.when(v, F.lit(k)) for k, v in faults.items()]), lambda c: c.isNotNull())
+    return x.select(*key, F.explode(named).alias("issue"))
+
+
 @pandas_udf(T.DoubleType())
 def _two_sided(z: pd.Series) -> pd.Series:
     from math import erfc, sqrt
 
-    return z.map(lambda v: None if pd.isna(v) else erfc(abs(v) / sqrt(2)))
+    flat = np.abs(z.to_numpy(float)) / sqrt(2)
+    return pd.Series(np.frompyfunc(erfc, 1, 1)(flat).astype(float)).where(z.notna().to_numpy())
 
 
 def score_test(pairs: DataFrame) -> DataFrame:
@@ -119,17 +139,17 @@ def interval_bounds(x1, n1, x2, n2, z: float, steps: int = 60) -> tuple[np.ndarr
     return out[0], out[1]
 
 
-def score_interval(pairs: DataFrame, alpha: float, prefix: str) -> DataFrame:
-    """Adds <prefix>_low and <prefix>_high, bounds of wins_1 / n_1 - wins_2 / n_2; NULL without games."""
-    z = normal_quantile(1 - alpha / 2)
+def score_interval(pairs: DataFrame, z: float | Column, prefix: str) -> DataFrame:
+    """Adds <prefix>_low and <prefix>_high, bounds of wins_1 / n_1 - wins_2 / n_2 by z, the normal quantile of the level (a number, or a
+    column where levels differ); NULL without games."""
 
     @pandas_udf("low double, high double")
-    def bounds(x1: pd.Series, n1: pd.Series, x2: pd.Series, n2: pd.Series) -> pd.DataFrame:
+    def bounds(x1: pd.Series, n1: pd.Series, x2: pd.Series, n2: pd.Series, z: pd.Series) -> pd.DataFrame:
         ok = ((n1 > 0) & (n2 > 0)).to_numpy()
-        low, high = interval_bounds(x1, np.where(ok, n1, 1), x2, np.where(ok, n2, 1), z)
+        low, high = interval_bounds(x1, np.where(ok, n1, 1), x2, np.where(ok, n2, 1), z.to_numpy(float))
         return pd.DataFrame({"low": np.where(ok, low, np.nan), "high": np.where(ok, high, np.nan)})
 
-    x = pairs.withColumn("_b", bounds(*[F.col(c).cast("double") for c in ("wins_1", "n_1", "wins_2", "n_2")]))
+    x = pairs.withColumn("_b", bounds(*[F.col(c).cast("double") for c in ("wins_1", "n_1", "wins_2", "n_2")], z if isinstance(z, Column) else F.lit(float(z))))
     clean = lambda c: F.when(~F.isnan(c), F.col(c))
     return x.withColumn(f"{prefix}_low", clean("_b.low")).withColumn(f"{prefix}_high", clean("_b.high")).drop("_b")
 
@@ -152,18 +172,35 @@ def decision(low, high, viable, rejected, effect, delta: float = PRACTICAL, marg
     return out.otherwise("unresolved")
 
 
-def h2h_inference(combined: DataFrame, alpha: float = FAMILY_ALPHA, delta: float = PRACTICAL, margin: float | None = None) -> DataFrame:
+def h2h_inference(combined: DataFrame, alpha: float = FAMILY_ALPHA, delta: float = PRACTICAL, margin: float | None = None, family: tuple[str, ...] = ()) -> DataFrame:
     """From order_combine: q_ab and q_ba (a's and b's win rate when seated first), d = (q_ab - q_ba) / 2 with ordinary (alpha
-    0.05) and Bonferroni bounds, a's balanced win rate, test, Holm and decision."""
+    0.05) and Bonferroni bounds, a's balanced win rate, test, Holm and decision. Pairs with equal `family` columns (say, of one root) are a
+    family of their own for Holm and Bonferroni; there are few families."""
     x = combined.withColumn("wins_1", F.col("wins_a_0")).withColumn("n_1", F.col("completed_0")).withColumn("wins_2", F.col("completed_1") - F.col("wins_a_1")).withColumn("n_2", F.col("completed_1"))
-    x = holm(score_test(x), alpha)
-    family = max(1, combined.count())
-    x = score_interval(score_interval(x, 0.05, "o"), alpha / family, "s")
+    x = holm(score_test(x), alpha, family)
+    sizes = sorted({r["n"] for r in combined.groupBy(*family).agg(F.count("*").alias("n")).collect()} - {0}) or [1]
+    level = F.create_map(*[F.lit(v) for n in sizes for v in (n, normal_quantile(1 - alpha / n / 2))])
+    x = x.withColumn("_z", level[F.count("*").over(Window.partitionBy(*family)).cast("int")])
+    x = score_interval(score_interval(x, normal_quantile(0.975), "o"), F.col("_z"), "s")
     qa, qb = ratio(F.col("wins_1"), F.col("n_1")), ratio(F.col("wins_2"), F.col("n_2"))
-    x = x.select("pair_id", "strategy_a", "strategy_b", "complete", qa.alias("q_ab"), qb.alias("q_ba"), ((qa - qb) / 2).alias("d"), *[(F.col(c) / 2).alias(c) for c in ("o_low", "o_high", "s_low", "s_high")], "z", "p", "holm_p", "holm_reject", (F.lit(0.5) + (qa - qb) / 2).alias("balanced_rate"))
+    x = x.select("pair_id", "strategy_a", "strategy_b", *family, "complete", qa.alias("q_ab"), qb.alias("q_ba"), ((qa - qb) / 2).alias("d"), *[(F.col(c) / 2).alias(c) for c in ("o_low", "o_high", "s_low", "s_high")], "z", "p", "holm_p", "holm_reject", (F.lit(0.5) + (qa - qb) / 2).alias("balanced_rate"))
     return x.withColumn("decision", decision(F.col("s_low"), F.col("s_high"), F.col("complete"), F.col("holm_reject"), F.col("d"), delta, margin))
 
 
+def root_decisions(blocks: DataFrame, alpha: float = FAMILY_ALPHA, delta: float = PRACTICAL, margin: float | None = None, roots: tuple[int, int] = (0, 1)) -> DataFrame:
+    """Per pair the inference of each of two roots on its own, all roots in one pass: effect, Holm class (advantage_a, advantage_b,
+    no_rejection; not_viable where blocks are short) and decision of both, the difference of the effects, whether classes, decisions and
+    directions agree (NULL where a root has no effect)."""
+    x = h2h_inference(order_combine(blocks, by_root=True), alpha, delta, margin, ("root",))
+    tested = F.when(~F.col("complete"), "not_viable").when(F.col("holm_reject") & (F.col("d") > 0), "advantage_a").when(F.col("holm_reject") & (F.col("d") < 0), "advantage_b").otherwise("no_rejection")
+    x = x.withColumn("holm", tested)
+    of = [F.max(F.when(F.col("root") == r, F.col(c))).alias(f"{c}_{i}") for i, r in enumerate(roots) for c in ("d", "holm", "decision")]
+    g = x.groupBy("pair_id", "strategy_a", "strategy_b").agg(*of)
+    both = F.col("d_0").isNotNull() & F.col("d_1").isNotNull()
+    same = lambda c: F.when(both, F.col(f"{c}_0") == F.col(f"{c}_1"))
+    return g.select("*", (F.col("d_0") - F.col("d_1")).alias("discrepancy"), same("holm").alias("holm_agrees"), same("decision").alias("decision_agrees"), F.when(both, F.signum("d_0") == F.signum("d_1")).alias("direction_agrees"))
+
+
 def root_agreement(blocks: DataFrame, delta: float = PRACTICAL) -> DataFrame:
     """Per pair the effect of each root and of their difference; direction agrees where both have one."""
     x = order_combine(blocks, by_root=True)

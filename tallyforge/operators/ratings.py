@@ -2,30 +2,86 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.functions.folders import settled
 from tallyforge.functions.stats import average_rank
-from tallyforge.operators.graph import settled
 
 
-def ratings_batch(exposures: DataFrame, rounds: int = 20, tolerance: float = 1e-6, prior: float = 0.5) -> DataFrame:
+#: Strengths that are shipped to all tasks, at most (16 MB); more are joined.
+LOOKUP = 1_000_000
+
+
+def ranked_games(exposures: DataFrame) -> DataFrame:
+    """root, k, game, ids: the strategies of each completed game in order of rank, a row for each game; settled."""
+    done = exposures.where("not safety and rank is not null")
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "strategy"))), lambda x: x["strategy"])
+    return settled(done.groupBy("root", "k", "game").agg(ids.alias("ids")))
+
+
+def stage_loads(strengths: np.ndarray) -> np.ndarray:
+    """For games as rows of strengths in order of rank: for each seat the sum of 1 / stage over the stages in which it was still to be
+    placed. A stage is the sum of the strengths not placed yet; the last one is no choice."""
+    stages = np.cumsum(strengths[:, ::-1], axis=1)[:, ::-1]
+    inverse = 1 / stages
+    inverse[:, -1] = 0
+    return np.cumsum(inverse, axis=1)
+
+
+def _loads_by_lookup(games: DataFrame, gamma: DataFrame) -> DataFrame:
+    """root, k, strategy, load: a task reads its games' strengths from a table and adds their loads up, so only a sum for each strategy and task
+    is shuffled."""
+    table = gamma.select("root", "k", "strategy", "g").toPandas().sort_values(["root", "k", "strategy"]).reset_index(drop=True)
+    cells = {key: (part.index[0], part["strategy"].to_numpy()) for key, part in table.groupby(["root", "k"])}
+    shared = games.sparkSession.sparkContext.broadcast((cells, table["g"].to_numpy(), table[["root", "k", "strategy"]]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells, g, keys = shared.value
+        load = np.zeros(len(g))
+        for rows in batches:
+            for key, mine in rows.groupby(["root", "k"]):
+                first, names = cells[key]
+                for _, some in mine.groupby(mine["ids"].map(len)):
+                    at = first + np.searchsorted(names, np.stack(some["ids"].to_numpy()))
+                    np.add.at(load, at, stage_loads(g[at]))
+        seen = load > 0
+        yield keys[seen].assign(load=load[seen])
+
+    kinds = ", ".join(f"{c} {gamma.schema[c].dataType.simpleString()}" for c in ("root", "k", "strategy"))
+    parts = games.select("root", "k", "ids").mapInPandas(run, f"{kinds}, load double")
+    return parts.groupBy("root", "k", "strategy").agg(F.sum("load").alias("load"))
+
+
+def _loads_by_join(games: DataFrame, gamma: DataFrame) -> DataFrame:
+    """The same where the strengths are too many to ship."""
+    key = ["root", "k", "strategy"]
+    x = games.select("root", "k", "game", F.posexplode("ids").alias("at", "strategy")).join(gamma.select(*key, "g"), key)
+    stage = F.sum("g").over(Window.partitionBy("root", "k", "game").orderBy(F.desc("at")))
+    x = x.withColumn("inv", stage).withColumn("last", F.max("at").over(Window.partitionBy("root", "k", "game")))
+    x = x.withColumn("load", F.sum(F.when(F.col("at") < F.col("last"), 1 / F.col("inv")).otherwise(0.0)).over(Window.partitionBy("root", "k", "game").orderBy("at")))
+    return x.groupBy(*key).agg(F.sum("load").alias("load"))
+
+
+def ratings_batch(exposures: DataFrame, rounds: int = 20, tolerance: float = 1e-6, prior: float = 0.5, lookup: int = LOOKUP) -> DataFrame:
     """Per root, k and strategy: mu (ln of the Plackett-Luce strength), attempted, completed and excluded exposures, updates
     (stages in which it was compared) and status. All ranks of completed games count, in no order; a draw of `prior` against
-    a player of strength 1 keeps strengths finite. One round is a window over games and a sum by strategy."""
+    a player of strength 1 keeps strengths finite. A game is one row, its strategies in order of rank; a round reads the
+    games where they lie and shuffles a sum for each strategy and task."""
     key = ["root", "k", "strategy"]
-    done = settled(exposures.where("not safety and rank is not null").select("root", "k", "game", "strategy", "rank"))
+    games = ranked_games(exposures)
     support = exposures.groupBy(*key).agg(F.count("*").alias("attempted"), F.sum((~F.col("safety")).cast("int")).alias("completed"))
-    wins = done.groupBy(*key).agg(F.sum((F.col("rank") < F.col("k")).cast("int")).alias("w"), F.sum(F.least(F.col("rank"), F.col("k") - 1)).alias("updates"))
+    seats = games.select("root", "k", F.size("ids").alias("seats"), F.posexplode("ids").alias("at", "strategy"))
+    wins = seats.groupBy(*key).agg(F.sum((F.col("at") < F.col("seats") - 1).cast("int")).alias("w"), F.sum(F.least(F.col("at") + 1, F.col("seats") - 1)).alias("updates"))
     gamma = settled(wins.select(*key, "w", "updates", F.lit(1.0).alias("g")))
+    loads = _loads_by_lookup if gamma.count() <= lookup else _loads_by_join
     for _ in range(rounds):
-        x = done.join(gamma.select(*key, "g"), key)
-        stage = F.sum("g").over(Window.partitionBy("root", "k", "game").orderBy(F.desc("rank")))
-        x = x.withColumn("inv", F.when(F.col("rank") < F.col("k"), 1 / stage).otherwise(0.0))
-        x = x.withColumn("load", F.sum("inv").over(Window.partitionBy("root", "k", "game").orderBy("rank")))
-        load = x.groupBy(*key).agg(F.sum("load").alias("load"))
         new = (F.col("w") + prior) / (F.col("load") + 2 * prior / (F.col("g") + 1))
-        step = settled(gamma.join(load, key).select(*key, "w", "updates", F.col("g").alias("was"), new.alias("g")))
+        step = settled(gamma.join(loads(games, gamma), key).select(*key, "w", "updates", F.col("g").alias("was"), new.alias("g")))
         gamma = step.drop("was")
         if (step.agg(F.max(F.abs(F.log(F.col("g") / F.col("was"))))).first()[0] or 0.0) < tolerance:
             break

@@ -64,3 +64,41 @@ def rating_support_issues(ratings: DataFrame) -> DataFrame:
     x = ratings.withColumn("cell_sum", cell)
     issue = F.when(F.col("attempted") != F.col("completed") + F.col("excluded"), "counts").when((F.col("status") == "rated") != (F.col("updates") > 0), "status").when(F.col("cell_sum") != F.col("cell_updates"), "cell_total")
     return x.select("root", "k", "strategy", issue.alias("issue")).where("issue is not null")
+
+
+#: Identifiers are whole numbers of any width from 0 to this.
+LARGEST_ID = 2**31 - 1
+
+
+def id_issues(df: DataFrame, columns: list[str], nullable: tuple[str, ...] = ()) -> DataFrame:
+    """column, issue, rows: identifier columns that are no whole-number columns (text, floats and flags are never parsed; rows NULL), and rows
+    with a NULL, negative or too large identifier. One pass for all columns."""
+    kinds = dict(df.dtypes)
+    whole = [c for c in columns if kinds[c] in ("tinyint", "smallint", "int", "bigint")]
+    spark = df.sparkSession
+    wrong = spark.createDataFrame([(c, "wrong_type", None) for c in columns if c not in whole], "column string, issue string, rows long")
+    if not whole:
+        return wrong
+    of = {"null": lambda c: F.col(c).isNull(), "negative": lambda c: F.col(c) < 0, "too_large": lambda c: F.col(c) > LARGEST_ID}
+    checks = [(c, issue, test(c)) for c in whole for issue, test in of.items() if not (issue == "null" and c in nullable)]
+    counts = df.agg(*[F.sum(F.coalesce(test, F.lit(False)).cast("long")).alias(f"n{i}") for i, (*_, test) in enumerate(checks)])
+    rows = counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(issue).alias("issue"), F.col(f"n{i}").alias("rows")) for i, (c, issue, _) in enumerate(checks)])))
+    return wrong.unionByName(rows.where("rows > 0"))
+
+
+def canonical_ids(df: DataFrame, columns: list[str], nullable: tuple[str, ...] = ()) -> DataFrame:
+    """The rows with these columns as int; an issue of id_issues is an error."""
+    if found := [tuple(r) for r in id_issues(df, columns, nullable).collect()]:
+        raise ValueError(f"identifiers are not canonical: {found}")
+    return df.withColumns({c: F.col(c).cast("int") for c in columns})
+
+
+def smallest_integers(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows with these whole-number columns in the smallest signed type that holds all their values; columns without a value
+    become tinyint. One pass for the ranges."""
+    ends = df.agg(*[f(c).alias(f"{p}{i}") for i, c in enumerate(columns) for p, f in (("low", F.min), ("high", F.max))]).first()
+    types = {}
+    for i, c in enumerate(columns):
+        low, high = ends[f"low{i}"] or 0, ends[f"high{i}"] or 0
+        types[c] = next(t for t, bits in (("tinyint", 7), ("smallint", 15), ("int", 31), ("bigint", 63)) if -(2**bits) <= low and high < 2**bits)
+    return df.withColumns({c: F.col(c).cast(t) for c, t in types.items()})
