@@ -41,6 +41,12 @@ def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").option("header", True).csv(path)
 
 
+def write_counter_csv(df: DataFrame, path: str, key: str = "strategy", count: str = "wins") -> None:
+    """A counter as CSV with the header key,count: repeated keys are added up, the largest count first, ties by key."""
+    g = df.groupBy(key).agg(F.sum(count).cast("long").alias(count))
+    g.orderBy(F.desc(count), key).write.mode("overwrite").option("header", True).csv(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
