@@ -8,11 +8,13 @@ equal ranges of the order key. An urgent pending order's games are safety-limit
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.folders import shared_folder
+from tallyforge.functions.folders import settled, shared_folder
+from tallyforge.functions.stats import normal_quantile
 from tallyforge.operators import agreement, gamestats, graph, h2h, lag, metrics, models, performance, ratings, resample, reshape, seats, stability, validate
+from tallyforge.sources import footers
 from tallyforge.streaming import incremental
 
 BATCHES, FEW = 10, 5
@@ -26,8 +28,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def exposures(spark: SparkSession, sf_dir: str, strategies: int = 100) -> DataFrame:
-    """One row per game and seat."""
+def exposures(spark: SparkSession, sf_dir: str, strategies: int | Column = 100) -> DataFrame:
+    """One row per game and seat; a strategy is the supplier modulo a number, or an expression of the item."""
+    strategy = strategies if isinstance(strategies, Column) else F.col("l_suppkey") % strategies
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", ((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT")).alias("safety"))
     top = orders.agg((F.max("o_orderkey") + 1).alias("top"))
@@ -38,7 +41,7 @@ def exposures(spark: SparkSession, sf_dir: str, strategies: int = 100) -> DataFr
     game = Window.partitionBy("l_orderkey", "deal")
     e = e.select(
         "l_orderkey", (F.col("l_orderkey") * ROOM + F.col("deal")).alias("game"), (F.floor(F.col("at") / F.col("deals")) + 1).cast("int").alias("seat"), F.count("*").over(game).cast("int").alias("k"),
-        (F.col("l_suppkey") % strategies).cast("int").alias("strategy"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("score"), F.col("l_quantity").cast("int").alias("n_turns"), F.max(F.col("l_quantity").cast("int")).over(game).alias("n_rounds"),
+        strategy.cast("int").alias("strategy"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("score"), F.col("l_quantity").cast("int").alias("n_turns"), F.max(F.col("l_quantity").cast("int")).over(game).alias("n_rounds"),
     )
     e = e.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey").crossJoin(F.broadcast(top))
     e = e.withColumn("root", F.col("l_orderkey") % 2).withColumn("batch", F.floor(F.col("l_orderkey") * BATCHES / F.col("top")).cast("int")).drop("top", "l_orderkey")
@@ -66,7 +69,8 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def _bm(spark: SparkSession, d: str, strategies: int = 100) -> DataFrame:
-    return metrics.batch_metrics(exposures(spark, d, strategies))
+    """The additive cells, written once: they are few, and what is built on them reads them more than once."""
+    return settled(metrics.batch_metrics(exposures(spark, d, strategies)))
 
 
 def _zero(spark: SparkSession, d: str, strategies: int = 100) -> DataFrame:
@@ -89,17 +93,36 @@ def _combined(spark: SparkSession, d: str) -> DataFrame:
     return stability.root_combined_by_k(_bm(spark, d, FEW))
 
 
-def _attempts(spark: SparkSession, d: str) -> DataFrame:
+def _attempts(spark: SparkSession, d: str, strategies: int | Column = 10) -> DataFrame:
     """Head-to-head attempts from two-seat games of ten strategies: a block is an unordered pair, root and seat order."""
-    g = games(exposures(spark, d, 10)).where("k = 2")
+    g = games(exposures(spark, d, strategies)).where("k = 2")
     a, b = F.get("strategies", 0), F.get("strategies", 1)
     x = g.where(a != b).select(F.least(a, b).alias("strategy_a"), F.greatest(a, b).alias("strategy_b"), "root", (a > b).cast("int").alias("seat_order"), "game", (~F.col("safety")).cast("int").alias("completed"), F.coalesce((F.col("winner_seat") == 1).cast("int"), F.lit(0)).alias("first_won"))
     x = x.withColumn("pair_id", F.col("strategy_a") * 10 + F.col("strategy_b"))
     return x.withColumn("attempt", F.row_number().over(Window.partitionBy("pair_id", "root", "seat_order").orderBy("game")) - 1)
 
 
-def _blocks(spark: SparkSession, d: str) -> DataFrame:
-    return h2h.block_counts(_attempts(spark, d), TARGET)
+def _blocks(spark: SparkSession, d: str, strategies: int | Column = 10) -> DataFrame:
+    return h2h.block_counts(_attempts(spark, d, strategies), TARGET)
+
+
+def _by_strength(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of five strategies of different strength: classes of a noisy price (the part adds the noise), numbered out of order. All
+    classes of decisions but the equivalent one occur among their pairs."""
+    noisy = F.col("l_extendedprice") + F.col("l_partkey") % 50 * 4000
+    return settled(_blocks(spark, d, F.least(F.floor(noisy / 60000), F.lit(4)) * 2 % 5))
+
+
+def _strength_decisions(spark: SparkSession, d: str) -> DataFrame:
+    return settled(h2h.h2h_inference(h2h.order_combine(_by_strength(spark, d))))
+
+
+def _strength_fronts(spark: SparkSession, d: str) -> DataFrame:
+    decided = _strength_decisions(spark, d)
+    edges = settled(graph.win_edges(decided).where("kind = 'practical'"))
+    nodes = settled(decided.select(F.col("strategy_a").alias("strategy")).union(decided.select("strategy_b")).distinct())
+    groups = settled(graph.cycle_groups(edges, nodes))
+    return graph.dominance_fronts(edges, groups).join(graph.round_robin_scores(decided), "strategy")
 
 
 def _decisions(spark: SparkSession, d: str) -> DataFrame:
@@ -139,6 +162,29 @@ def _seat_effects(spark: SparkSession, d: str) -> DataFrame:
     return seats.seat_effects(seats.seat_counts(exposures(spark, d)))
 
 
+def _id_issues(spark: SparkSession, d: str) -> DataFrame:
+    """Identifiers with planted faults."""
+    e = exposures(spark, d).select(F.when(F.col("game") % 97 != 0, F.col("strategy")).alias("strategy"), (F.col("seat") - 3).alias("lower"), (F.col("score") * 1000).alias("larger"), F.col("k").cast("string").alias("text"), "root")
+    return validate.id_issues(e, ["strategy", "lower", "larger", "text", "root"])
+
+
+def _block_issues(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks that stopped by the rule, with planted faults."""
+    plan = h2h.pair_schedule(exposures(spark, d, 10).select("strategy").distinct(), exposures(spark, d).select("root").distinct(), TARGET)
+    plan = plan.withColumn("pair_id", F.col("strategy_a") * 10 + F.col("strategy_b")).withColumn("seat1", F.when(F.col("pair_id") == 12, F.col("seat2")).otherwise(F.col("seat1")))
+    b = h2h.prefix_until_target(_attempts(spark, d), TARGET, CAP)
+    at = lambda pair, c, other: F.when(F.col("pair_id") == pair, other).otherwise(F.col(c))
+    return h2h.block_issues(plan, b.withColumn("strategy_b", at(13, "strategy_b", F.col("strategy_b") + 1)).withColumn("status", at(14, "status", F.lit("open"))).withColumn("completed", at(15, "completed", F.col("completed") + 1)).withColumn("attempted", at(16, "attempted", F.col("attempted") - 1)), CAP)
+
+
+def _decision_family_issues(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions and scores with planted faults."""
+    x = _strength_decisions(spark, d).where("pair_id != 13").withColumn("decision", F.when(F.col("pair_id") == 24, "undecided").otherwise(F.col("decision")))
+    x = x.withColumn("family_hash", F.when(F.col("pair_id") < 10, "a").otherwise("b"))
+    few = spark.range(5).select(F.col("id").cast("int").alias("strategy"), (F.col("id") != 2).alias("complete"))
+    return graph.decision_family_issues(x, few.union(few.where("strategy = 4")))
+
+
 def _family(spark: SparkSession, d: str) -> DataFrame:
     """Two orders of the strategies: by score, and by summed score of cents."""
     e = exposures(spark, d)
@@ -193,11 +239,15 @@ RAW = {
     "manifest_reconcile": _manifest,
     # validation
     "row_contract_violations": lambda s, d: validate.row_contract_violations(games(exposures(s, d))),
+    "file_ranges": lambda s, d: footers.column_ranges(s, f"{d}/lineitem.parquet").unionByName(footers.column_ranges(s, f"{d}/orders.parquet")),
     "negative_columns": lambda s, d: validate.negative_columns(exposures(s, d).withColumn("debt", F.col("seat") - F.col("k"))),
     "rowcount_reconcile": lambda s, d: validate.rowcount_reconcile(games(exposures(s, d))),
     "rectangular_support": lambda s, d: validate.rectangular_support(_bm(s, d)),
     "exposure_conservation": lambda s, d: metrics.exposure_conservation(_bm(s, d).withColumn("completed", F.when(F.col("strategy") == 7, F.col("completed") - 1).otherwise(F.col("completed")))).select("root", "k", "batch", "strategy", "rule"),
     "rank_row_classify": lambda s, d: validate.rank_row_classify(games(exposures(s, d))).groupBy("class").count(),
+    "id_issues": _id_issues,
+    "block_issues": _block_issues,
+    "decision_family_issues": _decision_family_issues,
     "pair_family_issues": lambda s, d: graph.pair_family_issues(_plain_decisions(s, d).where("pair_id % 11 != 3")),
     # aggregations
     "batch_metrics": lambda s, d: metrics.batch_metrics(_in_hundreds(s, d)),
@@ -251,6 +301,7 @@ RAW = {
     "lag_autocorr_events": _event_lag,
     "group_eligibility": lambda s, d: lag.group_eligibility(exposures(s, d), ["strategy", "k"], (30,)),
     "priority_cap": lambda s, d: lag.priority_cap(lag.group_eligibility(exposures(s, d), ["strategy"]), "strategy", 20),
+    "cap_status": lambda s, d: lag.cap_status(lag.group_eligibility(exposures(s, d), ["strategy"]), 20),
     "prefix_until_target": lambda s, d: h2h.prefix_until_target(_attempts(s, d), TARGET, CAP),
     "holm_adjust": lambda s, d: h2h.holm(_holm_input(s, d)).select("pair_id", "p", "holm_p", "holm_reject"),
     "matched_convergence": lambda s, d: stability.matched_convergence(_bm(s, d, FEW), top=2),
@@ -265,12 +316,17 @@ RAW = {
     "rank_correlation": lambda s, d: performance.rank_correlation(_family(s, d).select(F.lit(0).alias("scope"), F.col("strategy").alias("id"), F.col("rate_rank").alias("x"), F.floor(F.col("rating_rank") / 3).alias("y")), ["scope"]),
     "pareto_front": lambda s, d: performance.pareto_front(_by_k(s, d).withColumn("delta", F.round("delta", 9))),
     "maximin": lambda s, d: performance.maximin(_across(s, d).withColumn("min_delta", F.round("min_delta", 9))),
-    "bootstrap_ranks": lambda s, d: resample.bootstrap_ranks(resample.replicate_scores(_bm(s, d, FEW), SCORES), top=2),
-    "bootstrap_contrasts": lambda s, d: resample.bootstrap_contrasts(resample.replicate_scores(_bm(s, d, FEW), SCORES), _few_scores(s, d), 1),
-    "joint_discrepancy": lambda s, d: resample.joint_discrepancy(resample.replicate_scores(_bm(s, d, FEW), SCORES), stability.discrepancies(stability.across_k(_combined(s, d)), ["strategy"], "score").select("strategy", "raw", "expected")),
+    "bootstrap_ranks": lambda s, d: resample.bootstrap_ranks(_bm(s, d, FEW), SCORES, top=2),
+    "bootstrap_contrasts": lambda s, d: resample.bootstrap_contrasts(_bm(s, d, FEW), SCORES, _few_scores(s, d), 1),
+    "joint_discrepancy": lambda s, d: resample.joint_discrepancy(_bm(s, d, FEW), SCORES, stability.discrepancies(stability.across_k(_combined(s, d)), ["strategy"], "score").select("strategy", "raw", "expected")),
     "score_test": lambda s, d: h2h.score_test(_two_samples(s, d)).select("pair_id", "z", "p"),
-    "score_interval": lambda s, d: h2h.score_interval(_two_samples(s, d), 0.05, "ordinary").select("pair_id", "ordinary_low", "ordinary_high"),
+    "score_interval": lambda s, d: h2h.score_interval(_two_samples(s, d), normal_quantile(0.975), "ordinary").select("pair_id", "ordinary_low", "ordinary_high"),
     "h2h_inference": _decisions,
+    "strength_decisions": _strength_decisions,
+    "strength_edges": lambda s, d: graph.win_edges(_strength_decisions(s, d)),
+    "strength_fronts": lambda s, d: _strength_fronts(s, d).select("strategy", "component", "front", "mean_rate", "wins", "losses", "net", "eligible"),
+    "strength_best": lambda s, d: (lambda x: graph.unique_best(graph.win_edges(x), graph.round_robin_scores(x)))(_strength_decisions(s, d)),
+    "root_decisions": lambda s, d: h2h.root_decisions(_by_strength(s, d)),
     "decision_table": lambda s, d: agreement.decision_table(_plain_decisions(s, d)),
     "win_edges": _edges,
     "round_robin_scores": lambda s, d: graph.round_robin_scores(_plain_decisions(s, d)),

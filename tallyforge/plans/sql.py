@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tallyforge.functions.stats import normal_quantile, t_quantile
+from tallyforge.operators.h2h import FAMILY_ALPHA, PRACTICAL
 from tallyforge.plans.contest import BATCHES, CAP, FEW, ROOM, SCORES, SEATS, TARGET
 
 Z = repr(normal_quantile(0.975))
@@ -17,12 +18,17 @@ def n(expr: str, name: str) -> str:
     return f"({expr})::BIGINT AS {name}"
 
 
-def base(strategies: int = 100) -> str:
-    """Exposures e, games g, cells bm, zero-filled cells zf."""
+#: Classes of a noisy price as strategies.
+STRENGTH = "least(floor((l_extendedprice + l_partkey % 50 * 4000) / 60000), 4) * 2 % 5"
+
+
+def base(strategies: int | str = 100) -> str:
+    """Exposures e, games g, cells bm, zero-filled cells zf. A strategy is the supplier modulo a number, or an expression."""
+    strategy = strategies if isinstance(strategies, str) else f"l_suppkey % {strategies}"
     return f"""WITH RECURSIVE o AS (SELECT o_orderkey, o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' AS safety, (SELECT max(o_orderkey) + 1 FROM orders) AS top FROM orders),
     l0 AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS nr, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
     l1 AS (SELECT *, (n + {SEATS - 1}) // {SEATS} AS deals, nr % ((n + {SEATS - 1}) // {SEATS}) AS deal FROM l0 WHERE n > 1),
-    li AS (SELECT l_orderkey, l_orderkey * {ROOM} + deal AS game, nr // deals + 1 AS seat, count(*) OVER (PARTITION BY l_orderkey, deal) AS k, (l_suppkey % {strategies})::INT AS strategy, round(l_extendedprice * 100)::BIGINT AS score,
+    li AS (SELECT l_orderkey, l_orderkey * {ROOM} + deal AS game, nr // deals + 1 AS seat, count(*) OVER (PARTITION BY l_orderkey, deal) AS k, ({strategy})::INT AS strategy, round(l_extendedprice * 100)::BIGINT AS score,
         l_quantity::INT AS n_turns, max(l_quantity::INT) OVER (PARTITION BY l_orderkey, deal) AS n_rounds FROM l1),
     er AS (SELECT li.*, safety, l_orderkey % 2 AS root, (l_orderkey * {BATCHES} // top)::INT AS batch,
         CASE WHEN NOT safety THEN row_number() OVER (PARTITION BY game ORDER BY score DESC, seat) END AS rank FROM li JOIN o ON l_orderkey = o_orderkey),
@@ -85,9 +91,9 @@ def discrepancy(source: str, keys: str, value: str) -> str:
         FROM {source} a, {source} b, {source} c WHERE {on} AND a.root = 0 AND b.root = 1 AND c.root IS NULL"""
 
 
-def attempts(used: str = "true") -> str:
+def attempts(used: str = "true", strategies: int | str = 10) -> str:
     """Adds att (attempts), bl (blocks of the used attempts), oc (pairs) and pd (plain decisions)."""
-    return base(10) + f""",
+    return base(strategies) + f""",
     at0 AS (SELECT least(strategies[1], strategies[2]) AS strategy_a, greatest(strategies[1], strategies[2]) AS strategy_b, root, (strategies[1] > strategies[2])::INT AS seat_order, game, (NOT safety)::INT AS completed, coalesce(winner_seat = 1, false)::INT AS first_won FROM g WHERE k = 2 AND strategies[1] <> strategies[2]),
     att AS (SELECT *, strategy_a * 10 + strategy_b AS pair_id, row_number() OVER w - 1 AS attempt, coalesce(sum(completed) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM at0 WINDOW w AS (PARTITION BY strategy_a, strategy_b, root, seat_order ORDER BY game)),
     bl0 AS (SELECT pair_id, strategy_a, strategy_b, root, seat_order, count(*) AS attempted, sum(completed) AS completed, sum(completed * first_won) AS wins_seat1 FROM att WHERE {used} GROUP BY ALL),
@@ -114,6 +120,56 @@ def attempts(used: str = "true") -> str:
     rg AS (SELECT pair_id, max(d) FILTER (root = 0) AS d_0, max(d) FILTER (root = 1) AS d_1 FROM rg0 GROUP BY pair_id)"""
 
 
+#: Normal quantiles of the Bonferroni level by the size of the family.
+_LEVELS = "CASE m " + " ".join(f"WHEN {m} THEN {normal_quantile(1 - FAMILY_ALPHA / m / 2)!r}" for m in range(1, 46)) + " END"
+
+
+def inference(by_root: bool = False) -> str:
+    """Adds dc: tests, intervals and decisions of the pairs (and roots) of bl. p comes from the series of erf with positive terms, bounds
+    from 60 bisections of the score statistic with the closed form of the constrained rate."""
+    root, family = (", root", "PARTITION BY root") if by_root else ("", "")
+    key = "pair_id" + root
+    pick = lambda c, o: f"coalesce(sum({c}) FILTER (seat_order = {o}), 0)"
+    return f""",
+    in0 AS (SELECT {key}, strategy_a, strategy_b, {pick('wins_a', 0)}::DOUBLE AS x1, {pick('completed', 0)}::DOUBLE AS n1, ({pick('completed', 1)} - {pick('wins_a', 1)})::DOUBLE AS x2, {pick('completed', 1)}::DOUBLE AS n2,
+        bool_and(status = 'complete') AND count(DISTINCT seat_order) = 2 AS complete FROM bl GROUP BY {key}, strategy_a, strategy_b),
+    in1 AS (SELECT *, (x1 + x2) / (n1 + n2) AS pool, count(*) OVER ({family}) AS m FROM in0),
+    in2 AS (SELECT *, CASE WHEN n1 <= 0 OR n2 <= 0 THEN NULL WHEN pool * (1 - pool) <= 0 THEN 0.0 ELSE (x1 / n1 - x2 / n2) / sqrt(pool * (1 - pool) * (1 / n1 + 1 / n2)) END AS z FROM in1),
+    in3 AS (SELECT *, abs(z) / sqrt(2) AS u FROM in2),
+    in4 AS (SELECT *, CASE WHEN u IS NULL THEN NULL WHEN u > 8 THEN 0.0 ELSE 1 - 2 / sqrt(pi()) * exp(-u * u) * list_reduce(list_transform(range(1, 400), lambda i: [i::DOUBLE, 0.0]), lambda s, i: [s[1] * 2 * u * u / (2 * i[1] + 1), s[2] + s[1] * 2 * u * u / (2 * i[1] + 1)], [u, u])[2] END AS p FROM in3),
+    in5 AS (SELECT *, least(coalesce(p, 1) * (m - row_number() OVER ({family} ORDER BY coalesce(p, 1), pair_id) + 1), 1) AS s FROM in4),
+    in6 AS (SELECT *, max(s) OVER ({family} ORDER BY coalesce(p, 1), pair_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS holm_p FROM in5),
+    bi AS (SELECT {key}, kind, edge, x1, n1, x2, n2, CASE kind WHEN 'o' THEN {Z} ELSE {_LEVELS} END AS q, x1 / n1 - x2 / n2 AS inside, edge AS outside, edge AS tried, NULL::BOOLEAN AS hit, -1 AS step FROM in1, unnest(['o', 's']) a(kind), unnest([-1.0::DOUBLE, 1.0]) b(edge) WHERE n1 > 0 AND n2 > 0
+        UNION ALL SELECT {key}, kind, edge, x1, n1, x2, n2, q, CASE WHEN far OR step < 0 THEN inside ELSE tried END, CASE WHEN far AND step >= 0 THEN tried ELSE outside END,
+            CASE WHEN step < 0 THEN (inside + outside) / 2 WHEN far THEN (inside + tried) / 2 ELSE (tried + outside) / 2 END, CASE WHEN step < 0 THEN far ELSE hit END, step + 1
+        FROM (SELECT *, CASE WHEN v > 0 THEN gap * gap > q * q * greatest(v, 1e-300) ELSE abs(gap) > 1e-12 END AS far
+        FROM (SELECT *, x1 / n1 - x2 / n2 - tried AS gap, p1 * (1 - p1) / n1 + p2 * (1 - p2) / n2 AS v
+        FROM (SELECT *, least(greatest(p2 + tried, 0), 1) AS p1
+        FROM (SELECT *, least(greatest(2 * b * cos((pi() + acos(CASE WHEN b = 0 THEN 0 ELSE least(greatest(c / (b * b * b), -1), 1) END)) / 3) - a2 / (3 * a3), greatest(0, -tried)), least(1, 1 - tried)) AS p2
+        FROM (SELECT *, CASE WHEN c >= 0 THEN 1 ELSE -1 END * sqrt(greatest(a2 * a2 / (9 * a3 * a3) - a1 / (3 * a3), 0)) AS b
+        FROM (SELECT *, a2 * a2 * a2 / (27 * a3 * a3 * a3) - a1 * a2 / (6 * a3 * a3) + x2 * tried * (1 - tried) / (2 * a3) AS c
+        FROM (SELECT *, n1 + n2 AS a3, (n1 + 2 * n2) * tried - n1 - n2 - x1 - x2 AS a2, (n2 * tried - n1 - n2 - 2 * x2) * tried + x1 + x2 AS a1 FROM bi WHERE step < 60))))))) AS far_at),
+    bo AS (SELECT {key}, {", ".join(f"max(CASE WHEN hit THEN inside ELSE edge END) FILTER (kind = '{k}' AND edge = {e}) / 2 AS {k}_{name}" for k in "os" for e, name in ((-1, "low"), (1, "high")))} FROM bi WHERE step = 60 GROUP BY {key}),
+    dc0 AS (SELECT *, x1 / nullif(n1, 0) AS q_ab, x2 / nullif(n2, 0) AS q_ba, (x1 / nullif(n1, 0) - x2 / nullif(n2, 0)) / 2 AS d, holm_p <= {FAMILY_ALPHA} AS holm_reject FROM in6 LEFT JOIN bo USING ({key})),
+    dc AS (SELECT *, 0.5 + d AS balanced_rate, CASE WHEN NOT complete THEN 'unresolved_nonviable' WHEN s_low > {PRACTICAL} THEN 'practical_dominance_a' WHEN s_high < -{PRACTICAL} THEN 'practical_dominance_b'
+        WHEN holm_reject AND d > 0 THEN 'statistical_only_advantage_a' WHEN holm_reject AND d < 0 THEN 'statistical_only_advantage_b' ELSE 'unresolved' END AS decision FROM dc0)"""
+
+
+_DECIDED = "SELECT pair_id::BIGINT AS pair_id, strategy_a::BIGINT AS strategy_a, strategy_b::BIGINT AS strategy_b, complete, " + ", ".join(d(c, c) for c in ("q_ab", "q_ba", "d", "o_low", "o_high", "s_low", "s_high", "z", "p", "holm_p", "balanced_rate")) + ", holm_reject, decision FROM dc"
+#: Graph tables on decisions: wx (edges), sx (scores), fx (fronts). Components are single strategies here unless a cycle joins them.
+_WON = """, w0 AS (SELECT CASE WHEN decision LIKE '%_a' THEN strategy_a ELSE strategy_b END AS src, CASE WHEN decision LIKE '%_a' THEN strategy_b ELSE strategy_a END AS dst, decision LIKE 'practical%' AS practical, CASE WHEN decision LIKE '%_a' THEN s_low ELSE -s_high END AS bound FROM dc WHERE decision LIKE 'practical%' OR decision LIKE 'statistical%'),
+    wx AS (SELECT src, dst, 'statistical' AS kind, bound AS distance FROM w0 UNION ALL SELECT src, dst, 'practical', bound - 0.03 FROM w0 WHERE practical),
+    wp AS (SELECT src, dst FROM wx WHERE kind = 'practical'),
+    sx0 AS (SELECT strategy_a AS strategy, balanced_rate AS rate, decision = 'practical_dominance_a' AS won, decision = 'practical_dominance_b' AS lost, complete FROM dc UNION ALL SELECT strategy_b, 1 - balanced_rate, decision = 'practical_dominance_b', decision = 'practical_dominance_a', complete FROM dc),
+    sx AS (SELECT strategy, avg(rate) AS mean_rate, sum(won::INT) AS wins, sum(lost::INT) AS losses, bool_and(complete) AS eligible FROM sx0 GROUP BY strategy),
+    rx AS (SELECT src, dst FROM wp UNION SELECT rx.src, wp.dst FROM rx JOIN wp ON rx.dst = wp.src),
+    gx AS (SELECT strategy, least(strategy, coalesce((SELECT min(x.dst) FROM rx x JOIN rx y ON x.src = y.dst AND x.dst = y.src WHERE x.src = strategy), strategy)) AS component FROM sx),
+    lx AS (SELECT DISTINCT a.component AS a, b.component AS b FROM wp JOIN gx a ON src = a.strategy JOIN gx b ON dst = b.strategy WHERE a.component <> b.component),
+    fx0 AS (SELECT DISTINCT component, 1 AS front FROM gx UNION SELECT b, front + 1 FROM fx0 JOIN lx ON a = fx0.component),
+    fx AS (SELECT component, max(front) AS front FROM fx0 GROUP BY component)"""
+_STRENGTH = attempts(strategies=STRENGTH)
+
+
 def family() -> str:
     return base() + """, fa AS (SELECT strategy, row_number() OVER (ORDER BY round(avg(won), 9) DESC, strategy) AS rate_rank, row_number() OVER (ORDER BY sum(score) DESC, strategy) AS rating_rank FROM e GROUP BY strategy)"""
 
@@ -144,6 +200,39 @@ def boot() -> str:
     sc AS (SELECT root, rep, strategy, avg(x) AS score FROM sk GROUP BY ALL)"""
 
 
+#: The cells of each fraction's batches counted anew, and all pairs of strategies compared.
+_CONVERGENCE = f""", ps AS (SELECT *, dense_rank() OVER (PARTITION BY root, k ORDER BY batch) - 1 AS pos FROM bm), nb AS (SELECT root, k, count(DISTINCT batch) AS nb FROM bm GROUP BY ALL),
+    y0 AS (SELECT f AS fraction, root, k, strategy, sum(wins)::DOUBLE AS w, sum(exposures)::DOUBLE AS x, count(*) AS b, sum(wins::DOUBLE * wins) AS ww, sum(wins::DOUBLE * exposures) AS wn, sum(exposures::DOUBLE * exposures) AS nn
+        FROM ps JOIN nb USING (root, k), unnest([0.25::DOUBLE, 0.5, 0.75, 1.0]) u(f) WHERE pos < ceil(f * nb) GROUP BY GROUPING SETS ((f, root, k, strategy), (f, k, strategy))),
+    y AS (SELECT *, w / x - 1.0::DOUBLE / k AS delta, CASE WHEN b >= 2 THEN sqrt(b / (b - 1) * greatest(ww - 2 * (w / x) * wn + (w / x) * (w / x) * nn, 0)) / x END AS mcse FROM y0),
+    fk AS (SELECT fraction, count(DISTINCT k) AS all_k FROM y GROUP BY fraction),
+    s AS (SELECT fraction, root, strategy, round(avg(delta), 9) AS score, CASE WHEN count(mcse) = count(*) THEN sqrt(sum(mcse * mcse)) / count(*) END AS mcse FROM y JOIN fk USING (fraction) GROUP BY fraction, root, strategy, all_k HAVING count(*) = all_k),
+    r AS (SELECT *, row_number() OVER (PARTITION BY fraction, root ORDER BY score DESC, strategy) AS rank, score >= round(max(score) OVER (PARTITION BY fraction, root) - 0.03, 9) AS near FROM s),
+    ra AS (SELECT * FROM r WHERE root = 0), rb AS (SELECT * FROM r WHERE root = 1), rc AS (SELECT * FROM r WHERE root IS NULL), rf AS (SELECT u.f AS fraction, strategy, rank, near FROM rc, unnest([0.25::DOUBLE, 0.5, 0.75, 1.0]) u(f) WHERE fraction = 1),
+    x AS (SELECT fraction, strategy, ra.rank AS a, rb.rank AS b, rc.rank AS c, rf.rank AS f, coalesce(rc.near, false) AS c_near, coalesce(rf.near, false) AS f_near, rc.mcse, abs(ra.score - rb.score) AS gap
+        FROM ra FULL JOIN rb USING (fraction, strategy) FULL JOIN rc USING (fraction, strategy) FULL JOIN rf USING (fraction, strategy)),
+    q AS (SELECT fraction, 'roots' AS kind, strategy, a AS x, b AS y FROM x UNION ALL SELECT fraction, 'a_final', strategy, a, f FROM x UNION ALL SELECT fraction, 'b_final', strategy, b, f FROM x UNION ALL SELECT fraction, 'both_final', strategy, c, f FROM x),
+    qk AS (SELECT *, row_number() OVER (PARTITION BY fraction, kind ORDER BY x) AS rx, row_number() OVER (PARTITION BY fraction, kind ORDER BY y) AS ry FROM q WHERE x IS NOT NULL AND y IS NOT NULL),
+    sp AS (SELECT fraction, kind, CASE WHEN count(*) >= 2 THEN corr(rx, ry) END AS spearman FROM qk GROUP BY ALL),
+    kt AS (SELECT a.fraction, a.kind, avg(sign(a.x - b.x) * sign(a.y - b.y)) AS kendall FROM qk a JOIN qk b ON a.fraction = b.fraction AND a.kind = b.kind AND a.strategy < b.strategy GROUP BY ALL),
+    al AS (SELECT fraction, {", ".join(f"max({c}) FILTER (kind = '{k}') AS {k}_{c}" for k, c in (("roots", "spearman"), ("roots", "kendall"), ("a_final", "spearman"), ("b_final", "spearman"), ("both_final", "spearman"), ("both_final", "kendall")))} FROM sp LEFT JOIN kt USING (fraction, kind) GROUP BY fraction),
+    cv AS (SELECT fraction, count(a + b) AS n, sum(coalesce(a <= 2 AND b <= 2, false)::INT) AS top_both, sum((coalesce(a <= 2, false) OR coalesce(b <= 2, false))::INT) AS either, sum((c_near <> f_near)::INT) AS shortlist_difference, {Z} * quantile_cont(mcse, 0.5) AS half_width, max(gap) AS largest FROM x GROUP BY fraction)
+    SELECT fraction, {n('cv.n', 'n')}, {n('top_both', 'top_both')}, {n('shortlist_difference', 'shortlist_difference')}, {d('half_width', 'half_width')}, {d('largest', 'largest_difference')}, {d('top_both / either', 'top_jaccard')},
+        {", ".join(d(c, c) for c in ("roots_spearman", "roots_kendall", "a_final_spearman", "b_final_spearman", "both_final_spearman", "both_final_kendall"))} FROM cv LEFT JOIN al USING (fraction)"""
+
+
+#: Distances back to each root by walks of any length over larger nodes; then the walks from the smallest root that closes soonest.
+_CYCLES = f""", sz AS (SELECT component, count(*) AS size, list(strategy ORDER BY strategy) AS members FROM cg GROUP BY component HAVING count(*) > 1),
+    ie AS (SELECT a.component, src, dst, distance FROM pe JOIN cg a ON src = a.strategy JOIN cg b ON dst = b.strategy JOIN sz ON sz.component = a.component WHERE a.component = b.component),
+    bd AS (SELECT component, dst AS root, src AS node, 1 AS far FROM ie WHERE src > dst UNION SELECT ie.component, root, src, far + 1 FROM bd JOIN ie ON ie.component = bd.component AND dst = node WHERE src > root AND far < (SELECT max(size) FROM sz)),
+    nr AS (SELECT component, root, node, min(far) AS far FROM bd GROUP BY ALL),
+    cz AS (SELECT ie.component, min((far + 1, src)) AS best FROM ie JOIN nr ON nr.component = ie.component AND root = src AND node = dst GROUP BY ie.component),
+    cy AS (SELECT component, best[1] AS edges, best[2] AS root, [best[2]] AS path FROM cz
+        UNION ALL SELECT cy.component, edges, cy.root, list_append(path, dst) FROM cy JOIN ie ON ie.component = cy.component AND src = path[-1] JOIN nr ON nr.component = cy.component AND nr.root = cy.root AND nr.node = dst AND nr.far = edges - len(path) WHERE len(path) < edges),
+    cb AS (SELECT component, min(path) AS cycle FROM cy WHERE len(path) = edges GROUP BY component)
+    SELECT sz.component::BIGINT AS component, {n('size', 'size')}, members, {d('min(distance)', 'weakest')}, {d('max(distance)', 'strongest')}, any_value(cycle) AS cycle FROM sz JOIN ie USING (component) JOIN cb USING (component) GROUP BY sz.component, size, members"""
+
+
 _P, _C, _F = performance(), combined(100), combined(FEW)
 _len = lambda extra: f"{n('count(*)', 'n')}, {d('avg(n_rounds)', 'mean')}, {d('stddev_pop(n_rounds)', 'sd')}, {extra}"
 _quant = ", ".join(d(f"quantile_cont(n_rounds, {q})", f"p{int(q * 100)}") for q in (0.1, 0.5, 0.9))
@@ -233,11 +322,7 @@ SQL = {
     "rank_movement": _C + f", x AS (SELECT abs(a - b) AS move, unnest(CASE WHEN least(a, b) <= 25 THEN ['all', 'top'] ELSE ['all'] END) AS scope FROM ab) SELECT scope, {n('count(*)', 'n')}, {d('quantile_cont(move, 0.5)', 'median')}, {d('quantile_cont(move, 0.95)', 'p95')}, {n('max(move)', 'largest')} FROM x GROUP BY scope",
     "control_movement": _C + f", x AS (SELECT * FROM rr WHERE strategy IN (1, 2, 3)) SELECT strategy::BIGINT AS strategy, {', '.join(f'{n(f'max(rank) FILTER ({c})', f'{p}_rank')}, {d(f'max(score) FILTER ({c})', f'{p}_score')}' for p, c in (('a', 'root = 0'), ('b', 'root = 1'), ('both', 'root IS NULL')))} FROM x GROUP BY strategy",
     "shortlist_changes": _C + ", x AS (SELECT root, strategy, score >= round(max(score) OVER (PARTITION BY root) - 0.03, 9) AS near FROM rr), y AS (SELECT strategy, bool_or(near) FILTER (root = 0) AS in_a, bool_or(near) FILTER (root = 1) AS in_b, bool_or(near) FILTER (root IS NULL) AS in_both FROM x GROUP BY strategy) SELECT strategy::BIGINT AS strategy, in_a, in_b, in_both, in_a <> in_b AS changed, in_a <> in_both OR in_b <> in_both AS differs FROM y WHERE in_a <> in_b OR in_a <> in_both OR in_b <> in_both",
-    "matched_convergence": base(FEW) + f""", ps AS (SELECT *, dense_rank() OVER (PARTITION BY root, k ORDER BY batch) - 1 AS pos FROM bm), nb AS (SELECT root, k, count(DISTINCT batch) AS nb FROM bm GROUP BY ALL),
-        y AS (SELECT f AS fraction, root, k, strategy, sum(wins) / sum(exposures) - 1.0::DOUBLE / k AS delta FROM ps JOIN nb USING (root, k), unnest([0.25::DOUBLE, 0.5, 0.75, 1.0]) u(f) WHERE pos < ceil(f * nb) GROUP BY f, root, k, strategy),
-        fk AS (SELECT fraction, count(DISTINCT k) AS all_k FROM y GROUP BY fraction), s AS (SELECT fraction, root, strategy, round(avg(delta), 9) AS score FROM y JOIN fk USING (fraction) GROUP BY fraction, root, strategy, all_k HAVING count(DISTINCT k) = all_k),
-        r AS (SELECT *, row_number() OVER (PARTITION BY fraction, root ORDER BY score DESC, strategy) AS rank FROM s)
-        SELECT a.fraction, {n('count(*)', 'n')}, {n('sum((a.rank <= 2 AND b.rank <= 2)::INT)', 'top_both')}, {d('max(abs(a.score - b.score))', 'largest_difference')} FROM r a JOIN r b ON a.fraction = b.fraction AND a.strategy = b.strategy AND a.root = 0 AND b.root = 1 GROUP BY a.fraction""",
+    "matched_convergence": base(FEW) + _CONVERGENCE,
     "pair_schedule": base(10) + ", s AS (SELECT DISTINCT strategy FROM e), p AS (SELECT a.strategy AS sa, b.strategy AS sb, row_number() OVER (ORDER BY a.strategy, b.strategy) - 1 AS pair_id FROM s a JOIN s b ON a.strategy < b.strategy) SELECT pair_id, sa::BIGINT AS strategy_a, sb::BIGINT AS strategy_b, root, so::BIGINT AS seat_order, CASE so WHEN 0 THEN sa ELSE sb END::BIGINT AS seat1, CASE so WHEN 0 THEN sb ELSE sa END::BIGINT AS seat2, substr(md5(concat_ws(':', sa, sb, root, so)), 1, 16) AS block_id, 100::BIGINT AS target FROM p, (SELECT DISTINCT root FROM e), unnest([0, 1]) u(so)",
     "schedule_coverage": attempts() + """, s AS (SELECT a.strategy * 10 + b.strategy AS pair_id, root, so AS seat_order FROM nd a JOIN nd b ON a.strategy < b.strategy, (SELECT DISTINCT root FROM e), unnest([0, 1]) u(so)), x AS (SELECT pair_id, root, seat_order, pair_id = 13 AS bad FROM bl WHERE pair_id % 5 <> 2)
         SELECT pair_id::BIGINT AS pair_id, root, seat_order::BIGINT AS seat_order, CASE WHEN bad IS NULL THEN 'missing' ELSE 'inconsistent' END AS issue FROM s LEFT JOIN x USING (pair_id, root, seat_order) WHERE bad IS NULL OR bad""",
@@ -250,6 +335,33 @@ SQL = {
     "win_edges": attempts() + f" SELECT src::BIGINT AS src, dst::BIGINT AS dst, kind, {d('distance', 'distance')} FROM ed",
     "round_robin_scores": attempts() + f" SELECT strategy::BIGINT AS strategy, {d('mean_rate', 'mean_rate')}, {n('wins', 'wins')}, {n('losses', 'losses')}, eligible, {n('wins - losses', 'net')} FROM rs",
     "cycle_groups": attempts() + " SELECT strategy::BIGINT AS strategy, component::BIGINT AS component, count(*) OVER (PARTITION BY component) AS size FROM cg",
+    "h2h_inference": attempts() + inference() + " " + _DECIDED,
+    "score_test": attempts() + inference() + f" SELECT pair_id::BIGINT AS pair_id, {d('z', 'z')}, {d('p', 'p')} FROM dc",
+    "score_interval": attempts() + inference() + f" SELECT pair_id::BIGINT AS pair_id, {d('2 * o_low', 'ordinary_low')}, {d('2 * o_high', 'ordinary_high')} FROM dc",
+    "strength_decisions": _STRENGTH + inference() + " " + _DECIDED,
+    "strength_edges": _STRENGTH + inference() + _WON + f" SELECT src::BIGINT AS src, dst::BIGINT AS dst, kind, {d('distance', 'distance')} FROM wx",
+    "strength_fronts": _STRENGTH + inference() + _WON + f" SELECT strategy::BIGINT AS strategy, component::BIGINT AS component, front::BIGINT AS front, {d('mean_rate', 'mean_rate')}, {n('wins', 'wins')}, {n('losses', 'losses')}, {n('wins - losses', 'net')}, eligible FROM gx JOIN fx USING (component) JOIN sx USING (strategy)",
+    "strength_best": _STRENGTH + inference() + _WON + " SELECT src::BIGINT AS strategy, count(DISTINCT dst) AS beats FROM wp JOIN sx ON strategy = src WHERE eligible GROUP BY src HAVING count(DISTINCT dst) = (SELECT count(*) - 1 FROM sx)",
+    "root_decisions": _STRENGTH + inference(True) + f""", rd AS (SELECT *, CASE WHEN NOT complete THEN 'not_viable' WHEN holm_reject AND d > 0 THEN 'advantage_a' WHEN holm_reject AND d < 0 THEN 'advantage_b' ELSE 'no_rejection' END AS holm FROM dc),
+        ry AS (SELECT pair_id, strategy_a, strategy_b, {", ".join(f"max({c}) FILTER (root = {r}) AS {c}_{r}" for r in (0, 1) for c in ("d", "holm", "decision"))} FROM rd GROUP BY ALL)
+        SELECT pair_id::BIGINT AS pair_id, strategy_a::BIGINT AS strategy_a, strategy_b::BIGINT AS strategy_b, {d('d_0', 'd_0')}, holm_0, decision_0, {d('d_1', 'd_1')}, holm_1, decision_1, {d('d_0 - d_1', 'discrepancy')}, {", ".join(f"CASE WHEN d_0 + d_1 IS NOT NULL THEN {x} END AS {c}_agrees" for c, x in (("holm", "holm_0 = holm_1"), ("decision", "decision_0 = decision_1"), ("direction", "sign(d_0) = sign(d_1)")))} FROM ry""",
+    "file_ranges": " UNION ALL ".join(f"SELECT '{c}' AS column, min({c})::BIGINT AS minimum, max({c})::BIGINT AS maximum, count(*) AS rows FROM {t}" for t, cs in (("lineitem", ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")), ("orders", ("o_orderkey", "o_custkey"))) for c in cs),
+    "id_issues": base() + """, x AS (SELECT CASE WHEN game % 97 <> 0 THEN strategy END AS strategy, seat - 3 AS lower, score * 1000 AS larger FROM e),
+        y AS (SELECT sum((strategy IS NULL)::INT) AS a, sum((lower < 0)::INT) AS b, sum((larger > 2147483647)::INT) AS c FROM x)
+        SELECT 'text' AS column, 'wrong_type' AS issue, NULL::BIGINT AS rows UNION ALL SELECT 'strategy', 'null', a::BIGINT FROM y WHERE a > 0 UNION ALL SELECT 'lower', 'negative', b::BIGINT FROM y WHERE b > 0 UNION ALL SELECT 'larger', 'too_large', c::BIGINT FROM y WHERE c > 0""",
+    "block_issues": attempts(f"before < {TARGET} AND attempt < {CAP}") + f""",
+        x AS (SELECT pair_id, root, seat_order, CASE WHEN pair_id = 14 THEN 'open' ELSE status END AS status, completed + (pair_id = 15)::INT AS completed, attempted - (pair_id = 16)::INT AS attempted FROM bl),
+        y AS (SELECT *, unnest(['other_strategies', 'seats', 'status', 'complete_off_target', 'short_at_target', 'short_before_cap']) AS issue FROM x)
+        SELECT pair_id::BIGINT AS pair_id, root, seat_order::BIGINT AS seat_order, issue FROM y WHERE CASE issue WHEN 'other_strategies' THEN pair_id = 13 WHEN 'seats' THEN pair_id = 12 WHEN 'status' THEN status = 'open'
+            WHEN 'complete_off_target' THEN status = 'complete' AND completed <> {TARGET} WHEN 'short_at_target' THEN status = 'short' AND completed >= {TARGET} ELSE status = 'short' AND attempted <> {CAP} END""",
+    "decision_family_issues": _STRENGTH + inference() + """, x AS (SELECT *, CASE WHEN pair_id = 24 THEN 'undecided' ELSE decision END AS dd FROM dc WHERE pair_id <> 13),
+        y AS (SELECT strategy_a AS s, strategy_b AS o FROM x UNION ALL SELECT strategy_b, strategy_a FROM x), z AS (SELECT s, count(DISTINCT o) AS n FROM y GROUP BY s)
+        SELECT 'unknown_decision' AS issue, NULL::BIGINT AS strategy, count(*)::BIGINT AS n FROM x WHERE dd = 'undecided' HAVING count(*) > 0
+        UNION ALL SELECT 'incomplete', s::BIGINT, n::BIGINT FROM z WHERE n <> (SELECT count(*) - 1 FROM z)
+        UNION ALL SELECT 'scores', s::BIGINT, CASE s WHEN 2 THEN 0 ELSE 2 END::BIGINT FROM z WHERE s IN (2, 4)
+        UNION ALL SELECT 'families', NULL, count(DISTINCT pair_id < 10)::BIGINT FROM x HAVING count(DISTINCT pair_id < 10) > 1""",
+    "cap_status": base() + ", x AS (SELECT strategy FROM e GROUP BY strategy HAVING count(*) >= 3) SELECT count(*)::BIGINT AS eligible, least(count(*), 20)::BIGINT AS kept, CASE WHEN count(*) > 20 THEN 'blocked_by_cap' WHEN count(*) = 0 THEN 'not_estimable' ELSE 'complete' END AS status FROM x",
+    "cycle_report": attempts() + _CYCLES,
     "dominance_fronts": attempts() + " SELECT strategy::BIGINT AS strategy, component::BIGINT AS component, front::BIGINT AS front FROM cg JOIN fr USING (component)",
     "unique_best": attempts() + " SELECT src::BIGINT AS strategy, count(DISTINCT dst) AS beats FROM pe GROUP BY src HAVING count(DISTINCT dst) = (SELECT count(*) - 1 FROM rs)",
     "pair_agreement": attempts() + " SELECT pair_id::BIGINT AS pair_id, strategy_a::BIGINT AS strategy_a, strategy_b::BIGINT AS strategy_b, decision, by_rate, by_rating, by_h2h, by_rate = by_rating AS rate_rating, by_rate = by_h2h AS rate_h2h, by_rating = by_h2h AS rating_h2h FROM pa",
@@ -259,7 +371,7 @@ SQL = {
     "candidate_union": family() + " SELECT strategy::BIGINT AS strategy, rate_rank, rating_rank, list_filter([CASE WHEN rate_rank <= 10 THEN 'rate' END, CASE WHEN rating_rank <= 10 THEN 'rating' END, CASE WHEN strategy = 1 THEN 'control' END, CASE WHEN strategy IN (2, 3) THEN 'diagnostic' END], lambda x: x IS NOT NULL) AS reasons FROM fa WHERE rate_rank <= 10 OR rating_rank <= 10 OR strategy IN (1, 2, 3)",
     "balanced_tail_cap": family() + ", x AS (SELECT *, CASE WHEN strategy <> 1 THEN greatest(20 - rate_rank, 20 - rating_rank) END AS last FROM fa), r AS (SELECT min(r) AS r FROM range(21) q(r) WHERE (SELECT count(*) FROM x WHERE last IS NULL OR last >= r) <= 25) SELECT strategy::BIGINT AS strategy, rate_rank, rating_rank, (last + 1)::BIGINT AS removal_round, coalesce((SELECT r FROM r), 21)::BIGINT AS applied_round, last IS NULL OR last >= coalesce((SELECT r FROM r), 21) AS kept FROM x",
     "set_overlap": family() + f", x AS (SELECT (rate_rank <= 20)::INT AS a, (rating_rank <= 20)::INT AS b FROM fa WHERE rate_rank <= 20 OR rating_rank <= 20) SELECT {n('sum(a)', 'size_a')}, {n('sum(b)', 'size_b')}, {n('sum(a * b)', 'both')}, {n('count(*)', 'either')}, {d('sum(a * b) / count(*)', 'jaccard')}, {d('sum(a * b) / least(sum(a), sum(b))', 'overlap')} FROM x",
-    "rank_correlation": family() + f", x AS (SELECT strategy, rate_rank AS x, rating_rank // 3 AS y FROM fa), r AS (SELECT rank() OVER (ORDER BY x) AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM x), t AS (SELECT sum(sign(a.x - b.x) * sign(a.y - b.y)) AS c, sum(abs(sign(a.x - b.x))) AS nx, sum(abs(sign(a.y - b.y))) AS ny FROM x a JOIN x b ON a.strategy < b.strategy) SELECT 0::BIGINT AS scope, {n('count(*)', 'n')}, {d('corr(rx, ry)', 'spearman')}, {d('(SELECT c / sqrt(nx::DOUBLE * ny) FROM t)', 'kendall')} FROM r",
+    "rank_correlation": family() + f", x AS (SELECT strategy, rate_rank AS x, rating_rank // 3 AS y FROM fa), r AS (SELECT rank() OVER (ORDER BY x) AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry, row_number() OVER (ORDER BY x, strategy) AS ox, row_number() OVER (ORDER BY y, strategy) AS oy FROM x), t AS (SELECT sum(sign(a.x - b.x) * sign(a.y - b.y)) AS c, sum(abs(sign(a.x - b.x))) AS nx, sum(abs(sign(a.y - b.y))) AS ny FROM x a JOIN x b ON a.strategy < b.strategy) SELECT 0::BIGINT AS scope, {n('count(*)', 'n')}, {d('corr(rx, ry)', 'spearman')}, {d('(SELECT c / sqrt(nx::DOUBLE * ny) FROM t)', 'kendall')}, {d('corr(ox, oy)', 'ordinal')} FROM r",
     "family_hash": family() + ", x AS (SELECT strategy FROM fa WHERE rate_rank <= 20) SELECT sha256('[' || string_agg(strategy::VARCHAR, ',' ORDER BY strategy) || ']') AS family_hash, count(*) AS members FROM x",
     "bootstrap_ranks": boot() + f", x AS (SELECT root, rep, strategy, row_number() OVER (PARTITION BY root, rep ORDER BY round(score, 9) DESC, strategy) AS rank, round(score, 9) >= round(max(round(score, 9)) OVER (PARTITION BY root, rep) - 0.03, 9) AS near FROM sc) SELECT root, strategy::BIGINT AS strategy, {d('avg(rank)', 'rank_mean')}, {d('stddev_pop(rank)', 'rank_sd')}, {d('avg((rank <= 2)::INT)', 'top_frequency')}, {d('avg(near::INT)', 'shortlist_frequency')} FROM x GROUP BY root, strategy",
     "bootstrap_contrasts": boot() + f", x AS (SELECT a.root, a.strategy, avg(a.score - b.score) AS m, stddev_pop(a.score - b.score) AS s FROM sc a JOIN sc b ON a.root = b.root AND a.rep = b.rep AND b.strategy = 1 GROUP BY a.root, a.strategy) SELECT x.root, x.strategy::BIGINT AS strategy, {d('o.score - c.score', 'contrast')}, {d('m', 'mean')}, {d('s', 'sd')} FROM x JOIN ra o ON o.root = x.root AND o.strategy = x.strategy JOIN ra c ON c.root = x.root AND c.strategy = 1",
