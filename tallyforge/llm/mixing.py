@@ -72,11 +72,12 @@ def mixed(docs: DataFrame, levels: dict[str, Column], weights: dict[tuple[str, .
     as many whole epochs as its budget holds and, of the next one, the documents in a seeded order as long as their sum
     does not exceed the rest. A document without tokens adds nothing and comes along where it stands in that order; a
     leaf without tokens gives no rows. Repeated rows count one by one. Columns of docs that are named like the output's own
-    (mix_<level>, n_tokens, epoch) are left out; other names cannot clash. Order is by md5 of seed, epoch and id (of a
+    (mix_<level>, n_tokens, epoch, in any case) are left out; other names cannot clash. Order is by md5 of seed, epoch and id (of a
     NULL id, of the text); ties by id and text.
     """
     names = [f"mix_{k}" for k in levels]
-    kept_cols = [F.col(f"`{c}`") for c in docs.columns if c not in {*names, "n_tokens", "epoch"}]
+    own = {c.lower() for c in (*names, "n_tokens", "epoch")}  # Spark tells names apart without their case
+    kept_cols = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in own]
     rows = docs.select(F.struct(*kept_cols).alias("doc"), F.col(id_col).alias("doc_key"), F.coalesce(text_col, F.lit("")).alias("doc_text"), *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in zip(names, levels.values())], word_count(F.col(text_col)).alias("n_tokens"))
     leaves = written(rows.groupBy(*names).agg(F.sum("n_tokens").alias("have")), "leaves")
     budget = int(leaves.agg(F.sum("have")).first()[0] or 0) * share[0] // share[1]
