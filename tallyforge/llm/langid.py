@@ -24,24 +24,21 @@ FIT_ROWS = 3000
 ROUNDS, GAP, UNDETERMINED = 200, 0.5, "und"
 #: Trigrams overlap, so a text of n bytes is worth about n / 3 independent ones.
 OVERLAP = 3.0
+#: Bytes of a text that are counted at once.
+STRETCH = 1 << 22
 _LETTERS = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in range(256))
 
 
-def buckets(text: str) -> np.ndarray:
-    """The bucket of each byte trigram of the whole text; what is no letter counts as a space."""
-    raw = np.frombuffer(b" " + text.lower().encode("utf-8", "replace").translate(_LETTERS) + b" ", np.uint8).astype(np.uint32)
-    grams = (raw[:-2] * np.uint32(0x9E3779B1)) ^ (raw[1:-1] * np.uint32(0x85EBCA77)) ^ (raw[2:] * np.uint32(0xC2B2AE3D))
-    grams = (grams * np.uint32(0x27D4EB2F)) >> np.uint32(17)
-    return grams[(raw[:-2] != 32) | (raw[1:-1] != 32)]
-
-
 def counted(text: str) -> np.ndarray:
-    """Counts of all buckets. A long text is taken in pieces, so memory stays bounded; a word at a cut counts as two."""
-    total, step = np.zeros(BUCKETS), 1 << 22
-    if len(text) <= step:
-        return np.bincount(buckets(text), minlength=BUCKETS)
-    for at in range(0, len(text), step):
-        total += np.bincount(buckets(text[at : at + step]), minlength=BUCKETS)
+    """Counts of the buckets of all byte trigrams of the text; what is no letter counts as a space. A long text is taken in stretches
+    that overlap by two bytes, so memory stays bounded and no trigram is lost or made at a cut."""
+    whole = np.frombuffer(b" " + text.lower().encode("utf-8", "replace").translate(_LETTERS) + b" ", np.uint8)
+    total = np.zeros(BUCKETS, np.int64)
+    for at in range(0, len(whole) - 2, STRETCH):
+        raw = whole[at : at + STRETCH + 2].astype(np.uint32)
+        grams = (raw[:-2] * np.uint32(0x9E3779B1)) ^ (raw[1:-1] * np.uint32(0x85EBCA77)) ^ (raw[2:] * np.uint32(0xC2B2AE3D))
+        grams = (grams * np.uint32(0x27D4EB2F)) >> np.uint32(17)
+        total += np.bincount(grams[(raw[:-2] != 32) | (raw[1:-1] != 32)], minlength=BUCKETS)
     return total
 
 
