@@ -192,12 +192,12 @@ def retrieved(seq: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(starts), np.concatenate(found)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def distances(seq: np.ndarray, starts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+def distances(seq: np.ndarray, starts: np.ndarray, wanted: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Least edit distance of the item in each row of `wanted`, all of one length, to a stretch of the words around the
-    row's start (both of its ends are free)."""
+    row's start (both of its ends are free) within [low, high), the row's own text."""
     n, k = wanted.shape[1], allowed(wanted.shape[1])
     columns = starts[:, None] - k + np.arange(n + 3 * k + 1)
-    text = np.where((columns >= 0) & (columns < len(seq)), seq[np.clip(columns, 0, len(seq) - 1)], np.uint64(0))
+    text = np.where((columns >= low[:, None]) & (columns < high[:, None]), seq[np.clip(columns, 0, len(seq) - 1)], np.uint64(0))
     step, row = np.arange(text.shape[1] + 1), np.zeros((len(starts), text.shape[1] + 1), np.int64)
     for i in range(n):
         new = np.minimum(row[:, 1:] + 1, row[:, :-1] + (text != wanted[:, i : i + 1]))
@@ -208,10 +208,11 @@ def distances(seq: np.ndarray, starts: np.ndarray, wanted: np.ndarray) -> np.nda
 
 def matches(texts: list[str | None], items: Items) -> list[tuple[int, int, int]]:
     """text, item, edits for each text that holds a stretch within the item's edits; texts are searched together, with
-    gaps between them that no stretch can bridge."""
+    gaps between them that no stretch of an item can bridge. The gaps are as long as the longest stretch asks for, however long
+    the items are; what is compared to a whole item is cut to the words of its own text."""
     if not items.words:
         return []
-    gap = np.zeros(3 * len(items.words[-1]) + 2, np.uint64)
+    gap = np.zeros(3 * max([c.high for c in items.classes], default=LEAST) + 2, np.uint64)
     parts = [words_of(t) for t in texts]
     sizes = np.array([len(p) + len(gap) for p in parts])
     seq = np.concatenate([x for p in parts for x in (p, gap)])
@@ -221,8 +222,9 @@ def matches(texts: list[str | None], items: Items) -> list[tuple[int, int, int]]
     if not len(starts):
         return [(*key, d) for key, d in sorted(best.items())]
     text = np.searchsorted(ends - len(gap) // 2, starts, "right")  # a start shortly before a text is that text's
+    first_word, last_word = ends - sizes, ends - len(gap)
     found, first = items.stretches[found].T
-    starts = starts - first  # where the item starts, give or take its edits; the gaps hold what lies outside the text
+    starts = starts - first  # where the item starts, give or take its edits
     lengths = np.array([len(w) for w in items.words])[found]
     for n in np.unique(lengths):
         mine, k = lengths == n, allowed(n)
@@ -231,7 +233,7 @@ def matches(texts: list[str | None], items: Items) -> list[tuple[int, int, int]]
         for at in range(0, len(place), some):
             rows = np.flatnonzero(mine)[place[at : at + some]]
             wanted = np.stack([items.words[i] for i in found[rows]])
-            for t, i, d in zip(text[rows], found[rows], distances(seq, starts[rows], wanted)):
+            for t, i, d in zip(text[rows], found[rows], distances(seq, starts[rows], wanted, first_word[text[rows]], last_word[text[rows]])):
                 if d <= k:
                     best[int(t), int(i)] = min(int(d), best.get((int(t), int(i)), k))
     return [(*key, d) for key, d in sorted(best.items())]
