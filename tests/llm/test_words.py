@@ -211,3 +211,63 @@ def test_a_text_may_be_cut_anywhere(monkeypatch):
 def test_scores_are_exact_beyond_64_bits(spark):
     row = spark.createDataFrame([(999_999_999_989, 999_999_999_999, 999_999_999_990)], "a long, l long, r long")
     assert row.select(phrases._score(F.col("l"), F.col("r"))).first()[0] == 10**6 * 999_999_999_989**2 // (999_999_999_999 * 999_999_999_990)
+
+
+# cuts, clashes and memory of the other operators
+def test_mixture_gives_way_to_names_in_any_case(spark):
+    from tallyforge.llm import mixing, queries
+
+    rows = spark.createDataFrame([(1, "a b c", "en", "src1", 5), (2, "d e", "de", "src0", 3)], DOCS).select("*", F.lit(9).alias("Epoch"), F.lit(8).alias("N_Tokens"), F.lit(7).alias("MIX_lang"))
+    got = mixing.mixed(rows, queries.mixing_levels(), queries.WEIGHTS, share=(1, 1))
+    assert [c.lower() for c in got.columns].count("epoch") == [c.lower() for c in got.columns].count("mix_lang") == 1
+    found = got.collect()
+    assert found and all(r["n_tokens"] in (2, 3) and r["epoch"] < 4 and r["mix_lang"] in ("en", "de") for r in found)
+
+
+def test_long_candidates_stay_whole():
+    from tallyforge.llm import pii
+
+    secret, number = "aB3" * 4000, "12 " * 300 + "1"
+    text = f"password = {secret}; call {number} or {'n' * 5000}@{'h' * 5000}.org or {'n' * 90} [at] {'h' * 90} [dot] {'o' * 90}"
+    found = {(k, text[s:e]) for k, s, e in pii.proposals(text)}
+    assert ("secret", secret) in found and ("number", number) in found
+    assert ("contact", f"{'n' * 5000}@{'h' * 5000}.org") in found and ("contact", f"{'n' * 90} [at] {'h' * 90} [dot] {'o' * 90}") in found
+    assert pii.around_at("@ a@ @b a@b@c x[at]y[dot]z xx(at)yy(dot)zz xx [at]yy [dot]zz") == [(8, 11), (27, 42), (43, 60)]
+    pii.proposals("x" * 3_000_000 + "@" * 1000 + "[at]" * 100_000)  # linear
+
+
+def test_languages_of_long_texts_have_no_cuts(monkeypatch):
+    from tallyforge.llm import langid
+
+    text = "Ünder the öak, 12 women. " * 50
+    whole = langid.counted(text)
+    monkeypatch.setattr(langid, "STRETCH", 7)
+    assert (langid.counted(text) == whole).all() and langid.counted("").sum() == 0
+
+
+def test_long_benchmark_items_take_little_room():
+    import tracemalloc
+
+    from tallyforge.llm import decontam
+
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(4000)]
+    item = [rng.choice(words) for _ in range(20_000)]
+    short = [rng.choice(words) for _ in range(12)]
+    items = decontam.prepared(["long", "short"], [" ".join(item), " ".join(short)])
+    texts = [" ".join(rng.choices(words, k=6)) for _ in range(511)] + ["x y " + " ".join(short[:5] + short[6:]) + " z"]
+    tracemalloc.start()
+    found = decontam.matches(texts, items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(511, 0, 1)] and items.names[0] == "short" and peak < 100e6
+
+
+def test_items_are_not_matched_across_texts():
+    from tallyforge.llm import decontam
+
+    rng = random.Random(9)
+    item = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(200)]
+    items = decontam.prepared(["i"], [" ".join(item)])
+    halves = [" ".join(item[:100]), " ".join(item[100:]), " ".join(item[:3] + item[5:])]
+    assert decontam.matches(halves, items) == [(2, 0, 2)]
