@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.stats import ratio
+from tallyforge.operators.performance import rank_correlation
 
 
 def candidate_union(by_rate: DataFrame, by_rating: DataFrame, top: int = 75, controls: tuple[int, ...] = (), diagnostics: tuple[int, ...] = ()) -> DataFrame:
@@ -62,6 +63,55 @@ def decision_table(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("decision").agg(F.count("*").alias("pairs"), F.avg(F.abs("d")).alias("mean_effect"))
 
 
+def family_summary(family: DataFrame, top: int, controls: tuple[int, ...] = (), diagnostics: tuple[int, ...] = ()) -> DataFrame:
+    """One row of a family as balanced_tail_cap gives it: strategies that both orders rank, agreement of the orders, sizes and overlaps of
+    the two contributions before (`initial`, ranks up to top) and after the cap (`final`), and how many members come from each side, from both,
+    from controls and from diagnostics."""
+    named = lambda ids: F.col("strategy").isin(list(ids) or [-1])
+    left = F.greatest(F.lit(top) - F.col("applied_round"), F.lit(0))
+    of = {f"{when}_{side}": F.coalesce(F.col(f"{side}_rank") <= cut, F.lit(False)) for when, cut in (("initial", F.lit(top)), ("final", left)) for side in ("rate", "rating")}
+    x = family.select("*", *[v.alias(k) for k, v in of.items()], named(controls).alias("control"), named(diagnostics).alias("diagnostic"))
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    both, either = (lambda w: F.col(f"{w}_rate") & F.col(f"{w}_rating")), (lambda w: F.col(f"{w}_rate") | F.col(f"{w}_rating"))
+    member = F.col("final_rate") | F.col("final_rating") | F.col("control") | F.col("diagnostic")
+    counts = [n(F.col("rate_rank").isNotNull() & F.col("rating_rank").isNotNull()).alias("scored_by_both"), *[n(f(w)).alias(f"{w}_{name}") for w in ("initial", "final") for name, f in (("shared", both), ("either", either))]]
+    counts += [n(member).alias("members"), *[n(F.col(c)).alias(f"from_{c.removeprefix('final_')}") for c in ("final_rate", "final_rating", "control", "diagnostic")]]
+    one = x.agg(*counts).select("*", *[ratio(F.col(f"{w}_shared"), F.col(f"{w}_either")).alias(f"{w}_jaccard") for w in ("initial", "final")])
+    ranks = rank_correlation(family.select(F.lit(0).alias("scope"), F.col("strategy").alias("id"), F.col("rate_rank").alias("x"), F.col("rating_rank").alias("y")), ["scope"])
+    return one.crossJoin(F.broadcast(ranks.agg(F.max("spearman").alias("spearman"), F.max("kendall").alias("kendall"))))
+
+
+def decision_summary(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """One row: pairs, those with a direction, unresolved, not viable and equivalent ones; shares of agreement of the orders and the
+    head-to-head direction over the pairs where both have one; pairs that both roots decide, and the shares of those whose Holm class,
+    decision and direction agree. pairs as from pair_agreement, roots as from root_decisions."""
+    share = lambda c: F.avg(F.col(c).cast("int"))
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    d = F.col("decision")
+    a = pairs.agg(F.count("*").alias("pairs"), F.count("by_h2h").alias("directional"), n(d.startswith("unresolved")).alias("unresolved"), n(d == "unresolved_nonviable").alias("nonviable"), n(d == "equivalent").alias("equivalent"), *[share(c).alias(f"{c}_share") for c in ("rate_rating", "rate_h2h", "rating_h2h")])
+    b = roots.agg(F.count("decision_agrees").alias("root_pairs"), *[share(f"{c}_agrees").alias(f"root_{c}_share") for c in ("holm", "decision", "direction")])
+    return a.crossJoin(F.broadcast(b))
+
+
+def h2h_totals(blocks: DataFrame) -> DataFrame:
+    """One row: attempted, completed and safety-limit games and replacements of all blocks, and the completion rate."""
+    g = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("attempted", "completed", "safety", "replacements")])
+    return g.withColumn("completion_rate", ratio(F.col("completed"), F.col("attempted")))
+
+
+def pair_intervals(decisions: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Per pair its games, replacements and completion rate over all blocks, the effect with both intervals, Holm's p and the decision."""
+    g = blocks.groupBy("pair_id").agg(*[F.sum(c).alias(c) for c in ("attempted", "completed", "safety", "replacements")])
+    x = decisions.select("pair_id", "strategy_a", "strategy_b", "complete", "d", "o_low", "o_high", "s_low", "s_high", "holm_p", "decision").join(g, "pair_id")
+    return x.withColumn("completion_rate", ratio(F.col("completed"), F.col("attempted")))
+
+
+def screening_leaders(across: DataFrame, near: float = 1e-9) -> DataFrame:
+    """root, strategy, score of all strategies whose score is the best of its root, give or take rounding."""
+    best = F.max("score").over(Window.partitionBy("root"))
+    return across.where("score is not null").withColumn("best", best).where(F.abs(F.col("score") - F.col("best")) <= near).select("root", "strategy", "score")
+
+
 def score_leaders(across: DataFrame, top: int = 5) -> DataFrame:
     """The first strategies of each root by score."""
     r = across.where("score is not null").withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy(F.desc(F.round("score", 9)), "strategy")))

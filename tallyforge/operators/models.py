@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from itertools import product
+from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.operators.graph import settled
+from tallyforge.functions.folders import settled
 
 
 def feature_table(manifest: DataFrame, ids: DataFrame, features: list[str]) -> DataFrame:
@@ -74,8 +74,8 @@ def importance_across_k(importances: DataFrame) -> DataFrame:
 
 def novel_configs(observed: DataFrame, levels: dict[str, list[float]]) -> DataFrame:
     """All combinations of the declared levels that no observed row has."""
-    grid = [tuple(map(float, row)) for row in product(*levels.values())]
-    rows = observed.sparkSession.createDataFrame(grid, ", ".join(f"`{c}` double" for c in levels))
+    tables = [observed.sparkSession.createDataFrame([(float(v),) for v in values], f"`{c}` double") for c, values in levels.items()]
+    rows = reduce(DataFrame.crossJoin, tables)
     return rows.join(observed.select(*[F.col(c).cast("double").alias(c) for c in levels]).distinct(), list(levels), "left_anti")
 
 

@@ -8,13 +8,15 @@ equal ranges of the order key. An urgent pending order's games are safety-limit
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.folders import settled, shared_folder
 from tallyforge.functions.stats import normal_quantile
 from tallyforge.operators import agreement, gamestats, graph, h2h, lag, metrics, models, performance, ratings, resample, reshape, seats, stability, validate
-from tallyforge.sources import footers
+from tallyforge.sources import files, footers
 from tallyforge.streaming import incremental
 
 BATCHES, FEW = 10, 5
@@ -162,6 +164,73 @@ def _seat_effects(spark: SparkSession, d: str) -> DataFrame:
     return seats.seat_effects(seats.seat_counts(exposures(spark, d)))
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _published(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
+    """The wide rows of all games as a dataset by k, and the row counts that were written."""
+    path = _folder(spark, "games")
+    return path, files.curate(_stacked_wide(spark, d), path)
+
+
+def _read_games(spark: SparkSession, d: str) -> DataFrame:
+    path, _ = _published(spark, d)
+    return files.read_games(spark, f"{path}/k=3", 3, ["game", "P1_score", "P3_strategy", "winner_seat"])
+
+
+def _materialized(spark: SparkSession, d: str) -> DataFrame:
+    """The dataset by k and one table of all its rows, compared by their footers."""
+    by_k, whole = _published(spark, d)[0], _folder(spark, "all")
+    files.materialize(files.read_all_k(spark, by_k), whole, 8)
+    return footers.reconcile_combined(spark, by_k, whole)
+
+
+def _manifest_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A manifest of batches as shards, written as lines of JSON; one root is no number."""
+    path = _folder(spark, "manifest")
+    m = exposures(spark, d).where("seat = 1").groupBy("root", "k", F.col("batch").alias("shard")).agg(F.count("*").alias("rows"))
+    m.withColumn("root", F.when(F.col("shard") == 7, "x").otherwise(F.col("root").cast("string"))).write.json(path)
+    return files.manifest_scan(spark, path)
+
+
+def _counter_csv(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark, "counter")
+    files.write_counter_csv(_bm(spark, d).select("strategy", "wins"), path)
+    return spark.read.schema("strategy long, wins long").option("header", True).csv(path)
+
+
+def _event_logs(spark: SparkSession, d: str) -> DataFrame:
+    """Logs of a fifth of the users each, a file a log: a view is a step, which fails now and then, a click an error, a signup the run's end."""
+    path, kind = _folder(spark, "logs"), F.col("event_type")
+    ev = table(spark, d, "events").select((F.col("user_id") % 5).alias("log"), F.when(kind == "view", "step").when(kind == "signup", "run_end").otherwise(kind).alias("event"), F.when(F.col("event_id") % 1000 == 0, "failed").otherwise("ok").alias("status"), F.when(kind == "click", "error").otherwise("info").alias("level"))
+    ev.repartition("log").write.partitionBy("log").json(path)
+    return files.event_log_health(spark, f"{path}/*").withColumn("log", F.regexp_extract("log", r"log=(\d+)", 1).cast("long"))
+
+
+def _rating_support(spark: SparkSession, d: str) -> DataFrame:
+    """A rating table with planted faults."""
+    g = _bm(spark, d).groupBy("root", "k", "strategy").agg(*[F.sum(c).alias(c) for c in ("exposures", "completed", "safety_exposures")])
+    r = g.select("root", "k", "strategy", F.col("exposures").alias("attempted"), (F.col("completed") + (F.col("strategy") == 3).cast("int")).alias("completed"), F.col("safety_exposures").alias("excluded"), F.col("completed").alias("updates"))
+    r = r.withColumn("status", F.when((F.col("updates") > 0) & (F.col("strategy") != 5), "rated").otherwise("prior"))
+    return validate.rating_support_issues(r.withColumn("cell_updates", F.sum("updates").over(Window.partitionBy("root", "k")) + (F.col("k") == 6).cast("int")))
+
+
+def _importances(spark: SparkSession, d: str) -> DataFrame:
+    """Per k and feature how far it goes along with winning."""
+    e = exposures(spark, d).withColumn("won", F.coalesce((F.col("winner_seat") == F.col("seat")).cast("int"), F.lit(0)))
+    x = e.groupBy("k").agg(*[F.abs(F.corr(c, "won")).alias(c) for c in ("n_turns", "seat", "score")])
+    return models.importance_across_k(x.select("k", F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("importance")) for c in ("n_turns", "seat", "score")]))))
+
+
+def _strength_summary(spark: SparkSession, d: str) -> DataFrame:
+    blocks = _by_strength(spark, d)
+    decided = h2h.h2h_inference(h2h.order_combine(blocks))
+    ranks = decided.select(F.col("strategy_a").alias("strategy")).union(decided.select("strategy_b")).distinct()
+    ranks = ranks.withColumn("rate_rank", F.col("strategy") + 1).withColumn("rating_rank", F.pmod(F.col("strategy") * 3, F.lit(5)) + 1)
+    return agreement.decision_summary(agreement.pair_agreement(decided, ranks), h2h.root_decisions(blocks))
+
+
 def _id_issues(spark: SparkSession, d: str) -> DataFrame:
     """Identifiers with planted faults."""
     e = exposures(spark, d).select(F.when(F.col("game") % 97 != 0, F.col("strategy")).alias("strategy"), (F.col("seat") - 3).alias("lower"), (F.col("score") * 1000).alias("larger"), F.col("k").cast("string").alias("text"), "root")
@@ -207,21 +276,16 @@ def _stacked_wide(spark: SparkSession, d: str) -> DataFrame:
 
 def _manifest(spark: SparkSession, d: str) -> DataFrame:
     """A manifest of batches as shards, with planted faults."""
-    from tallyforge.sources.files import manifest_reconcile
-
     g = exposures(spark, d).where("seat = 1").select("root", "k", F.col("batch").alias("shard"))
     m = g.groupBy("root", "k", "shard").agg(F.count("*").alias("rows"))
     m = m.where("not (root = 0 and shard = 3)").withColumn("rows", F.when((F.col("root") == 1) & (F.col("shard") == 4), F.col("rows") + 1).otherwise(F.col("rows")))
-    return manifest_reconcile(m.unionByName(m.where("root = 1 and k = 2 and shard = 5")), g)
+    return files.manifest_reconcile(m.unionByName(m.where("root = 1 and k = 2 and shard = 5")), g)
 
 
 def _streamed(spark: SparkSession, d: str) -> DataFrame:
-    import uuid
-
-    base = shared_folder(spark)
     schema = table(spark, d, "events").schema
     stream = incremental.file_stream(spark, d, schema, "events.parquet").withColumn("cents", F.round(F.col("value") * 100).cast("long"))
-    return incremental.incremental_sums(stream, f"{base}/stream-{uuid.uuid4().hex}", ["event_type"], ["cents"], ["event_id"])
+    return incremental.incremental_sums(stream, _folder(spark, "stream"), ["event_type"], ["cents"], ["event_id"])
 
 
 #: Digits that are compared, where six would fall on exact ties.
@@ -237,7 +301,15 @@ RAW = {
     "normalize_ids": lambda s, d: table(s, d, "events").selectExpr("event_type", "get_json_object(props, '$.k') as t").groupBy("event_type").agg(F.count("t").alias("n"), F.count(F.col("t").try_cast("int")).alias("whole"), F.max(F.col("t").try_cast("int")).alias("largest")),
     "parse_strategy_text": lambda s, d: reshape.parse_strategy_text(table(s, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 7 == 0, F.col("p_name")).otherwise(F.concat(F.lit("Strat("), F.col("p_size").cast("string"), F.lit(",2)[SD][FO][AND][H-]"))).alias("t")), "t").select("p_partkey", "parsed", "score_threshold", "dice_threshold", "smart", "favor", "logic", "hot"),
     "manifest_reconcile": _manifest,
+    "read_games": _read_games,
+    "concat_scan": lambda s, d: files.read_all_k(s, _published(s, d)[0], ["k", "game", "P1_strategy", "P2_score"], ordered=True),
+    "curate": lambda s, d: _published(s, d)[1],
+    "materialize": _materialized,
+    "manifest_scan": _manifest_scan,
+    "counter_csv": _counter_csv,
     # validation
+    "event_log_health": _event_logs,
+    "rating_support_issues": _rating_support,
     "row_contract_violations": lambda s, d: validate.row_contract_violations(games(exposures(s, d))),
     "file_ranges": lambda s, d: footers.column_ranges(s, f"{d}/lineitem.parquet").unionByName(footers.column_ranges(s, f"{d}/orders.parquet")),
     "negative_columns": lambda s, d: validate.negative_columns(exposures(s, d).withColumn("debt", F.col("seat") - F.col("k"))),
@@ -332,11 +404,17 @@ RAW = {
     "round_robin_scores": lambda s, d: graph.round_robin_scores(_plain_decisions(s, d)),
     "cycle_groups": lambda s, d: graph.cycle_groups(*_practical(s, d)),
     "dominance_fronts": lambda s, d: (lambda e, n: graph.dominance_fronts(e, graph.cycle_groups(e, n)))(*_practical(s, d)),
-    "fronts_display": lambda s, d: (lambda e, n: graph.fronts_display(graph.dominance_fronts(e, graph.cycle_groups(e, n)), graph.round_robin_scores(_plain_decisions(s, d)), _across(s, d).where("root = 0"))).__call__(*_practical(s, d)).select("strategy", "front", "place"),
+    "fronts_display": lambda s, d: (lambda e, n: graph.fronts_display(graph.dominance_fronts(e, graph.cycle_groups(e, n)), graph.round_robin_scores(_plain_decisions(s, d)), stability.across_k(stability.root_combined_by_k(_bm(s, d, 10))).where("root is null")))(*_practical(s, d)).select("strategy", "front", "place"),
     "cycle_report": lambda s, d: (lambda e, n: graph.cycle_report(e, graph.cycle_groups(e, n)))(*_practical(s, d)),
     "unique_best": lambda s, d: graph.unique_best(_edges(s, d), graph.round_robin_scores(_plain_decisions(s, d)).withColumn("eligible", F.lit(True))),
     "pair_agreement": lambda s, d: agreement.pair_agreement(_plain_decisions(s, d), _family10(s, d)),
     "agreement_summary": lambda s, d: agreement.agreement_summary(agreement.pair_agreement(_plain_decisions(s, d), _family10(s, d)), h2h.root_agreement(_blocks(s, d))),
+    "family_summary": lambda s, d: agreement.family_summary(agreement.balanced_tail_cap(_family(s, d), 20, 25, (1,)), 20, (1,), (2, 3)),
+    "strength_summary": _strength_summary,
+    "h2h_totals": lambda s, d: agreement.h2h_totals(_by_strength(s, d)),
+    "pair_intervals": lambda s, d: (lambda b: agreement.pair_intervals(h2h.h2h_inference(h2h.order_combine(b)), b))(_by_strength(s, d)),
+    "screening_leaders": lambda s, d: agreement.screening_leaders(_across(s, d).withColumn("score", F.round("score", 2))),
+    "importance_across_k": _importances,
     "score_leaders": lambda s, d: agreement.score_leaders(_across(s, d)),
     "family_hash": lambda s, d: agreement.family_hash(_family(s, d).where("rate_rank <= 20")),
     # ratings and models

@@ -346,6 +346,33 @@ SQL = {
         ry AS (SELECT pair_id, strategy_a, strategy_b, {", ".join(f"max({c}) FILTER (root = {r}) AS {c}_{r}" for r in (0, 1) for c in ("d", "holm", "decision"))} FROM rd GROUP BY ALL)
         SELECT pair_id::BIGINT AS pair_id, strategy_a::BIGINT AS strategy_a, strategy_b::BIGINT AS strategy_b, {d('d_0', 'd_0')}, holm_0, decision_0, {d('d_1', 'd_1')}, holm_1, decision_1, {d('d_0 - d_1', 'discrepancy')}, {", ".join(f"CASE WHEN d_0 + d_1 IS NOT NULL THEN {x} END AS {c}_agrees" for c, x in (("holm", "holm_0 = holm_1"), ("decision", "decision_0 = decision_1"), ("direction", "sign(d_0) = sign(d_1)")))} FROM ry""",
     "file_ranges": " UNION ALL ".join(f"SELECT '{c}' AS column, min({c})::BIGINT AS minimum, max({c})::BIGINT AS maximum, count(*) AS rows FROM {t}" for t, cs in (("lineitem", ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")), ("orders", ("o_orderkey", "o_custkey"))) for c in cs),
+    "read_games": base() + " SELECT game, scores[1]::BIGINT AS \"P1_score\", strategies[3]::BIGINT AS \"P3_strategy\", 'P' || winner_seat AS winner_seat FROM g WHERE k = 3",
+    "concat_scan": base() + " SELECT k::BIGINT AS k, game, strategies[1]::BIGINT AS \"P1_strategy\", scores[2]::BIGINT AS \"P2_score\" FROM g",
+    "curate": base() + " SELECT k::BIGINT AS k, count(*) AS rows FROM g GROUP BY k",
+    "materialize": base() + " SELECT count(*) AS rows_by_k, count(*) AS rows_combined, []::VARCHAR[] AS only_by_k, []::VARCHAR[] AS only_combined, true AS agrees FROM g",
+    "manifest_scan": base() + " SELECT CASE WHEN batch <> 7 THEN root END AS root, k::BIGINT AS k, batch::BIGINT AS shard, count(*) AS rows FROM g GROUP BY g.root, k, batch",
+    "counter_csv": base() + " SELECT strategy::BIGINT AS strategy, sum(won)::BIGINT AS wins FROM e GROUP BY strategy",
+    "event_log_health": """WITH x AS (SELECT user_id % 5 AS log, count(*) AS events, sum((event_type = 'signup')::INT)::BIGINT AS run_ends, sum((event_type = 'view' AND event_id % 1000 = 0)::INT)::BIGINT AS failed_steps, sum((event_type = 'click')::INT)::BIGINT AS errors FROM events GROUP BY log)
+        SELECT *, run_ends > 0 AND failed_steps = 0 AND errors = 0 AS healthy FROM x""",
+    "rating_support_issues": base() + """, x AS (SELECT root, k, strategy, sum(exposures) AS attempted, sum(completed) + (strategy = 3)::INT AS completed, sum(safety_exposures) AS excluded, sum(completed) AS updates FROM bm GROUP BY root, k, strategy),
+        y AS (SELECT *, CASE WHEN attempted <> completed + excluded THEN 'counts' WHEN (updates > 0 AND strategy <> 5) <> (updates > 0) THEN 'status' WHEN k = 6 THEN 'cell_total' END AS issue FROM x)
+        SELECT root, k::BIGINT AS k, strategy::BIGINT AS strategy, issue FROM y WHERE issue IS NOT NULL""",
+    "importance_across_k": base() + f", x AS (SELECT k, abs(corr(n_turns, won)) AS n_turns, abs(corr(seat, won)) AS seat, abs(corr(score, won)) AS score FROM e GROUP BY k), y AS (SELECT 'n_turns' AS feature, n_turns AS i FROM x UNION ALL SELECT 'seat', seat FROM x UNION ALL SELECT 'score', score FROM x) SELECT feature, {d('avg(i)', 'importance')}, count(*) AS n_k FROM y GROUP BY feature",
+    "family_summary": family() + f""", f0 AS (SELECT *, CASE WHEN strategy <> 1 THEN greatest(20 - rate_rank, 20 - rating_rank, -1) END AS last FROM fa),
+        f1 AS (SELECT coalesce((SELECT min(r) FROM range(21) q(r) WHERE (SELECT count(*) FROM f0 WHERE last IS NULL OR last >= r) <= 25), 21) AS cut),
+        x AS (SELECT strategy, rate_rank <= 20 AS ia, rating_rank <= 20 AS ib, rate_rank <= greatest(20 - cut, 0) AS fa, rating_rank <= greatest(20 - cut, 0) AS fb, strategy = 1 AS c, strategy IN (2, 3) AS g FROM fa, f1),
+        t AS (SELECT avg(sign(a.rate_rank - b.rate_rank) * sign(a.rating_rank - b.rating_rank)) AS kendall FROM fa a JOIN fa b ON a.strategy < b.strategy)
+        SELECT count(*) AS scored_by_both, {", ".join(n(f'sum(({e})::INT)', name) for e, name in (("ia AND ib", "initial_shared"), ("ia OR ib", "initial_either"), ("fa AND fb", "final_shared"), ("fa OR fb", "final_either"), ("fa OR fb OR c OR g", "members"), ("fa", "from_rate"), ("fb", "from_rating"), ("c", "from_control"), ("g", "from_diagnostic")))},
+            {d('sum((ia AND ib)::INT) / sum((ia OR ib)::INT)', 'initial_jaccard')}, {d('sum((fa AND fb)::INT) / nullif(sum((fa OR fb)::INT), 0)', 'final_jaccard')}, {d('(SELECT corr(rate_rank, rating_rank) FROM fa)', 'spearman')}, {d('(SELECT kendall FROM t)', 'kendall')} FROM x""",
+    "strength_summary": _STRENGTH + ", dr AS (SELECT * FROM (" + _STRENGTH + inference(True) + " SELECT * FROM dc))" + inference() + f""",
+        p1 AS (SELECT *, CASE WHEN strategy_a < strategy_b THEN 'a' ELSE 'b' END AS by_rate, CASE WHEN strategy_a * 3 % 5 < strategy_b * 3 % 5 THEN 'a' ELSE 'b' END AS by_rating, CASE WHEN d > 0 THEN 'a' WHEN d < 0 THEN 'b' END AS by_h2h FROM dc),
+        p2 AS (SELECT count(*) AS pairs, count(by_h2h) AS directional, {n("sum((decision LIKE 'unresolved%')::INT)", 'unresolved')}, {n("sum((decision = 'unresolved_nonviable')::INT)", 'nonviable')}, 0::BIGINT AS equivalent, {d('avg((by_rate = by_rating)::INT)', 'rate_rating_share')}, {d('avg((by_rate = by_h2h)::INT)', 'rate_h2h_share')}, {d('avg((by_rating = by_h2h)::INT)', 'rating_h2h_share')} FROM p1),
+        r1 AS (SELECT *, CASE WHEN NOT complete THEN 'not_viable' WHEN holm_reject AND d > 0 THEN 'advantage_a' WHEN holm_reject AND d < 0 THEN 'advantage_b' ELSE 'no_rejection' END AS holm FROM dr),
+        r2 AS (SELECT a.holm = b.holm AS h, a.decision = b.decision AS c, sign(a.d) = sign(b.d) AS s FROM r1 a JOIN r1 b USING (pair_id) WHERE a.root = 0 AND b.root = 1 AND a.d IS NOT NULL AND b.d IS NOT NULL)
+        SELECT * FROM p2, (SELECT count(*) AS root_pairs, {d('avg(h::INT)', 'root_holm_share')}, {d('avg(c::INT)', 'root_decision_share')}, {d('avg(s::INT)', 'root_direction_share')} FROM r2)""",
+    "h2h_totals": _STRENGTH + f" SELECT {', '.join(n(f'sum({c})', c) for c in ('attempted', 'completed', 'safety', 'replacements'))}, {d('sum(completed) / sum(attempted)', 'completion_rate')} FROM bl",
+    "pair_intervals": _STRENGTH + inference() + f", w AS (SELECT pair_id, sum(attempted) AS attempted, sum(completed) AS completed, sum(safety) AS safety, sum(replacements) AS replacements FROM bl GROUP BY pair_id) SELECT pair_id::BIGINT AS pair_id, strategy_a::BIGINT AS strategy_a, strategy_b::BIGINT AS strategy_b, complete, {', '.join(d(c, c) for c in ('d', 'o_low', 'o_high', 's_low', 's_high', 'holm_p'))}, decision, {', '.join(n(c, c) for c in ('attempted', 'completed', 'safety', 'replacements'))}, {d('completed / attempted', 'completion_rate')} FROM dc JOIN w USING (pair_id)",
+    "screening_leaders": performance() + f", x AS (SELECT root, strategy, round(score, 2) AS score FROM ak WHERE score IS NOT NULL) SELECT root, strategy::BIGINT AS strategy, {d('score', 'score')} FROM x a WHERE score >= (SELECT max(score) FROM x b WHERE a.root = b.root)",
     "id_issues": base() + """, x AS (SELECT CASE WHEN game % 97 <> 0 THEN strategy END AS strategy, seat - 3 AS lower, score * 1000 AS larger FROM e),
         y AS (SELECT sum((strategy IS NULL)::INT) AS a, sum((lower < 0)::INT) AS b, sum((larger > 2147483647)::INT) AS c FROM x)
         SELECT 'text' AS column, 'wrong_type' AS issue, NULL::BIGINT AS rows UNION ALL SELECT 'strategy', 'null', a::BIGINT FROM y WHERE a > 0 UNION ALL SELECT 'lower', 'negative', b::BIGINT FROM y WHERE b > 0 UNION ALL SELECT 'larger', 'too_large', c::BIGINT FROM y WHERE c > 0""",
@@ -362,6 +389,8 @@ SQL = {
         UNION ALL SELECT 'families', NULL, count(DISTINCT pair_id < 10)::BIGINT FROM x HAVING count(DISTINCT pair_id < 10) > 1""",
     "cap_status": base() + ", x AS (SELECT strategy FROM e GROUP BY strategy HAVING count(*) >= 3) SELECT count(*)::BIGINT AS eligible, least(count(*), 20)::BIGINT AS kept, CASE WHEN count(*) > 20 THEN 'blocked_by_cap' WHEN count(*) = 0 THEN 'not_estimable' ELSE 'complete' END AS status FROM x",
     "cycle_report": attempts() + _CYCLES,
+    "fronts_display": attempts() + """, dk AS (SELECT strategy, sum(wins)::DOUBLE / sum(exposures) - 1.0::DOUBLE / k AS dl FROM bm GROUP BY strategy, k), sq AS (SELECT strategy, avg(dl) AS score FROM dk GROUP BY strategy HAVING count(*) = (SELECT count(DISTINCT k) FROM bm))
+        SELECT strategy::BIGINT AS strategy, front::BIGINT AS front, row_number() OVER (PARTITION BY front ORDER BY round(mean_rate, 9) DESC, wins - losses DESC, round(score, 9) DESC NULLS LAST, strategy) AS place FROM cg JOIN fr USING (component) JOIN rs USING (strategy) LEFT JOIN sq USING (strategy)""",
     "dominance_fronts": attempts() + " SELECT strategy::BIGINT AS strategy, component::BIGINT AS component, front::BIGINT AS front FROM cg JOIN fr USING (component)",
     "unique_best": attempts() + " SELECT src::BIGINT AS strategy, count(DISTINCT dst) AS beats FROM pe GROUP BY src HAVING count(DISTINCT dst) = (SELECT count(*) - 1 FROM rs)",
     "pair_agreement": attempts() + " SELECT pair_id::BIGINT AS pair_id, strategy_a::BIGINT AS strategy_a, strategy_b::BIGINT AS strategy_b, decision, by_rate, by_rating, by_h2h, by_rate = by_rating AS rate_rating, by_rate = by_h2h AS rate_h2h, by_rating = by_h2h AS rating_h2h FROM pa",
