@@ -271,3 +271,30 @@ def test_items_are_not_matched_across_texts():
     items = decontam.prepared(["i"], [" ".join(item)])
     halves = [" ".join(item[:100]), " ".join(item[100:]), " ".join(item[:3] + item[5:])]
     assert decontam.matches(halves, items) == [(2, 0, 2)]
+
+
+# license templates of few words
+def test_short_license_templates_are_found(spark, awkward):
+    from tallyforge.llm import license_scan
+
+    templates = {"one": "WTFPL", "two": "public domain", "four": "All rights reserved, 2020", "none": "...", "long": license_scan.TEMPLATES["CC-BY-4.0"]}
+    texts = ["wtfpl", "In the PUBLIC--domain; public domain", "x all rights reserved 2020 y", "all rights reserved 2021", license_scan.TEMPLATES["CC-BY-4.0"] + " WTFPL", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["license_id"], r["first_word"], r["containment"]) for r in license_scan.scan(df, templates).collect()}
+    assert got == {(0, "one", 0, 1.0), (1, "two", 2, 1.0), (2, "four", 1, 1.0), (4, "long", 0, 1.0), (4, "one", 13, 1.0)}
+    assert license_scan.scan(awkward, {"s": "cat"}).select("doc_id").collect() == [(None,)]
+
+
+def test_license_bands_hold_their_miss_at_the_least_containment():
+    from tallyforge.llm import license_scan
+
+    rng, missed, cases = np.random.default_rng(3), 0, 4000
+    masks = np.array(license_scan._MASKS, np.int64)
+    for piece in (5, 6, 7):
+        kept = -(-4 * piece // 5)
+        own, seen = rng.integers(-(2**63), 2**63, (cases, 9 - kept)), rng.integers(-(2**63), 2**63, (cases, piece))
+        window = np.concatenate([own, seen[:, :kept]], axis=1)
+        of = masks[: license_scan.bands_for(piece)]
+        hit = ((window[:, :, None] ^ of).min(1) == (seen[:, :, None] ^ of).min(1)).any(1)
+        missed += int((~hit).sum())
+    assert missed <= 3 * cases * license_scan.MISS
