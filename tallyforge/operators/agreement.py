@@ -34,6 +34,16 @@ def balanced_tail_cap(family: DataFrame, top: int, cap: int, protected: tuple[in
     return x.crossJoin(F.broadcast(first)).select("strategy", "rate_rank", "rating_rank", (F.col("last") + 1).alias("removal_round"), F.col("round").alias("applied_round"), (F.col("last").isNull() | (F.col("last") >= F.col("round"))).alias("kept"))
 
 
+def with_json(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds <column>_json, the compact JSON text of each list, map or struct column, beside the native one; NULL stays NULL."""
+    return df.withColumns({f"{c}_json": F.to_json(c) for c in columns})
+
+
+def from_json_text(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The columns (name to type) read from JSON text; a text of another form is an error."""
+    return df.withColumns({c: F.from_json(c, kind, {"mode": "FAILFAST"}) for c, kind in columns.items()})
+
+
 def set_overlap(a: DataFrame, b: DataFrame, key: str = "strategy") -> DataFrame:
     """One row: sizes, intersection, union, Jaccard, overlap coefficient."""
     x = a.select(key, F.lit(1).alias("a")).distinct().join(b.select(key, F.lit(1).alias("b")).distinct(), key, "full").na.fill(0, ["a", "b"])

@@ -14,13 +14,13 @@ from tallyforge.operators.quantiles import at_ranks, counted_values, linear_quan
 QUANTILES = (0.1, 0.5, 0.9)
 
 
-def with_margins(exposures: DataFrame) -> DataFrame:
-    """Adds margin (best less second-best score of the game), spread (best less worst) and second (second-best), from a
-    row per game (told by root, k and game, as far as these are there); margin and spread only for completed games."""
-    coordinates = [c for c in ("root", "k", "game") if c in exposures.columns]
-    games = exposures.groupBy(*coordinates).agg(F.collect_list("score").alias("s"), F.first("safety").alias("out"))
-    done = ~F.col("out")
-    return exposures.join(games.select(*coordinates, F.when(done, margin(F.col("s"))).alias("margin"), F.when(done, spread(F.col("s"))).alias("spread"), second_best(F.col("s")).alias("second")), coordinates)
+def with_margins(exposures: DataFrame, coordinates: tuple[str, ...] = ("root", "k", "game")) -> DataFrame:
+    """Adds margin (best less second-best score of the game), spread (best less worst) and second (second-best); a game is
+    told by those of the coordinates that are there. Margin and spread only for completed games. One shuffle by game."""
+    game = Window.partitionBy(*[c for c in coordinates if c in exposures.columns])
+    done, scores = ~F.col("safety"), F.col("_scores")
+    held = exposures.withColumn("_scores", F.collect_list("score").over(game))
+    return held.select(*exposures.columns, F.when(done, margin(scores)).alias("margin"), F.when(done, spread(scores)).alias("spread"), second_best(scores).alias("second"))
 
 
 def _percents(quantiles: tuple[float, ...]) -> list[Column]:

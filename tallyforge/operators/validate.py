@@ -66,6 +66,31 @@ def rating_support_issues(ratings: DataFrame) -> DataFrame:
     return x.select("root", "k", "strategy", issue.alias("issue")).where("issue is not null")
 
 
+def wide_contract_violations(wide: DataFrame, seats: int) -> DataFrame:
+    """rule, rows: how many wide rows (see reshape.schema_for) break each rule on their coordinates, seats, winner, ranks and margins.
+    Coordinates are root, k and game. One pass, but for repeated coordinates, which are counted by a grouping."""
+    c, at = F.col, range(1, seats + 1)
+    seat = lambda name: F.array(*[F.col(f"P{i}_{name}") for i in at])
+    used = lambda name: F.slice(seat(name), 1, F.greatest(F.least(c("k").cast("int"), F.lit(seats)), F.lit(0)))
+    rest = lambda name: F.slice(seat(name), F.greatest(c("k").cast("int"), F.lit(0)) + 1, F.lit(seats))
+    some, every = (lambda a: F.exists(a, lambda x: x.isNotNull())), (lambda a: F.forall(a, lambda x: x.isNotNull()))
+    number, done = F.nullif(F.regexp_extract("winner_seat", r"^P(\d+)$", 1), F.lit("")).cast("int"), ~c("safety")
+    best = F.array_max(used("score"))
+    rules = {
+        **{f"null_{name}": c(name).isNull() for name in ("root", "k", "batch", "game", "n_rounds", "safety")},
+        "k_range": ~c("k").between(2, seats), "no_rounds": c("n_rounds") < 0, "seat_without_strategy": ~every(used("strategy")), "seat_without_score": ~every(used("score")),
+        "seat_beyond_k": some(rest("strategy")) | some(rest("score")) | some(rest("rank")), "id_range": F.exists(seat("strategy"), lambda x: x < 0), "no_turns": F.exists(seat("n_turns"), lambda x: x < 0),
+        "winner_form": c("winner_seat").isNotNull() & number.isNull(), "winner_range": ~number.between(1, c("k")), "winner_rank": done & (F.get(seat("rank"), number - 1) != 1), "winner_missing": done & c("winner_seat").isNull(),
+        "rank_missing": done & ~every(used("rank")), "rank_permutation": done & (F.array_sort(F.transform(used("rank"), lambda x: x.cast("int"))) != F.sequence(F.lit(1), c("k").cast("int"))),
+        "loss_margin": done & F.exists(F.zip_with(used("loss_margin"), used("score"), lambda m, s: ~m.eqNullSafe(best - s)), lambda x: x),
+        "safety_has_winner": c("safety") & c("winner_seat").isNotNull(), "safety_has_ranks": c("safety") & some(seat("rank")), "safety_has_margins": c("safety") & some(seat("loss_margin")),
+    }
+    flags = wide.agg(*[F.sum(F.coalesce(v, F.lit(False)).cast("long")).alias(k) for k, v in rules.items()])
+    rows = flags.select(F.inline(F.array(*[F.struct(F.lit(k).alias("rule"), F.coalesce(k, F.lit(0)).alias("rows")) for k in rules])))
+    twice = wide.groupBy("root", "k", "game").agg(F.count("*").alias("n")).where("n > 1").agg(F.lit("repeated_coordinates").alias("rule"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+    return rows.unionByName(twice)
+
+
 #: Identifiers are whole numbers of any width from 0 to this.
 LARGEST_ID = 2**31 - 1
 

@@ -31,37 +31,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def exposures(spark: SparkSession, sf_dir: str, strategies: int | Column = 100) -> DataFrame:
-    """One row per game and seat; a strategy is the supplier modulo a number, or an expression of the item."""
+    """One row per game and seat; a strategy is the supplier modulo a number, or an expression of the item. l_orderkey and deal tell a
+    game as `game` does, and say where its seats lie."""
     strategy = strategies if isinstance(strategies, Column) else F.col("l_suppkey") % strategies
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", ((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT")).alias("safety"))
     top = orders.agg((F.max("o_orderkey") + 1).alias("top"))
-    by = Window.partitionBy("l_orderkey")
+    # All windows are within an order, so its items are shuffled once.
+    by, game = Window.partitionBy("l_orderkey"), Window.partitionBy("l_orderkey", "deal")
     at = F.row_number().over(by.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")) - 1
-    e = items.select("*", at.alias("at"), F.count("*").over(by).alias("n")).where("n > 1").withColumn("deals", F.ceil(F.col("n") / SEATS))
-    e = e.withColumn("deal", F.col("at") % F.col("deals"))
-    game = Window.partitionBy("l_orderkey", "deal")
+    e = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
+    e = e.select("*", at.alias("at"), F.count("*").over(by).alias("n")).where("n > 1").withColumn("deals", F.ceil(F.col("n") / SEATS))
+    e = e.withColumn("deal", F.col("at") % F.col("deals")).crossJoin(F.broadcast(top))
     e = e.select(
-        "l_orderkey", (F.col("l_orderkey") * ROOM + F.col("deal")).alias("game"), (F.floor(F.col("at") / F.col("deals")) + 1).cast("int").alias("seat"), F.count("*").over(game).cast("int").alias("k"),
+        "l_orderkey", "deal", (F.col("l_orderkey") * ROOM + F.col("deal")).alias("game"), (F.floor(F.col("at") / F.col("deals")) + 1).cast("int").alias("seat"), F.count("*").over(game).cast("int").alias("k"),
         strategy.cast("int").alias("strategy"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("score"), F.col("l_quantity").cast("int").alias("n_turns"), F.max(F.col("l_quantity").cast("int")).over(game).alias("n_rounds"),
+        "safety", (F.col("l_orderkey") % 2).alias("root"), F.floor(F.col("l_orderkey") * BATCHES / F.col("top")).cast("int").alias("batch"),
     )
-    e = e.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey").crossJoin(F.broadcast(top))
-    e = e.withColumn("root", F.col("l_orderkey") % 2).withColumn("batch", F.floor(F.col("l_orderkey") * BATCHES / F.col("top")).cast("int")).drop("top", "l_orderkey")
-    game = Window.partitionBy("game")
     rank = F.row_number().over(game.orderBy(F.desc("score"), "seat"))
     e = e.withColumn("rank", F.when(~F.col("safety"), rank)).withColumn("winner_seat", F.max(F.when(F.col("rank") == 1, F.col("seat"))).over(game))
     return e.withColumn("loss_margin", F.when(~F.col("safety"), F.max("score").over(game) - F.col("score")))
 
 
 def games(e: DataFrame) -> DataFrame:
-    """One row per game, seats as arrays."""
+    """One row per game, seats as arrays. Games are gathered by order and deal, as their seats lie together by order already."""
     seat = F.array_sort(F.collect_list(F.struct("seat", "strategy", "score", "rank")))
-    g = e.groupBy("game").agg(*[F.first(c).alias(c) for c in ("root", "k", "batch", "n_rounds", "safety", "winner_seat")], seat.alias("s"))
+    g = e.groupBy("l_orderkey", "deal").agg(*[F.first(c).alias(c) for c in ("game", "root", "k", "batch", "n_rounds", "safety", "winner_seat")], seat.alias("s"))
     g = g.select("*", F.transform("s", lambda x: x["strategy"]).alias("strategies"), F.transform("s", lambda x: x["score"]).alias("scores"), F.transform("s", lambda x: x["rank"]).alias("ranks"))
     order = F.transform(F.array_sort(F.transform("s", lambda x: F.struct(x["rank"].alias("r"), x["seat"].alias("seat")))), lambda x: x["seat"])
     from tallyforge.functions.stats import margin, second_best
 
-    return g.select("*", F.when(~F.col("safety"), order).otherwise(F.array().cast("array<int>")).alias("seat_ranks"), F.when(~F.col("safety"), margin(F.col("scores"))).alias("margin"), F.when(~F.col("safety"), F.array_max("scores")).alias("winning_score"), second_best(F.col("scores")).alias("second")).drop("s")
+    return g.select("*", F.when(~F.col("safety"), order).otherwise(F.array().cast("array<int>")).alias("seat_ranks"), F.when(~F.col("safety"), margin(F.col("scores"))).alias("margin"), F.when(~F.col("safety"), F.array_max("scores")).alias("winning_score"), second_best(F.col("scores")).alias("second")).drop("s", "l_orderkey", "deal")
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -88,7 +88,7 @@ def _across(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _margins(spark: SparkSession, d: str) -> DataFrame:
-    return gamestats.with_margins(exposures(spark, d))
+    return gamestats.with_margins(exposures(spark, d), ("l_orderkey", "deal"))
 
 
 def _combined(spark: SparkSession, d: str) -> DataFrame:
@@ -231,6 +231,15 @@ def _strength_summary(spark: SparkSession, d: str) -> DataFrame:
     return agreement.decision_summary(agreement.pair_agreement(decided, ranks), h2h.root_decisions(blocks))
 
 
+def _wide_contract(spark: SparkSession, d: str) -> DataFrame:
+    """Wide rows with planted faults."""
+    w = _stacked_wide(spark, d)
+    every = lambda n, c, other: F.when(F.col("game") % n != 0, F.col(c)).otherwise(other)
+    w = w.withColumn("P1_loss_margin", every(101, "P1_loss_margin", F.col("P1_loss_margin") + 1)).withColumn("winner_seat", every(103, "winner_seat", F.lit("P9"))).withColumn("root", every(107, "root", F.lit(None)))
+    w = w.withColumn("P2_rank", every(109, "P2_rank", F.lit(None))).withColumn("n_rounds", every(127, "n_rounds", F.lit(-1)))
+    return validate.wide_contract_violations(w.union(w.where("game % 113 = 0")), SEATS)
+
+
 def _id_issues(spark: SparkSession, d: str) -> DataFrame:
     """Identifiers with planted faults."""
     e = exposures(spark, d).select(F.when(F.col("game") % 97 != 0, F.col("strategy")).alias("strategy"), (F.col("seat") - 3).alias("lower"), (F.col("score") * 1000).alias("larger"), F.col("k").cast("string").alias("text"), "root")
@@ -310,6 +319,7 @@ RAW = {
     # validation
     "event_log_health": _event_logs,
     "rating_support_issues": _rating_support,
+    "wide_contract_violations": _wide_contract,
     "row_contract_violations": lambda s, d: validate.row_contract_violations(games(exposures(s, d))),
     "file_ranges": lambda s, d: footers.column_ranges(s, f"{d}/lineitem.parquet").unionByName(footers.column_ranges(s, f"{d}/orders.parquet")),
     "negative_columns": lambda s, d: validate.negative_columns(exposures(s, d).withColumn("debt", F.col("seat") - F.col("k"))),
@@ -381,6 +391,7 @@ RAW = {
     "percentile_contribution": lambda s, d: ratings.percentile_contribution(ratings.rating_percentile(_count_ratings(s, d))),
     # sets
     "candidate_union": lambda s, d: agreement.candidate_union(*_orders(s, d), top=10, controls=(1,), diagnostics=(2, 3)),
+    "candidate_json": lambda s, d: agreement.with_json(agreement.candidate_union(*_orders(s, d), top=10, controls=(1,), diagnostics=(2, 3)), ["reasons"]).select("strategy", "reasons_json"),
     "balanced_tail_cap": lambda s, d: agreement.balanced_tail_cap(_family(s, d), 20, 25, (1,)),
     "set_overlap": lambda s, d: agreement.set_overlap(_family(s, d).where("rate_rank <= 20"), _family(s, d).where("rating_rank <= 20")),
     "shortlist_changes": lambda s, d: stability.shortlist_changes(_all_across(s, d)),

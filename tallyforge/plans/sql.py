@@ -373,6 +373,16 @@ SQL = {
     "h2h_totals": _STRENGTH + f" SELECT {', '.join(n(f'sum({c})', c) for c in ('attempted', 'completed', 'safety', 'replacements'))}, {d('sum(completed) / sum(attempted)', 'completion_rate')} FROM bl",
     "pair_intervals": _STRENGTH + inference() + f", w AS (SELECT pair_id, sum(attempted) AS attempted, sum(completed) AS completed, sum(safety) AS safety, sum(replacements) AS replacements FROM bl GROUP BY pair_id) SELECT pair_id::BIGINT AS pair_id, strategy_a::BIGINT AS strategy_a, strategy_b::BIGINT AS strategy_b, complete, {', '.join(d(c, c) for c in ('d', 'o_low', 'o_high', 's_low', 's_high', 'holm_p'))}, decision, {', '.join(n(c, c) for c in ('attempted', 'completed', 'safety', 'replacements'))}, {d('completed / attempted', 'completion_rate')} FROM dc JOIN w USING (pair_id)",
     "screening_leaders": performance() + f", x AS (SELECT root, strategy, round(score, 2) AS score FROM ak WHERE score IS NOT NULL) SELECT root, strategy::BIGINT AS strategy, {d('score', 'score')} FROM x a WHERE score >= (SELECT max(score) FROM x b WHERE a.root = b.root)",
+    "wide_contract_violations": base() + """, x0 AS (SELECT game, k, root, n_rounds, safety, winner_seat AS w, ranks FROM g),
+        x1 AS (SELECT game, k, CASE WHEN game % 107 <> 0 THEN root END AS root, CASE WHEN game % 127 <> 0 THEN n_rounds ELSE -1 END AS n_rounds, safety, CASE WHEN game % 103 = 0 THEN 9 ELSE w END AS w, ranks, game % 109 = 0 AS bare, game % 101 = 0 AS off FROM x0),
+        x AS (SELECT * FROM x1 UNION ALL SELECT * FROM x1 WHERE game % 113 = 0),
+        z AS (SELECT rule, CASE rule WHEN 'null_root' THEN root IS NULL WHEN 'no_rounds' THEN n_rounds < 0 WHEN 'winner_range' THEN w > k WHEN 'rank_missing' THEN NOT safety AND bare WHEN 'rank_permutation' THEN NOT safety AND bare
+                WHEN 'winner_rank' THEN NOT safety AND w <= 6 AND CASE WHEN bare AND w = 2 THEN NULL ELSE ranks[w] END <> 1 WHEN 'loss_margin' THEN NOT safety AND off WHEN 'safety_has_winner' THEN safety AND w IS NOT NULL ELSE false END AS hit
+            FROM x, unnest(['null_root', 'null_k', 'null_batch', 'null_game', 'null_n_rounds', 'null_safety', 'k_range', 'no_rounds', 'seat_without_strategy', 'seat_without_score', 'seat_beyond_k', 'id_range', 'no_turns', 'winner_form', 'winner_range', 'winner_rank',
+                'winner_missing', 'rank_missing', 'rank_permutation', 'loss_margin', 'safety_has_winner', 'safety_has_ranks', 'safety_has_margins']) u(rule)),
+        r AS (SELECT root, k, game, count(*) AS n FROM x GROUP BY ALL HAVING count(*) > 1)
+        SELECT rule, sum(coalesce(hit, false)::INT)::BIGINT AS rows FROM z GROUP BY rule UNION ALL SELECT 'repeated_coordinates', coalesce(sum(n), 0)::BIGINT FROM r""",
+    "candidate_json": family() + " SELECT strategy::BIGINT AS strategy, to_json(list_filter([CASE WHEN rate_rank <= 10 THEN 'rate' END, CASE WHEN rating_rank <= 10 THEN 'rating' END, CASE WHEN strategy = 1 THEN 'control' END, CASE WHEN strategy IN (2, 3) THEN 'diagnostic' END], lambda x: x IS NOT NULL))::VARCHAR AS reasons_json FROM fa WHERE rate_rank <= 10 OR rating_rank <= 10 OR strategy IN (1, 2, 3)",
     "id_issues": base() + """, x AS (SELECT CASE WHEN game % 97 <> 0 THEN strategy END AS strategy, seat - 3 AS lower, score * 1000 AS larger FROM e),
         y AS (SELECT sum((strategy IS NULL)::INT) AS a, sum((lower < 0)::INT) AS b, sum((larger > 2147483647)::INT) AS c FROM x)
         SELECT 'text' AS column, 'wrong_type' AS issue, NULL::BIGINT AS rows UNION ALL SELECT 'strategy', 'null', a::BIGINT FROM y WHERE a > 0 UNION ALL SELECT 'lower', 'negative', b::BIGINT FROM y WHERE b > 0 UNION ALL SELECT 'larger', 'too_large', c::BIGINT FROM y WHERE c > 0""",
