@@ -170,6 +170,20 @@ _WON = """, w0 AS (SELECT CASE WHEN decision LIKE '%_a' THEN strategy_a ELSE str
 _STRENGTH = attempts(strategies=STRENGTH)
 
 
+def strengths(source: str, rounds: int, prior: float = 0.5) -> str:
+    """Adds gw (wins and updates of the completed exposures of source) and g<rounds> (strengths after so many rounds), each round written out."""
+    out = f""",
+    gd AS (SELECT root, k, game, strategy, rank FROM {source} WHERE NOT safety),
+    gw AS (SELECT root, k, strategy, sum((rank < k)::INT) AS w, sum(least(rank, k - 1)) AS updates FROM gd GROUP BY root, k, strategy),
+    g0 AS (SELECT root, k, strategy, 1.0::DOUBLE AS g FROM gw)"""
+    for i in range(1, rounds + 1):
+        out += f""",
+    gs{i} AS (SELECT *, sum(g) OVER (PARTITION BY root, k, game ORDER BY rank DESC) AS stage FROM gd JOIN g{i - 1} USING (root, k, strategy)),
+    gl{i} AS (SELECT *, sum(CASE WHEN rank < k THEN 1 / stage ELSE 0 END) OVER (PARTITION BY root, k, game ORDER BY rank) AS load FROM gs{i}),
+    g{i} AS (SELECT root, k, strategy, (any_value(w) + {prior}) / (sum(load) + 2 * {prior} / (any_value(g) + 1)) AS g FROM gl{i} JOIN gw USING (root, k, strategy) GROUP BY root, k, strategy)"""
+    return out
+
+
 def family() -> str:
     return base() + """, fa AS (SELECT strategy, row_number() OVER (ORDER BY round(avg(won), 9) DESC, strategy) AS rate_rank, row_number() OVER (ORDER BY sum(score) DESC, strategy) AS rating_rank FROM e GROUP BY strategy)"""
 
@@ -397,6 +411,13 @@ SQL = {
         UNION ALL SELECT 'incomplete', s::BIGINT, n::BIGINT FROM z WHERE n <> (SELECT count(*) - 1 FROM z)
         UNION ALL SELECT 'scores', s::BIGINT, CASE s WHEN 2 THEN 0 ELSE 2 END::BIGINT FROM z WHERE s IN (2, 4)
         UNION ALL SELECT 'families', NULL, count(DISTINCT pair_id < 10)::BIGINT FROM x HAVING count(DISTINCT pair_id < 10) > 1""",
+    "ratings_batch": base(10) + strengths("e", 6) + f""", c AS (SELECT root, k, strategy, count(*) AS attempted, sum((NOT safety)::INT) AS completed FROM e GROUP BY root, k, strategy), x AS (SELECT *, coalesce(updates, 0) AS u FROM c LEFT JOIN g6 USING (root, k, strategy) LEFT JOIN gw USING (root, k, strategy))
+        SELECT root, k::BIGINT AS k, strategy::BIGINT AS strategy, {d('ln(g)', 'mu')}, {n('attempted', 'attempted')}, {n('completed', 'completed')}, {n('attempted - completed', 'excluded')}, {n('u', 'updates')}, {n('sum(u) OVER (PARTITION BY root, k)', 'cell_updates')}, CASE WHEN u > 0 THEN 'rated' ELSE 'prior' END AS status FROM x""",
+    "heldout_calibration": base(10) + """, tg AS (SELECT root, k, game, row_number() OVER (PARTITION BY root, k ORDER BY game) <= greatest(1, floor(0.8 * count(*) OVER (PARTITION BY root, k))) AS train FROM g WHERE NOT safety),
+        tx AS (SELECT e.*, train FROM e JOIN tg USING (root, k, game)), tt AS (SELECT * FROM tx WHERE train)""" + strengths("tt", 4) + f""",
+        h0 AS (SELECT tx.*, exp(coalesce(ln(g4.g), 0)) AS x FROM tx LEFT JOIN g4 USING (root, k, strategy) WHERE NOT train), h1 AS (SELECT *, x / sum(x) OVER (PARTITION BY root, k, game) AS p FROM h0),
+        h2 AS (SELECT root, k, game, sum(CASE WHEN won = 1 THEN -ln(p) END) AS loss, sum((p - won) * (p - won)) AS brier, first(won ORDER BY p DESC, seat) AS hit, max(p) AS top FROM h1 GROUP BY root, k, game)
+        SELECT root, k::BIGINT AS k, count(*) AS games, {d('avg(loss)', 'log_loss')}, {d('avg(brier)', 'brier')}, {d('avg(hit)', 'accuracy')}, {d('avg(top)', 'mean_top')}, {d('ln(k::DOUBLE)', 'uniform_log_loss')}, {d('1 - 1.0::DOUBLE / k', 'uniform_brier')} FROM h2 GROUP BY root, k""",
     "cap_status": base() + ", x AS (SELECT strategy FROM e GROUP BY strategy HAVING count(*) >= 3) SELECT count(*)::BIGINT AS eligible, least(count(*), 20)::BIGINT AS kept, CASE WHEN count(*) > 20 THEN 'blocked_by_cap' WHEN count(*) = 0 THEN 'not_estimable' ELSE 'complete' END AS status FROM x",
     "cycle_report": attempts() + _CYCLES,
     "fronts_display": attempts() + """, dk AS (SELECT strategy, sum(wins)::DOUBLE / sum(exposures) - 1.0::DOUBLE / k AS dl FROM bm GROUP BY strategy, k), sq AS (SELECT strategy, avg(dl) AS score FROM dk GROUP BY strategy HAVING count(*) = (SELECT count(DISTINCT k) FROM bm))
