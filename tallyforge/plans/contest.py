@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.folders import settled, shared_folder
-from tallyforge.functions.stats import normal_quantile
+from tallyforge.functions.stats import margin, normal_quantile, participants, second_best, strict_id
 from tallyforge.operators import agreement, gamestats, graph, h2h, lag, metrics, models, performance, ratings, resample, reshape, seats, stability, validate
 from tallyforge.sources import files, footers
 from tallyforge.streaming import incremental
@@ -59,8 +59,6 @@ def games(e: DataFrame) -> DataFrame:
     g = e.groupBy("l_orderkey", "deal").agg(*[F.first(c).alias(c) for c in ("game", "root", "k", "batch", "n_rounds", "safety", "winner_seat")], seat.alias("s"))
     g = g.select("*", F.transform("s", lambda x: x["strategy"]).alias("strategies"), F.transform("s", lambda x: x["score"]).alias("scores"), F.transform("s", lambda x: x["rank"]).alias("ranks"))
     order = F.transform(F.array_sort(F.transform("s", lambda x: F.struct(x["rank"].alias("r"), x["seat"].alias("seat")))), lambda x: x["seat"])
-    from tallyforge.functions.stats import margin, second_best
-
     return g.select("*", F.when(~F.col("safety"), order).otherwise(F.array().cast("array<int>")).alias("seat_ranks"), F.when(~F.col("safety"), margin(F.col("scores"))).alias("margin"), F.when(~F.col("safety"), F.array_max("scores")).alias("winning_score"), second_best(F.col("scores")).alias("second")).drop("s", "l_orderkey", "deal")
 
 
@@ -307,7 +305,7 @@ RAW = {
     "combine_k": lambda s, d: _stacked_wide(s, d).select("game", "k", "P1_strategy", "P2_strategy", "P3_strategy", "P6_strategy"),
     "winner_decode": lambda s, d: reshape.winner_decode(_stacked_wide(s, d), 6),
     "wide_exposures": lambda s, d: reshape.exposures(_stacked_wide(s, d), 6).groupBy("k", "seat").agg(F.count("*").alias("rows"), F.sum("score").alias("score"), F.sum(F.col("winner_seat").cast("long")).alias("winners")),
-    "normalize_ids": lambda s, d: table(s, d, "events").selectExpr("event_type", "get_json_object(props, '$.k') as t").groupBy("event_type").agg(F.count("t").alias("n"), F.count(F.col("t").try_cast("int")).alias("whole"), F.max(F.col("t").try_cast("int")).alias("largest")),
+    "normalize_ids": lambda s, d: table(s, d, "events").selectExpr("event_type", "get_json_object(props, '$.k') as t").groupBy("event_type").agg(F.count("t").alias("n"), F.count(strict_id(F.col("t"))).alias("whole"), F.max(strict_id(F.col("t"))).alias("largest")),
     "parse_strategy_text": lambda s, d: reshape.parse_strategy_text(table(s, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 7 == 0, F.col("p_name")).otherwise(F.concat(F.lit("Strat("), F.col("p_size").cast("string"), F.lit(",2)[SD][FO][AND][H-]"))).alias("t")), "t").select("p_partkey", "parsed", "score_threshold", "dice_threshold", "smart", "favor", "logic", "hot"),
     "manifest_reconcile": _manifest,
     "read_games": _read_games,
@@ -379,7 +377,7 @@ RAW = {
     "rank_movement": lambda s, d: stability.rank_movement(_all_across(s, d)),
     "control_movement": lambda s, d: stability.control_movement(_all_across(s, d), (1, 2, 3)),
     "lag_autocorr_strategy": lambda s, d: lag.lag_autocorrelation(exposures(s, d), ["strategy", "k"], ["root", "game", "seat"], F.coalesce((F.col("winner_seat") == F.col("seat")).cast("int"), F.lit(0)), (1, 2, 4)),
-    "lag_autocorr_matchup": lambda s, d: lag.lag_autocorrelation(games(exposures(s, d, FEW)).withColumn("matchup", F.array_join(F.transform(F.array_sort("strategies"), lambda x: x.cast("string")), " | ")), ["matchup"], ["root", "game"], F.col("n_rounds"), (1,)),
+    "lag_autocorr_matchup": lambda s, d: lag.lag_autocorrelation(games(exposures(s, d, FEW)).withColumn("matchup", participants(F.col("strategies"))[1]), ["matchup"], ["root", "game"], F.col("n_rounds"), (1,)),
     "lag_autocorr_events": _event_lag,
     "group_eligibility": lambda s, d: lag.group_eligibility(exposures(s, d), ["strategy", "k"], (30,)),
     "priority_cap": lambda s, d: lag.priority_cap(lag.group_eligibility(exposures(s, d), ["strategy"]), "strategy", 20),
