@@ -41,11 +41,9 @@ SUMS = ("n", "sx", "sy", "xx", "yy", "xy")
 
 
 def _pair_sums(x: np.ndarray, y: np.ndarray, at: np.ndarray, groups: int) -> np.ndarray:
-    """The six sums of the pairs (x, y) that belong to each of `groups` groups, exact: groups x SUMS."""
-    out = np.zeros((groups, len(SUMS)), np.int64)
-    for i, v in enumerate((np.ones_like(x), x, y, x * x, y * y, x * y)):
-        np.add.at(out[:, i], at, v)
-    return out
+    """The six sums of the pairs (x, y) that belong to each of `groups` groups, exact: groups x SUMS. `at` tells the group, in order."""
+    ends = np.searchsorted(at, np.arange(groups + 1))
+    return np.stack([np.diff(np.concatenate([[0], np.cumsum(v)])[ends]) for v in (np.ones_like(x), x, y, x * x, y * y, x * y)], axis=1)
 
 
 def _stitched(borders: list[dict], lags: tuple[int, ...]) -> np.ndarray:
