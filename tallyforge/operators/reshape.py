@@ -46,6 +46,16 @@ def widened(exposed: DataFrame, k: int) -> DataFrame:
     return curated(g, k)
 
 
+def gathered(exposed: DataFrame, seats: int, coordinates: tuple[str, ...] = ("root", "k", "game")) -> DataFrame:
+    """The wide rows of all games of at most `seats` seats, in one grouping: what combine_k makes of the widened rows of each k. A game is
+    told by the coordinates; where its rows lie together by these already, nothing is shuffled."""
+    plain = [c for c in GAME_COLUMNS if c != "winner_seat"]
+    first = [F.first(c).alias(c) for c in plain if c not in coordinates]
+    cells = [F.max(F.when(F.col("seat") == i, F.col(c).cast(t))).alias(f"P{i}_{c}") for i in range(1, seats + 1) for c, t in SEAT_COLUMNS.items()]
+    g = exposed.where(F.col("k") <= seats).groupBy(*coordinates).agg(*first, F.first("winner_seat").alias("winner_seat"), *cells)
+    return curated(g.withColumn("winner_seat", F.concat(F.lit("P"), F.col("winner_seat").cast("string"))), seats)
+
+
 def winner_number(col: str):
     """P3 -> 3; anything else is NULL."""
     return F.nullif(F.regexp_extract(col, r"^P(\d+)$", 1), F.lit("")).cast("int")

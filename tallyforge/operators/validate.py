@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -68,7 +70,7 @@ def rating_support_issues(ratings: DataFrame) -> DataFrame:
 
 def wide_contract_violations(wide: DataFrame, seats: int) -> DataFrame:
     """rule, rows: how many wide rows (see reshape.schema_for) break each rule on their coordinates, seats, winner, ranks and margins.
-    Coordinates are root, k and game. One pass, but for repeated coordinates, which are counted by a grouping."""
+    Coordinates are root, k and game. One pass and one shuffle: rows are counted by the set of rules they break, and by coordinates."""
     c, at = F.col, range(1, seats + 1)
     seat = lambda name: F.array(*[F.col(f"P{i}_{name}") for i in at])
     used = lambda name: F.slice(seat(name), 1, F.greatest(F.least(c("k").cast("int"), F.lit(seats)), F.lit(0)))
@@ -85,10 +87,12 @@ def wide_contract_violations(wide: DataFrame, seats: int) -> DataFrame:
         "loss_margin": done & F.exists(F.zip_with(used("loss_margin"), used("score"), lambda m, s: ~m.eqNullSafe(best - s)), lambda x: x),
         "safety_has_winner": c("safety") & c("winner_seat").isNotNull(), "safety_has_ranks": c("safety") & some(seat("rank")), "safety_has_margins": c("safety") & some(seat("loss_margin")),
     }
-    flags = wide.agg(*[F.sum(F.coalesce(v, F.lit(False)).cast("long")).alias(k) for k, v in rules.items()])
-    rows = flags.select(F.inline(F.array(*[F.struct(F.lit(k).alias("rule"), F.coalesce(k, F.lit(0)).alias("rows")) for k in rules])))
-    twice = wide.groupBy("root", "k", "game").agg(F.count("*").alias("n")).where("n > 1").agg(F.lit("repeated_coordinates").alias("rule"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
-    return rows.unionByName(twice)
+    bits = {name: F.lit(1 << i) for i, name in enumerate(rules)}
+    broken = reduce(Column.bitwiseOR, [F.when(v, bits[name]).otherwise(0).cast("long") for name, v in rules.items()])
+    g = wide.select("root", "k", "game", broken.alias("broken")).groupingSets([["broken"], ["root", "k", "game"]], "broken", "root", "k", "game").agg(F.count("*").alias("n"), F.grouping("broken").alias("by_coordinates"))
+    hits = {name: (F.col("by_coordinates") == 0) & (F.col("broken").bitwiseAND(bit) != 0) for name, bit in bits.items()} | {"repeated_coordinates": (F.col("by_coordinates") == 1) & (F.col("n") > 1)}
+    totals = g.agg(*[F.sum(F.when(v, F.col("n")).otherwise(0)).alias(name) for name, v in hits.items()])
+    return totals.select(F.inline(F.array(*[F.struct(F.lit(name).alias("rule"), F.coalesce(name, F.lit(0)).alias("rows")) for name in hits])))
 
 
 #: Identifiers are whole numbers of any width from 0 to this.

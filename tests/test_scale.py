@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import folders
-from tallyforge.operators import gamestats, graph, lag, performance, quantiles, ratings, resample, stability
+from tallyforge.operators import gamestats, graph, lag, performance, quantiles, ratings, resample, reshape, stability, validate
 from tallyforge.plans import contest
 
 
@@ -414,3 +414,29 @@ def test_caps_say_what_they_leave(spark):
     groups = spark.createDataFrame([(i, i > 2) for i in range(6)], "g int, eligible boolean")
     assert [lag.cap_status(groups, n).first()["status"] for n in (2, 3)] == ["blocked_by_cap", "complete"]
     assert tuple(lag.cap_status(groups.where("not eligible"), 2).first()) == (0, 0, "not_estimable")
+
+
+# wide rows
+def scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+
+def test_wide_rows_of_all_k_come_from_one_pass(spark, sf_dir):
+    e = contest.exposures(spark, sf_dir)
+    got = contest._stacked_wide(spark, sf_dir)
+    want = reshape.combine_k({k: reshape.widened(e, k) for k in range(2, 7)}, 6)
+    assert got.schema == want.schema and got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
+    assert reshape.gathered(e, 6).exceptAll(want).isEmpty()
+    assert scans(got) == scans(e)
+    assert scans(contest.QUERIES["wide_contract_violations"](spark, sf_dir)) == scans(e)
+
+
+def test_contract_counts_rows_of_equal_faults_and_of_equal_coordinates(spark):
+    seats = ", ".join(f"P{i}_score int, P{i}_strategy int, P{i}_rank byte, P{i}_loss_margin int, P{i}_n_turns short" for i in (1, 2))
+    row = lambda root, game, rounds=5, winner="P1": (root, 2, 0, game, rounds, False, winner, 9, 1, 1, 0, 3, 4, 2, 2, 5, 3)
+    rows = [row(0, 1), row(0, 1), row(0, 1, rounds=-1), row(None, 2), row(None, 2), row(1, 2), row(0, 3, winner=None), row(None, None, -2), row(None, 4, winner="P2")]
+    df = spark.createDataFrame(rows, f"root long, k short, batch int, game long, n_rounds short, safety boolean, winner_seat string, {seats}")
+    got = {r["rule"]: r["rows"] for r in validate.wide_contract_violations(df, 2).collect()}
+    assert {rule: n for rule, n in got.items() if n} == {"repeated_coordinates": 5, "null_root": 4, "null_game": 1, "no_rounds": 2, "winner_missing": 1, "winner_rank": 1}
+    assert len(got) == 24
+    assert {r["rows"] for r in validate.wide_contract_violations(df.limit(0), 2).collect()} == {0}
