@@ -440,3 +440,20 @@ def test_contract_counts_rows_of_equal_faults_and_of_equal_coordinates(spark):
     assert {rule: n for rule, n in got.items() if n} == {"repeated_coordinates": 5, "null_root": 4, "null_game": 1, "no_rounds": 2, "winner_missing": 1, "winner_rank": 1}
     assert len(got) == 24
     assert {r["rows"] for r in validate.wide_contract_violations(df.limit(0), 2).collect()} == {0}
+
+
+# held-out games
+def test_split_in_time_selects_the_last_training_game(spark):
+    rng = random.Random(5)
+    sizes = {(0, 2): 1, (0, 3): 7, (1, 2): 3000}
+    games = {g: rng.sample(range(10**9), n) for g, n in sizes.items()}
+    df = spark.createDataFrame([(*g, i) for g, ids in games.items() for i in ids], "root long, k int, game long")
+    x = ratings.split_in_time(df)
+    got = {g: sorted(r["game"] for r in x.where("train").collect() if (r["root"], r["k"]) == g) for g in games}
+    assert got == {g: sorted(ids)[: max(1, math.floor(0.8 * len(ids)))] for g, ids in games.items()}
+    assert x.count() == len(df.collect())
+
+
+def test_calibration_reads_written_games(spark, sf_dir):
+    plan = contest.QUERIES["heldout_calibration"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan
