@@ -464,3 +464,12 @@ def test_fronts_are_shown_from_written_decisions_and_cells(spark, sf_dir, monkey
     monkeypatch.setattr(contest, "exposures", lambda *a: passes.append(a) or made(*a))
     plan = contest.QUERIES["fronts_display"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "lineitem" not in plan and len(passes) == 2
+
+
+@pytest.mark.parametrize("name", ["materialize", "curate"])
+def test_published_rows_come_from_one_pass(spark, sf_dir, monkeypatch, name):
+    passes, made = [], contest.exposures
+    monkeypatch.setattr(contest, "exposures", lambda *a: passes.append(a) or made(*a))
+    rows, games = contest.QUERIES[name](spark, sf_dir).collect(), made(spark, sf_dir).select("game").distinct().count()
+    assert len(passes) == 1
+    assert sum(r["rows_combined" if name == "materialize" else "rows"] for r in rows) == games
