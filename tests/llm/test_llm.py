@@ -10,12 +10,13 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyforge.llm import components, decontam, langid, license_scan, media, mixing, ngram_join, pii, quality, queries, tokens, warc
-from tallyforge.llm.shared import CLEANUP, id_bucket, table, written
+from tallyforge.llm.shared import BATCH, BATCH_BYTES, CLEANUP, arrow_map, id_bucket, table, written
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 AWKWARD = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "the cat", "en", "s", 7), (2, "", "en", "s", 0), (3, "  \n ", "en", None, 4), (4, "ünï " * 30000, "de", "s", 1), (5, "123 %%%", "en", "s", 7)]
@@ -653,3 +654,16 @@ def test_pipeline_stages(spark, sf_dir, docs, awkward):
             assert out.columns == docs.columns
         now = out
     assert now.count() > 0
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    """A batch of Spark's own size held all 24 MB of these texts at once, in the executor and in its Python worker."""
+    own = spark.newSession()
+    docs = own.range(0, 3000, 1, 1).select("id", F.repeat(F.lit("word "), 1600).alias("text"))
+    bytes_of = docs.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in bs), "n long")
+    assert arrow_map(docs.select("id"), lambda b: b, "id long").count() == 3000
+    sizes = [r["n"] for r in bytes_of.collect()]
+    assert max(sizes) < 2 * BATCH_BYTES < sum(sizes)
+    own.conf.set(BATCH, "1m")
+    written(docs.limit(1), "t")
+    assert own.conf.get(BATCH) == "1m"
