@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import folders
 from tallyforge.operators import gamestats, graph, lag, performance, quantiles, ratings, resample, reshape, stability, validate
 from tallyforge.plans import contest
+from tallyforge.sources import files
 
 
 # lags
@@ -473,3 +474,20 @@ def test_published_rows_come_from_one_pass(spark, sf_dir, monkeypatch, name):
     rows, games = contest.QUERIES[name](spark, sf_dir).collect(), made(spark, sf_dir).select("game").distinct().count()
     assert len(passes) == 1
     assert sum(r["rows_combined" if name == "materialize" else "rows"] for r in rows) == games
+
+
+def test_rows_are_published_where_they_lie(spark, tmp_path):
+    df = spark.range(0, 60, 1, 3).select((F.col("id") % 2 + 2).alias("k"), (F.col("id") % 5).alias("root"), F.col("id").alias("game"))
+    assert {(r["k"], r["rows"]) for r in files.curate(df, str(tmp_path / "games")).collect()} == {(2, 30), (3, 30)}
+    found = spark.read.parquet(str(tmp_path / "games")).groupBy("k", F.input_file_name()).agg(F.min("game").alias("lo"), F.max("game").alias("hi")).collect()
+    assert sorted((r["lo"] // 20, r["hi"] // 20) for r in found) == [(i, i) for i in (0, 0, 1, 1, 2, 2)]
+
+
+def test_items_are_sorted_twice_and_joined_as_they_lie(spark, sf_dir):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = contest.exposures(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Sort [") == 3 and plan.count("Exchange hashpartitioning") == 2  # orders are sorted for the join
