@@ -33,8 +33,9 @@ def curate(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path).groupBy("k").agg(F.count("*").alias("rows"))
 
 
-def materialize(df: DataFrame, path: str, files: int = 1) -> None:
-    df.coalesce(files).write.mode("overwrite").parquet(path)
+def materialize(df: DataFrame, path: str, files: int | None = 1) -> None:
+    """The rows as one table of so many files at most, each written by one task; None: by as many tasks as read the rows."""
+    (df if files is None else df.coalesce(files)).write.mode("overwrite").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, append: bool = False) -> None:

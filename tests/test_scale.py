@@ -483,6 +483,14 @@ def test_rows_are_published_where_they_lie(spark, tmp_path):
     assert sorted((r["lo"] // 20, r["hi"] // 20) for r in found) == [(i, i) for i in (0, 0, 1, 1, 2, 2)]
 
 
+def test_the_whole_table_has_as_many_tasks_as_its_rows_take(spark, sf_dir, tmp_path, monkeypatch):
+    files.materialize(spark.range(0, 60, 1, 12), str(tmp_path / "all"), None)
+    assert len(list((tmp_path / "all").glob("part-*"))) == 12
+    asked, made = [], files.materialize
+    monkeypatch.setattr(files, "materialize", lambda df, path, n=1: asked.append(n) or made(df, path, n))
+    assert contest.QUERIES["materialize"](spark, sf_dir).first()["agrees"] and asked == [None]
+
+
 def test_items_are_sorted_twice_and_joined_as_they_lie(spark, sf_dir):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
