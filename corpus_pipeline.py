@@ -28,12 +28,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     taken = {c.lower() for c in docs.columns}
     name, *marks = [n for n in ("row_key", *(f"mark_{i}" for i in range(len(taken) + 2))) if n not in taken][:3]
-    # The marks tell id and text by 128 bits; rows that stay meet their texts by the marks, so texts are shuffled once.
+    # The marks tell id and text by 128 bits; rows that stay meet their texts by the marks, so texts are shuffled once. They are
+    # about as many as the documents, so none of them goes through the driver.
     marked = docs.withColumns({m: F.xxhash64(F.lit(i), "doc_id", "text") for i, m in enumerate(marks)})
     keyed = marked.select("text", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), *[F.col(m).alias(f"h{i}") for i, m in enumerate(marks)]).alias(name))
     least = ngram_join.similar_groups(keyed, 5, 80, name).where(F.col(name) == F.col("component_id"))
     kept = written(least.select(*[F.col(name)[f"h{i}"].alias(m) for i, m in enumerate(marks)]).distinct(), "kept")
-    return marked.join(kept, marks, "left_semi").dropDuplicates(marks).drop(*marks)
+    return marked.join(kept.hint("merge"), marks, "left_semi").dropDuplicates(marks).drop(*marks)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,10 +9,11 @@ from tallyforge.llm.shared import written
 
 
 def followed(labels: DataFrame, maps: list[DataFrame]) -> DataFrame:
-    """labels (id, comp) after each map (id, comp) in turn has sent the labels that it has elsewhere."""
+    """labels (id, comp, any others) after each map (id, comp) in turn has sent the labels that it has elsewhere."""
+    others = labels.columns[2:]
     for m in maps:
         m = m.select(F.col("id").alias("comp"), F.col("comp").alias("next"))
-        labels = labels.join(m, "comp", "left").select("id", F.coalesce("next", "comp").alias("comp"))
+        labels = labels.join(m, "comp", "left").select("id", F.coalesce("next", "comp").alias("comp"), *others)
     return labels
 
 

@@ -171,15 +171,23 @@ def _distinct_groups(groups: DataFrame) -> DataFrame:
     return groups.join(kept.select("g", "w"), "g")
 
 
+def _bits(residues: DataFrame) -> np.ndarray:
+    """The residues (r) as a bitmap of RESIDUES bits, the lowest of a byte first. Tasks set the bits, so the driver gets a row for
+    each 32,768 of them, however many texts there are."""
+    page = residues.groupBy(F.shiftright("r", 15).alias("page")).agg(F.bitmap_construct_agg(F.col("r").bitwiseAND(32767)).alias("bits"))
+    out = np.zeros((-(-RESIDUES // 32768), 4096), np.uint8)
+    for row in page.collect():
+        out[row["page"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.ravel()
+
+
 def _segments(docs: DataFrame, wanted: DataFrame, size: int, shared: frozenset[int]) -> DataFrame:
     """node, fragment, segment (its shingles there) of the wanted nodes, each taken from one of its documents."""
     residue = F.pmod("th", F.lit(RESIDUES))
-    marks = np.zeros(RESIDUES, bool)
-    marks[wanted.select(residue.cast("int").alias("r")).distinct().toPandas()["r"].to_numpy(int)] = True
-    marks = docs.sparkSession.sparkContext.broadcast(np.packbits(marks))
+    marks = docs.sparkSession.sparkContext.broadcast(_bits(wanted.select(residue.cast("int").alias("r"))))
 
     def some(rows: pa.RecordBatch) -> pa.RecordBatch:
-        bits = np.unpackbits(marks.value)
+        bits = np.unpackbits(marks.value, bitorder="little")
         return rows.filter(pa.array(bits[rows.column(2).to_numpy()].astype(bool))).select([0, 1, 3])
 
     kind = docs.schema["id"].dataType.simpleString()
@@ -256,24 +264,39 @@ def _overlaps(left, right) -> np.ndarray:
     return total
 
 
+def _blocks(now: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sets (node, n, comp, block) of large open groups, and the comparisons (a, b, part) that cover all pairs of sets that share
+    a group and are in different components: block a with the blocks b of each part.
+
+    Sets lie in blocks by the largest of their groups, those of its largest component apart. Blocks meet if a group has sets of
+    both, not if their groups are only linked by others; the larger one is a, and small ones share a part."""
+    size = now.groupBy("g").agg(F.count("*").alias("k"))
+    home = written(now.join(size, "g").groupBy("node", "n", "comp").agg(F.max(F.struct("k", "g"))["g"].alias("home")), "homes")
+    most = home.groupBy("home", "comp").count().groupBy("home").agg(F.max_by("comp", F.struct("count", "comp")).alias("most"))
+    home = home.join(most, "home").withColumn("in_most", F.col("comp") == F.col("most"))
+    room = F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)
+    blocks = home.groupBy("home", "in_most").agg(F.ceil(room).cast("int").alias("blocks"))
+    block = F.xxhash64("home", "in_most", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    sets = written(home.join(blocks, ["home", "in_most"]).select("node", "n", "comp", block.alias("block")), "blocks")
+    each = sets.groupBy("block").agg(F.count("*").alias("k"), room.alias("room"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    there = written(now.join(sets.select("node", "block"), "node").select("g", "block").distinct().join(each, "block"), "there")
+    a, b = (there.select("g", *[F.col(c).alias(x + c) for c in ("block", "k", "room", "lo", "hi")]) for x in "ab")
+    larger = F.struct("bk", "bblock") <= F.struct("ak", "ablock")
+    pairs = a.join(b, "g").where(larger & (F.least("alo", "blo") != F.greatest("ahi", "bhi"))).select(F.col("ablock").alias("a"), F.col("bblock").alias("b"), "broom").distinct()
+    before = Window.partitionBy("a").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    part = F.floor(F.coalesce(F.sum("broom").over(before), F.lit(0.0)))
+    return sets, written(pairs.select("a", "b", part.cast("int").alias("part")), "parts")
+
+
 def _block_links(now: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Links of components by sets in large open groups; enough of them to join all components that have any. Groups that
-    share sets form a cluster. Each set outside a cluster's largest component is compared with all sets of the
-    cluster, a block against a block, so rows grow with blocks and not with pairs."""
-    hub = now.groupBy("g").agg(F.min("node").alias("b"))
-    cluster = components(now.join(hub, "g").select(F.col("node").alias("a"), "b")).select(F.col("id").alias("node"), F.col("comp").alias("cluster"))
-    sets = written(now.select("node", "n", "comp").distinct().join(cluster, "node"), "clusters")
-    most = sets.groupBy("cluster", "comp").count().groupBy("cluster").agg(F.max_by("comp", F.struct("count", "comp")).alias("most"))
-    segments = _of(segments, [sets])
-    blocks = lambda rows: F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    sizes = sets.groupBy("cluster").agg(blocks(sets).alias("nb"))
-    few = sets.join(most, "cluster").where("comp != most").drop("most")
-    counts = sizes.join(few.groupBy("cluster").agg(blocks(few).alias("na")), "cluster")
-
-    def dealt(rows: DataFrame, mine: str, other: str) -> DataFrame:
-        rows = rows.join(counts, "cluster").withColumn(mine, F.pmod(F.xxhash64("node"), F.col(f"n{mine}")).cast("int"))
-        rows = rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"n{other}") - 1)))
-        return rows.join(segments, "node").select("cluster", "a", "b", "node", "n", "comp", "fragment", "segment")
+    """Links of components by sets in large open groups; enough of them to join all components that have any. Blocks of sets that
+    share a group are compared, so rows grow with blocks and not with pairs. Sets are repeated for their comparisons after they
+    met their segments: before that, Spark would take the repeated rows for a small table, which goes through the driver."""
+    sets, pairs = _blocks(now)
+    whole = _of(segments, [sets]).join(sets, "node")
+
+    def dealt(to: DataFrame, block: str) -> DataFrame:
+        return whole.join(to, F.col("block") == F.col(block)).select("a", "part", "node", "n", "comp", "fragment", "segment")
 
     def links(left, right):
         import pandas as pd
@@ -302,9 +325,9 @@ def _block_links(now: DataFrame, segments: DataFrame, percent: int) -> DataFrame
                     out.append((x, y))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    mine = dealt(few, "a", "b").groupBy("cluster", "a", "b")
-    all_of = dealt(sets, "b", "a").toDF("cluster_2", "a_2", "b_2", "node", "n", "comp", "fragment", "segment").groupBy("cluster_2", "a_2", "b_2")
-    return mine.cogroup(all_of).applyInPandas(links, "a long, b long")
+    mine = dealt(pairs.select("a", "part").distinct(), "a").groupBy("a", "part")
+    others = dealt(pairs, "b").toDF("a_2", "part_2", "node", "n", "comp", "fragment", "segment").groupBy("a_2", "part_2")
+    return mine.cogroup(others).applyInPandas(links, "a long, b long")
 
 
 def _open(now: DataFrame, moved: DataFrame | None) -> DataFrame:
@@ -387,7 +410,7 @@ def similar_groups(docs: DataFrame, size: int = 3, percent: int = 90, id_col: st
     wanted = written(nodes.join(groups.select("node").distinct(), "node", "left_semi").select("doc.id", "doc.th"), "wanted")
     segments = written(_segments(texts, wanted, size, shared).dropDuplicates(["node", "fragment"]), "segments")
     maps = _joined(_distinct_groups(groups).withColumn("comp", F.col("node")), segments, percent)
-    comp = followed(nodes.select(F.col("node").alias("id"), F.col("node").alias("comp")), maps).select(F.col("id").alias("node"), "comp").join(nodes.select("node", "low"), "node")
+    comp = written(followed(nodes.select(F.col("node").alias("id"), F.col("node").alias("comp"), "low"), maps), "labels").select(F.col("id").alias("node"), "comp", "low")
     low = comp.join(comp.groupBy("comp").agg(F.min("low").alias("component")), "comp").select("node", "component")
     out = sets.select("id", "n", "node").join(low, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))

@@ -5,7 +5,7 @@ import itertools
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyforge.llm import components, decontam, langid, license_scan, media, mixing, ngram_join, pii, quality, queries, tokens, warc
+from tallyforge.llm import components, decontam, langid, license_scan, media, mixing, ngram_join, pii, quality, queries, shared, tokens, warc
 from tallyforge.llm.shared import BATCH, BATCH_BYTES, CLEANUP, arrow_map, id_bucket, table, written
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -389,6 +389,83 @@ def test_linked_pairs_share_half_of_the_sure_segments():
             assert shared >= max(1, -(-max(ngram_join.sure(len(x), cut, percent) for x in (a, b)) // 2))
 
 
+def test_the_driver_gets_no_row_for_each_text(spark, monkeypatch):
+    """Which texts are compared reaches the driver as bits, not as rows."""
+    rng, words = random.Random(5), vocabulary()
+    texts = [" ".join(rng.choices(words, k=60)) for _ in range(200)]
+    df = spark.createDataFrame([(2 * i + j, t + " again" * j, None, None, None) for i, t in enumerate(texts) for j in (0, 1)], DOCS)
+    kind, sizes = type(df), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: sizes.append(len(rows := collect(self))) or rows)
+    found = ngram_join.similar_groups(df, 3, 90)
+    assert sizes and max(sizes) <= ngram_join.RESIDUES // 32768
+    monkeypatch.undo()
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {i: i - i % 2 for i in range(400)}
+
+
+def test_residues_as_bits(spark):
+    want = [0, 1, 7, 8, 32767, 32768, 65535, 65536, ngram_join.RESIDUES - 1, 7]
+    got = ngram_join._bits(spark.createDataFrame([(r,) for r in want], "r int"))
+    assert np.flatnonzero(np.unpackbits(got, bitorder="little")).tolist() == sorted(set(want))
+    assert len(got) * 8 == ngram_join.RESIDUES
+    assert not ngram_join._bits(spark.createDataFrame([], "r int")).any()
+
+
+def test_sets_are_not_repeated_in_a_broadcast(spark, monkeypatch):
+    """Sets that are repeated for each block look small to Spark; they must not go through the driver."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 4)
+    now = spark.createDataFrame([(1, s, 8, 1, s) for s in range(40)], "g long, node long, n long, w long, comp long")
+    segments = spark.createDataFrame([(s, f, [f * 10 + (s // 2 if f == 7 else 0)]) for s in range(40) for f in range(8)], "node long, fragment int, segment array<long>")
+    links = ngram_join._block_links(now, written(segments, "segments"), 90)
+    plan = links._jdf.queryExecution().sparkPlan().toString()
+    assert "explode" not in plan and plan.count("Join") >= 2
+    assert {tuple(sorted(r)) for r in links.collect()} == {(s, s + 1) for s in range(0, 40, 2)}
+
+
+def test_blocks_cover_all_pairs_and_follow_no_chains(spark, monkeypatch):
+    """Pairs of sets in one group and different components are compared; blocks that only a chain of groups joins are not."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 10)
+    rng = random.Random(3)
+    chain = [(g, 19 * g + s) for g in range(40) for s in range(20)]
+    some = [(1000 + g, s) for g in range(12) for s in rng.sample(range(2000, 2060), rng.choice([5, 18, 40]))]
+    comp = {s: s if s < 2000 else s % 7 for _, s in chain + some}
+    now = spark.createDataFrame([(g, s, 30, 1, comp[s]) for g, s in chain + some], "g long, node long, n long, w long, comp long")
+    sets, parts = ngram_join._blocks(now)
+    block, pairs = {r["node"]: r["block"] for r in sets.collect()}, [(r["a"], r["b"]) for r in parts.collect()]
+    assert len(set(pairs)) == len(pairs) and set(block) == set(comp)
+    groups = defaultdict(list)
+    for g, s in chain + some:
+        groups[g].append(s)
+    for own in groups.values():
+        for x, y in itertools.combinations(own, 2):
+            assert comp[x] == comp[y] or {(block[x], block[y]), (block[y], block[x])} & set(pairs)
+    long = {block[s] for _, s in chain}
+    assert len([p for p in pairs if p[0] in long]) <= 8 * len(long)
+    in_part = Counter((r["a"], r["part"]) for r in parts.collect())
+    held = Counter(block.values())
+    assert all(sum(held[r["b"]] for r in parts.collect() if (r["a"], r["part"]) == key) <= 10 + max(held.values()) for key in list(in_part)[:40])
+
+
+def test_written_tables_broadcast_small_tables_only(spark, monkeypatch):
+    """A side of a join goes through the driver up to BROADCAST_BYTES of files, unless the caller has set a size."""
+    few = written(spark.range(3000).select(F.xxhash64("id").alias("id")), "few")
+
+    def joined() -> str:
+        written(spark.range(10**6).select(F.xxhash64("id").alias("id")).join(few, "id"), "joined")
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return str(spark._jsparkSession.sharedState().statusStore().executionsList().last().physicalPlanDescription())
+
+    assert "BroadcastExchange" in joined()
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 10000)
+    assert shared.BROADCAST not in spark.conf.getAll and "BroadcastExchange" not in joined()
+    assert shared.BROADCAST not in spark.conf.getAll
+    spark.conf.set(shared.BROADCAST, "1m")
+    try:
+        assert "BroadcastExchange" in joined() and spark.conf.get(shared.BROADCAST) == "1m"
+    finally:
+        spark.conf.unset(shared.BROADCAST)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 51), (60, 60)], "a long, b long")
     got = {r["id"]: r["comp"] for r in components.components(edges).collect()}
