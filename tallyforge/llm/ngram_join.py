@@ -240,16 +240,15 @@ def _once(pairs: DataFrame) -> DataFrame:
     return pairs.select(*side("a", "b"), *side("b", "a")).distinct()
 
 
-def _overlaps(left, right) -> np.ndarray:
-    """Overlaps of two blocks of sets: partial overlaps of each fragment, summed. Each side has row (of the set),
-    fragment, segment."""
-    total = np.zeros((left["row"].max() + 1, right["row"].max() + 1), np.float32)
+def _overlaps(left: list, right: list) -> np.ndarray:
+    """Overlaps of two blocks of sets: partial overlaps of each fragment, summed. A set is the list of its segments, by fragment."""
+    total = np.zeros((len(left), len(right)), np.float32)
     for f in range(FRAGMENTS):
         sides = []
         for side in (left, right):
-            part = side[side["fragment"] == f]
-            sizes = [len(x) for x in part["segment"]]
-            sides.append((np.repeat(part["row"].to_numpy(), sizes), np.concatenate([np.zeros(0, np.int64), *part["segment"]])))
+            part = [segments[f] for segments in side]
+            rows = np.repeat(np.arange(len(side)), [len(x) for x in part])
+            sides.append((rows, np.concatenate([np.zeros(0, np.int64), *part])))
         (rl, hl), (rr, hr) = sides
         both = np.intersect1d(hl, hr)
         for at in range(0, len(both), COLUMNS):
@@ -290,28 +289,22 @@ def _blocks(now: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _block_links(now: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """Links of components by sets in large open groups; enough of them to join all components that have any. Blocks of sets that
-    share a group are compared, so rows grow with blocks and not with pairs. Sets are repeated for their comparisons after they
-    met their segments: before that, Spark would take the repeated rows for a small table, which goes through the driver."""
+    share a group are compared, so rows grow with blocks and not with pairs. Sets are repeated for their comparisons, a row each, after
+    they met their segments: before that, Spark would take the repeated rows for a small table, which goes through the driver."""
     sets, pairs = _blocks(now)
-    whole = _of(segments, [sets]).join(sets, "node")
+    whole = _of(segments, [sets]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("fragment", "segment")))["segment"].alias("segments")).join(sets, "node")
 
     def dealt(to: DataFrame, block: str) -> DataFrame:
-        return whole.join(to, F.col("block") == F.col(block)).select("a", "part", "node", "n", "comp", "fragment", "segment")
+        return whole.join(to, F.col("block") == F.col(block)).select("a", "part", "node", "n", "comp", "segments")
 
     def links(left, right):
         import pandas as pd
 
         out, root = [], {}
         if len(left) and len(right):
-            sides = []
-            for side in (left, right):
-                first = side.drop_duplicates("node").reset_index(drop=True)
-                row = pd.Series(first.index, index=first["node"])
-                sides.append((first, side.assign(row=side["node"].map(row))))
-            (fa, la), (fb, lb) = sides
-            overlap = _overlaps(la, lb)
-            union = fa["n"].to_numpy()[:, None] + fb["n"].to_numpy()[None, :] - overlap
-            hit = (100 * overlap >= percent * union) & (fa["comp"].to_numpy()[:, None] != fb["comp"].to_numpy()[None, :])
+            overlap = _overlaps(left["segments"].tolist(), right["segments"].tolist())
+            union = left["n"].to_numpy()[:, None] + right["n"].to_numpy()[None, :] - overlap
+            hit = (100 * overlap >= percent * union) & (left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :])
 
             def top(x):
                 while root.get(x, x) != x:
@@ -319,14 +312,14 @@ def _block_links(now: DataFrame, segments: DataFrame, percent: int) -> DataFrame
                 return x
 
             for i, j in zip(*np.nonzero(hit)):
-                x, y = top(fa["comp"][i]), top(fb["comp"][j])
+                x, y = top(left["comp"].iat[i]), top(right["comp"].iat[j])
                 if x != y:
                     root[x] = y
                     out.append((x, y))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     mine = dealt(pairs.select("a", "part").distinct(), "a").groupBy("a", "part")
-    others = dealt(pairs, "b").toDF("a_2", "part_2", "node", "n", "comp", "fragment", "segment").groupBy("a_2", "part_2")
+    others = dealt(pairs, "b").toDF("a_2", "part_2", "node", "n", "comp", "segments").groupBy("a_2", "part_2")
     return mine.cogroup(others).applyInPandas(links, "a long, b long")
 
 
